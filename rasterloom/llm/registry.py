@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import exact_dedup
+from rasterloom.llm import exact_dedup, language_id, sentencepiece, token_counts
 from rasterloom.llm.common import table
 
 
+def op1_language_id(spark, sf_dir):
+    return language_id.op1(table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark, sf_dir):
+    return sentencepiece.encode(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_token_counts": op3_token_counts,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
