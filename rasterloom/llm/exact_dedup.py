@@ -44,7 +44,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", di
     kept = keep(recipes(docs, doc_id, text, digest))
     each = kept.select("doc_id", F.explode("chunks").alias("c")).select("doc_id", "c.*")
     verified = each.groupBy("h", "n", "d").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("contents"))
-    doubtful = each.select("doc_id", "h").join(verified.filter("contents > 1").select("h"), "h", "left_semi").select("doc_id").distinct()
+    bad = keep(verified.filter("contents > 1").select("h"))  # a table, so that the join below can split a chunk that many documents share
+    doubtful = each.select("doc_id", "h").join(bad, "h", "left_semi").select("doc_id").distinct()
     named = kept.select("doc_id", "n_chars", "text_sha256", F.col("chunks.h").alias("recipe"))
     # a table of its own: both sides of the last join are then plain exchanges, whose large partitions Spark can split
     named = keep(named.join(doubtful.withColumn("doubt", F.lit(True)), "doc_id", "left").select("doc_id", "n_chars", "text_sha256", "recipe", F.when(F.col("doubt"), F.col("text_sha256")).otherwise("").alias("tie")))
