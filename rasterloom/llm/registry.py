@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import exact_dedup, language_id, sentencepiece, token_counts
+from rasterloom.llm import exact_dedup, language_id, minhash, sentencepiece, token_counts
 from rasterloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op3_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash(spark, sf_dir):
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark, sf_dir):
     return sentencepiece.encode(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op10_exact_dedup(spark, sf_dir):
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_token_counts": op3_token_counts,
+    "op4_minhash": op4_minhash,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
