@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import exact_dedup, language_id, minhash, sentencepiece, token_counts
+from rasterloom.llm import exact_dedup, language_id, minhash, quality_crf, sentencepiece, token_counts
 from rasterloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_minhash(spark, sf_dir):
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_crf(spark, sf_dir):
+    return quality_crf.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_sentencepiece(spark, sf_dir):
     return sentencepiece.encode(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_token_counts": op3_token_counts,
     "op4_minhash": op4_minhash,
+    "op5_quality_crf": op5_quality_crf,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
