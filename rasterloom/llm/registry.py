@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import exact_dedup, language_id, minhash, quality_crf, sentencepiece, token_counts
+from rasterloom.llm import exact_dedup, language_id, minhash, quality_crf, sentencepiece, token_counts, toxicity
 from rasterloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_quality_crf(spark, sf_dir):
     return quality_crf.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_sentencepiece(spark, sf_dir):
     return sentencepiece.encode(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_minhash": op4_minhash,
     "op5_quality_crf": op5_quality_crf,
+    "op7_toxicity": op7_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
