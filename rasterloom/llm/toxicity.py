@@ -32,7 +32,7 @@ from rasterloom.llm.vocab import Words
 #: Learning takes about so many whole documents of each label; the lexicon holds at most TERMS terms.
 DOCS_PER_LABEL, TERMS = 1500, 1000
 #: A term needs so many times the odds in toxic documents, and this likelihood ratio (G) against chance.
-LEAST_ODDS, LEAST_G = 30.0, 25.0
+LEAST_ODDS, LEAST_G = 12.0, 25.0
 #: The automaton begins anew above so many states.
 MOST_STATES = 100_000
 STEM, WINDOW = 4, 6
@@ -46,7 +46,7 @@ REPORTING = frozenset("said says quote quoted quotes called wrote word term acco
 
 
 def edits_for(length: int, stem: bool) -> int:
-    return 0 if length < (7 if stem else 5) else 1 if length < 10 or stem else 2
+    return int(length >= (8 if stem else 5))
 
 
 def bare(word: str) -> str:
@@ -190,8 +190,9 @@ class Scorer:
 def lexicon(texts: list[str], labels: np.ndarray) -> dict[str, bool]:
     """Terms, and whether each is a stem.
 
-    Evidence for a term is its distinct contexts (the words before and after it) in toxic documents, since copies of
-    one document repeat all its words; evidence against it is the clean documents that hold it."""
+    Evidence for a term is its toxic documents or its distinct contexts (the words before and after it) in them,
+    whichever are fewer: copies of a document add no contexts, and one long document is one document. Evidence against
+    it is the clean documents that hold it."""
     clean: Counter = Counter()
     for t, y in zip(texts, labels.tolist(), strict=True):
         if y == 0:
@@ -200,12 +201,12 @@ def lexicon(texts: list[str], labels: np.ndarray) -> dict[str, bool]:
     share = n1 / (n1 + n0)
     most = lambda k: k * n0 / n1 / LEAST_ODDS
     contexts: dict[str, set] = {}
-    for t, y in zip(texts, labels.tolist(), strict=True):
+    for doc, (t, y) in enumerate(zip(texts, labels.tolist(), strict=True)):
         if y == 1:
             words = [bare(w) for w in t.split()]
             for before, w, after in zip(["", *words[:-1]], words, [*words[1:], ""], strict=True):
                 if len(w) > 2 and clean[w] <= 2:
-                    contexts.setdefault(w + "$", set()).add((before, after))
+                    contexts.setdefault(w + "$", set()).add((doc, before, after))
     # one word in one pair of neighbours is one piece of evidence for each of its beginnings
     begun: dict[str, set] = {}
     for w, pairs in contexts.items():
@@ -217,12 +218,15 @@ def lexicon(texts: list[str], labels: np.ndarray) -> dict[str, bool]:
             if w[:j] in against:
                 against[w[:j]] += k
 
+    def seen(found: set) -> int:
+        return min(len({d for d, _, _ in found}), len({x[1:] for x in found}))
+
     def able(x: str, k: int, c: int) -> bool:
         g = 2 * (k * np.log(k / ((k + c) * share)) + (c * np.log(c / ((k + c) * (1 - share))) if c else 0))
         return c <= most(k) and g >= LEAST_G
 
-    whole = {w[:-1]: len(p) for w, p in contexts.items() if able(w, len(p), clean[w[:-1]])}
-    stems = {x: len(p) for x, p in begun.items() if able(x, len(p), against[x])}
+    whole = {w[:-1]: k for w, p in contexts.items() if able(w, k := seen(p), clean[w[:-1]])}
+    stems = {x: k for x, p in begun.items() if able(x, k := seen(p), against[x])}
     terms: dict[str, bool] = {}
     for x in sorted(stems, key=len):
         if any(terms.get(x[:k]) for k in range(STEM, len(x))):
@@ -231,7 +235,7 @@ def lexicon(texts: list[str], labels: np.ndarray) -> dict[str, bool]:
         end = x
         while longer := [y for y in stems if len(y) == len(end) + 1 and y.startswith(end) and stems[y] >= 0.9 * stems[end]]:
             end = longer[0]
-        held = sorted((len(p) for w, p in contexts.items() if w.startswith(x)), reverse=True)
+        held = sorted((seen(p) for w, p in contexts.items() if w.startswith(x)), reverse=True)
         if sum(held[:2]) < 0.6 * sum(held):
             terms[end] = True
     for w in whole:
@@ -247,8 +251,14 @@ def fit(texts: list[str | None], labels: np.ndarray, prior: float) -> Model:
         return Model({}, frozenset(), np.array([0.0] * 6 + [-30.0]))
     model = Model(lexicon(texts, labels))
     model.automaton = Automaton(model.terms)
-    model.clean = frozenset(w for w in {bare(w) for t, y in zip(texts, labels, strict=True) if y == 0 for w in t.split()} if model.automaton.edits(w) > 0)
-    x = np.concatenate([Scorer(model).features(texts), np.ones((len(texts), 1))], 1)
+    near = lambda rows: frozenset(w for w in {bare(w) for i in rows if labels[i] == 0 for w in texts[i].split()} if model.automaton.edits(w) > 0)
+    # each half is seen with the clean words of the other, as unseen documents will be
+    x = np.ones((len(texts), 7))
+    for own in (0, 1):
+        rows = range(own, len(texts), 2)
+        model.clean = near(range(1 - own, len(texts), 2))
+        x[own::2, :6] = Scorer(model).features([texts[i] for i in rows])
+    model.clean = near(range(len(texts)))
     w = np.where(labels == 1, prior / labels.mean(), (1 - prior) / (1 - labels.mean()))
     theta, ridge = np.zeros(x.shape[1]), np.array([0.05] * 6 + [1e-4])
     for _ in range(40):  # Newton steps
