@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import exact_dedup, language_id, minhash, quality_crf, sentencepiece, token_counts, toxicity
+from rasterloom.llm import exact_dedup, language_id, media, minhash, mixing, quality_crf, sentencepiece, token_counts, toxicity
 from rasterloom.llm.common import table
 
 
@@ -26,6 +26,14 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_media_columns(spark, sf_dir):
+    return media.op6(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark, sf_dir):
     return sentencepiece.encode(table(spark, sf_dir, "documents"))
 
@@ -40,6 +48,8 @@ QUERIES = {
     "op4_minhash": op4_minhash,
     "op5_quality_crf": op5_quality_crf,
     "op7_toxicity": op7_toxicity,
+    "op6_media_columns": op6_media_columns,
+    "op8_mixing": op8_mixing,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
