@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from rasterloom.llm import exact_dedup, language_id, media, minhash, mixing, quality_crf, sentencepiece, token_counts, toxicity
 from rasterloom.llm.common import table
 
@@ -43,6 +44,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_language_id": op1_language_id,
     "op3_token_counts": op3_token_counts,
     "op4_minhash": op4_minhash,
