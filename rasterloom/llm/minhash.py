@@ -5,12 +5,14 @@ permutation hash of a class fills BINS bins with the lowest hash in each; an emp
 own hash sequence names first (optimal densification). Bands of bins make buckets; a bucket links its members to a
 centre, a star, so candidates grow with members and not with their square. Candidates are confirmed on full sets.
 
-A star alone would lose links between members that are not the centre's. So buckets that still hold more than one
-component go on: their centre is spent, up to CENTRES new ones are taken (of the smallest components first) and
-compared with the members of other components, until each bucket holds one component or all centres are spent.
+The centre is the member that shares most over all its buckets, to which most of a group links. A star alone would
+lose links between members that are not the centre's. So buckets that still hold more than one component go on: large
+ones are compared exhaustively, block against block, with only a spanning forest of links returned; in small ones the
+centre is spent and up to CENTRES new ones are taken (of the smallest components first) and compared with members of
+other components, until each bucket holds one component or all centres are spent.
 
-A pair at the threshold misses every band with a chance under 1e-5; sets of SMALL shingles or fewer get further bands
-of three bins, and sets too small for any different set to reach the threshold get none.
+A pair at the threshold misses every band with a chance of about 1e-6 (1e-5 for small sets, whose bins repeat); sets
+too small for any different set to reach the threshold get no bands.
 
 Cases: null, empty or blank text has no set and is alone; text of fewer than five words is one shingle; an empty
 table gives no rows; repeated rows are in one class; other columns are not read. doc_id must identify a text.
@@ -31,9 +33,11 @@ from rasterloom.llm.components import components
 from rasterloom.llm.vocab import Words
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS, SMALL, SMALL_ROWS = 40, 8, 80, 3
+BANDS, ROWS = 48, 8
 BINS = BANDS * ROWS
 CENTRES = 16
+#: Open buckets above LARGE members are compared in blocks of about BLOCK, COLUMNS shingles at a time.
+LARGE, BLOCK, COLUMNS = 12, 400, 4096
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -92,11 +96,10 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bands(sig: np.ndarray, rows: int, seed: int) -> np.ndarray:
-    n = len(sig) // rows
-    x = sig[: n * rows].reshape(n, rows)
-    h = np.arange(n, dtype=np.uint64) + np.uint64(seed)
-    for i in range(rows):
+def _bands(sig: np.ndarray) -> np.ndarray:
+    x = sig.reshape(BANDS, ROWS)
+    h = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for i in range(ROWS):
         h = mix(h * _STEP[2] + x[:, i])
     return h.astype(np.int64)
 
@@ -105,9 +108,7 @@ def band_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     n = len(s)
     if 100 * n < percent * (n + 1):  # even a set of one more falls short
         return np.zeros(0, np.int64)
-    sig = signature(s)
-    wide = _bands(sig, ROWS, 1)
-    return np.concatenate([wide, _bands(sig, SMALL_ROWS, 1 << 20)]) if n <= SMALL else wide
+    return _bands(signature(s))
 
 
 def _scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -170,40 +171,114 @@ def _pair(x: str, y: str):
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component, with label and size of theirs."""
+    sizes = found.groupBy("label").agg(F.count("*").alias("size"))
+    labels = keep(found.join(sizes, "label").select(F.col("node").alias("d"), "label", "size"))
+    now = keep(members.join(labels, "d", "left").select("key", "d", "n", "degree", F.coalesce("label", "d").alias("label"), F.coalesce("size", F.lit(1)).alias("size")))
+    keys = keep(now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key"))
+    return keep(now.join(keys, "key"))
+
+
+def _with(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with links added."""
+    return found if links.isEmpty() else keep(components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(links)))
+
+
+def _forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join whatever reaches the threshold among these sets; at most one fewer than there are sets.
+
+    Counts of common shingles are products of columns of the incidence matrix, some thousand columns at a time; a
+    shingle that only one of the sets has is left out of them."""
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    held = shared[column]
+    owner, column = owner[held], place[column[held]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[owner[a:b], column[a:b] - lo] = 1
+        common += m @ m.T
+    near = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    np.fill_diagonal(near, False)
+    out, seen = [], np.zeros(len(sets), bool)
+    for start in range(len(sets)):
+        stack = [start]
+        if seen[start]:
+            continue
+        seen[start] = True
+        while stack:
+            i = stack.pop()
+            for j in np.flatnonzero(near[i] & ~seen).tolist():
+                seen[j] = True
+                out.append((int(ids[i]), int(ids[j])))
+                stack.append(j)
+    return [(min(x), max(x)) for x in out]
+
+
+def _blocks(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join each group (node, label) wherever full sets reach the threshold.
+
+    A group is dealt into blocks of about BLOCK members and every two blocks meet in one task, so a task holds two
+    blocks whatever the group's size; a task returns a spanning forest of its links and not all of them."""
+    blocks = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    dealt = groups.join(blocks, "label").select("node", "label", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("own"))
+    dealt = dealt.select("node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    meet = dealt.select("node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = meet.join(sets.withColumnRenamed("doc_id", "node"), "node")
+
+    def run(t: pa.Table) -> pa.Table:
+        links = _forest(t.column("node").to_numpy(), [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()], percent)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    return rows.groupBy("label", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     sig = keep(signatures(docs, doc_id, text))
     classes = keep(sig.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
     banded = sig.filter("size(bands) > 0").join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi")
     members = banded.select(F.explode("bands").alias("key"), F.col("doc_id").alias("d"), "n")
-    centre = F.min(F.struct(F.xxhash64("d").alias("p"), F.col("d").alias("c"), F.col("n").alias("cn")))
-    buckets = keep(members.groupBy("key").agg(F.count("*").alias("many"), centre.alias("c")).filter("many > 1").select("key", "c.c", "c.cn"))
+    shared = keep(members.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"))
+    members = keep(members.join(shared, "key"))
+    # who shares most is nearest to what a group has in common, and so the centre that most of it links to
+    degree = keep(members.groupBy("d").agg(F.sum("many").alias("degree")))
+    members = keep(members.drop("many").join(degree, "d"))
+    centre = F.max(F.struct("degree", F.xxhash64("d").alias("p"), F.col("d").alias("c"), F.col("n").alias("cn")))
+    buckets = keep(members.groupBy("key").agg(centre.alias("c")).select("key", "c.c", "c.cn"))
     members = keep(members.join(buckets, "key"))
     wanted = keep(members.select(F.col("d").alias("doc_id")).distinct())
     sets = keep(_sets(_scan(docs, doc_id, text).join(wanted, "doc_id")).dropDuplicates(["doc_id"]))
     tested = keep(members.filter("d != c").filter(_fits("n", "cn", percent)).select(*_pair("d", "c")).distinct())
     found = keep(components(keep(confirm(tested, sets, percent))))
-    members = members.filter("d != c").select("key", "d", "n")
+    # large buckets: exhaustively, in blocks; small ones: star by star
+    open_ = _open(members.select("key", "d", "n", "degree"), found)
+    large = keep(open_.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > LARGE).select("key"))
+    if not large.isEmpty():
+        crowd = keep(members.join(large, "key"))
+        groups = keep(components(crowd.filter("d != c").select(F.col("d").alias("a"), F.col("c").alias("b"))))
+        found = _with(found, keep(_blocks(groups, sets, percent)))
+        open_ = keep(open_.join(large, "key", "left_anti"))
     while True:
-        sizes = found.groupBy("label").agg(F.count("*").alias("size"))
-        labels = keep(found.join(sizes, "label").select(F.col("node").alias("d"), "label", "size"))
-        now = keep(members.join(labels, "d", "left").select("key", "d", "n", F.coalesce("label", "d").alias("label"), F.coalesce("size", F.lit(1)).alias("size")))
-        open_ = keep(now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key"))
+        open_ = _open(open_.select("key", "d", "n", "degree"), found)
         if open_.isEmpty():
             break
-        now = keep(now.join(open_, "key"))
-        centre = F.min(F.struct("size", F.xxhash64("d").alias("p"), F.col("d").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl")))
-        centres = keep(now.groupBy("key", F.pmod(F.xxhash64("d"), F.lit(CENTRES)).alias("slot")).agg(centre.alias("c")).select("key", "c.*").drop("size", "p"))
-        pairs = now.join(centres, "key").filter("label != cl").filter(_fits("n", "cn", percent)).select(*_pair("d", "c")).distinct()
+        centre = F.max(F.struct((-F.col("size")).alias("few"), "degree", F.xxhash64("d").alias("p"), F.col("d").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl")))
+        centres = keep(open_.groupBy("key", F.pmod(F.xxhash64("d"), F.lit(CENTRES)).alias("slot")).agg(centre.alias("c")).select("key", "c.c", "c.cn", "c.cl"))
+        pairs = open_.join(centres, "key").filter("label != cl").filter(_fits("n", "cn", percent)).select(*_pair("d", "c")).distinct()
         pairs = keep(pairs.join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            links = keep(confirm(pairs, sets, percent))
             tested = keep(tested.unionAll(pairs))
-            if not links.isEmpty():
-                star = found.select(F.col("node").alias("a"), F.col("label").alias("b"))
-                found = keep(components(star.unionAll(links)))
+            found = _with(found, keep(confirm(pairs, sets, percent)))
         spent = centres.select("key", F.col("c").alias("d"))
-        members = keep(now.select("key", "d", "n").join(spent, ["key", "d"], "left_anti"))
+        open_ = keep(open_.join(spent, ["key", "d"], "left_anti"))
     roots = keep(classes.join(found.select(F.col("node").alias("rep"), "label"), "rep", "left").select("s1", "s2", "n", F.coalesce("label", "rep").alias("root")))
     own = sig.select("doc_id", "s1", "s2", "n").join(roots, ["s1", "s2", "n"], "left")
     return own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
