@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rasterloom.llm import exact_dedup, language_id, media, minhash, mixing, quality_crf, sentencepiece, token_counts, toxicity
+from rasterloom.llm import exact_dedup, language_id, media, minhash, mixing, quality_crf, sentencepiece, suffix_dedup, token_counts, toxicity
 from rasterloom.llm.common import table
 
 
@@ -11,6 +11,10 @@ def op1_language_id(spark, sf_dir):
     return language_id.op1(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeated(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_exact_dedup(spark, sf_dir):
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_language_id": op1_language_id,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_minhash": op4_minhash,
     "op5_quality_crf": op5_quality_crf,
