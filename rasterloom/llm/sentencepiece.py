@@ -5,7 +5,7 @@ Hashes of all substrings that end at a character probe the sorted hashes of piec
 maxima keep back pointers. The longest piece wins ties, as the first found does from the left. Characters outside
 the vocabulary become the bytes of their UTF-8 form. A text that is not empty gets one leading space.
 
-Cases: null gives null ids and an empty decoded text is never compared; the empty text gives no ids; a literal
+Cases: null gives null ids, no token and a null round_trip; the empty text gives no ids; a literal
 U+2581 in a text cannot be told from a space, so round_trip is false there; a word above 64 characters takes a
 scalar path with the same rule, linear in its length. Columns other than id and text are not read by encode().
 """
@@ -140,7 +140,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab_pa
             null = np.array([t is None for t in texts])
             same = [None if t is None or not check else decode_ids(e.v, ids[a:b].tolist()) == t for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()), mask=pa.array(null))
-            yield pa.record_batch([batch.column(0), pa.array(np.diff(ends).astype(np.int32), mask=null), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
+            yield pa.record_batch([batch.column(0), pa.array(np.diff(ends).astype(np.int32)), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens int, ids array<int>, round_trip boolean")
