@@ -1,9 +1,9 @@
-"""K-means over weighted integer points, an image at a time, as DataFrame steps on all images at once."""
+"""K-means over weighted integer points: its steps as plans over all images, and the whole of it an image at a time."""
 
 from __future__ import annotations
 
-import tempfile
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,15 +12,6 @@ from rasterloom.operators.joins import FEW, nearest, nearest_numpy
 COLOUR, PLACE = ["r", "g", "b"], ["x", "y", "r", "g", "b"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the session's checkpoint folder; a temporary one only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rasterloom-"))
-    return df.checkpoint()
-
-
 def weighted_mean(column: str, weight: str = "cnt"):
     """Truncated."""
     return F.expr(f"sum({column} * cast({weight} as bigint)) div sum(cast({weight} as bigint))").cast("int")
@@ -31,9 +22,8 @@ def init_assignment(points: DataFrame, k: int, key: str = "img_id", point: str =
     w = Window.partitionBy(key)
     n, at = F.count("*").over(w), F.row_number().over(w.orderBy(point)) - 1
     placed = points.withColumn("_n", n).withColumn("_at", at)
-    q = F.expr(f"_n div {k}")
     ok = F.when(F.col("_n") >= k, F.least(F.expr(f"(_n - 1 - _at) div greatest(_n div {k}, 1)"), F.lit(k - 1)).cast("int")).otherwise(F.raise_error(F.lit(f"fewer points than {k} clusters")).cast("int"))
-    return placed.withColumn("cid", ok).drop("_n", "_at") if q is not None else placed
+    return placed.withColumn("cid", ok).drop("_n", "_at")
 
 
 def init_centroids(assigned: DataFrame, features: list[str], key: str = "img_id", point: str = "pos") -> DataFrame:
@@ -52,37 +42,58 @@ def assign(points: DataFrame, centroids: DataFrame, features: list[str], k: int,
     return points.drop("cid", "d2").join(found, [key, point])
 
 
-def reseed(assigned: DataFrame, centroids: DataFrame, features: list[str], k: int, key: str = "img_id", point: str = "pos") -> DataFrame:
-    """centroids with one for each empty cluster: the points furthest from their own, in order of distance then place."""
-    want = assigned.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cid"))
-    empty = want.join(centroids.select(key, "cid"), [key, "cid"], "left_anti").withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("cid")))
-    far = assigned.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("d2"), point))).filter(F.col("n") <= k).select(key, "n", *features)
-    return centroids.unionByName(empty.join(far, [key, "n"]).select(key, "cid", *features))
-
-
-def kmeans(points: DataFrame, k: int, features: list[str], key: str = "img_id", point: str = "pos", max_iter: int = 50) -> tuple[DataFrame, DataFrame, bool]:
-    """(assigned points, centroids, converged). points hold key, point, features and a weight `cnt`.
+def lloyd(x: np.ndarray, weight: np.ndarray, k: int, max_iter: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(cluster of each point, squared distances, centroids, converged) of one image's points, in their order.
 
-    Each round is one plan over all images and ends in a checkpoint; only the number of points that moved and of
-    clusters that are empty reach the driver."""
-    if k < 1:
-        raise ValueError("k must be positive")
-    if k > FEW:
-        raise ValueError(f"k above {FEW} is not offered")
-    points = cut(init_assignment(points, k, key, point))
-    centroids = cut(init_centroids(points, features, key, point))
-    images = points.select(key).distinct().count()
+    The same steps as the functions above: chunks from the tail, the first point of each as its centroid, a point moves
+    only to a strictly nearer centroid and to the lowest of equals, truncated weighted means. An empty cluster takes
+    the point that is furthest from its own centroid, the first of equals; several take the next ones."""
+    n = len(x)
+    if n < k:
+        raise ValueError(f"fewer points than {k} clusters")
+    own = np.minimum((n - 1 - np.arange(n)) // (n // k), k - 1)
+    c = x[[np.flatnonzero(own == i)[0] for i in range(k)]]
+    step, d2, rows = max(1, 2_000_000 // k), np.zeros(n, np.int64), np.arange(n)
     for _ in range(max_iter):
-        now = cut(assign(points.withColumnRenamed("cid", "_old").withColumn("cid", F.col("_old")), centroids, features, k, key, point))
-        moved = now.filter("cid != _old").limit(1).count()
-        points = now.drop("_old")
-        centroids = update_centroids(points, features, key)
-        if centroids.count() < images * k:
-            centroids = reseed(points, centroids, features, k, key, point)
-        centroids = cut(centroids)
+        new = np.empty(n, np.int64)
+        for i in range(0, n, step):
+            d = ((x[i : i + step, None, :] - c[None]) ** 2).sum(2)
+            best, r = d.argmin(1), np.arange(len(d))
+            stay = d[r, own[i : i + step]] == d[r, best]
+            new[i : i + step] = np.where(stay, own[i : i + step], best)
+            d2[i : i + step] = d[r, best]
+        moved = bool((new != own).any())
+        own = new
+        total = np.bincount(own, weight, k)
+        c = np.stack([np.bincount(own, weight * x[:, f], k) for f in range(x.shape[1])], 1).astype(np.int64) // np.maximum(total, 1).astype(np.int64)[:, None]
+        empty = np.flatnonzero(total == 0)
+        if len(empty):
+            c[empty] = x[np.lexsort([rows, -d2])[: len(empty)]]
         if not moved:
-            return points, centroids, True
-    return points, centroids, False
+            return own, d2, c, True
+    return own, d2, c, False
+
+
+def kmeans(points: DataFrame, k: int, features: list[str], key: str = "img_id", point: str = "pos", max_iter: int = 50) -> tuple[DataFrame, DataFrame]:
+    """points with cid and d2, and centroids with `converged`. points hold key, point, features and a weight `cnt`.
+
+    One shuffle for all rounds: an image's points (distinct colours, or pixels) are one task, as in its coders, and the
+    distances of a block at a time are in memory. The two results come from one persisted table."""
+    if not 1 <= k <= FEW:
+        raise ValueError(f"k must be from 1 to {FEW}")
+    kinds = dict(points.dtypes)
+    schema = f"{key} {kinds[key]}, {point} {kinds[point]}, cid int, d2 long, cnt long, converged boolean, " + ", ".join(f"{f} int" for f in features)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(point)
+        x = pdf[features].to_numpy(np.int64)
+        own, d2, c, ok = lloyd(x, pdf.cnt.to_numpy(float), k, max_iter)
+        mine = pd.DataFrame({key: pdf[key].to_numpy(), point: pdf[point].to_numpy(), "cid": own, "d2": d2, "cnt": pdf.cnt.to_numpy(), "converged": ok, **{f: x[:, i] for i, f in enumerate(features)}})
+        cents = pd.DataFrame({key: pdf[key].iloc[0], point: None, "cid": range(k), "d2": None, "cnt": None, "converged": ok, **{f: c[:, i] for i, f in enumerate(features)}})
+        return pd.concat([mine.astype(object), cents.astype(object)])
+
+    both = points.select(key, point, "cnt", *features).groupBy(key).applyInPandas(run, schema).persist()
+    return both.filter(F.col(point).isNotNull()).drop("converged"), both.filter(F.col(point).isNull()).select(key, "cid", *features, "converged")
 
 
 def cluster_counts(assigned: DataFrame, k: int, key: str = "img_id") -> DataFrame:

@@ -201,7 +201,7 @@ class ClusterColours(Hufman):
         """img_id, r, g, b, nr, ng, nb of every colour."""
         colours = px.groupBy("img_id", *RGB).agg(F.count("*").alias("cnt"))
         place = F.col("r") * 65536 + F.col("g") * 256 + F.col("b")
-        points, centroids, _ = kmeans.kmeans(colours.withColumn("pos", place.cast("long")), self.k, list(RGB), max_iter=self.max_iter)
+        points, centroids = kmeans.kmeans(colours.withColumn("pos", place.cast("long")), self.k, list(RGB), max_iter=self.max_iter)
         to = centroids.select("img_id", "cid", *[F.col(c).alias(f"n{c}") for c in RGB])
         return points.join(to, ["img_id", "cid"]).select("img_id", *RGB, "nr", "ng", "nb")
 

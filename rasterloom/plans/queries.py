@@ -782,16 +782,16 @@ def km_update_centroids(spark, sf):
 def km_cluster(spark, sf):
     """Colours of each raster in eight clusters, to the end."""
     cols = colours(pixels(spark, sf)).withColumn("pos", (F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).cast("long"))
-    points, centroids, ok = kmeans.kmeans(cols, 8, RGB)
+    points, centroids = kmeans.kmeans(cols, 8, RGB)
     n = points.groupBy("img_id", "cid").agg(F.sum("cnt").alias("n"))
-    return centroids.join(n, ["img_id", "cid"], "left").withColumn("converged", F.lit(ok))
+    return centroids.join(n, ["img_id", "cid"], "left")
 
 
 @query("km_cluster_fixed_point", "WITH {PX} SELECT img_id, true AS fixed, count(*) AS n FROM px GROUP BY 1")
 def km_cluster_fixed_point(spark, sf):
     """After the last round no point is nearer to another centroid, and none is lost."""
     cols = colours(pixels(spark, sf)).withColumn("pos", (F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).cast("long"))
-    points, centroids, _ = kmeans.kmeans(cols, 8, RGB)
+    points, centroids = kmeans.kmeans(cols, 8, RGB, max_iter=500)
     near = joins.nearest(points.withColumnRenamed("cid", "own"), centroids, RGB, current="own")
     both = points.select("img_id", "pos", "cnt", F.col("cid").alias("own")).join(near, ["img_id", "pos"])
     return both.groupBy("img_id").agg(F.min(F.col("own") == F.col("cid")).alias("fixed"), F.sum("cnt").alias("n"))

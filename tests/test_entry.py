@@ -36,11 +36,7 @@ def same(df, other):
     assert rows(df) == rows(other)
 
 
-#: Left to the driver's own comparison, for their time.
-SLOW = {"km_cluster_fixed_point", "cd_voronoi_size"}
-
-
-@pytest.mark.parametrize("name", sorted(set(plans.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(plans.ORACLE_SQL))
 def test_query(spark, db, name):
     same(plans.QUERIES[name](spark, SF).toPandas(), db.sql(plans.ORACLE_SQL[name]).df())
 

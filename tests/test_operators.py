@@ -46,15 +46,15 @@ def _points(spark, xy):
 
 def test_kmeans(spark):
     square = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1)]
-    _, c, ok = kmeans.kmeans(_points(spark, square), 1, ["x", "y"])
-    assert ok and [(r.x, r.y) for r in c.collect()] == [(0, 0)]
+    _, c = kmeans.kmeans(_points(spark, square), 1, ["x", "y"])
+    assert [(r.x, r.y) for r in c.collect()] == [(0, 0)]
     two = [(x - 100, y) for x, y in square] + [(x + 100, y) for x, y in square]
-    _, c, ok = kmeans.kmeans(_points(spark, two), 2, ["x", "y"])
-    assert ok and sorted((r.x, r.y) for r in c.collect()) == [(-100, 0), (100, 0)]
-    _, c, ok = kmeans.kmeans(_points(spark, [(0, 0), (1, 1), (2, 2), (3, 3)]), 3, ["x", "y"])
-    assert ok
+    _, c = kmeans.kmeans(_points(spark, two), 2, ["x", "y"])
+    assert sorted((r.x, r.y) for r in c.collect()) == [(-100, 0), (100, 0)]
+    _, c = kmeans.kmeans(_points(spark, [(0, 0), (1, 1), (2, 2), (3, 3)]), 3, ["x", "y"])
+    assert c.count() == 3 and c.filter("NOT converged").count() == 0
     with pytest.raises(Exception, match="fewer points"):
-        kmeans.kmeans(_points(spark, [(0, 0)]), 2, ["x", "y"])
+        kmeans.kmeans(_points(spark, [(0, 0)]), 2, ["x", "y"])[1].collect()
 
 
 def test_certainty_radius(spark):
