@@ -8,8 +8,7 @@ centre, a star, so candidates grow with members and not with their square. Candi
 The centre is the member that shares most over all its buckets, to which most of a group links. A star alone would
 lose links between members that are not the centre's. So buckets that still hold more than one component go on: large
 ones are compared exhaustively, block against block, with only a spanning forest of links returned; in small ones the
-centre is spent and up to CENTRES new ones are taken (of the smallest components first) and compared with members of
-other components, until each bucket holds one component or all centres are spent.
+centre is spent and up to CENTRES new ones are taken and compared with members of other components, until each bucket holds one component or all centres are spent.
 
 A pair at the threshold misses every band with a chance of about 1e-6 (1e-5 for small sets, whose bins repeat); sets
 too small for any different set to reach the threshold get no bands.
@@ -172,10 +171,8 @@ def _pair(x: str, y: str):
 
 
 def _open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one component, with label and size of theirs."""
-    sizes = found.groupBy("label").agg(F.count("*").alias("size"))
-    labels = keep(found.join(sizes, "label").select(F.col("node").alias("d"), "label", "size"))
-    now = keep(members.join(labels, "d", "left").select("key", "d", "n", "degree", F.coalesce("label", "d").alias("label"), F.coalesce("size", F.lit(1)).alias("size")))
+    """The members of buckets that hold more than one component, with the label of theirs."""
+    now = keep(members.join(found.withColumnRenamed("node", "d"), "d", "left").select("key", "d", "n", F.coalesce("label", "d").alias("label")))
     keys = keep(now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key"))
     return keep(now.join(keys, "key"))
 
@@ -249,36 +246,32 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     shared = keep(members.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"))
     members = keep(members.join(shared, "key"))
     # who shares most is nearest to what a group has in common, and so the centre that most of it links to
-    degree = keep(members.groupBy("d").agg(F.sum("many").alias("degree")))
+    degree = members.groupBy("d").agg(F.sum("many").alias("degree"))
     members = keep(members.drop("many").join(degree, "d"))
     centre = F.max(F.struct("degree", F.xxhash64("d").alias("p"), F.col("d").alias("c"), F.col("n").alias("cn")))
     buckets = keep(members.groupBy("key").agg(centre.alias("c")).select("key", "c.c", "c.cn"))
     members = keep(members.join(buckets, "key"))
-    wanted = keep(members.select(F.col("d").alias("doc_id")).distinct())
+    wanted = members.select(F.col("d").alias("doc_id")).distinct()
     sets = keep(_sets(_scan(docs, doc_id, text).join(wanted, "doc_id")).dropDuplicates(["doc_id"]))
     tested = keep(members.filter("d != c").filter(_fits("n", "cn", percent)).select(*_pair("d", "c")).distinct())
     found = keep(components(keep(confirm(tested, sets, percent))))
     # large buckets: exhaustively, in blocks; small ones: star by star
-    open_ = _open(members.select("key", "d", "n", "degree"), found)
+    open_ = _open(members.select("key", "d", "n"), found)
     large = keep(open_.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > LARGE).select("key"))
     if not large.isEmpty():
-        crowd = keep(members.join(large, "key"))
-        groups = keep(components(crowd.filter("d != c").select(F.col("d").alias("a"), F.col("c").alias("b"))))
-        found = _with(found, keep(_blocks(groups, sets, percent)))
-        open_ = keep(open_.join(large, "key", "left_anti"))
-    while True:
-        open_ = _open(open_.select("key", "d", "n", "degree"), found)
-        if open_.isEmpty():
-            break
-        centre = F.max(F.struct((-F.col("size")).alias("few"), "degree", F.xxhash64("d").alias("p"), F.col("d").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl")))
+        crowd = keep(members.join(large, "key").filter("d != c").select(F.col("d").alias("a"), F.col("c").alias("b")).distinct())
+        found = _with(found, keep(_blocks(components(crowd), sets, percent)))
+        open_ = _open(open_.join(large, "key", "left_anti").drop("label"), found)
+    while not open_.isEmpty():
+        centre = F.min(F.struct(F.xxhash64("d").alias("p"), F.col("d").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl")))
         centres = keep(open_.groupBy("key", F.pmod(F.xxhash64("d"), F.lit(CENTRES)).alias("slot")).agg(centre.alias("c")).select("key", "c.c", "c.cn", "c.cl"))
         pairs = open_.join(centres, "key").filter("label != cl").filter(_fits("n", "cn", percent)).select(*_pair("d", "c")).distinct()
         pairs = keep(pairs.join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            tested = keep(tested.unionAll(pairs))
+            tested = tested.unionAll(pairs)
             found = _with(found, keep(confirm(pairs, sets, percent)))
         spent = centres.select("key", F.col("c").alias("d"))
-        open_ = keep(open_.join(spent, ["key", "d"], "left_anti"))
+        open_ = _open(open_.join(spent, ["key", "d"], "left_anti").drop("label"), found)
     roots = keep(classes.join(found.select(F.col("node").alias("rep"), "label"), "rep", "left").select("s1", "s2", "n", F.coalesce("label", "rep").alias("root")))
     own = sig.select("doc_id", "s1", "s2", "n").join(roots, ["s1", "s2", "n"], "left")
     return own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
