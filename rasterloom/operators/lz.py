@@ -62,6 +62,22 @@ def dict_decode(symbols: list[int]) -> bytes:
     return b"".join(out)
 
 
+def dict_entries(symbols: list[int]) -> list[bytes]:
+    """The sequences that a symbol stream adds to the dictionary, in the order of their numbers."""
+    seqs = {i: bytes([i]) for i in range(256)} | {EOF: b""}
+    for a, b in list(zip(symbols[::2], symbols[1::2], strict=True))[: EOF - FIRST]:
+        seqs[FIRST + len(seqs) - 257] = seqs[a] + seqs[b]
+    return [seqs[FIRST + i] for i in range(len(seqs) - 257)]
+
+
+def trie_stats(symbols: list[int]) -> tuple[int, int, int]:
+    """(values, nodes, inner nodes) of the trie of single bytes and added sequences."""
+    entries = dict_entries(symbols)
+    nodes = {s[:k] for s in entries for k in range(1, len(s) + 1)} | {bytes([i]) for i in range(256)}
+    inner = {s[:-1] for s in nodes}
+    return 256 + len(set(entries)), len(nodes) + 1, len(inner)
+
+
 def dict_bytes(symbols: list[int]) -> bytes:
     return struct.pack(f"<{len(symbols)}H", *symbols)
 

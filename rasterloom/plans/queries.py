@@ -925,6 +925,68 @@ sf_zipdict = _text_coder("sf_zipdict", lz.dict_symbols, lz.dict_bytes, lz.dict_p
 sf_zipback = _text_coder("sf_zipback", lz.back_symbols, lz.back_bytes, lz.back_parse, lz.back_decode)
 
 
+@query("ag_trie_stats")
+def ag_trie_stats(spark, sf):
+    """Of each text's dictionary: values, trie nodes, nodes with children."""
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            got = [lz.trie_stats(lz.dict_symbols(bytes(x))) for x in pdf["data"]]
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "n_values": [g[0] for g in got], "n_nodes": [g[1] for g in got], "n_inner": [g[2] for g in got]})
+
+    return doc_bytes(spark, sf).mapInPandas(run, "doc_id long, n_values long, n_nodes long, n_inner long")
+
+
+@query("huf_tree_ser", "WITH {FLAT}, h AS (SELECT img_id, count(DISTINCT (r, g, b)) AS n FROM flat GROUP BY 1) SELECT img_id, n, 12 * n + n - 1 AS tree_bytes, true AS same FROM h")
+def huf_tree_ser(spark, sf):
+    """Each raster's tree written and read back."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        root = huffman.tree({tuple(s): n for *s, n in pdf[[*RGB, "cnt"]].itertuples(index=False, name=None)})
+        data = huffman.dump(root, huffman.RGB[1])
+        back, end = huffman.parse(data, 0, huffman.RGB[0], huffman.RGB[2])
+        return pd.DataFrame({"img_id": [pdf.img_id.iloc[0]], "n": [len(pdf)], "tree_bytes": [len(data)], "same": [huffman.codes(back) == huffman.codes(root) and end == len(data)]})
+
+    return colours(pixels_flat(spark, sf)).groupBy("img_id").applyInPandas(run, "img_id long, n long, tree_bytes long, same boolean")
+
+
+#: What each reading makes of some specifications; None where it refuses.
+_READINGS = {
+    "ps_cluster": {"cluster-colors(16)": "16", "c-col(8)": "8", "clustercol(2)": "2", "x cluster-colors(4) y": "4", "cluster-colors()": None, "colors(4)": None},
+    "ps_voronoi": {"voronoi(64)": "64", "my voronoi(3)": "3", "voronoi": None, "voronoi(x)": None},
+    "ps_hilbert": {"hilbert(rle)": "hilbert-rle", "Hilbert(rle(0.5))": "hilbert-rle-approx_0.5", "hilbert(zip)": "hilbert-zip", "hilbert(rle())": None, "hilbert(rle(-1))": None, "hilbert(rle,zip)": None, "hilbert": None},
+    "ps_delta": {"delta": "delta", "Delta": None},
+    "ps_hufman": {"hufman": "Hufman", "HUFMAN": "Hufman", "huffman": None},
+    "ps_zip": {"zip(dict)": "zip-dict", "zip(back)": "zip-back", "zip": None, "zip(x)": None},
+}
+
+
+def _reading(name: str, cases: dict):
+    values = ", ".join(f"('{s}', {'NULL' if v is None else repr(v)})" for s, v in cases.items())
+
+    @query(name, f"SELECT spec, read::VARCHAR AS read FROM (VALUES {values}) AS t(spec, read)")
+    def read(spark, sf):
+        from rasterloom.plans import spec
+
+        one = {"ps_cluster": lambda s: str(spec.cluster(s)), "ps_voronoi": lambda s: str(spec.voronoi(s))}.get(name, lambda s: spec.parse(s).name)
+        rows = []
+        for s in cases:
+            try:
+                rows.append((s, one(s)))
+            except ValueError:
+                rows.append((s, None))
+        return spark.createDataFrame(rows, "spec string, read string")
+
+    return read
+
+
+for _name, _cases in _READINGS.items():
+    _reading(_name, _cases)
+
+
 @query("zb_symbol_ser", "WITH {PX} SELECT img_id, pos, CASE WHEN x % 2 = 1 THEN " + _le_sql("(r * 100) | 32768", 2) + " || " + _le_sql("g * 600", 2) + " ELSE " + _le_sql("1", 2) + " || lpad(hex(r), 2, '0') END AS wire FROM px")
 def zb_symbol_ser(spark, sf):
     """Look-back and explicit symbols as bytes."""
