@@ -34,7 +34,9 @@ BATCH = 3 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-SUFFIX = "t long, c long, doc long, lo long, hi long, kind int"
+#: Two tokens, a document, a range of its windows (first << 8 | further ones), and what is known: 0 nothing, 1 removed, 2 has
+#: to be looked at window by window. Only 0 needs its tokens.
+SUFFIX = "t long, c long, doc long, r long, kind int"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -106,19 +108,20 @@ def multikey_order(columns: list[np.ndarray], few: int = 4096) -> np.ndarray:
     return order
 
 
-def _rows(t, c, doc, lo, hi, kind) -> pa.RecordBatch:
-    as_long = lambda x: pa.array(np.ascontiguousarray(x).astype(np.int64, copy=False))
-    return pa.record_batch([as_long(t), as_long(c), as_long(doc), as_long(lo), as_long(hi), pa.array(np.full(len(doc), kind, np.int32))], [x.split()[0] for x in SUFFIX.split(", ")])
+def _rows(t, c, doc, r, kind) -> pa.RecordBatch:
+    if kind:
+        t = c = np.zeros(len(doc), np.int64)
+    return pa.record_batch([*(pa.array(np.ascontiguousarray(x).astype(np.int64, copy=False)) for x in (t, c, doc, r)), pa.array(np.full(len(doc), kind, np.int32))], [x.split()[0] for x in SUFFIX.split(", ")])
 
 
-def _firsts(t, c, doc, lo, hi) -> tuple[pa.RecordBatch, pa.RecordBatch]:
-    """Of equal (t, c) the first by (doc, lo), as kind 0; the others as kind 1, removed."""
-    order = multikey_order([t, c, doc, lo])
-    t, c, doc, lo, hi = t[order], c[order], doc[order], lo[order], hi[order]
+def _firsts(t, c, doc, r) -> tuple[tuple, pa.RecordBatch]:
+    """Of equal (t, c) the first by (doc, place), as columns; the others as removed rows."""
+    order = multikey_order([t, c, doc, r])
+    t, c, doc, r = t[order], c[order], doc[order], r[order]
     new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])]) if len(t) else np.zeros(0, bool)
     first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(t) else np.zeros(0, np.int64)
-    gone = (doc != doc[first]) | (lo != lo[first])
-    return _rows(t[new], c[new], doc[new], lo[new], hi[new], 0), _rows(t[gone], c[gone], doc[gone], lo[gone], hi[gone], 1)
+    gone = (doc != doc[first]) | (r != r[first])
+    return (t[new], c[new], doc[new], r[new]), _rows(t[gone], c[gone], doc[gone], r[gone], 1)
 
 
 def _data(batch: pa.RecordBatch) -> list[bytes]:
@@ -131,7 +134,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, at, lo, hi = x.anchors()
         doc = batch.column(0).to_numpy()[text]
         context = mix(x.names(lo, hi + WINDOW) + (at - lo).astype(np.uint64) * BASE)
-        yield from _firsts(x.names(at, at + KGRAM).astype(np.int64), context.astype(np.int64), doc, lo - x.starts[text], hi - x.starts[text])
+        first, gone = _firsts(x.names(at, at + KGRAM).astype(np.int64), context.astype(np.int64), doc, lo - x.starts[text] << 8 | hi - lo)
+        yield from (_rows(*first, 0), gone)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,16 +143,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = [b for b in batches if b.num_rows]
     if not got:
         return
-    t, c, doc, lo, hi = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(5))
+    columns = [np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(4)]
     del got
-    first, gone = _firsts(t, c, doc, lo, hi)
+    first, gone = _firsts(*columns)
     if gone.num_rows:
         yield gone
-    t = first.column(0).to_numpy()
+    t = first[0]
     same = t[1:] == t[:-1]
     several = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (t == t[0]) | (t == t[-1])
-    if several.any():
-        yield _rows(*(first.column(i).to_numpy()[several] for i in range(5)), 2)
+    yield _rows(*(x[several] for x in first), 2)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +167,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = np.repeat(text, n)
         place = at + x.starts[text]
         name = x.names(place, place + WINDOW).astype(np.int64)
-        yield from _firsts(name, np.zeros(len(name), np.int64), batch.column(0).to_numpy()[text], at, at)
+        first, gone = _firsts(name, np.zeros(len(name), np.int64), batch.column(0).to_numpy()[text], at << 8)
+        yield from (_rows(*first, 0), gone)
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,19 +186,14 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.string()], strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _packed():
-    """A range of windows in one long; no range has more than SPAN."""
-    return F.shiftleft(F.col("lo"), 8) + (F.col("hi") - F.col("lo"))
-
-
 def _by_text(rows: DataFrame, kind: int, name: str) -> DataFrame:
-    return rows.filter(F.col("kind") == kind).groupBy("doc").agg(F.collect_list(_packed()).alias(name)).withColumnRenamed("doc", "doc_id")
+    return rows.filter(F.col("kind") == kind).groupBy("doc").agg(F.collect_list("r").alias(name)).withColumnRenamed("doc", "doc_id")
 
 
 def _bucketed(suffixes: DataFrame) -> DataFrame:
     """Suffixes dealt by sampled splitters, sorted and compared."""
     n = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return suffixes.filter("kind = 0").repartitionByRange(n, "t", "c").mapInArrow(_compare, SUFFIX)
+    return suffixes.filter("kind = 0").select("t", "c", "doc", "r").repartitionByRange(n, "t", "c").mapInArrow(_compare, SUFFIX)
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
