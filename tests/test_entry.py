@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -23,6 +24,8 @@ def db():
 
 def plain(v):
     v = v.item() if hasattr(v, "item") and getattr(v, "ndim", 0) == 0 else v
+    if v is pd.NA or v is pd.NaT:
+        return "None"
     if isinstance(v, bool | str | bytes) or v is None:
         return str(v)
     if hasattr(v, "__len__"):
