@@ -28,14 +28,33 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
-    The lineage ends there, so a lost executor costs no recomputation of what lies before."""
+    The lineage ends there, so a lost executor costs no recomputation of what lies before. What was shuffled for the
+    table is of no further use and its disk is freed at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def discard(*kept: DataFrame) -> None:
+    """Delete what keep() wrote, once other kept tables have all that is needed of it."""
+    for df in kept:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(modulus: int, doc_id: str = "doc_id") -> Column:

@@ -5,8 +5,9 @@ windows have equal anchors, and about one position in forty is one. A suffix's l
 its first KGRAM bytes and that of the whole context of its windows. Splitters sampled from the tokens range-partition
 the suffixes; each bucket is sorted by multikey quicksort and neighbours are compared. Of equal contexts the first in
 (document, position) stays and the rest are removed whole. Where one first token has several contexts, windows may
-agree in part: those are looked at one by one, in the same way, with the window's name as token. A first token that
-touches a bucket's boundary may go on beyond it and counts as having several contexts.
+agree in part. Up to FEW contexts meet by their token, bytes and all, and their windows are compared there. The windows
+of a token with more contexts, or of one that touches a bucket's boundary and so may go on beyond it, are dealt one by
+one in the same way, with the window's name as token, so that no token gathers in one task.
 
 A batch hands on only the first of equal suffixes, so a passage that a third of all documents hold reaches its bucket
 once a batch. Names are 64-bit hashes of bytes; no text is moved but to where its own removals are.
@@ -22,21 +23,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import keep, pieces
+from rasterloom.llm.common import discard, keep, pieces
 
 WINDOW, KGRAM = 100, 24
 SPAN = WINDOW - KGRAM + 1
+#: Contexts of one first token that are compared in one place.
+FEW = 64
 #: Bytes in hand at once; each takes some eighty more while it is hashed.
 BATCH = 3 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-#: Two tokens, a document, a range of its windows (first << 8 | further ones), and what is known: 0 nothing, 1 removed, 2 has
-#: to be looked at window by window. Only 0 needs its tokens.
+#: Two tokens, a document, a range of its windows (first << 8 | further ones), and what is known: 0 nothing, 1 removed, 2 may
+#: agree in part with others of its first token, which is 0 if its windows have to be looked at one by one.
 SUFFIX = "t long, c long, doc long, r long, kind int"
+CONTEXT = f"{SUFFIX}, bytes binary"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,7 +113,7 @@ def multikey_order(columns: list[np.ndarray], few: int = 4096) -> np.ndarray:
 
 
 def _rows(t, c, doc, r, kind) -> pa.RecordBatch:
-    if kind:
+    if kind == 1:
         t = c = np.zeros(len(doc), np.int64)
     return pa.record_batch([*(pa.array(np.ascontiguousarray(x).astype(np.int64, copy=False)) for x in (t, c, doc, r)), pa.array(np.full(len(doc), kind, np.int32))], [x.split()[0] for x in SUFFIX.split(", ")])
 
@@ -124,6 +128,23 @@ def _firsts(t, c, doc, r) -> tuple[tuple, pa.RecordBatch]:
     return (t[new], c[new], doc[new], r[new]), _rows(t[gone], c[gone], doc[gone], r[gone], 1)
 
 
+def _ranges(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and ranges of single windows, consecutive ones in one range of up to 200."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]) if len(doc) else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    nth = np.arange(len(doc)) - (start[np.cumsum(new) - 1] if len(doc) else 0)
+    head = np.flatnonzero(nth % 200 == 0)
+    size = np.diff(np.append(head, len(doc)))
+    return doc[head], at[head] << 8 | size - 1
+
+
+def _each(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo, lo + 1, ... for n places, of each pair in turn."""
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def _data(batch: pa.RecordBatch) -> list[bytes]:
     return [b"" if t is None else t.encode() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
 
@@ -149,26 +170,66 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if gone.num_rows:
         yield gone
     t = first[0]
-    same = t[1:] == t[:-1]
-    several = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (t == t[0]) | (t == t[-1])
-    yield _rows(*(x[several] for x in first), 2)
+    new = np.concatenate([[True], t[1:] != t[:-1]])
+    size = np.diff(np.append(np.flatnonzero(new), len(t)))[np.cumsum(new) - 1]
+    edge = (t == t[0]) | (t == t[-1])
+    several = (size > 1) | edge
+    token = np.where(edge | (size > FEW), 0, t)
+    yield _rows(*(x[several] for x in (token, *first[1:])), 2)
+
+
+def _with_bytes(rows: pa.RecordBatch, data: list[bytes] | None = None) -> pa.RecordBatch:
+    column = pa.nulls(rows.num_rows, pa.binary()) if data is None else pa.array(data, pa.binary())
+    return pa.record_batch([*rows.columns, column], [*rows.schema.names, "bytes"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Single windows of the ranges in `marked`, each by its name."""
+    """The bytes of the ranges in `marked` that have a token; single windows, each by its name, of those that have none."""
     for batch in pieces(batches, "text", BATCH):
-        x = Bytes(_data(batch))
-        marked = batch.column(2)
-        size = np.array(marked.value_lengths().fill_null(0)) if len(marked) else np.zeros(0, np.int64)
-        packed = marked.flatten().to_numpy()
+        texts, marked, docs = _data(batch), batch.column(2), batch.column(0).to_numpy()
+        size = np.array(marked.value_lengths().fill_null(0))
         text = np.repeat(np.arange(len(size)), size)
+        packed, token = (marked.flatten().field(k).to_numpy() for k in ("r", "t"))
         lo, n = packed >> 8, (packed & 255) + 1
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else lo, n) + np.arange(int(n.sum()))
-        text = np.repeat(text, n)
+        few = token != 0
+        ranges = zip(text[few].tolist(), lo[few].tolist(), (lo + n)[few].tolist(), strict=True)
+        yield _with_bytes(_rows(token[few], token[few], docs[text[few]], packed[few], 2), [texts[i][a : b + WINDOW - 1] for i, a, b in ranges])
+        lo, n, text = lo[~few], n[~few], text[~few]
+        if not len(lo):
+            continue
+        x = Bytes(texts)
+        at, text = _each(lo, n), np.repeat(text, n)
         place = at + x.starts[text]
         name = x.names(place, place + WINDOW).astype(np.int64)
-        first, gone = _firsts(name, np.zeros(len(name), np.int64), batch.column(0).to_numpy()[text], at << 8)
-        yield from (_rows(*first, 0), gone)
+        first, gone = _firsts(name, np.zeros(len(name), np.int64), docs[text], at << 8)
+        doc, r = _ranges(gone.column(2).to_numpy(), gone.column(3).to_numpy() >> 8)
+        yield _with_bytes(_rows(*first, 0))
+        yield _with_bytes(_rows(r, r, doc, r, 1))
+
+
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows removed among the contexts of a token; all contexts of a token are in one partition."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    t, doc, r = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(3))
+    data = pa.chunked_array([b.column(3) for b in got])
+    order = np.argsort(t, kind="stable")
+    size = np.cumsum((r[order] & 255) + WINDOW)
+    ends = np.append(np.flatnonzero(t[order][1:] != t[order][:-1]) + 1, len(t))
+    lo = 0
+    while lo < len(t):
+        fits = ends[(ends > lo) & (size[ends - 1] - (size[lo - 1] if lo else 0) <= BATCH)]
+        hi = int(fits[-1]) if len(fits) else int(ends[ends > lo][0])
+        rows = order[lo:hi]
+        x = Bytes(data.take(pa.array(rows)).to_pylist())
+        n = (r[rows] & 255) + 1
+        place = _each(x.starts, n)
+        at, docs = _each(r[rows] >> 8, n), np.repeat(doc[rows], n)
+        _, gone = _firsts(x.names(place, place + WINDOW).astype(np.int64), np.zeros(len(at), np.int64), docs, at)
+        d, ranges = _ranges(gone.column(2).to_numpy(), gone.column(3).to_numpy())
+        yield _rows(ranges, ranges, d, ranges, 1)
+        lo = hi
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +247,9 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.string()], strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _by_text(rows: DataFrame, kind: int, name: str) -> DataFrame:
-    return rows.filter(F.col("kind") == kind).groupBy("doc").agg(F.collect_list("r").alias(name)).withColumnRenamed("doc", "doc_id")
+def _by_text(rows: DataFrame, name: str, what: Column) -> DataFrame:
+    """Built as the hashed side of joins, so that texts are neither sorted nor spilled."""
+    return rows.groupBy("doc").agg(F.collect_list(what).alias(name)).withColumnRenamed("doc", "doc_id").hint("shuffle_hash")
 
 
 def _bucketed(suffixes: DataFrame) -> DataFrame:
@@ -200,9 +262,13 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     suffixes = keep(docs.mapInArrow(_suffixes, SUFFIX))
-    compared = keep(_bucketed(suffixes))
-    marked = docs.join(_by_text(compared, 2, "marked"), "doc_id").select("doc_id", "text", "marked")
-    windows = keep(marked.mapInArrow(_windows, SUFFIX))
-    alone = _bucketed(windows).filter("kind = 1")
-    gone = suffixes.filter("kind = 1").unionAll(compared.filter("kind = 1")).unionAll(windows.filter("kind = 1")).unionAll(alone)
-    return docs.join(_by_text(gone, 1, "gone"), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    compared = keep(_bucketed(suffixes).unionAll(suffixes.filter("kind = 1")))
+    discard(suffixes)
+    marked = docs.join(_by_text(compared.filter("kind = 2"), "marked", F.struct("r", "t")), "doc_id").select("doc_id", "text", "marked")
+    windows = keep(marked.mapInArrow(_windows, CONTEXT))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrowed = windows.filter("kind = 2").select("t", "doc", "r", "bytes").repartition(n, "t").mapInArrow(_narrow, SUFFIX)
+    gone = keep(compared.unionAll(narrowed).unionAll(_bucketed(windows)).unionAll(windows.drop("bytes")).filter("kind = 1").select("doc", "r"))
+    discard(compared, windows)
+    done = docs.join(_by_text(gone, "gone", F.col("r")), "doc_id", "left").select("doc_id", "text", "gone")
+    return done.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
