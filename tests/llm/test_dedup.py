@@ -151,6 +151,18 @@ def test_repeats_with_shared_passages(spark):
     _check_repeats(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), {i: t.encode() for i, t in rows.items()})
 
 
+def test_repeats_with_more_contexts_than_meet_in_one_place(spark):
+    passage = prose(5, 40)
+    rows = {i: f"{prose(300 + i, 3)} {passage} {prose(900 + i, 3)}" for i in range(3 * suffix_dedup.FEW)}
+    _check_repeats(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), {i: t.encode() for i, t in rows.items()})
+
+
+def test_ranges_join_consecutive_windows():
+    doc, at = np.array([2, 1, 1, 1, 2] + [3] * 450), np.array([9, 5, 4, 7, 10, *range(450)])
+    d, r = suffix_dedup._ranges(doc, at)
+    assert list(zip(d.tolist(), (r >> 8).tolist(), (r & 255).tolist(), strict=True)) == [(1, 4, 1), (1, 7, 0), (2, 9, 1), (3, 0, 199), (3, 200, 199), (3, 400, 49)]
+
+
 def test_repeats_empty(empty):
     assert suffix_dedup.repeated(empty).collect() == []
 
