@@ -13,6 +13,8 @@ from rasterloom.llm import exact_dedup, minhash, mixing, quality_crf, sentencepi
 from rasterloom.llm.common import keep, table
 
 ORACLE_SQL = None
+#: Near copies share at least this percent of their shingles; the query op4_minhash has its own threshold.
+NEAR_PERCENT = 80
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group, the document with the smallest id."""
-    return _only(docs, minhash.near_groups(docs).filter("kept"))
+    return _only(docs, minhash.near_groups(docs, percent=NEAR_PERCENT).filter("kept"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

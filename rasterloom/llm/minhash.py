@@ -10,8 +10,9 @@ lose links between members that are not the centre's. So buckets that still hold
 ones are compared exhaustively, block against block, with only a spanning forest of links returned; in small ones the
 centre is spent and up to CENTRES new ones are taken and compared with members of other components, until each bucket holds one component or all centres are spent.
 
-A pair at the threshold misses every band with a chance of about 1e-6 (1e-5 for small sets, whose bins repeat); sets
-too small for any different set to reach the threshold get no bands.
+The width of the bands follows from the threshold: a pair at it misses every band with a chance below MISSED (up to
+1e-5 for small sets, whose bins repeat). 85 percent has 48 bands of 8, 80 percent 64 of 6. Sets too small for any
+different set to reach the threshold get no bands.
 
 Cases: null, empty or blank text has no set and is alone; text of fewer than five words is one shingle; an empty
 table gives no rows; repeated rows are in one class; other columns are not read. doc_id must identify a text.
@@ -19,6 +20,7 @@ table gives no rows; repeated rows are in one class; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,7 @@ from rasterloom.llm.components import components
 from rasterloom.llm.vocab import Words
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS = 48, 8
-BINS = BANDS * ROWS
+BINS, MISSED = 384, 1e-6
 CENTRES = 16
 #: Open buckets above LARGE members are compared in blocks of about BLOCK, COLUMNS shingles at a time.
 LARGE, BLOCK, COLUMNS = 12, 400, 4096
@@ -95,10 +96,17 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bands(sig: np.ndarray) -> np.ndarray:
-    x = sig.reshape(BANDS, ROWS)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for i in range(ROWS):
+@functools.cache
+def band_rows(percent: int) -> int:
+    """Bins in a band: the most at which a pair at the threshold still meets in some band."""
+    return max((r for r in range(1, BINS + 1) if (1 - (percent / 100) ** r) ** (BINS // r) <= MISSED), default=1)
+
+
+def _bands(sig: np.ndarray, rows: int) -> np.ndarray:
+    many = BINS // rows
+    x = sig[: many * rows].reshape(many, rows)
+    h = np.arange(1, many + 1, dtype=np.uint64)
+    for i in range(rows):
         h = mix(h * _STEP[2] + x[:, i])
     return h.astype(np.int64)
 
@@ -107,14 +115,14 @@ def band_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     n = len(s)
     if 100 * n < percent * (n + 1):  # even a set of one more falls short
         return np.zeros(0, np.int64)
-    return _bands(signature(s))
+    return _bands(signature(s), band_rows(percent))
 
 
 def _scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n, s1, s2 (with n: the set's 128-bit name), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +133,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 n.append(len(s))
                 s1.append(np.bitwise_xor.reduce(mix(s)).astype(np.int64) if len(s) else 0)
                 s2.append(np.sum(mix(s * _STEP[1]), dtype=np.uint64).astype(np.int64) if len(s) else 0)
-                bands.append(band_keys(s))
+                bands.append(band_keys(s, percent))
             ends = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands)))
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists], ["doc_id", "n", "s1", "s2", "bands"])
@@ -239,7 +247,7 @@ def _blocks(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-    sig = keep(signatures(docs, doc_id, text))
+    sig = keep(signatures(docs, doc_id, text, percent))
     classes = keep(sig.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
     banded = sig.filter("size(bands) > 0").join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi")
     members = banded.select(F.explode("bands").alias("key"), F.col("doc_id").alias("d"), "n")

@@ -3,7 +3,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from rasterloom.llm import registry
+from rasterloom.llm import minhash, registry
 from tests.llm.test_dedup import brute_components, shingles
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +33,22 @@ def test_stages(spark):
 def test_registered():
     assert {f"op{n}_" for n in range(1, 11)} <= {q.split("_")[0] + "_" for q in registry.QUERIES}
     assert "pipeline" in registry.QUERIES and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+
+
+def test_near_stage_drops_copies_from_80_percent(spark):
+    """Copies of 0.79, 0.80, 0.84 and 0.86, and short ones of which only 80 percent can agree."""
+    long = [f"w{i}" for i in range(104)]
+    texts = {1: long[:84], 2: long, 3: [f"x{i}" for i in range(84)], 5: [f"y{i}" for i in range(90)], 7: [f"z{i}" for i in range(83)], 9: [f"s{i}" for i in range(8)]}
+    texts |= {4: texts[3] + [f"v{i}" for i in range(15)], 6: texts[5] + [f"v{i}" for i in range(14)], 8: texts[7] + [f"v{i}" for i in range(21)], 10: texts[9] + ["tail"]}
+    sets = {i: shingles(" ".join(w)) for i, w in texts.items()}
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert [round(near(i, i + 1), 2) for i in (1, 3, 5, 7, 9)] == [0.80, 0.84, 0.86, 0.79, 0.8]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()} == {1, 3, 5, 7, 8, 9}
+
+
+def test_bands_follow_the_threshold():
+    assert [(minhash.BINS // r, r) for r in map(minhash.band_rows, (85, 80))] == [(48, 8), (64, 6)]
+    for percent in (70, 80, 85, 95):
+        r = minhash.band_rows(percent)
+        assert (1 - (percent / 100) ** r) ** (minhash.BINS // r) <= minhash.MISSED
