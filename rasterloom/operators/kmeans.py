@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -42,19 +45,21 @@ def assign(points: DataFrame, centroids: DataFrame, features: list[str], k: int,
     return points.drop("cid", "d2").join(found, [key, point])
 
 
-def lloyd(x: np.ndarray, weight: np.ndarray, k: int, max_iter: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+def lloyd(x: np.ndarray, weight: np.ndarray, k: int, max_iter: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
     """(cluster of each point, squared distances, centroids, converged) of one image's points, in their order.
 
     The same steps as the functions above: chunks from the tail, the first point of each as its centroid, a point moves
     only to a strictly nearer centroid and to the lowest of equals, truncated weighted means. An empty cluster takes
-    the point that is furthest from its own centroid, the first of equals; several take the next ones."""
+    the point that is furthest from its own centroid, the first of equals; several take the next ones.
+    It ends when no point moves. Truncated means may come round in a circle: a state met before ends it unconverged."""
     n = len(x)
     if n < k:
         raise ValueError(f"fewer points than {k} clusters")
     own = np.minimum((n - 1 - np.arange(n)) // (n // k), k - 1)
     c = x[[np.flatnonzero(own == i)[0] for i in range(k)]]
     step, d2, rows = max(1, 2_000_000 // k), np.zeros(n, np.int64), np.arange(n)
-    for _ in range(max_iter):
+    met: set[bytes] = set()
+    for _ in itertools.count() if max_iter is None else range(max_iter):
         new = np.empty(n, np.int64)
         for i in range(0, n, step):
             d = ((x[i : i + step, None, :] - c[None]) ** 2).sum(2)
@@ -71,10 +76,14 @@ def lloyd(x: np.ndarray, weight: np.ndarray, k: int, max_iter: int) -> tuple[np.
             c[empty] = x[np.lexsort([rows, -d2])[: len(empty)]]
         if not moved:
             return own, d2, c, True
+        state = hashlib.sha256(own.tobytes() + c.tobytes()).digest()
+        if state in met:
+            break
+        met.add(state)
     return own, d2, c, False
 
 
-def kmeans(points: DataFrame, k: int, features: list[str], key: str = "img_id", point: str = "pos", max_iter: int = 50) -> tuple[DataFrame, DataFrame]:
+def kmeans(points: DataFrame, k: int, features: list[str], key: str = "img_id", point: str = "pos", max_iter: int | None = None) -> tuple[DataFrame, DataFrame]:
     """points with cid and d2, and centroids with `converged`. points hold key, point, features and a weight `cnt`.
 
     One shuffle for all rounds: an image's points (distinct colours, or pixels) are one task, as in its coders, and the

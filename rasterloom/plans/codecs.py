@@ -194,19 +194,22 @@ class ClusterColours(Hufman):
 
     is_lossless = False
 
-    def __init__(self, k: int, max_iter: int = 50):
+    def __init__(self, k: int, max_iter: int | None = None):
         self.k, self.max_iter, self.name = k, max_iter, f"cluster-colors_{k}"
 
     def palette(self, px: DataFrame) -> DataFrame:
-        """img_id, r, g, b, nr, ng, nb of every colour."""
+        """img_id, r, g, b, nr, ng, nb of every colour, and `converged`."""
         colours = px.groupBy("img_id", *RGB).agg(F.count("*").alias("cnt"))
         place = F.col("r") * 65536 + F.col("g") * 256 + F.col("b")
         points, centroids = kmeans.kmeans(colours.withColumn("pos", place.cast("long")), self.k, list(RGB), max_iter=self.max_iter)
-        to = centroids.select("img_id", "cid", *[F.col(c).alias(f"n{c}") for c in RGB])
-        return points.join(to, ["img_id", "cid"]).select("img_id", *RGB, "nr", "ng", "nb")
+        to = centroids.select("img_id", "cid", *[F.col(c).alias(f"n{c}") for c in RGB], "converged")
+        return points.join(to, ["img_id", "cid"]).select("img_id", *RGB, "nr", "ng", "nb", "converged")
 
-    def prepare(self, px):
-        return recolour(px, self.palette(px))
+    def encode(self, px):
+        """As of any codec, with `converged`."""
+        palette = self.palette(px)
+        ended = palette.groupBy("img_id").agg(F.min("converged").alias("converged"))
+        return super().encode(recolour(px, palette.drop("converged"))).join(ended, "img_id")
 
 
 class Voronoi(Codec):
@@ -214,7 +217,7 @@ class Voronoi(Codec):
 
     is_lossless = False
 
-    def __init__(self, k: int, max_iter: int = 50):
+    def __init__(self, k: int, max_iter: int | None = None):
         self.k, self.max_iter, self.name = k, max_iter, f"voronoi_{k}"
 
     def centroids(self, px: DataFrame) -> DataFrame:
@@ -224,9 +227,9 @@ class Voronoi(Codec):
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("cid")
             body = b"".join(struct.pack("<IIQ3B", x, y, 3, r, g, b) for x, y, r, g, b in pdf[kmeans.PLACE].itertuples(index=False, name=None))
-            return pd.DataFrame({"img_id": [pdf.img_id.iloc[0]], "w": [pdf.w.iloc[0]], "h": [pdf.h.iloc[0]], "encoded": [header(int(pdf.w.iloc[0]), int(pdf.h.iloc[0])) + struct.pack("<Q", len(pdf)) + body], "error_msg": [None]})
+            return pd.DataFrame({"img_id": [pdf.img_id.iloc[0]], "w": [pdf.w.iloc[0]], "h": [pdf.h.iloc[0]], "encoded": [header(int(pdf.w.iloc[0]), int(pdf.h.iloc[0])) + struct.pack("<Q", len(pdf)) + body], "error_msg": [None], "converged": [bool(pdf.converged.all())]})
 
-        return self.centroids(px).join(images(px), "img_id").groupBy("img_id").applyInPandas(one, "img_id long, w int, h int, encoded binary, error_msg string")
+        return self.centroids(px).join(images(px), "img_id").groupBy("img_id").applyInPandas(one, "img_id long, w int, h int, encoded binary, error_msg string, converged boolean")
 
     def decode_image(self, data):
         w, h = dimensions(data)

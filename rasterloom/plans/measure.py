@@ -18,15 +18,17 @@ RESULT = ["codec", "name", "compressed_size", "compression_ratio", "ratio_true",
 def measure(px: DataFrame, codec: Codec, names: DataFrame | None = None) -> DataFrame:
     """A row for each image: codec, name, compressed_size, compression_ratio, ratio_true, error, error_msg.
 
-    An image that fails, or that a lossless codec does not give back, keeps its row and says why."""
+    An image that fails, or that a lossless codec does not give back, keeps its row and says why.
+    A codec of clusters adds `converged`."""
     encoded = codec.encode(px).persist()
     error = mse(px, codec.decode(encoded))
     size = F.octet_length("encoded").cast("long")
     rows = encoded.join(error, "img_id", "left")
     why = F.when(F.col("error_msg").isNotNull(), F.col("error_msg")).when(~F.col("size_ok"), "decoded size differs").when(F.lit(codec.is_lossless) & (F.col("error") != 0), "decoded image doesn't match")
-    out = rows.select("img_id", F.lit(codec.name).alias("codec"), size.alias("compressed_size"), ratio_ref(size, F.col("w"), F.col("h")).alias("compression_ratio"), ratio_true(size, F.col("w"), F.col("h")).alias("ratio_true"), "error", why.alias("error_msg"))
+    ended = [c for c in encoded.columns if c == "converged"]
+    out = rows.select("img_id", F.lit(codec.name).alias("codec"), size.alias("compressed_size"), ratio_ref(size, F.col("w"), F.col("h")).alias("compression_ratio"), ratio_true(size, F.col("w"), F.col("h")).alias("ratio_true"), "error", why.alias("error_msg"), *ended)
     name = out.join(names, "img_id").drop("img_id") if names is not None else out.withColumn("name", F.col("img_id").cast("string"))
-    return name.select(*RESULT)
+    return name.select(*RESULT, *ended)
 
 
 @contextmanager

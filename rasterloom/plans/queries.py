@@ -791,7 +791,7 @@ def km_cluster(spark, sf):
 def km_cluster_fixed_point(spark, sf):
     """After the last round no point is nearer to another centroid, and none is lost."""
     cols = colours(pixels(spark, sf)).withColumn("pos", (F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).cast("long"))
-    points, centroids = kmeans.kmeans(cols, 8, RGB, max_iter=500)
+    points, centroids = kmeans.kmeans(cols, 8, RGB)
     near = joins.nearest(points.withColumnRenamed("cid", "own"), centroids, RGB, current="own")
     both = points.select("img_id", "pos", "cnt", F.col("cid").alias("own")).join(near, ["img_id", "pos"])
     return both.groupBy("img_id").agg(F.min(F.col("own") == F.col("cid")).alias("fixed"), F.sum("cnt").alias("n"))
@@ -879,7 +879,7 @@ def cd_voronoi(spark, sf):
 
 @query("cd_voronoi_size", "WITH {PX}, {DIMS} SELECT img_id, 16 + 19 * 16 AS size FROM dims")
 def cd_voronoi_size(spark, sf):
-    return codecs.Voronoi(16, 3).encode(pixels(spark, sf)).select("img_id", F.octet_length("encoded").alias("size"))
+    return codecs.Voronoi(16).encode(pixels(spark, sf)).select("img_id", F.octet_length("encoded").alias("size"))
 
 
 @query("snk_bytes")
