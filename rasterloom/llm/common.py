@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of every word rule here: space and 09-0D.
@@ -19,10 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one serves a local master,
+    whose driver is its only executor; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="rasterloom-")
+        named = spark.sparkContext.getCheckpointDir()
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = named or tempfile.mkdtemp(prefix="rasterloom-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -31,12 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, **seen: Column) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     The lineage ends there, so a lost executor costs no recomputation of what lies before. What was shuffled for the
-    table is of no further use and its disk is freed at once."""
-    spark = df.sparkSession
+    table is of no further use and its disk is freed at once. Aggregates in seen are taken while it is written and
+    stand in the result's `seen`."""
+    spark, schema = df.sparkSession, df.schema
+    observed = Observation()
+    if seen:
+        df = df.observe(observed, *(c.alias(k) for k, c in seen.items()))
     path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
@@ -44,8 +54,9 @@ def keep(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     out._kept_path = path
+    out.seen = observed.get if seen else {}
     return out
 
 
@@ -57,6 +68,30 @@ def discard(*kept: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Marks take at most so many bits (2 ** MARK_BITS / 8 bytes are 16 MB), however many values there are.
+MARK_BITS = 27
+
+
+class Marks:
+    """A lossy set of 64-bit hashes, one bit for each, for leaving rows out before an exchange; an exact join follows it.
+
+    It is bounded by MARK_BITS, so it can be broadcast; with more values than that suits, more rows pass and the join
+    does the work alone."""
+
+    def __init__(self, hashes: DataFrame, column: str, count: int):
+        """hashes: a table with the 64-bit hashes in a column; count: its rows."""
+        self.size = 1 << min(MARK_BITS, max(16, (32 * count).bit_length()))
+        at = F.col(column).bitwiseAND(F.lit(self.size - 1)) + 1
+        rows = hashes.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("b"))
+        self.bits = np.zeros(self.size // 8, np.uint8)
+        for r in rows.collect():
+            self.bits[(r["k"] - 1) << 12 : r["k"] << 12] = np.frombuffer(r["b"], np.uint8)
+
+    def hold(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & np.int64(self.size - 1)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) > 0
+
+
 def fold(modulus: int, doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import keep
+from rasterloom.llm.common import discard, keep
 
 
 def _lowest(near: DataFrame) -> DataFrame:
-    return keep(near.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+    return near.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -25,12 +25,16 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, label: the smallest node of its component, for every node on an edge. Rounds grow with the logarithm of the
-    longest path; each ends in a table in the shared folder, and only one sum and one count reach the driver."""
+    longest path; each ends in a table in the shared folder, and only one sum and one count reach the driver, which
+    are taken while that table is written."""
     edges = keep(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v").distinct())
+    state = {"n": F.count(F.lit(1)), "s": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
     before = None
     while True:
-        edges = keep(_small(keep(_large(edges))))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        spread = keep(_large(edges))
+        discard(edges)
+        edges = keep(_small(spread), **state)
+        discard(spread)
+        if edges.seen == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(edges.select(F.col("v"), F.col("v")).distinct())
-        before = tuple(now)
+        before = edges.seen

@@ -6,16 +6,22 @@ own hash sequence names first (optimal densification). Bands of bins make bucket
 centre, a star, so candidates grow with members and not with their square. Candidates are confirmed on full sets.
 
 The centre is the member that shares most over all its buckets, to which most of a group links. A star alone would
-lose links between members that are not the centre's. So buckets that still hold more than one component go on: large
-ones are compared exhaustively, block against block, with only a spanning forest of links returned; in small ones the
-centre is spent and up to CENTRES new ones are taken and compared with members of other components, until each bucket holds one component or all centres are spent.
+lose links between members that are not the centre's. So the members of buckets that still hold more than one
+component go through an exact similarity join: each names its rarest shingles, as many as cannot all be missing from a
+set that reaches the threshold (a prefix in the order of frequency), and whoever shares one of those is in one group.
+Boilerplate is frequent and so in nobody's prefix. Groups with more than one component are compared in blocks of a
+bounded number of shingles, and a task returns a spanning forest of its links.
+
+Texts are read twice and never shuffled: the second reading makes sets only for documents that have a candidate, told
+by a bounded lossy set of ids, and joins are exact after it.
 
 The width of the bands follows from the threshold: a pair at it misses every band with a chance below MISSED (up to
 1e-5 for small sets, whose bins repeat). 85 percent has 48 bands of 8, 80 percent 64 of 6. Sets too small for any
 different set to reach the threshold get no bands.
 
 Cases: null, empty or blank text has no set and is alone; text of fewer than five words is one shingle; an empty
-table gives no rows; repeated rows are in one class; other columns are not read. doc_id must identify a text.
+table gives no rows; repeated rows are in one class; a row without an id is in the class of its set, but a class
+without any id has no links; other columns are not read. doc_id must identify a text.
 """
 
 from __future__ import annotations
@@ -26,18 +32,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import keep, pieces, texts_of
+from rasterloom.llm.common import Marks, discard, keep, pieces, texts_of
 from rasterloom.llm.components import components
 from rasterloom.llm.vocab import Words
 
 SHINGLE, PERCENT = 5, 85
 BINS, MISSED = 384, 1e-6
-CENTRES = 16
-#: Open buckets above LARGE members are compared in blocks of about BLOCK, COLUMNS shingles at a time.
-LARGE, BLOCK, COLUMNS = 12, 400, 4096
+#: Groups are compared in blocks of about BLOCK members and SHINGLES shingles, COLUMNS shingles at a time.
+BLOCK, SHINGLES, COLUMNS = 400, 1 << 18, 4096
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -141,13 +146,49 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     return _scan(docs, doc_id, text).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bands array<long>")
 
 
-def _sets(rows: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: Marks) -> DataFrame:
+    """doc_id, n, s: the sets of documents whose ids are marked, made where the texts are read."""
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in pieces(batches, "text", 8 << 20):
-            yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in shingler.sets(texts_of(batch, "text"))], pa.binary())], ["doc_id", "s"])
+        for batch in batches:
+            held = batch.filter(pa.array(sent.value.hold(batch.column(2).to_numpy())))
+            for part in pieces(iter([held]), "text", 8 << 20):
+                sets = list(shingler.sets(texts_of(part, "text")))
+                yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "s"])
 
-    return rows.mapInArrow(run, "doc_id long, s binary")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "doc_id long, n long, s binary")
+
+
+def _members(sig: DataFrame, shared: Marks) -> DataFrame:
+    """key, d, n of the bands whose keys are marked."""
+    sent = sig.sparkSession.sparkContext.broadcast(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(2).flatten().to_numpy()
+            good = np.flatnonzero(sent.value.hold(keys))
+            row = np.repeat(np.arange(batch.num_rows), np.array(batch.column(2).value_lengths()))[good]
+            yield pa.record_batch([pa.array(keys[good]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["key", "d", "n"])
+
+    return sig.select("doc_id", "n", "bands").mapInArrow(run, "key long, d long, n long")
+
+
+def _shingles(sets: DataFrame, wanted: Marks) -> DataFrame:
+    """h, d, n: each shingle of the documents that are marked."""
+    sent = sets.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.filter(pa.array(sent.value.hold(batch.column(3).to_numpy())))
+            for d, n, s in zip(held.column(0).to_pylist(), held.column(1).to_pylist(), held.column(2).to_pylist(), strict=True):
+                h = np.frombuffer(s, np.int64)
+                for i in range(0, len(h), 1 << 16):
+                    part = h[i : i + (1 << 16)]
+                    yield pa.record_batch([pa.array(part), pa.array(np.full(len(part), d)), pa.array(np.full(len(part), n))], ["h", "d", "n"])
+
+    return sets.select("doc_id", "n", "s", F.xxhash64("doc_id").alias("m")).mapInArrow(run, "h long, d long, n long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -178,18 +219,26 @@ def _pair(x: str, y: str):
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one component, with the label of theirs."""
-    now = keep(members.join(found.withColumnRenamed("node", "d"), "d", "left").select("key", "d", "n", F.coalesce("label", "d").alias("label")))
-    keys = keep(now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key"))
-    return keep(now.join(keys, "key"))
-
-
 def _with(found: DataFrame, links: DataFrame) -> DataFrame:
     """Components with links added."""
     return found if links.isEmpty() else keep(components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(links)))
 
 
+def _alike(rows: DataFrame, percent: int) -> DataFrame:
+    """node, label: groups of documents that share a rare shingle, from h, d, n rows.
+
+    Of a set of n, ceil(n * percent / 100) shingles at least are common with any set that reaches the threshold. So the
+    rarest n - ceil(...) + 1 of both hold a common one; shingles of one document alone come first and join nobody."""
+    often = keep(rows.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1"))
+    own = Window.partitionBy("d")
+    ranked = rows.join(often, "h").select("d", "h", F.row_number().over(own.orderBy("many", "h")).alias("at"), (F.count("*").over(own) - F.expr(f"({percent} * n + 99) div 100") + 1).alias("first"))
+    prefix = keep(ranked.filter("at <= first").select("d", "h"))
+    centre = prefix.groupBy("h").agg(F.min("d").alias("c"))
+    groups = keep(components(prefix.join(centre, "h").filter("d != c").select(F.col("d").alias("a"), F.col("c").alias("b"))))
+    discard(often, prefix)
+    return groups
+
+
 def _forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that join whatever reaches the threshold among these sets; at most one fewer than there are sets.
 
@@ -228,15 +277,16 @@ def _forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple
 
 
 def _blocks(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that join each group (node, label) wherever full sets reach the threshold.
+    """Links that join each group (node, n, label) wherever full sets reach the threshold.
 
-    A group is dealt into blocks of about BLOCK members and every two blocks meet in one task, so a task holds two
-    blocks whatever the group's size; a task returns a spanning forest of its links and not all of them."""
-    blocks = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    A group is dealt into blocks of about BLOCK members, or fewer with SHINGLES shingles, and every two blocks meet in one
+    task, so a task holds two blocks whatever the group's size; it returns a spanning forest of its links, not all."""
+    many = F.least(F.count("*"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES)))
+    blocks = groups.groupBy("label").agg(many.cast("int").alias("nb"))
     dealt = groups.join(blocks, "label").select("node", "label", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("own"))
     dealt = dealt.select("node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     meet = dealt.select("node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = meet.join(sets.withColumnRenamed("doc_id", "node"), "node")
+    rows = meet.join(sets.select(F.col("doc_id").alias("node"), "s"), "node")
 
     def run(t: pa.Table) -> pa.Table:
         links = _forest(t.column("node").to_numpy(), [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()], percent)
@@ -245,41 +295,47 @@ def _blocks(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("label", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def _candidates(sig: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (key, d, n, c, cn) of buckets of two or more, each with its bucket's centre, and their ids."""
+    reps = classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n")
+    banded = keep(sig.filter("size(bands) > 0").join(reps, ["doc_id", "s1", "s2", "n"], "left_semi").select("doc_id", "n", "bands"))
+    counts = banded.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("many"))
+    shared = keep(counts.filter("many > 1"), rows=F.count(F.lit(1)))
+    members = keep(_members(banded, Marks(shared, "key", shared.seen["rows"])).join(shared, "key"))
+    discard(banded, shared)
+    # who shares most is nearest to what a group has in common, and so the centre that most of it links to
+    degree = members.groupBy("d").agg(F.sum("many").alias("degree"))
+    ranked = keep(members.drop("many").join(degree, "d"))
+    centre = F.max(F.struct("degree", F.xxhash64("d").alias("p"), F.col("d").alias("c"), F.col("n").alias("cn")))
+    buckets = ranked.groupBy("key").agg(centre.alias("c")).select("key", "c.c", "c.cn")
+    out = keep(ranked.join(buckets, "key").select("key", "d", "n", "c", "cn"))
+    discard(members, ranked)
+    return out, keep(out.groupBy(F.col("d").alias("doc_id")).agg(F.xxhash64("d").alias("h")), rows=F.count(F.lit(1)))
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     sig = keep(signatures(docs, doc_id, text, percent))
     classes = keep(sig.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
-    banded = sig.filter("size(bands) > 0").join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi")
-    members = banded.select(F.explode("bands").alias("key"), F.col("doc_id").alias("d"), "n")
-    shared = keep(members.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"))
-    members = keep(members.join(shared, "key"))
-    # who shares most is nearest to what a group has in common, and so the centre that most of it links to
-    degree = members.groupBy("d").agg(F.sum("many").alias("degree"))
-    members = keep(members.drop("many").join(degree, "d"))
-    centre = F.max(F.struct("degree", F.xxhash64("d").alias("p"), F.col("d").alias("c"), F.col("n").alias("cn")))
-    buckets = keep(members.groupBy("key").agg(centre.alias("c")).select("key", "c.c", "c.cn"))
-    members = keep(members.join(buckets, "key"))
-    wanted = members.select(F.col("d").alias("doc_id")).distinct()
-    sets = keep(_sets(_scan(docs, doc_id, text).join(wanted, "doc_id")).dropDuplicates(["doc_id"]))
-    tested = keep(members.filter("d != c").filter(_fits("n", "cn", percent)).select(*_pair("d", "c")).distinct())
-    found = keep(components(keep(confirm(tested, sets, percent))))
-    # large buckets: exhaustively, in blocks; small ones: star by star
-    open_ = _open(members.select("key", "d", "n"), found)
-    large = keep(open_.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > LARGE).select("key"))
-    if not large.isEmpty():
-        crowd = keep(members.join(large, "key").filter("d != c").select(F.col("d").alias("a"), F.col("c").alias("b")).distinct())
-        found = _with(found, keep(_blocks(components(crowd), sets, percent)))
-        open_ = _open(open_.join(large, "key", "left_anti").drop("label"), found)
-    while not open_.isEmpty():
-        centre = F.min(F.struct(F.xxhash64("d").alias("p"), F.col("d").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl")))
-        centres = keep(open_.groupBy("key", F.pmod(F.xxhash64("d"), F.lit(CENTRES)).alias("slot")).agg(centre.alias("c")).select("key", "c.c", "c.cn", "c.cl"))
-        pairs = open_.join(centres, "key").filter("label != cl").filter(_fits("n", "cn", percent)).select(*_pair("d", "c")).distinct()
-        pairs = keep(pairs.join(tested, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            tested = tested.unionAll(pairs)
-            found = _with(found, keep(confirm(pairs, sets, percent)))
-        spent = centres.select("key", F.col("c").alias("d"))
-        open_ = _open(open_.join(spent, ["key", "d"], "left_anti").drop("label"), found)
+    members, wanted = _candidates(sig, classes)
+    sets = keep(_sets(_scan(docs, doc_id, text).filter("doc_id IS NOT NULL"), Marks(wanted, "h", wanted.seen["rows"])), rows=F.count(F.lit(1)))
+    if sets.seen["rows"] > sets.select("doc_id").distinct().count():  # repeated rows
+        sets = keep(sets.dropDuplicates(["doc_id"]))
+    tested = members.filter("d != c").filter(_fits("n", "cn", percent)).select(*_pair("d", "c")).distinct()
+    links = keep(confirm(tested, sets, percent))
+    found = keep(components(links))
+    discard(wanted, links)
+    # buckets that still hold several components
+    now = members.join(found.withColumnRenamed("node", "d"), "d", "left").select("key", "d", "n", F.coalesce("label", "d").alias("own"))
+    now = keep(now)
+    several = now.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo != hi").select("key")
+    open_ = keep(now.join(several, "key").groupBy(F.col("d").alias("node"), "n", "own").agg(F.xxhash64("d").alias("h")), rows=F.count(F.lit(1)))
+    discard(members, now)
+    if open_.seen["rows"]:
+        groups = _alike(_shingles(sets, Marks(open_, "h", open_.seen["rows"])), percent).join(open_.drop("h"), "node")
+        mixed = groups.groupBy("label").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo != hi").select("label")
+        found = _with(found, keep(_blocks(keep(groups.join(mixed, "label").select("node", "n", "label")), sets, percent)))
+    discard(open_, sets)
     roots = keep(classes.join(found.select(F.col("node").alias("rep"), "label"), "rep", "left").select("s1", "s2", "n", F.coalesce("label", "rep").alias("root")))
     own = sig.select("doc_id", "s1", "s2", "n").join(roots, ["s1", "s2", "n"], "left")
     return own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

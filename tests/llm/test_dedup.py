@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.llm import exact_dedup, minhash, suffix_dedup
+from rasterloom.llm.common import Marks
 from rasterloom.llm.components import components
 from tests.llm.conftest import prose, texts
 
@@ -45,7 +46,7 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
-def brute_components(sets):
+def brute_components(sets, percent=85):
     root = {i: i for i in sets}
 
     def find(i):
@@ -57,7 +58,7 @@ def brute_components(sets):
         for j in sets:
             if i < j and sets[i] and sets[j]:
                 common = len(sets[i] & sets[j])
-                if 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common):
+                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
                     a, b = find(i), find(j)
                     root[max(a, b)] = min(a, b)
     return {i: find(i) for i in sets}
@@ -83,17 +84,42 @@ def varied(seed, n):
     return out
 
 
-@pytest.mark.parametrize("large", [3, 1000])
-def test_near_crowd_loses_no_link(spark, monkeypatch, large):
-    """By blocks and by stars alone."""
-    monkeypatch.setattr(minhash, "LARGE", large)
-    monkeypatch.setattr(minhash, "BLOCK", 20)
-    crowd = varied(5, 60)
+@pytest.mark.parametrize(("seed", "block"), [(5, 20), (6, 400)])
+def test_near_crowd_loses_no_link(spark, monkeypatch, seed, block):
+    """In several blocks and in one."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    crowd = varied(seed, 150)
     want = brute_components({i: shingles(t) for i, t in enumerate(crowd)})
+    assert 1 < len(set(want.values())) < len(crowd)
     rows = minhash.near_groups(spark.createDataFrame(list(enumerate(crowd)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in rows} == want
 
 
+def test_near_prefixes_share_a_rare_shingle(spark):
+    """Whoever reaches the threshold is in one group, and boilerplate that all hold makes none."""
+    r, common = random.Random(4), list(range(1, 71))
+    own = [r.sample(range(1000, 10**6), 30) for _ in range(40)]
+    sets = {i: sorted({*common, *own[i // 2], *([10**7 + i] if i % 2 else [])}) for i in range(80)}
+    rows = spark.createDataFrame([(h, d, len(s)) for d, s in sets.items() for h in s], "h long, d long, n long")
+    groups = {r.node: r.label for r in minhash._alike(rows, 85).collect()}
+    assert groups == {i: i // 2 * 2 for i in range(80)}
+
+
+def test_near_without_ids(spark):
+    text, other = prose(3, 60), prose(8, 60)
+    rows = [(None, text), (7, text), (None, other), (9, other + " end"), (7, text)]
+    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 7, False), (7, 7, True), (7, 7, True), (9, 9, True)]
+
+
+def test_marks_hold_all_they_were_given(spark):
+    ids = spark.range(0, 3000, 3).selectExpr("xxhash64(id) AS h")
+    marks = Marks(ids, "h", 1000)
+    every = np.array([r.h for r in spark.range(3000).selectExpr("xxhash64(id) AS h").collect()])
+    held = marks.hold(every)
+    assert held[::3].all() and held.sum() < 1200
+
+
 def test_near_empty(empty):
     assert minhash.near_groups(empty).collect() == []
 

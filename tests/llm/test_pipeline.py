@@ -23,7 +23,7 @@ def test_stages(spark):
     norm = lambda t: "".join((t or "").split(" "))
     after_exact = list(kept["exact dedup"].values())
     assert len({norm(t) for t in after_exact}) >= len(after_exact) - 1
-    want = brute_components({i: shingles(t) for i, t in kept["exact dedup"].items()})
+    want = brute_components({i: shingles(t) for i, t in kept["exact dedup"].items()}, corpus_pipeline.NEAR_PERCENT)
     assert set(kept["MinHash near-dedup"]) == {i for i, c in want.items() if i == c}
     last = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in last} == set(kept["mixing to target weights"])
