@@ -157,3 +157,25 @@ def compress_len(n: Column, tag: Column) -> Column:
 
 def decompress_len(v: Column) -> Column:
     return F.struct(F.floor(v / 32768).cast("int").alias("tag"), (v % 32768).cast("int").alias("len"))
+
+
+# rings
+
+
+def ring_distance(place: Column, written: Column, size: int) -> Column:
+    """How far back a place of a ring lies from the next one to be written; the ring's size for that one itself."""
+    return size - F.pmod(place - written, F.lit(size))
+
+
+def ring_place(distance: Column, written: Column, size: int) -> Column:
+    """The place that lies a distance back from the next one to be written."""
+    return F.pmod(written - distance, F.lit(size))
+
+
+def still_in_ring(position: Column, written: Column, size: int) -> Column:
+    """Whether a byte is still held: written, and not overwritten yet."""
+    return (position < written) & (position >= written - size)
+
+
+def default_array(value: Column, n: int) -> Column:
+    return F.array_repeat(value, n)

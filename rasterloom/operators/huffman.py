@@ -6,9 +6,11 @@ from __future__ import annotations
 
 import heapq
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,6 +150,28 @@ def codebook(histogram: DataFrame, symbol: list[str], key: str = "img_id", count
     return histogram.groupBy(key).applyInPandas(make, schema)
 
 
+def byte_sizes(data: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, n, payload_bits, size, kraft of byte strings (column `data`): histogram and tree of each in one pass.
+
+    An empty string has no tree: no symbol, no bits, and the size of the header alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                counts = np.bincount(np.frombuffer(x.as_buffer(), np.uint8), minlength=256)
+                there = np.flatnonzero(counts)
+                n = len(there)
+                length = {s: len(c) for s, c in codes(tree({int(s): int(counts[s]) for s in there})).items()} if n else {}
+                bits = sum(int(counts[s]) * k for s, k in length.items())
+                rows.append((i, n, bits, 8 + 3 * n - (n > 0) + -(-bits // 8), sum(2.0**-k for k in length.values())))
+            if rows:
+                yield pa.record_batch([pa.array(x) for x in zip(*rows, strict=True)], [key, "n", "payload_bits", "size", "kraft"])
+
+    kind = dict(data.dtypes)[key]
+    return data.select(key, "data").mapInArrow(run, f"{key} {kind}, n long, payload_bits long, size long, kraft double")
+
+
 def sizes(book: DataFrame, symbol_bytes: int, key: str = "img_id") -> DataFrame:
     """key, n (distinct symbols), payload_bits, size: header of the image, tree and payload in bytes."""
     n, bits = F.count("*"), F.sum(F.col("cnt") * F.col("len"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from rasterloom.functions.scalar import RGB, square_sum
 
 #: Broadcasting centroids is for tables up to this many rows for an image; their number is a codec parameter, not data.
 FEW = 4096
+#: Bytes of a string whose n-grams are sorted at once.
+STRETCH = 1 << 21
 
 
 def recolour(px: DataFrame, palette: DataFrame) -> DataFrame:
@@ -87,12 +92,52 @@ def certainty_radius(pairs: DataFrame, centroids: DataFrame, key: str = "img_id"
     return centroids.select(key, "cid").join(near, [key, "cid"], "left").select(key, "cid", F.coalesce("r", F.lit(float("inf"))).alias("radius"))
 
 
+def _oldest(data: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that have an earlier one within the window with the same n bytes, and the oldest such position."""
+    count = len(data) - n + 1
+    if count < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    gram = np.zeros(count, np.uint64)
+    for k in range(n):
+        gram = gram << np.uint64(8) | data[k : k + count].astype(np.uint64)
+    order = np.argsort(gram, kind="stable")
+    group = np.cumsum(np.append(0, gram[order][1:] != gram[order][:-1]))
+    at = group * np.int64(count + window) + order
+    first = np.searchsorted(at, group * np.int64(count + window) + np.maximum(order - window, 0))
+    found = first < np.arange(count)
+    pos, prev = order[found], order[first[found]]
+    back = np.argsort(pos)
+    return pos[back], prev[back]
+
+
 def ngram_matches(data: DataFrame, n: int = 6, window: int = 65535, key: str = "doc_id") -> DataFrame:
     """key, pos, prev: for each position, the oldest earlier one within the window that begins with the same n bytes.
 
-    The oldest is the lowest position of the same n-gram in the window: a range frame over one n-gram's positions, so
-    no pairs are made."""
-    rows = data.select(key, "data", F.explode(F.sequence(F.lit(1), F.octet_length("data") - n + 1)).alias("k")) if n else data
-    grams = rows.select(key, (F.col("k") - 1).cast("long").alias("pos"), F.hex(F.substring("data", F.col("k"), F.lit(n))).alias("gram"))
-    w = Window.partitionBy(key, "gram").orderBy("pos").rangeBetween(-window, -1)
-    return grams.withColumn("prev", F.min("pos").over(w)).filter("prev IS NOT NULL").select(key, "pos", "prev")
+    One pass over each byte string of column `data`, STRETCH bytes at a time with the window before them, so memory
+    does not follow its length. n is 8 at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in zip(batch.column(0), batch.column(1), strict=True):
+                whole = np.frombuffer(x.as_buffer(), np.uint8)
+                for a in range(0, len(whole), STRETCH):
+                    lo = max(0, a - window)
+                    pos, prev = _oldest(whole[lo : a + STRETCH + n - 1], n, window)
+                    own = pos + lo >= a
+                    pos, prev = pos[own] + lo, prev[own] + lo
+                    if len(pos):
+                        yield pa.record_batch([pa.repeat(i, len(pos)), pa.array(pos), pa.array(prev)], [key, "pos", "prev"])
+
+    kind = dict(data.dtypes)[key]
+    return data.select(key, "data").mapInArrow(run, f"{key} {kind}, pos long, prev long")
+
+
+def tested_neighbours(points: DataFrame, centroids: DataFrame, features: list[str], key: str = "img_id", point: str = "pos") -> DataFrame:
+    """key, point, cid, tested: the centroids that could be nearer than a point's own.
+
+    A centroid at twice the point's distance or more from the own one cannot be nearer, so only those below count."""
+    mine = centroids.select(key, "cid", *[F.col(f).alias(f"_{f}") for f in features])
+    far = points.join(mine, [key, "cid"]).select(key, point, "cid", square_sum([F.col(f) for f in features], [F.col(f"_{f}") for f in features]).alias("own"))
+    pairs = centroid_pairs(centroids, features, key).select(key, F.col("src").alias("cid"), "d2")
+    near = F.count_if(F.col("d2") < 4 * F.col("own"))
+    return far.join(pairs, [key, "cid"], "left").groupBy(key, point, "cid").agg(near.alias("tested"))

@@ -100,3 +100,20 @@ def mean_runs(rows: DataFrame, allowance: float, key: str = "img_id", order: str
         return pd.DataFrame({key: pdf[key].iloc[0], "seq": range(len(got)), "cnt": [n for n, _ in got], **{v: [m[i] for _, m in got] for i, v in enumerate(values)}})
 
     return rows.select(key, order, *values).groupBy(key).applyInPandas(fold, f"{key} {kind}, seq long, cnt int, " + ", ".join(f"{v} int" for v in values))
+
+
+def running_means(rows: DataFrame, allowance: float, key: str = "img_id", order: str = "pos", values: tuple[str, ...] = RGB) -> DataFrame:
+    """key, order, run, n and m<value>: of each point its approximate run, its place in it and the run's mean so far."""
+    kind = dict(rows.dtypes)[key]
+    MeanRuns(allowance)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        state, run, out = MeanRuns(allowance, len(values)), 0, []
+        for point in pdf[list(values)].itertuples(index=False, name=None):
+            run += state.add(point) is not None
+            out.append((run, state.n, *(t / state.n for t in state.total)))
+        got = pd.DataFrame(out, columns=["run", "n", *(f"m{v}" for v in values)])
+        return pd.concat([pdf[[key, order]].reset_index(drop=True), got], axis=1)
+
+    return rows.select(key, order, *values).groupBy(key).applyInPandas(fold, f"{key} {kind}, {order} long, run long, n int, " + ", ".join(f"m{v} double" for v in values))

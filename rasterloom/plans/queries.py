@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from rasterloom.functions import scalar as fn
 from rasterloom.operators import huffman, joins, kmeans, lz, metrics, scan, sequence
 from rasterloom.plans import codecs
-from rasterloom.plans.measure import measure, scan_export
+from rasterloom.plans.measure import measure
 from rasterloom.sources import reports
+from rasterloom.sources.shared import new_folder
 from rasterloom.sources.tables import doc_bytes, images, pixels, pixels_flat, seq_events, table
+from rasterloom.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,8 +24,8 @@ _ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount
 _RASTER = "SELECT img_id, pos, (pos % 32)::INT AS x, (pos // 32)::INT AS y, r, g, b FROM (SELECT *, count(*) OVER (PARTITION BY img_id) AS n FROM {0}) WHERE pos < n - n % 32"
 #: Named pieces of the SQL side: rasters, their sizes, sequences, bytes.
 PARTS = {
-    "PX": f"px0 AS (SELECT l_orderkey % 8 AS img_id, row_number() OVER (PARTITION BY l_orderkey % 8 ORDER BY {_ORDER}) - 1 AS pos, floor(l_quantity * 5)::INT AS r, floor(l_discount * 1000 + 0.5)::INT AS g, floor(l_tax * 1000 + 0.5)::INT AS b FROM lineitem), px AS ({_RASTER.format('px0')})",
-    "FLAT": "fl0 AS (SELECT l_orderkey % 8 AS img_id, row_number() OVER (PARTITION BY l_orderkey % 8 ORDER BY l_returnflag, l_linestatus, "
+    "PX": f"px0 AS (SELECT l_orderkey // 2048 AS img_id, row_number() OVER (PARTITION BY l_orderkey // 2048 ORDER BY {_ORDER}) - 1 AS pos, floor(l_quantity * 5)::INT AS r, floor(l_discount * 1000 + 0.5)::INT AS g, floor(l_tax * 1000 + 0.5)::INT AS b FROM lineitem), px AS ({_RASTER.format('px0')})",
+    "FLAT": "fl0 AS (SELECT l_orderkey // 2048 AS img_id, row_number() OVER (PARTITION BY l_orderkey // 2048 ORDER BY l_returnflag, l_linestatus, "
     + _ORDER
     + ") - 1 AS pos, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 200 WHEN 'NF' THEN 10 WHEN 'NO' THEN 10 WHEN 'RF' THEN 90 ELSE 128 END AS r, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 10 WHEN 'NF' THEN 200 WHEN 'NO' THEN 10 WHEN 'RF' THEN 90 ELSE 128 END AS g, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 10 WHEN 'NF' THEN 10 WHEN 'NO' THEN 200 WHEN 'RF' THEN 0 ELSE 128 END AS b FROM lineitem), flat AS ("
     + _RASTER.format("fl0")
@@ -34,7 +36,7 @@ PARTS = {
     "HIST": "hist AS (SELECT img_id, r, g, b, count(*) AS cnt FROM px GROUP BY ALL)",
     "CENT": "ini AS (SELECT *, least((n - 1 - place) // (n // 8), 7)::INT AS cid FROM (SELECT *, count(*) OVER (PARTITION BY img_id) AS n, row_number() OVER (PARTITION BY img_id ORDER BY pos) - 1 AS place FROM px)), cent AS (SELECT img_id, cid, arg_min(x, pos) AS x, arg_min(y, pos) AS y, arg_min(r, pos) AS r, arg_min(g, pos) AS g, arg_min(b, pos) AS b FROM ini GROUP BY ALL)",
     "HILB": "cells AS (SELECT img_id, pos, x, y, x AS u, y AS v, (side // 2)::BIGINT AS s, 0::BIGINT AS d FROM sided UNION ALL SELECT img_id, pos, x, y, CASE WHEN (v & s) = 0 THEN CASE WHEN (u & s) > 0 THEN s - 1 - (v & (s - 1)) ELSE v & (s - 1) END ELSE u & (s - 1) END, CASE WHEN (v & s) = 0 THEN CASE WHEN (u & s) > 0 THEN s - 1 - (u & (s - 1)) ELSE u & (s - 1) END ELSE v & (s - 1) END, s // 2, d + s * s * xor(CASE WHEN (u & s) > 0 THEN 3 ELSE 0 END, CASE WHEN (v & s) > 0 THEN 1 ELSE 0 END) FROM cells WHERE s > 0)",
-    "BYTES": "byts AS (SELECT doc_id, k - 1 AS pos, ('0x' || substr(hx, (2 * k - 1)::INT, 2))::INT AS byte FROM (SELECT doc_id, hex(encode(text)) AS hx, unnest(generate_series(1, octet_length(encode(text)))) AS k FROM documents WHERE text IS NOT NULL))",
+    "BYTES": "byts AS (SELECT doc_id, k - 1 AS pos, ('0x' || h)::INT AS byte FROM (SELECT doc_id, unnest(l) AS h, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS l FROM documents WHERE text IS NOT NULL)))",
 }
 
 
@@ -85,7 +87,7 @@ def src_seq_events(spark, sf):
     return seq_events(spark, sf)
 
 
-@query("src_doc_bytes", "SELECT doc_id, octet_length(encode(text)) AS n_bytes, md5(text) AS md5 FROM documents WHERE text IS NOT NULL")
+@query("src_doc_bytes", "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, md5(coalesce(text, '')) AS md5 FROM documents")
 def src_doc_bytes(spark, sf):
     return doc_bytes(spark, sf).select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), F.md5("data").alias("md5"))
 
@@ -111,20 +113,6 @@ def src_hilbert_large(spark, sf):
     return scan.hilbert_large(px, images(px)).select("img_id", "pos", "x", "y", "hidx")
 
 
-@query("src_hilbert_coords", "WITH {PX}, {DIMS} SELECT img_id, count(*) AS n, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy, any_value(n_pixels) * (any_value(n_pixels) - 1) // 2 AS sh FROM px JOIN dims USING (img_id) GROUP BY 1")
-def src_hilbert_coords(spark, sf):
-    c = scan.coordinates(images(pixels(spark, sf)))
-    return c.groupBy("img_id").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum("hidx").alias("sh"))
-
-
-@query("snk_hilbert_csv")
-def snk_hilbert_csv(spark, sf):
-    """The rows of the three scan exports."""
-    px = pixels_flat(spark, sf)
-    kinds = [scan_export(px, images(px), k).select(F.lit(k).alias("scan"), "img_id", "hidx", F.col("r").alias("red"), F.col("g").alias("green"), F.col("b").alias("blue")) for k in ("rect", "small", "large")]
-    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
-
-
 def _reports(spark, sf):
     """Results of codecs whose sizes have a closed form, as report rows."""
     flat, noise = pixels_flat(spark, sf), pixels(spark, sf)
@@ -140,22 +128,6 @@ def _reports(spark, sf):
 _REPORTS = "WITH {PX}, {FLAT}, {RUNS}, {DIMS}, rep0 AS (SELECT 'hilbert-rle' AS codec, img_id, 8 + 12 * count(*) AS compressed_size, 0.0 AS error FROM runs GROUP BY img_id UNION ALL SELECT 'plain_11', img_id, 8 + 11 * n_pixels, NULL FROM dims UNION ALL SELECT 'voronoi_8', img_id, 168, 2.5 FROM dims), rep AS (SELECT codec, img_id::VARCHAR AS name, compressed_size, compressed_size::DOUBLE / (w * h * 24) * 100 AS compression_ratio, error::DOUBLE AS error FROM rep0 JOIN dims USING (img_id)) "
 
 
-@query("snk_results_csv", _REPORTS + "SELECT * FROM rep")
-def snk_results_csv(spark, sf):
-    return _reports(spark, sf)
-
-
-@query("src_csv_reports", _REPORTS + "SELECT codec, count(*) AS n, sum(compressed_size)::BIGINT AS size FROM rep GROUP BY 1")
-def src_csv_reports(spark, sf):
-    return _reports(spark, sf).groupBy("codec").agg(F.count("*").alias("n"), F.sum("compressed_size").alias("size"))
-
-
-@query("snk_plots", "WITH {PX} SELECT img_id, pos, r, g, b FROM px")
-def snk_plots(spark, sf):
-    """The series that channel plots are drawn from."""
-    return pixels(spark, sf).select("img_id", "pos", *RGB)
-
-
 # projections and filters
 
 
@@ -190,13 +162,6 @@ def flt_lossless(spark, sf):
     return metrics.lossless_only(_reports(spark, sf), "codec").select("codec", "name")
 
 
-@query("flt_not_hilbert_csv", _REPORTS + "SELECT DISTINCT codec || '.csv' AS path FROM rep")
-def flt_not_hilbert_csv(spark, sf):
-    rep = _reports(spark, sf).select("codec").distinct()
-    files = rep.select(F.concat("codec", F.lit(".csv")).alias("path")).union(rep.select(F.concat("codec", F.lit(".rect.hilbert.csv"))))
-    return files.filter(~F.col("path").endswith(".hilbert.csv"))
-
-
 @query("flt_active_cluster", "WITH {PX}, {CENT} SELECT img_id, cid, count(*) AS n FROM ini GROUP BY ALL HAVING count(*) > 0")
 def flt_active_cluster(spark, sf):
     return kmeans.init_assignment(pixels(spark, sf), 8).groupBy("img_id", "cid").agg(F.count("*").alias("n")).filter("n > 0")
@@ -231,13 +196,6 @@ def ag_mean_5d(spark, sf):
     return pixels(spark, sf).withColumn("cnt", F.lit(1)).groupBy("img_id").agg(*[kmeans.weighted_mean(c).alias(c) for c in kmeans.PLACE])
 
 
-@query("ag_running_avg", "WITH {PX} SELECT img_id, pos, avg(r) OVER w AS mr, avg(g) OVER w AS mg, avg(b) OVER w AS mb FROM px WINDOW w AS (PARTITION BY img_id, y ORDER BY pos)")
-def ag_running_avg(spark, sf):
-    """Running means, a picture row at a time."""
-    w = Window.partitionBy("img_id", "y").orderBy("pos")
-    return pixels(spark, sf).select("img_id", "pos", *[F.avg(c).over(w).alias(f"m{c}") for c in RGB])
-
-
 @query("ag_cluster_counts", "WITH {PX}, {CENT} SELECT img_id, sum(n)::BIGINT AS points, count(*) AS active, count(*) >= least(sum(n), 7) AS enough FROM (SELECT img_id, cid, count(*) AS n FROM ini GROUP BY ALL) GROUP BY 1")
 def ag_cluster_counts(spark, sf):
     return kmeans.cluster_counts(kmeans.init_assignment(pixels(spark, sf), 8), 8)
@@ -278,20 +236,6 @@ def ag_diff_hist(spark, sf):
     return sequence.series_diff(pixels(spark, sf), ["img_id"], "pos", "r").groupBy("img_id", "diff").agg(F.count("*").alias("cnt"))
 
 
-@query("ag_filesize_stats", "SELECT source, quantile_cont(mb, 0.25) AS q1, quantile_cont(mb, 0.5) AS median, quantile_cont(mb, 0.75) AS q3, avg(mb) AS mean FROM (SELECT source, octet_length(encode(text)) / 1e6 AS mb FROM documents) GROUP BY 1")
-def ag_filesize_stats(spark, sf):
-    mb = table(spark, sf, "documents").select("source", (F.octet_length("text") / F.lit(1e6)).alias("mb"))
-    return metrics.boxplot(mb, ["source"], "mb").drop("whisker_lo", "whisker_hi")
-
-
-@query("ag_min_max_tested", "WITH {PX}, {CENT} SELECT img_id, min(n) AS lo, max(n) AS hi, avg(n) AS mean FROM (SELECT a.img_id, a.cid, count(*) AS n FROM cent a JOIN cent b ON a.img_id = b.img_id AND a.cid <> b.cid GROUP BY ALL) GROUP BY 1")
-def ag_min_max_tested(spark, sf):
-    """How many neighbours a centroid is tested against: all others, for no list is cut short here."""
-    c = kmeans.init_centroids(kmeans.init_assignment(pixels(spark, sf), 8), kmeans.PLACE)
-    n = joins.centroid_pairs(c, RGB).groupBy("img_id", "src").agg(F.count("*").alias("n"))
-    return n.groupBy("img_id").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.avg("n").alias("mean"))
-
-
 # windows and sequences
 
 
@@ -324,17 +268,6 @@ def wn_rle_exact(spark, sf):
     return sequence.runs(pixels_flat(spark, sf), ["img_id"], "pos")
 
 
-@query("wn_rle_approx")
-def wn_rle_approx(spark, sf):
-    return sequence.mean_runs(pixels(spark, sf), 16.0)
-
-
-@query("wn_rle_approx_cover", "WITH {PX} SELECT img_id, count(*) AS n, true AS in_bounds FROM px GROUP BY 1")
-def wn_rle_approx_cover(spark, sf):
-    """Runs cover the sequence, and each has 1 to 255 members."""
-    return wn_rle_approx(spark, sf).groupBy("img_id").agg(F.sum("cnt").alias("n"), F.min(F.col("cnt").between(1, 255)).alias("in_bounds"))
-
-
 @query("wn_rle_decode", "WITH {FLAT} SELECT img_id, pos, r, g, b FROM flat")
 def wn_rle_decode(spark, sf):
     return sequence.expand_runs(sequence.runs(pixels_flat(spark, sf), ["img_id"], "pos"), ["img_id"])
@@ -375,17 +308,6 @@ def prj_recolor(spark, sf):
     return colours(joins.recolour(*_palette(spark, sf)))
 
 
-@query("jn_codebook")
-def jn_codebook(spark, sf):
-    px = pixels_flat(spark, sf)
-    return joins.with_codes(px, huffman.codebook(colours(px), RGB).drop("cnt"), ["img_id", *RGB]).select("img_id", "pos", "code", "len")
-
-
-@query("jn_codebook_len", "WITH {FLAT}, h AS (SELECT img_id, r, g, b, count(*) AS cnt FROM flat GROUP BY ALL) SELECT img_id, count(*) AS n, count(*) AS with_code FROM flat GROUP BY 1")
-def jn_codebook_len(spark, sf):
-    return jn_codebook(spark, sf).groupBy("img_id").agg(F.count("*").alias("n"), F.count("code").alias("with_code"))
-
-
 @query("jn_positional", "WITH {PX}, {FLAT} SELECT img_id, pos, px.r AS a, flat.r AS b FROM px JOIN flat USING (img_id, pos)")
 def jn_positional(spark, sf):
     a, b = pixels(spark, sf), pixels_flat(spark, sf)
@@ -428,7 +350,7 @@ def flt_not_self(spark, sf):
 
 @query("jn_ngram_index", "WITH {BYTES}, g AS (SELECT doc_id, pos, string_agg(lpad(hex(byte), 2, '0'), '' ORDER BY pos) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS gram FROM byts) SELECT doc_id, pos, prev FROM (SELECT doc_id, pos, gram, min(pos) OVER (PARTITION BY doc_id, gram ORDER BY pos RANGE BETWEEN 65535 PRECEDING AND 1 PRECEDING) AS prev FROM g WHERE length(gram) = 12) WHERE prev IS NOT NULL")
 def jn_ngram_index(spark, sf):
-    return joins.ngram_matches(doc_bytes(spark, sf).filter(F.octet_length("data") >= 6))
+    return joins.ngram_matches(doc_bytes(spark, sf))
 
 
 @query("wn_neighbour_rank", "WITH {PX}, {CENT}, " + _PAIRS + " SELECT *, row_number() OVER (PARTITION BY img_id, src ORDER BY d2, dst)::INT AS rank FROM prs")
@@ -487,16 +409,6 @@ def so_take_n(spark, sf):
     return pixels(spark, sf).filter("pos < 32").select("img_id", "pos", "r")
 
 
-@query("so_longest_match", "WITH {BYTES}, g AS (SELECT doc_id, pos, string_agg(lpad(hex(byte), 2, '0'), '' ORDER BY pos) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS gram FROM byts), m AS (SELECT doc_id, gram, count(*) AS n, min(pos) AS oldest FROM g WHERE length(gram) = 12 GROUP BY ALL) SELECT doc_id, max(n) AS most, arg_min(oldest, -n * 100000000 + oldest) AS oldest FROM m GROUP BY 1")
-def so_longest_match(spark, sf):
-    """Of each document the most repeated six bytes, the oldest of equals."""
-    d = doc_bytes(spark, sf).filter(F.octet_length("data") >= 6)
-    grams = d.select("doc_id", "data", F.explode(F.sequence(F.lit(1), F.octet_length("data") - 5)).alias("k")).select("doc_id", (F.col("k") - 1).cast("long").alias("pos"), F.substring("data", F.col("k"), F.lit(6)).alias("gram"))
-    n = grams.groupBy("doc_id", "gram").agg(F.count("*").alias("n"), F.min("pos").alias("oldest"))
-    best = F.max(F.struct("n", (-F.col("oldest")).alias("o")))
-    return n.groupBy("doc_id").agg(best.alias("m")).select("doc_id", F.col("m.n").alias("most"), (-F.col("m.o")).alias("oldest"))
-
-
 # sets
 
 
@@ -619,14 +531,6 @@ def fn_bits_pack(spark, sf):
     return pixels(spark, sf).groupBy("img_id", "y").agg(bits.alias("bits")).select("img_id", "y", F.hex(fn.pack_bits(F.col("bits"))).alias("packed"))
 
 
-@query("fn_bits_write", "WITH {PX} SELECT img_id, y, (bits + 7) // 8 AS n, 8 * ((bits + 7) // 8) AS n_bits FROM (SELECT img_id, y, sum(length(bin(r)))::BIGINT AS bits FROM px GROUP BY ALL)")
-def fn_bits_write(spark, sf):
-    """Codes of unequal length end to end, with the last byte filled up."""
-    rows = pixels(spark, sf).groupBy("img_id", "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda s: F.bin(s["r"].cast("long"))), "").alias("bits"))
-    data = fn.pack_bits(F.col("bits"))
-    return rows.select("img_id", "y", F.octet_length(data).cast("long").alias("n"), F.length(fn.unpack_bits(data)).cast("long").alias("n_bits"))
-
-
 @query("fn_bit_reader", "WITH {PX} SELECT img_id, pos, lpad(bin(r), 8, '0') || lpad(bin(g), 8, '0') AS bits FROM px")
 def fn_bit_reader(spark, sf):
     return pixels(spark, sf).select("img_id", "pos", fn.unpack_bits(F.concat(fn.le(F.col("r"), 1), fn.le(F.col("g"), 1))).alias("bits"))
@@ -684,14 +588,6 @@ def fn_decompress_len(spark, sf):
     return fn_compress_len(spark, sf).select("img_id", "pos", fn.decompress_len(F.col("packed")).alias("m")).select("img_id", "pos", "m.*")
 
 
-@query("fn_lookback", "WITH {PX}, {DIMS} SELECT img_id, pos, n_pixels - pos AS back, pos AS place FROM px JOIN dims USING (img_id)")
-def fn_lookback(spark, sf):
-    """Distance back of a place, and the place of a distance."""
-    px = pixels(spark, sf)
-    back = px.join(images(px), "img_id").select("img_id", "pos", "n_pixels", (F.col("n_pixels") - F.col("pos")).alias("back"))
-    return back.select("img_id", "pos", "back", (F.col("n_pixels") - F.col("back")).alias("place"))
-
-
 @query("fn_compression_ratio", _REPORTS + "SELECT codec, name, compressed_size::DOUBLE / (w * h * 24) * 100 AS ratio_ref, compressed_size::DOUBLE / (w * h * 3) * 100 AS ratio_true FROM rep JOIN dims ON rep.name = dims.img_id::VARCHAR")
 def fn_compression_ratio(spark, sf):
     rep, d = _reports(spark, sf), images(pixels(spark, sf)).withColumn("name", F.col("img_id").cast("string"))
@@ -803,20 +699,10 @@ def km_cluster_fixed_point(spark, sf):
 _BITS = "w0 AS (SELECT key, list(cnt ORDER BY cnt) AS w, 0::BIGINT AS bits FROM h GROUP BY key), tree AS (SELECT key, w, bits FROM w0 UNION ALL SELECT key, list_sort(list_append(w[3:], w[1] + w[2])), bits + w[1] + w[2] FROM tree WHERE len(w) > 1), fin AS (SELECT key, bits FROM tree WHERE len(w) = 1)"
 
 
-@query("huf_build", "WITH RECURSIVE {BYTES}, h AS (SELECT doc_id AS key, byte, count(*) AS cnt FROM byts GROUP BY ALL), " + _BITS + " SELECT key AS doc_id, n, bits AS payload_bits, 8 + 2 * n + n - 1 + (bits + 7) // 8 AS size, CASE WHEN n = 1 THEN 1.0 ELSE 1.0 END AS kraft FROM fin JOIN (SELECT key, count(*) AS n FROM h GROUP BY 1) USING (key)")
+@query("huf_build", "WITH RECURSIVE {BYTES}, h AS (SELECT doc_id AS key, byte, count(*) AS cnt FROM byts GROUP BY ALL), " + _BITS + " SELECT key AS doc_id, n, bits AS payload_bits, 8 + 2 * n + n - 1 + (bits + 7) // 8 AS size, 1.0 AS kraft FROM fin JOIN (SELECT key, count(*) AS n FROM h GROUP BY 1) USING (key) UNION ALL SELECT doc_id, 0, 0, 8, 0.0 FROM documents WHERE coalesce(text, '') = ''")
 def huf_build(spark, sf):
     """Code lengths of each document's bytes: their weighted sum is least, and they fill the code space."""
-    d = doc_bytes(spark, sf).filter(F.octet_length("data") > 0)
-    byte = F.conv(F.hex(F.substring("data", F.col("k"), F.lit(1))), 16, 10).cast("int")
-    hist = d.select("doc_id", "data", F.explode(F.sequence(F.lit(1), F.octet_length("data"))).alias("k")).select("doc_id", byte.alias("byte")).groupBy("doc_id", "byte").agg(F.count("*").alias("cnt"))
-    book = huffman.codebook(hist, ["byte"], "doc_id")
-    kraft = book.groupBy("doc_id").agg(F.sum(F.pow(F.lit(2.0), -F.col("len"))).alias("kraft"))
-    return huffman.sizes(book, 1, "doc_id").join(kraft, "doc_id")
-
-
-@query("huf_codes")
-def huf_codes(spark, sf):
-    return huffman.codebook(colours(pixels_flat(spark, sf)), RGB)
+    return huffman.byte_sizes(doc_bytes(spark, sf))
 
 
 @query("cd_hufman_size", "WITH RECURSIVE {FLAT}, h AS (SELECT img_id AS key, r, g, b, count(*) AS cnt FROM flat GROUP BY ALL), " + _BITS + " SELECT key AS img_id, n, bits AS payload_bits, 8 + 12 * n + n - 1 + (bits + 7) // 8 AS size FROM fin JOIN (SELECT key, count(*) AS n FROM h GROUP BY 1) USING (key)")
@@ -824,25 +710,10 @@ def cd_hufman_size(spark, sf):
     return huffman.sizes(huffman.codebook(colours(pixels_flat(spark, sf)), RGB), 11)
 
 
-@query("cd_delta_hist", "WITH {PX}, " + _DELTA + " SELECT img_id, dr, dg, db, count(*) AS cnt FROM dl GROUP BY ALL")
-def cd_delta_hist(spark, sf):
-    d = sequence.delta(pixels(spark, sf), ["img_id"], "pos")
-    return d.groupBy("img_id", "dr", "dg", "db").agg(F.count("*").alias("cnt"))
-
-
-@query("cd_hilbert_rle_size", "WITH {FLAT}, {RUNS} SELECT img_id, 8 + 12 * count(*) AS size FROM runs GROUP BY 1")
-def cd_hilbert_rle_size(spark, sf):
-    return sequence.runs(pixels_flat(spark, sf), ["img_id"], "pos").groupBy("img_id").agg((F.lit(8) + 12 * F.count("*")).alias("size"))
-
-
 _MEASURED = "WITH {PX} SELECT img_id::VARCHAR AS name, count(*) AS n_pixels, true AS ok, 0.0::DOUBLE AS error FROM px GROUP BY 1"
 
 
 def _round_trip(name: str, codec: codecs.Codec):
-    @query(f"{name}", None)
-    def full(spark, sf):
-        return measure(pixels(spark, sf), codec)
-
     @query(f"{name}_lossless", _MEASURED)
     def lossless(spark, sf):
         """Every raster decodes to itself."""
@@ -850,8 +721,7 @@ def _round_trip(name: str, codec: codecs.Codec):
         n = images(px).select(F.col("img_id").cast("string").alias("name"), "n_pixels")
         return measure(px, codec).join(n, "name").select("name", "n_pixels", F.col("error_msg").isNull().alias("ok"), "error")
 
-    full.__doc__ = f"Size, ratio and error of {codec.name} on every raster."
-    return full, lossless
+    return lossless
 
 
 cd_hufman = _round_trip("cd_hufman", codecs.Hufman())
@@ -862,11 +732,6 @@ cd_zip_dict = _round_trip("cd_zip_dict", codecs.ZipDict())
 cd_zip_back = _round_trip("cd_zip_back", codecs.ZipBack())
 
 
-@query("cd_hilbert_rle_approx")
-def cd_hilbert_rle_approx(spark, sf):
-    return measure(pixels(spark, sf), codecs.HilbertRle(16.0))
-
-
 @query("cd_cluster_colors")
 def cd_cluster_colors(spark, sf):
     return measure(pixels(spark, sf), codecs.ClusterColours(16))
@@ -882,22 +747,6 @@ def cd_voronoi_size(spark, sf):
     return codecs.Voronoi(16).encode(pixels(spark, sf)).select("img_id", F.octet_length("encoded").alias("size"))
 
 
-@query("snk_bytes")
-def snk_bytes(spark, sf):
-    return codecs.Hufman().encode(pixels_flat(spark, sf)).select("img_id", "encoded")
-
-
-@query("bm_measure_all")
-def bm_measure_all(spark, sf):
-    """Every lossless family on the flat rasters, one report."""
-    px = pixels_flat(spark, sf)
-    out = None
-    for c in (codecs.Hufman(), codecs.Delta(), codecs.HilbertRle(), codecs.HilbertZip(), codecs.ZipDict(), codecs.ZipBack()):
-        rows = measure(px, c)
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 def _text_coder(name: str, symbols: Callable, pack: Callable, unpack: Callable, back: Callable):
     @query(name)
     def coded(spark, sf):
@@ -914,7 +763,7 @@ def _text_coder(name: str, symbols: Callable, pack: Callable, unpack: Callable,
 
         return doc_bytes(spark, sf).mapInPandas(run, "doc_id long, n_bytes long, n_symbols long, encoded_bytes long, lossless boolean")
 
-    @query(f"{name}_lossless", "SELECT doc_id, octet_length(encode(text)) AS n_bytes, true AS lossless FROM documents WHERE text IS NOT NULL")
+    @query(f"{name}_lossless", "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, true AS lossless FROM documents")
     def lossless(spark, sf):
         return coded(spark, sf).select("doc_id", "n_bytes", "lossless")
 
@@ -998,27 +847,21 @@ def zb_symbol_ser(spark, sf):
 # streams
 
 
-def _streamed(spark, sf, step, columns: str):
-    """The result of a stream over the events table, read to its end."""
-    import uuid
-
+def _events(spark, sf) -> DataFrame:
     schema = table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").select("user_id", "event_id", "ts", "event_type", F.floor(F.col("value") * 100 + 0.5).cast("long").alias("value_cents"))
-    name = f"s_{uuid.uuid4().hex}"
-    step(events).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).selectExpr(*columns.split(", "))
+    cents = F.floor(F.col("value") * 100 + 0.5).cast("long").alias("value_cents")
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").select("user_id", "event_id", "ts", "event_type", cents)
 
 
 @query("sf_delta", "WITH {EV} SELECT user_id, value_cents, value_cents - coalesce(lag(value_cents) OVER (PARTITION BY user_id ORDER BY pos), 0) AS diff FROM ev")
 def sf_delta(spark, sf):
-    from rasterloom.streaming.stateful import stream_deltas
-
-    return _streamed(spark, sf, stream_deltas, "user_id, value_cents, diff")
+    """A stream of differences over the events, read to its end."""
+    return stateful.to_end(stateful.stream_deltas(_events(spark, sf)), new_folder(spark, "stream")).select("user_id", "value_cents", "diff")
 
 
-@query("sf_rle", "WITH {EV}, a AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY pos) THEN 0 ELSE 1 END AS nw FROM ev), b AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY pos) AS run FROM a), c AS (SELECT user_id, run::BIGINT - 1 AS seq, count(*)::INT AS cnt, any_value(event_type) AS event_type FROM b GROUP BY user_id, run) SELECT * FROM c WHERE seq < (SELECT max(seq) FROM c c2 WHERE c2.user_id = c.user_id)")
+@query("sf_rle", "WITH {EV}, a AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY pos) THEN 0 ELSE 1 END AS nw FROM ev), b AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY pos) AS run FROM a) SELECT user_id, run::BIGINT - 1 AS seq, count(*)::INT AS cnt, any_value(event_type) AS event_type FROM b GROUP BY user_id, run")
 def sf_rle(spark, sf):
-    """Finished runs; each user's last one is still open."""
-    from rasterloom.streaming.stateful import stream_runs
-
-    return _streamed(spark, sf, stream_runs, "user_id, seq, cnt, event_type")
+    """A stream of runs over the events, read to its end: finished ones, and each user's last from the state."""
+    folder = new_folder(spark, "stream")
+    done = stateful.to_end(stateful.stream_runs(_events(spark, sf)), folder)
+    return done.unionByName(stateful.open_runs(spark, f"{folder}/state"))

@@ -50,16 +50,19 @@ def png_sizes(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
 
 
 def save_png(pixels: DataFrame, folder: str, key: str = "img_id") -> DataFrame:
-    """Write one PNG for each image into a folder that all executors share; key and path of each."""
+    """Write one PNG for each image into a folder that all executors share, a path or an address; key and path of each.
+
+    A file is written whole, so a task that runs again leaves the same."""
     import pandas as pd
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        import os
+        from pyarrow import fs
 
         pdf = pdf.sort_values("pos")
         name = f"{folder}/{pdf[key].iloc[0]}.png"
-        os.makedirs(folder, exist_ok=True)
-        with open(name, "wb") as f:
+        store, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store.create_dir(path, recursive=True)
+        with store.open_output_stream(f"{path}/{pdf[key].iloc[0]}.png") as f:
             f.write(png(int(pdf.x.max()) + 1, int(pdf.y.max()) + 1, pdf[["r", "g", "b"]].to_numpy("uint8").tobytes()))
         return pd.DataFrame({key: [pdf[key].iloc[0]], "path": [name]})
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WIDTH = 32
+#: Orders of one raster: rasters are of one size, and their number grows with the table.
+ORDERS = 2048
 #: Colours of (l_returnflag, l_linestatus) in flat rasters; any other pair is grey.
 FLAT = {("A", "F"): (200, 10, 10), ("N", "F"): (10, 200, 10), ("N", "O"): (10, 10, 200), ("R", "F"): (90, 90, 0)}
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax"]
@@ -31,7 +33,7 @@ def _level(c: Column) -> Column:
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noise-like rasters: colours from quantity, discount and tax."""
     li = table(spark, sf_dir, "lineitem")
-    rows = li.select((F.col("l_orderkey") % 8).alias("img_id"), *KEYS, _level(F.col("l_quantity") * 5).alias("r"), _level(F.col("l_discount") * 1000 + 0.5).alias("g"), _level(F.col("l_tax") * 1000 + 0.5).alias("b"))
+    rows = li.select(F.expr(f"l_orderkey div {ORDERS}").alias("img_id"), *KEYS, _level(F.col("l_quantity") * 5).alias("r"), _level(F.col("l_discount") * 1000 + 0.5).alias("g"), _level(F.col("l_tax") * 1000 + 0.5).alias("b"))
     return raster(rows, KEYS)
 
 
@@ -42,10 +44,19 @@ def pixels_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     for (flag, status), rgb in FLAT.items():
         colour = F.when((F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status), F.struct(*[F.lit(v).alias(c) for v, c in zip(rgb, "rgb", strict=True)])).otherwise(colour)
     grey = F.struct(*[F.lit(128).alias(c) for c in "rgb"])
-    rows = li.select((F.col("l_orderkey") % 8).alias("img_id"), "l_returnflag", "l_linestatus", *KEYS, F.coalesce(colour, grey).alias("c"))
+    rows = li.select(F.expr(f"l_orderkey div {ORDERS}").alias("img_id"), "l_returnflag", "l_linestatus", *KEYS, F.coalesce(colour, grey).alias("c"))
     return raster(rows.select("*", "c.*").drop("c"), ["l_returnflag", "l_linestatus", *KEYS])
 
 
+def tiles(px: DataFrame) -> DataFrame:
+    """Squares of WIDTH pixels a side, cut from rasters of that width; what the last one lacks is black."""
+    area = WIDTH * WIDTH
+    placed = px.select(F.expr(f"img_id * 65536 + pos div {area}").alias("img_id"), (F.col("pos") % area).alias("pos"), "r", "g", "b")
+    cells = placed.select("img_id").distinct().select("img_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(area - 1).cast("long"))).alias("pos"))
+    there = cells.join(placed, ["img_id", "pos"], "left")
+    return there.select("img_id", "pos", (F.col("pos") % WIDTH).cast("int").alias("x"), F.floor(F.col("pos") / WIDTH).cast("int").alias("y"), *[F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"])
+
+
 def images(px: DataFrame) -> DataFrame:
     """img_id, w, h, n_pixels of pixel rows."""
     return px.groupBy("img_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.count("*").alias("n_pixels"))
@@ -57,5 +68,5 @@ def seq_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and data: the UTF-8 bytes of each text; null texts have none."""
-    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    """doc_id and data: the UTF-8 bytes of each text; a null text has none."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
