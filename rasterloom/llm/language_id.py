@@ -5,8 +5,10 @@ word's likelihood is the sum over all its segmentations, by a forward pass over
 words and all languages advance together in numpy. A text's score adds up its words; the posterior under a uniform
 prior over languages is the score.
 
-Cases: null text and text without a letter are `und` with score 0; words above BATCHED characters are scored in
-blocks of that size; ties fall to the first language in order; with nothing to learn from, all is `und`; an empty
+Words of any length are summed over all their segmentations: a long one (a text without spaces) is cut where no piece
+reaches across, which changes no sum, and what is still long is carried along with its scale.
+
+Cases: null text and text without a letter are `und` with score 0; ties fall to the first language in order; with nothing to learn from, all is `und`; an empty
 table gives no rows. Only text is read for a prediction.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import fold, pieces, texts_of
 from rasterloom.llm.sample import labelled_sample
-from rasterloom.llm.vocab import BATCHED, SPACE, VOCAB_PATH, Vocab, Words, by_length, codes_of, load, sums_by_text, vocab_of
+from rasterloom.llm.vocab import SPACE, VOCAB_PATH, Vocab, Words, by_length, codes_of, load, sums_by_text, vocab_of
 
 #: Learning takes about so many whole documents of each language.
 DOCS_PER_LANG = 300
@@ -33,9 +35,12 @@ GAIN = 16.0
 LETTER = regex.compile(r"\p{L}")
 
 
+#: Fitting leaves out words that have a part of so many characters without a cut, such as one letter repeated.
+FITTED = 256
+
+
 def words_of(text: str) -> list[str]:
-    out = text.lower().split()
-    return [b for w in out for b in ([w] if len(w) < BATCHED else [w[i : i + BATCHED - 1] for i in range(0, len(w), BATCHED - 1)])] if len(text) > 60 and max(map(len, out), default=0) >= BATCHED else out
+    return text.lower().split()
 
 
 def _edges(v: Vocab, codes: np.ndarray) -> list[list[tuple[int, np.ndarray]]]:
@@ -58,13 +63,32 @@ def _forward(edges: list, gains: np.ndarray, m: int) -> list[np.ndarray]:
     return a
 
 
+def log_sums(v: Vocab, gains: np.ndarray, words: list[str], length: int) -> np.ndarray:
+    """Log of the summed probabilities of all segmentations, (words, languages), of words of one length.
+
+    Only the sums that a piece can still reach back to are held, and they are scaled to 1 every 32 characters."""
+    last, scale = [np.ones((len(words), gains.shape[1]))], np.zeros((len(words), gains.shape[1]))
+    for j, found in v.lattice(codes_of(words, length)):
+        total = 0.0
+        for n, i in found:
+            total = total + last[-n] * gains[i if n == 1 else np.where(i < 0, -2, i)] * GAIN**n
+        last = [*last[-v.longest :], total]
+        if j % 32 == 0:
+            by = np.maximum(total, 1e-300)
+            last = [x / by for x in last]
+            scale += np.log(by)
+    return np.log(np.maximum(last[-1], 1e-300)) + scale - length * np.log(GAIN)
+
+
 def fit(v: Vocab, counts: dict[str, Counter]) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log probabilities of pieces, (pieces, languages), from word counts by language."""
     langs = sorted(counts)
-    words = sorted(set().union(*counts.values()))
-    weight = np.array([[counts[g].get(w, 0) for g in langs] for w in words], float).reshape(len(words), len(langs))
-    spaced = [SPACE + w for w in words]
-    groups = [(n, places, _edges(v, codes_of([spaced[i] for i in places], n))) for n, places in by_length(spaced)]
+    whole = sorted(set().union(*counts.values()))
+    spaced, owner = v.parts([SPACE + w for w in whole])
+    weight = np.array([[counts[g].get(whole[i], 0) for g in langs] for i in owner], float).reshape(len(spaced), len(langs))
+    short = [i for i, w in enumerate(spaced) if len(w) <= FITTED]
+    spaced, weight = [spaced[i] for i in short], weight[short]
+    groups = [(n, places, _edges(v, codes_of([spaced[i] for i in places], n))) for n, places in by_length(spaced, len(langs))]
     size = len(v.pieces)
     p = np.full((size, len(langs)), 1.0 / size)
     for _ in range(ROUNDS):
@@ -90,12 +114,13 @@ class Scorer:
         self.v, self.gains, self.words, self.scores = v, _gains(p), Words(), np.zeros((0, p.shape[1]))
 
     def add(self, new: list[str]) -> None:
-        spaced = [SPACE + w for w in new]
-        out = np.zeros((len(new), self.scores.shape[1]))
-        for n, places in by_length(spaced):
-            a = _forward(_edges(self.v, codes_of([spaced[i] for i in places], n)), self.gains, len(places))
-            out[places] = np.log(a[n]) - n * np.log(GAIN)
-        self.scores = np.concatenate([self.scores, out])
+        width = self.scores.shape[1]
+        parts, owner = self.v.parts([SPACE + w for w in new])
+        out = np.zeros((len(parts), width))
+        for n, places in by_length(parts, width):
+            out[places] = log_sums(self.v, self.gains, [parts[i] for i in places], n)
+        sums = np.stack([np.bincount(owner, out[:, k], len(new)) for k in range(width)], 1) if width else np.zeros((len(new), 0))
+        self.scores = np.concatenate([self.scores, sums])
 
     def texts(self, texts: list[str | None]) -> np.ndarray:
         """Log likelihoods, (texts, languages)."""

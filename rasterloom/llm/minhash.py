@@ -231,11 +231,12 @@ def _alike(rows: DataFrame, percent: int) -> DataFrame:
     rarest n - ceil(...) + 1 of both hold a common one; shingles of one document alone come first and join nobody."""
     often = keep(rows.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1"))
     own = Window.partitionBy("d")
-    ranked = rows.join(often, "h").select("d", "h", F.row_number().over(own.orderBy("many", "h")).alias("at"), (F.count("*").over(own) - F.expr(f"({percent} * n + 99) div 100") + 1).alias("first"))
+    shared = keep(rows.join(often, "h").select("d", "h", "n", "many"))  # alone, so that the join on a common shingle can be split
+    ranked = shared.select("d", "h", F.row_number().over(own.orderBy("many", "h")).alias("at"), (F.count("*").over(own) - F.expr(f"({percent} * n + 99) div 100") + 1).alias("first"))
     prefix = keep(ranked.filter("at <= first").select("d", "h"))
     centre = prefix.groupBy("h").agg(F.min("d").alias("c"))
     groups = keep(components(prefix.join(centre, "h").filter("d != c").select(F.col("d").alias("a"), F.col("c").alias("b"))))
-    discard(often, prefix)
+    discard(often, shared, prefix)
     return groups
 
 

@@ -6,8 +6,10 @@ maxima keep back pointers. The longest piece wins ties, as the first found does
 the vocabulary become the bytes of their UTF-8 form. A text that is not empty gets one leading space.
 
 Cases: null gives null ids, no token and a null round_trip; the empty text gives no ids; a literal
-U+2581 in a text cannot be told from a space, so round_trip is false there; a word above 64 characters takes a
-scalar path with the same rule, linear in its length. Columns other than id and text are not read by encode().
+U+2581 in a text cannot be told from a space, so round_trip is false there. A long word (a text without spaces) is
+cut where no piece reaches across, which changes no path, and its parts advance together as words do; a part that is
+still long, such as one letter a thousand times, is a batch of its own, with the same probes and time linear in its
+length. Columns other than id and text are not read by encode().
 """
 
 from __future__ import annotations
@@ -23,20 +25,25 @@ from rasterloom.llm.common import pieces, texts_of
 from rasterloom.llm.vocab import BATCHED, SPACE, VOCAB_PATH, Vocab, Words, by_length, codes_of, load, split_spaces, vocab_of
 
 
-def best_path(v: Vocab, word: str) -> list[int]:
-    """Ids of the best segmentation of one word of any length."""
+def long_path(v: Vocab, word: str) -> list[int]:
+    """Ids of the best segmentation of one word of any length; all places are probed at once, the maxima run along it."""
     n = len(word)
-    best, back, ids, scores = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1), v.scores
+    ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+    for size, starts, ids in v.spans(word):
+        for a, i in zip(starts.tolist(), ids.tolist(), strict=True):
+            ends[a + size].append((size, i))
+    best, back, took, scores = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1), v.scores.tolist()
     for j in range(1, n + 1):
-        for size in range(min(j, v.reach.get(word[j - 1], 0)), 0, -1):
-            i = v.ids.get(word[j - size : j])
-            if i is not None and (s := best[j - size] + scores[i]) > best[j]:
-                best[j], back[j], ids[j] = s, size, i
-        if word[j - 1] not in v.ids and (s := best[j - 1] + v.unk_score) > best[j]:
-            best[j], back[j], ids[j] = s, 1, -1
+        known = False
+        for size, i in reversed(ends[j]):
+            known = known or size == 1
+            if (s := best[j - size] + scores[i]) > best[j]:
+                best[j], back[j], took[j] = s, size, i
+        if not known and (s := best[j - 1] + v.unk_score) > best[j]:
+            best[j], back[j], took[j] = s, 1, -1
     out, j = [], n
     while j:
-        out.extend([ids[j]] if ids[j] >= 0 else v.bytes[list(word[j - 1].encode())].tolist()[::-1])
+        out.extend([took[j]] if took[j] >= 0 else v.bytes[list(word[j - 1].encode())].tolist()[::-1])
         j -= back[j]
     return out[::-1]
 
@@ -84,13 +91,13 @@ class Encoder:
         self.values, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, new: list[str]) -> None:
-        spaced = [SPACE + w.replace(" ", SPACE) for w in new]
-        found: list[list[int]] = [[]] * len(new)
-        for n, places in by_length(spaced):
-            own = [spaced[i] for i in places]
-            for i, ids in zip(places, best_paths(self.v, own, n) if n <= BATCHED else [best_path(self.v, w) for w in own], strict=True):
+        parts, owner = self.v.parts([SPACE + w.replace(" ", SPACE) for w in new])
+        found: list[list[int]] = [[]] * len(parts)
+        for n, places in by_length(parts):
+            own = [parts[i] for i in places]
+            for i, ids in zip(places, best_paths(self.v, own, n) if n <= BATCHED else [long_path(self.v, w) for w in own], strict=True):
                 found[i] = ids
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        sizes = np.bincount(owner, [len(x) for x in found], len(new)).astype(np.int64)
         self.starts = np.concatenate([self.starts, len(self.values) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.values = np.concatenate([self.values, np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))])

@@ -15,7 +15,7 @@ import numpy as np
 VOCAB_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words above this many characters take a scalar path: few are alike in length, so nothing is gained by a batch.
+#: Words above this many characters are first cut where no piece reaches across; what is left longer than this is alone.
 BATCHED = 64
 UNK_PENALTY = 10.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -115,6 +115,42 @@ class Vocab:
             yield j, found
 
 
+    def spans(self, word: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(piece length, starts, ids) of all pieces in one word, for all its places at once."""
+        x = codes_of([word], len(word))[0].astype(np.uint64) + np.uint64(1)
+        x = (x ^ (x >> np.uint64(7))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        h = np.zeros(len(x), np.uint64)
+        for n in range(1, min(self.longest, len(x)) + 1):
+            h = h[: len(x) - n + 1] * BASE + x[n - 1 :]
+            if n in self.keys:
+                keys, ids = self.keys[n]
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                found = np.flatnonzero(keys[at] == h)
+                yield n, found, ids[at[found]]
+
+    def segments(self, word: str) -> list[str]:
+        """The parts of a word between places that no piece reaches across; every segmentation is cut at all of them, so
+        best paths, sums over all paths and token counts of the word are those of its parts."""
+        crossed = np.zeros(len(word) + 1, np.int64)
+        for n, starts, _ in self.spans(word):
+            if n > 1:
+                np.add.at(crossed, starts + 1, 1)
+                np.add.at(crossed, starts + n, -1)
+        cuts = np.flatnonzero(np.cumsum(crossed[:-1])[1:] == 0) + 1
+        edges = [0, *cuts.tolist(), len(word)]
+        return [word[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def parts(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """Words, the long ones as their segments, and the place of the word that each belongs to."""
+        out, owner = [], []
+        for i, w in enumerate(words):
+            own = [w] if len(w) <= BATCHED else self.segments(w)
+            out.extend(own)
+            owner.extend([i] * len(own))
+        return out, np.array(owner, np.int64)
+
+
 def codes_of(words: list[str], length: int) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), length)
 
@@ -131,15 +167,15 @@ def vocab_of(model: bytes) -> Vocab:
     return _built[key]
 
 
-def by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
-    """Lengths, and the places of the words that have them; in portions that bound the matrices."""
+def by_length(words: list[str], width: int = 1) -> Iterator[tuple[int, np.ndarray]]:
+    """Lengths, and the places of the words that have them; in portions that bound matrices of width values a character."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lengths, kind="stable")
     cuts = np.flatnonzero(np.diff(lengths[order])) + 1
     for part in np.split(order, cuts):
         if len(part):
             n = int(lengths[part[0]])
-            step = max(1, (1 << 19) // max(n, 1))
+            step = max(1, (1 << 19) // max(n * width, 1))
             for i in range(0, len(part), step):
                 yield n, part[i : i + step]
 
@@ -162,15 +198,15 @@ def split_spaces(text: str) -> list[str]:
 
 
 class Words:
-    """Distinct words by place, kept from batch to batch up to a number of words, then begun anew."""
+    """Distinct words by place, kept from batch to batch up to a number of words and of characters, then begun anew."""
 
-    def __init__(self, most: int = 250_000):
-        self.most, self.places, self.done = most, _Places(), 0
+    def __init__(self, most: int = 250_000, most_chars: int = 8 << 20):
+        self.most, self.most_chars, self.places, self.done, self.chars = most, most_chars, _Places(), 0, 0
 
     def begin(self) -> bool:
         """Before a batch; True if the places so far are void."""
-        if len(self.places) > self.most:
-            self.places, self.done = _Places(), 0
+        if len(self.places) > self.most or self.chars > self.most_chars:
+            self.places, self.done, self.chars = _Places(), 0, 0
             return True
         return False
 
@@ -183,6 +219,7 @@ class Words:
             offsets[i + 1] = offsets[i] + len(words)
         new = list(self.places)[self.done :] if len(self.places) > self.done else []
         self.done = len(self.places)
+        self.chars += sum(map(len, new))
         return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), offsets, new
 
 

@@ -39,6 +39,73 @@ def test_encoding_is_the_librarys(v, library):
             assert ids[a:b].tolist() == library.encode(t)
 
 
+def plain_path(v, word):
+    """The best segmentation of a word, place by place, without a cut."""
+    best, back = [0.0], [None]
+    for j in range(1, len(word) + 1):
+        options = [(best[j - n] + v.scores[v.ids[word[j - n : j]]], n, v.ids[word[j - n : j]]) for n in range(1, min(j, v.longest) + 1) if word[j - n : j] in v.ids]
+        if word[j - 1] not in v.ids:
+            options.append((best[j - 1] + v.unk_score, 0, -1))
+        top = max(options, key=lambda o: o[:2])
+        best.append(top[0])
+        back.append((max(top[1], 1), top[2]))
+    out, j = [], len(word)
+    while j:
+        n, i = back[j]
+        out.extend([i] if i >= 0 else v.bytes[list(word[j - 1].encode())].tolist()[::-1])
+        j -= n
+    return out[::-1]
+
+
+def plain_sum(v, p, word):
+    """Log of the summed probabilities of all segmentations of a word, place by place, without a cut."""
+    a, scale = [np.ones(p.shape[1])], np.zeros(p.shape[1])
+    for j in range(1, len(word) + 1):
+        x = np.zeros(p.shape[1])
+        for n in range(1, min(j, v.longest) + 1):
+            i = v.ids.get(word[j - n : j])
+            x += a[-n] * (p[i] if i is not None else 1e-7 if n == 1 else 0.0)
+        a = [*a[-v.longest :], x]
+        a, scale = [y / x for y in a], scale + np.log(x)
+    return scale
+
+
+def long_words():
+    r = np.random.default_rng(5)
+    cjk = "".join(map(chr, r.integers(0x4E00, 0x9FA5, 1 << 16)))
+    mixed = "".join(["Straße", "река", "日本語", "x" * 9, "naïve", "😀", "1234"][k] for k in r.integers(0, 7, 3000))
+    return {"cjk": SPACE + cjk, "letters": SPACE + "x" * 10_000, "mixed": SPACE + mixed, "latin": SPACE + "".join(prose(7, 2000).split())}
+
+
+@pytest.mark.parametrize("name", list(long_words()))
+def test_long_words_are_those_of_plain_code(v, name):
+    word = long_words()[name]
+    assert "".join(v.segments(word)) == word
+    want = plain_path(v, word)
+    assert sentencepiece.Encoder(v).encode([word[1:]])[0].tolist() == want
+    assert token_counts.Trie(v).counts([word]).tolist() == [len(want)]
+    p = np.random.default_rng(2).random((len(v.pieces), 2)) * 1e-3
+    assert np.allclose(language_id.Scorer(v, p).texts([word[1:].lower()])[0], plain_sum(v, p, word.lower()))
+
+
+def test_a_megabyte_without_spaces(v):
+    text = "".join(map(chr, np.random.default_rng(6).integers(0x4E00, 0x9FA5, 350_000)))
+    e = sentencepiece.Encoder(v)
+    ids = e.encode([text])[0].tolist()
+    assert sentencepiece.decode_ids(v, ids) == text
+    e.encode(["x" * (9 << 20)])
+    assert e.words.begin()  # words are not kept beyond a number of characters
+
+
+def test_trie_shares_prefixes_across_batches(v):
+    t = token_counts.Trie(v)
+    first = t.counts([SPACE + "river", SPACE + "rivers"])
+    made = len(t.best)
+    assert made == 1 + len(SPACE + "rivers")
+    assert t.counts([SPACE + "riverside"]).tolist() == [len(plain_path(v, SPACE + "riverside"))]
+    assert len(t.best) == made + 3 and first.tolist() == [len(plain_path(v, SPACE + w)) for w in ("river", "rivers")]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(max_size=40))
 def test_round_trip_and_counts(text):
@@ -46,8 +113,9 @@ def test_round_trip_and_counts(text):
     ids = sentencepiece.Encoder(v).encode([text])[0].tolist()
     assert sentencepiece.decode_ids(v, ids) == text.replace(SPACE, " ")
     words = [SPACE + w.replace(" ", SPACE) for w in split_spaces(text)] if text else []
-    assert sum(token_counts.trie_counts(v, words)) == len(ids)
-    assert [i for w in words for i in sentencepiece.best_path(v, w)] == ids
+    assert token_counts.Trie(v).counts(words).sum() == len(ids)
+    assert [i for w in words for i in sentencepiece.long_path(v, w)] == ids
+    assert [i for w in words for i in plain_path(v, w)] == ids
 
 
 def test_encode_rows(docs, empty):
@@ -98,5 +166,31 @@ def test_language_rows(spark, docs, empty):
     assert language_id.op1(empty).collect() == []
 
 
+def test_language_of_ties_repeats_and_no_id(spark, v):
+    """Equal languages tie to the first in order; repeated rows and rows without an id have a row each."""
+    p = np.full((len(v.pieces), 2), 1.0 / len(v.pieces))
+    rows = [(None, "the stone"), (4, "the stone"), (4, "the stone"), (5, None)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), ["aa", "bb"], p).collect()
+    assert sorted((r.doc_id or 0, r.lang_pred, r.score) for r in got) == [(0, "aa", 0.5), (4, "aa", 0.5), (4, "aa", 0.5), (5, "und", 0.0)]
+
+
+def test_fit_follows_the_counts(v):
+    """Expectation maximisation over one word whose segmentations are two: the likelihood never falls."""
+    from collections import Counter
+
+    words = {"en": Counter({"rivers": 5, "river": 3, "garden": 2}), "de": Counter({"garten": 4, "fluss": 4})}
+    before = -np.inf
+    for rounds in (1, 2, 4, 8):
+        language_id.ROUNDS, kept = rounds, language_id.ROUNDS
+        try:
+            langs, p = language_id.fit(v, words)
+        finally:
+            language_id.ROUNDS = kept
+        s = language_id.Scorer(v, p)
+        now = sum(n * s.texts([w])[0][langs.index(g)] for g, c in words.items() for w, n in c.items())
+        assert np.allclose(p.sum(0), 1) and now >= before - 1e-6
+        before = now
+
+
 def test_nothing_to_learn_from(docs):
     assert {r.lang_pred for r in language_id.op1(docs.filter("lang IS NULL")).collect()} == {"und"}
