@@ -139,17 +139,55 @@ def test_raking_meets_targets(spark):
     cells = spark.createDataFrame([(s, g, t, r.randrange(50, 500)) for s in "abc" for g in ("en", "de") for t in range(3)], "source string, lang string, topic int, tokens long")
     want = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"en": 0.6, "de": 0.4}, "topic": {0: 0.2, 1: 0.3, 2: 0.5}}
     targets = {d: spark.createDataFrame(list(x.items()), f"value {'int' if d == 'topic' else 'string'}, share double") for d, x in want.items()}
-    rows = mixing.rake(cells, targets, 12).collect()
+    raked, error = mixing.rake(cells, targets)
+    rows = raked.collect()
+    assert error <= mixing.TOLERANCE
     for d, x in want.items():
         for value, share in x.items():
-            assert abs(sum(c.raked for c in rows if c[d] == value) - share) < 1e-3
+            assert abs(sum(c.raked for c in rows if c[d] == value) - share) < 1e-8
     grid = {(c.source, c.lang, c.topic): float(c.tokens) for c in rows}
-    for _ in range(12):  # the same by plain loops
+    for _ in range(200):  # the same by plain loops
         for k, x in enumerate(want.values()):
             for value, share in x.items():
                 total = sum(v for c, v in grid.items() if c[k] == value)
                 grid |= {c: v * share / total for c, v in grid.items() if c[k] == value}
-    assert all(abs(grid[c.source, c.lang, c.topic] - c.raked) < 1e-9 for c in rows)
+    assert all(abs(grid[c.source, c.lang, c.topic] - c.raked) < 1e-8 for c in rows)
+    many, left = mixing._rake_many(cells, mixing._aimed(cells, targets), 1e-5)
+    assert left <= 1e-5 and all(abs(grid[c.source, c.lang, c.topic] - c.raked) < 1e-4 for c in many.collect())
+    assert all(abs(r.target - r.reached) < 1e-8 for r in mixing.report(raked, targets).collect())
+
+
+def test_targets_that_contradict_each_other(spark):
+    """Two cells on a diagonal cannot have half of each source and a tenth of one language: the error says how far off."""
+    cells = spark.createDataFrame([("a", "en", 0, 10), ("b", "de", 0, 30)], "source string, lang string, topic int, tokens long")
+    want = {"source": [("a", 0.5), ("b", 0.5), ("gone", 9.0)], "lang": [("en", 0.1), ("de", 0.9)], "topic": [(0, 1.0)]}
+    targets = {d: spark.createDataFrame(x, f"value {'int' if d == 'topic' else 'string'}, share double") for d, x in want.items()}
+    rows, error = mixing.rake(cells, targets)
+    assert rows.count() == 2 and error > 0.1
+
+
+def test_probabilities_and_draw_by_plain_code(spark):
+    cells = spark.createDataFrame([("a", "en", 0, 100, 0.6), ("b", "en", 0, 100, 0.3), ("c", None, 0, 800, 0.1)], "source string, lang string, topic int, tokens long, raked double")
+    got = {r.source: r.prob for r in mixing.probabilities(cells, 0.2).collect()}
+    # 200 tokens: a whole (100), of the other 100 three quarters to b and one to c
+    assert got["a"] == 1 and abs(got["b"] - 0.75) < 1e-9 and abs(got["c"] - 25 / 800) < 1e-9
+    ids = spark.createDataFrame([(i,) for i in [*range(2000), 7, None]], "doc_id long").select("doc_id", mixing.draw().alias("u")).collect()
+    u = [r.u for r in ids]
+    assert ids[7].u == ids[2000].u and all(0 <= x < 1 for x in u) and abs(sum(u[:2000]) / 2000 - 0.5) < 0.03
+
+
+def test_topics_part_texts_by_their_words(spark):
+    r = random.Random(8)
+    words = [[f"{k}word{i}" for i in range(40)] for k in "xyz"]
+    texts = [" ".join(r.choice(words[i % 3]) for _ in range(60)) for i in range(90)]
+    model = mixing.fit_topics(texts, 3)
+    rows = [(i, t, "s", "en") for i, t in enumerate(texts)] + [(90, None, None, None), (91, " \n", "s", None), (0, texts[0], "s", "en")]
+    got = mixing.described(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), model=model).collect()
+    topic = {r.doc_id: r.topic for r in got}
+    assert [len({topic[i] for i in range(k, 90, 3)}) for k in range(3)] == [1, 1, 1] and len({topic[k] for k in range(3)}) == 3
+    assert topic[90] == topic[91] == -1 and [r.tokens for r in got if r.doc_id in (90, 91)] == [1, 1]
+    flat = mixing.fit_topics([])
+    assert flat.shape == (mixing.PLACES + 1, 1)
 
 
 def test_mixing_edges(docs, empty):
