@@ -6,8 +6,10 @@ picture and the byte range of each key frame from the sample tables (sizes, chun
 read_samples() follows the same tables to the stored bytes.
 
 Cases: null and empty texts become one frame of spaces; equal texts give equal files, with no clock in them; a payload
-of any length is stored whole (64-bit offsets above 4 GB); media_columns() gives null columns for null or damaged
-files and says so in `problem`; repeated rows give a row each; an empty table gives no rows.
+of any length is stored whole (64-bit offsets above 4 GB); media_columns() describes the first video track, or the
+first track where there is none, gives null columns for null or damaged files and says so in `problem`, and says there
+that a file goes on in fragments, whose samples its tables do not list; repeated rows give a row each; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -105,6 +107,7 @@ class Track:
     offsets: np.ndarray
     sizes: np.ndarray
     keys: np.ndarray
+    times: np.ndarray
 
     @property
     def seconds(self) -> float:
@@ -116,13 +119,37 @@ class Track:
 
 def index(data: bytes) -> list[Track]:
     """Tracks in order; the bodies of data boxes are never looked at."""
-    view, tracks = memoryview(data), []
+    return indexed(data)[0]
+
+
+def indexed(data: bytes) -> tuple[list[Track], bool]:
+    """Tracks in order, and whether the file goes on in fragments."""
+    view, tracks, fragments = memoryview(data), [], False
     for path, a, b in boxes(view):
+        fragments = fragments or path[-1] in (b"moof", b"mvex")
         if path[-1] == b"trak":
             tracks.append({})
         elif tracks and len(path) > 2 and b"trak" in path:
             tracks[-1][path[-2:] if path[-2] == b"stsd" else path[-1]] = (a, b)
-    return [_track(view, t) for t in tracks]
+    return [_track(view, t) for t in tracks], fragments
+
+
+def shown(tracks: list[Track]) -> Track:
+    """The first video track, else the first track."""
+    return next((t for t in tracks if t.handler == "vide"), tracks[0])
+
+
+def _sizes(view: memoryview, at: dict) -> np.ndarray:
+    """Sample sizes: one for all, 32 bits each, or packed in 4, 8 or 16 bits."""
+    if b"stz2" in at:
+        a = at[b"stz2"][0]
+        width, n = view[a + 7], struct.unpack_from(">I", view, a + 8)[0]
+        if width == 4:
+            half = np.frombuffer(view, np.uint8, (n + 1) // 2, a + 12)
+            return np.stack([half >> 4, half & 15], 1).ravel()[:n].astype(np.int64)
+        return np.frombuffer(view, {8: ">u1", 16: ">u2"}[width], n, a + 12).astype(np.int64)
+    same, n = struct.unpack_from(">II", view, at[b"stsz"][0] + 4)
+    return np.full(n, same, np.int64) if same else np.frombuffer(view, ">u4", n, at[b"stsz"][0] + 12).astype(np.int64)
 
 
 def _table(view: memoryview, at: int, columns: int, kind: str = ">u4") -> np.ndarray:
@@ -137,8 +164,10 @@ def _track(view: memoryview, at: dict) -> Track:
     width, height = struct.unpack_from(">HH", view, a + 24) if entry and handler == "vide" else (0, 0)
     head = at[b"mdhd"][0]
     timescale, duration = struct.unpack_from(">IQ", view, head + 20) if view[head] == 1 else struct.unpack_from(">II", view, head + 12)
-    same, n = struct.unpack_from(">II", view, at[b"stsz"][0] + 4)
-    sizes = np.full(n, same, np.int64) if same else np.frombuffer(view, ">u4", n, at[b"stsz"][0] + 12).astype(np.int64)
+    sizes = _sizes(view, at)
+    n = len(sizes)
+    steps = _table(view, at[b"stts"][0], 2) if b"stts" in at else np.zeros((0, 2), np.int64)
+    lasts = np.repeat(steps[:, 1], steps[:, 0])
     starts = (_table(view, at[b"co64"][0], 1, ">u8") if b"co64" in at else _table(view, at[b"stco"][0], 1))[:, 0]
     runs = _table(view, at[b"stsc"][0], 3)
     per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(starts) + 1)))
@@ -147,7 +176,7 @@ def _track(view: memoryview, at: dict) -> Track:
     first = np.cumsum(per) - per
     offsets = starts[chunk] + before - before[np.minimum(first[chunk], max(n - 1, 0))] if n else np.zeros(0, np.int64)
     keys = _table(view, at[b"stss"][0], 1)[:, 0] - 1 if b"stss" in at else np.arange(n)
-    return Track(codec, handler, timescale, duration, width, height, offsets, sizes, keys)
+    return Track(codec, handler, timescale, int(lasts.sum()) or duration, width, height, offsets, sizes, keys, np.cumsum(lasts) - lasts)
 
 
 def read_samples(data: bytes, track: Track) -> bytes:
@@ -165,21 +194,29 @@ def feature(track: Track) -> str:
     return f"{track.handler} {track.codec} {track.width}x{track.height} {track.seconds:.2f}s {len(track.sizes)} samples {len(keys)} keys {keys[0][0]}+{keys[0][1]}..{keys[-1][0]}+{keys[-1][1]} {name}"
 
 
+COLUMNS = "codec string, duration_s double, keyframes array<struct<offset: long, size: long, time_s: double>>, problem string"
+
+
+def described(data: bytes | None) -> tuple:
+    """COLUMNS of one file."""
+    try:
+        tracks, fragments = indexed(data)
+        t = shown(tracks)
+        times = (t.times[t.keys] / max(t.timescale, 1)).tolist() if len(t.times) > t.keys.max(initial=-1) else [None] * len(t.keys)
+        keys = [{"offset": a, "size": n, "time_s": s} for (a, n), s in zip(t.key_ranges(), times, strict=True)]
+        return t.codec, t.seconds, keys, "fragments follow, whose samples are not listed" if fragments else None
+    except Exception as e:  # noqa: BLE001  a damaged file is a row, not a failed job
+        return None, None, None, "no file" if data is None else f"{type(e).__name__}: {e}"
+
+
 def media_columns(files: DataFrame, column: str = "media") -> DataFrame:
-    """files with codec, duration_s, keyframes (array of offset and size, of the first track) and problem."""
-    schema = "codec string, duration_s double, keyframes array<struct<offset: long, size: long>>, problem string"
+    """files with codec, duration_s, keyframes (array of offset, size and time) and problem."""
 
-    @F.pandas_udf(schema)
+    @F.pandas_udf(COLUMNS)
     def columns(series):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        rows = []
-        for data in series:
-            try:
-                t = index(bytes(data))[0]
-                rows.append((t.codec, t.seconds, [{"offset": a, "size": n} for a, n in t.key_ranges()], None))
-            except Exception as e:  # noqa: BLE001  a damaged file is a row, not a failed job
-                rows.append((None, None, None, "no file" if data is None else f"{type(e).__name__}: {e}"))
+        rows = [described(None if data is None else bytes(data)) for data in series]
         return pd.DataFrame(rows, columns=["codec", "duration_s", "keyframes", "problem"])
 
     return files.withColumn("_m", columns(F.col(column))).select("*", "_m.*").drop("_m")
@@ -195,7 +232,12 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, media binary")
 
 
-OP6 = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+OP6 = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, keyframes array<struct<offset: long, size: long, time_s: double>>"
+
+
+_KEYFRAME = pa.struct([("offset", pa.int64()), ("size", pa.int64()), ("time_s", pa.float64())])
+OP6_TYPES = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(_KEYFRAME)]
+OP6_NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration_s", "keyframes"]
 
 
 def op6(docs: DataFrame) -> DataFrame:
@@ -209,7 +251,7 @@ def op6(docs: DataFrame) -> DataFrame:
                 media = mux(padded(data))
                 track = index(media)[0]
                 back = read_samples(media, track)
-                rows.append((i, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(track)))
-            yield pa.record_batch([pa.array(x) for x in zip(*rows, strict=True)], [x.split()[0] for x in OP6.split(", ")])
+                rows.append((i, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(track), *described(media)[:3]))
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), OP6_TYPES, strict=True)], OP6_NAMES)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OP6)

@@ -9,10 +9,12 @@ agree in part. Up to FEW contexts meet by their token, bytes and all, and their
 of a token with more contexts, or of one that touches a bucket's boundary and so may go on beyond it, are dealt one by
 one in the same way, with the window's name as token, so that no token gathers in one task.
 
-A batch hands on only the first of equal suffixes, so a passage that a third of all documents hold reaches its bucket
-once a batch. Names are 64-bit hashes of bytes; no text is moved but to where its own removals are.
+A batch hands on only the first of equal suffixes, so a passage that a third of all documents hold reaches the buckets
+once a batch; splitters go on by document and place, so what is still many rows is several buckets, each of which hands
+on its first. Buckets are as many as their rows need. Names are pairs of 64-bit hashes of bytes (a suffix by its first
+bytes and by its whole context, a window by two independent tables); no text is moved but to where its own removals are.
 
-Cases: null is the empty text; texts under WINDOW bytes have no window; a text that repeats itself loses all but the
+Cases: null is the empty text; a row without an id has no place in the order, so it loses nothing and removes nothing; texts under WINDOW bytes have no window; a text that repeats itself loses all but the
 first; repeated rows of one id are one text; an empty table gives no rows; other columns are not read.
 """
 
@@ -36,7 +38,9 @@ FEW = 64
 BATCH = 3 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_TABLES = np.random.default_rng(11).integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
+#: Rows of a bucket, 40 bytes each and as much again while they are sorted.
+BUCKET = 1 << 20
 #: Two tokens, a document, a range of its windows (first << 8 | further ones), and what is known: 0 nothing, 1 removed, 2 may
 #: agree in part with others of its first token, which is 0 if its windows have to be looked at one by one.
 SUFFIX = "t long, c long, doc long, r long, kind int"
@@ -52,14 +56,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Bytes:
     """The bytes of some texts end to end, and names of any of their substrings."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], table: int = 0):
         self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
         self.starts = self.ends - np.array([len(t) for t in texts], np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
         power = np.full(len(data), BASE, np.uint64)
         power[:1] = 1
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[data] * np.cumprod(power), out=self.sums[1:])
+        np.cumsum(_TABLES[table][data] * np.cumprod(power), out=self.sums[1:])
         power[1:] = BACK
         self.back = np.cumprod(power)
 
@@ -183,6 +187,16 @@ def _with_bytes(rows: pa.RecordBatch, data: list[bytes] | None = None) -> pa.Rec
     return pa.record_batch([*rows.columns, column], [*rows.schema.names, "bytes"])
 
 
+def _window_names(texts: list[bytes], places) -> list[np.ndarray]:
+    """Two independent names of the windows that begin at places, a function of Bytes."""
+    out = []
+    for table in (0, 1):
+        x = Bytes(texts, table)
+        at = places(x)
+        out.append(x.names(at, at + WINDOW).astype(np.int64))
+    return out
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the ranges in `marked` that have a token; single windows, each by its name, of those that have none."""
     for batch in pieces(batches, "text", BATCH):
@@ -197,11 +211,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, n, text = lo[~few], n[~few], text[~few]
         if not len(lo):
             continue
-        x = Bytes(texts)
         at, text = _each(lo, n), np.repeat(text, n)
-        place = at + x.starts[text]
-        name = x.names(place, place + WINDOW).astype(np.int64)
-        first, gone = _firsts(name, np.zeros(len(name), np.int64), docs[text], at << 8)
+        first, gone = _firsts(*_window_names(texts, lambda x: at + x.starts[text]), docs[text], at << 8)
         doc, r = _ranges(gone.column(2).to_numpy(), gone.column(3).to_numpy() >> 8)
         yield _with_bytes(_rows(*first, 0))
         yield _with_bytes(_rows(r, r, doc, r, 1))
@@ -222,11 +233,9 @@ def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits = ends[(ends > lo) & (size[ends - 1] - (size[lo - 1] if lo else 0) <= BATCH)]
         hi = int(fits[-1]) if len(fits) else int(ends[ends > lo][0])
         rows = order[lo:hi]
-        x = Bytes(data.take(pa.array(rows)).to_pylist())
         n = (r[rows] & 255) + 1
-        place = _each(x.starts, n)
         at, docs = _each(r[rows] >> 8, n), np.repeat(doc[rows], n)
-        _, gone = _firsts(x.names(place, place + WINDOW).astype(np.int64), np.zeros(len(at), np.int64), docs, at)
+        _, gone = _firsts(*_window_names(data.take(pa.array(rows)).to_pylist(), lambda x, n=n: _each(x.starts, n)), docs, at)
         d, ranges = _ranges(gone.column(2).to_numpy(), gone.column(3).to_numpy())
         yield _rows(ranges, ranges, d, ranges, 1)
         lo = hi
@@ -252,23 +261,25 @@ def _by_text(rows: DataFrame, name: str, what: Column) -> DataFrame:
     return rows.groupBy("doc").agg(F.collect_list(what).alias(name)).withColumnRenamed("doc", "doc_id").hint("shuffle_hash")
 
 
-def _bucketed(suffixes: DataFrame) -> DataFrame:
+def _bucketed(suffixes: DataFrame, rows: int, *splitters: str) -> DataFrame:
     """Suffixes dealt by sampled splitters, sorted and compared."""
-    n = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return suffixes.filter("kind = 0").select("t", "c", "doc", "r").repartitionByRange(n, "t", "c").mapInArrow(_compare, SUFFIX)
+    n = max(int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET))
+    return suffixes.filter("kind = 0").select("t", "c", "doc", "r").repartitionByRange(n, *splitters).mapInArrow(_compare, SUFFIX)
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    suffixes = keep(docs.mapInArrow(_suffixes, SUFFIX))
-    compared = keep(_bucketed(suffixes).unionAll(suffixes.filter("kind = 1")))
+    left = F.count_if(F.col("kind") == 0)
+    suffixes = keep(docs.filter("doc_id IS NOT NULL").mapInArrow(_suffixes, SUFFIX), rows=left)
+    # a token at a bucket's edge is looked at again below, so rows of one token may be in several buckets
+    compared = keep(_bucketed(suffixes, suffixes.seen["rows"] or 0, "t", "c", "doc", "r").unionAll(suffixes.filter("kind = 1")))
     discard(suffixes)
     marked = docs.join(_by_text(compared.filter("kind = 2"), "marked", F.struct("r", "t")), "doc_id").select("doc_id", "text", "marked")
-    windows = keep(marked.mapInArrow(_windows, CONTEXT))
+    windows = keep(marked.mapInArrow(_windows, CONTEXT), rows=left)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     narrowed = windows.filter("kind = 2").select("t", "doc", "r", "bytes").repartition(n, "t").mapInArrow(_narrow, SUFFIX)
-    gone = keep(compared.unionAll(narrowed).unionAll(_bucketed(windows)).unionAll(windows.drop("bytes")).filter("kind = 1").select("doc", "r"))
+    gone = keep(compared.unionAll(narrowed).unionAll(_bucketed(windows, windows.seen["rows"] or 0, "t", "c")).unionAll(windows.drop("bytes")).filter("kind = 1").select("doc", "r"))
     discard(compared, windows)
     done = docs.join(_by_text(gone, "gone", F.col("r")), "doc_id", "left").select("doc_id", "text", "gone")
     return done.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -37,6 +37,23 @@ def test_exact_recipes_join_to_the_text(docs):
         assert all(1 <= c.n <= exact_dedup.MAX_CHUNK for c in r.chunks)
 
 
+def test_exact_cuts_follow_the_text_in_any_script(spark):
+    """Chunks of a text and of the same text after a new beginning agree but for the first ones."""
+    r = random.Random(2)
+    for first, last in ((0x4E00, 0x9FA5), (0x430, 0x44F), (0xAC00, 0xD7A3), (0x3041, 0x3096), (0x905, 0x939), (0x61, 0x7A)):
+        text = "".join(chr(r.randrange(first, last)) for _ in range(30_000))
+        rows = spark.createDataFrame([(0, text), (1, "x" * 7 + text)], "doc_id long, text string")
+        a, b = ([c.h for c in r.chunks] for r in exact_dedup.recipes(rows).orderBy("doc_id").collect())
+        assert len(a) > 20 and len(set(a) & set(b)) > 0.8 * len(a)
+
+
+def test_exact_least_id_and_no_id(spark):
+    least = -(1 << 63)
+    rows = [(least, "a b"), (0, "ab"), (None, "ab "), (None, "c"), (least, "a b")]
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in got) == sorted([(str(least), str(least), 4, True)] * 2 + [("0", str(least), 4, False), ("None", str(least), 4, False), ("None", "None", 1, True)])
+
+
 def test_exact_empty(empty):
     assert exact_dedup.exact_groups(empty).collect() == []
 
@@ -189,6 +206,25 @@ def test_ranges_join_consecutive_windows():
     assert list(zip(d.tolist(), (r >> 8).tolist(), (r & 255).tolist(), strict=True)) == [(1, 4, 1), (1, 7, 0), (2, 9, 1), (3, 0, 199), (3, 200, 199), (3, 400, 49)]
 
 
+def test_repeats_without_ids_lose_nothing(spark):
+    text = prose(4, 60)
+    rows = [(None, text), (3, text), (4, "x" + text), (None, text)]
+    got = suffix_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_repeats({3: text.encode(), 4: ("x" + text).encode()})
+    whole = (len(text), 0, 0, hashlib.sha256(text.encode()).hexdigest())
+    for r in got:
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want.get(r.doc_id, whole)
+
+
+def test_repeats_of_a_passage_in_every_document(spark, monkeypatch):
+    """A batch for each document and buckets of ten rows: one token fills several buckets."""
+    monkeypatch.setattr(suffix_dedup, "BATCH", 400)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 10)
+    passage = prose(5, 50)
+    rows = {i: f"{prose(300 + i, 4)} {passage} {prose(400 + i, 3)}" for i in range(60)}
+    _check_repeats(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(8), {i: t.encode() for i, t in rows.items()})
+
+
 def test_repeats_empty(empty):
     assert suffix_dedup.repeated(empty).collect() == []
 

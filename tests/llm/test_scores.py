@@ -1,4 +1,6 @@
+import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -110,9 +112,17 @@ def test_automaton_is_edit_distance():
 
 
 def test_media_round_trip(docs, empty):
+    files = {r.doc_id: r.media for r in media.store(docs).collect()}
     for r in media.op6(docs).collect():
         data = (ALL[r.doc_id] or "").encode()
-        assert r.n_bytes == len(data) and r.payload_bytes == max(192, -(-len(data) // 192) * 192)
+        payload = data + b" " * (max(192, -(-len(data) // 192) * 192) - len(data))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-16:]) and files[r.doc_id].endswith(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(files[r.doc_id]), hashlib.sha256(files[r.doc_id]).hexdigest())
+        frames = range(0, len(payload) // 192, media.GROUP)
+        assert r.codec == "raw" and r.duration_s == len(payload) / 192 / media.RATE
+        head = len(files[r.doc_id]) - len(payload)
+        assert [(k.offset, k.size, k.time_s) for k in r.keyframes] == [(head + 192 * i, 192, i / media.RATE) for i in frames]
     assert media.op6(empty).collect() == []
     stored = media.media_columns(media.store(docs)).collect()
     for r in stored:
@@ -127,6 +137,21 @@ def test_media_damaged(spark):
     assert [r.problem is None for r in media.media_columns(rows).orderBy("i").collect()] == [False, False, False, True]
 
 
+def test_media_video_after_audio_and_fragments():
+    """The video track is shown, wherever it stands; a file that goes on in fragments says so."""
+    good = media.mux(media.padded(b"x" * 1000))
+    kinds = {p[-1]: (a, b) for p, a, b in media.boxes(memoryview(good))}
+    a, b = kinds[b"moov"]
+    ta, tb = kinds[b"trak"]
+    video = good[ta - 8 : tb]
+    sound = video.replace(b"vide", b"soun")
+    tracks = media.index(good[: a - 8] + media.box(b"moov", good[a : ta - 8], sound, video) + good[b:])
+    assert [t.handler for t in tracks] == ["soun", "vide"] and media.shown(tracks).handler == "vide"
+    assert media.described(good)[3] is None and "fragments" in media.described(good + media.box(b"moof"))[3]
+    packed = media.box(b"stz2", bytes(7) + bytes([4]) + (3).to_bytes(4, "big") + bytes([0x12, 0x30]))
+    assert media._sizes(memoryview(packed), {b"stz2": (8, len(packed))}).tolist() == [1, 2, 3]
+
+
 def test_media_big_tables():
     data = bytes(range(256)) * 3 * 50
     f = media.mux(data)
