@@ -221,3 +221,41 @@ def test_mixing_edges(docs, empty):
     assert mixing.mix(empty).collect() == []
     whole = mixing.mix(docs, share=1.0).collect()
     assert sum(r.tokens * r.prob for r in whole) <= sum(r.tokens for r in whole) + 1e-6
+
+
+def _scorer(**kind):
+    return toxicity.Scorer(toxicity.Model({"moron": False, "worthless": False}, weights=np.array([3.0, 3.0, 1.0, 0.5, -4.0]), **kind))
+
+
+def test_quoted_and_misspelled_hits_count_less():
+    plain, quoted, once, alone = _scorer().scores(["you are a moron here", 'he wrote "you are a moron" here', "you are a morron here", "you are a person here"])
+    assert plain > once > alone and plain > quoted > alone
+    f = _scorer().features(["a moron", 'the "moron" word', "a morron", 'the "morron" word', 'open " moron " shut', 'said " so. moron was "'])
+    assert np.allclose(np.expm1(f[:, 0]), [1, 0.25, 0.5, 0.125, 0.25, 0.25])
+    company = _scorer().features(["moron and worthless", 'says "moron and worthless"', "moron"])[:, 3]
+    assert company[0] > 0 and company[1] == company[2] == 0
+
+
+def test_weak_stems_need_several_words():
+    s = _scorer(weak=frozenset({"bomente"}))
+    f = np.expm1(s.features(["bomentera de", "bomentera bomentera", "bomentera y bomentes", "bomentera bomentes bomentell", None, ""])[:, 1])
+    assert np.allclose(f, [0, 0, 1, 2, 0, 0])
+
+
+def test_lexicon_learns_words_stems_and_weak_stems():
+    r = random.Random(3)
+    ends = ["ab", "ec", "id", "of", "ug", "ax", "en", "il", "ot", "uz"]
+    texts, labels = [], []
+    for i in range(400):
+        words = prose(i, 40).split()
+        y = i % 4 == 0
+        put = ["grobian"] * (i % 8 == 0) + [f"schurk{r.choice(ends)}"] * (i % 8 == 4) + ([f"zanket{e}" for e in r.sample(ends, 3)] if y else [f"zanket{r.choice(ends)}"] * (i % 5 == 0))
+        for w in put:
+            words.insert(r.randrange(len(words)), w)
+        texts.append(" ".join(words))
+        labels.append(int(y))
+    terms, weak = toxicity.lexicon(texts, np.array(labels))
+    assert "zanket" in weak and "schurk" not in weak and "zanket" not in terms
+    model = toxicity.fit(texts, np.array(labels), 0.25)
+    got = toxicity.Scorer(model).scores(texts + texts[:4])
+    assert ((got[:400] >= 0.7) == np.array(labels, bool)).mean() > 0.99 and np.allclose(got[400:], got[:4])
