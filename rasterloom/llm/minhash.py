@@ -234,9 +234,9 @@ def _alike(rows: DataFrame, percent: int) -> DataFrame:
     shared = keep(rows.join(often, "h").select("d", "h", "n", "many"))  # alone, so that the join on a common shingle can be split
     ranked = shared.select("d", "h", F.row_number().over(own.orderBy("many", "h")).alias("at"), (F.count("*").over(own) - F.expr(f"({percent} * n + 99) div 100") + 1).alias("first"))
     prefix = keep(ranked.filter("at <= first").select("d", "h"))
-    centre = prefix.groupBy("h").agg(F.min("d").alias("c"))
+    centre = keep(prefix.groupBy("h").agg(F.min("d").alias("c")))  # alone for the same reason
     groups = keep(components(prefix.join(centre, "h").filter("d != c").select(F.col("d").alias("a"), F.col("c").alias("b"))))
-    discard(often, shared, prefix)
+    discard(often, shared, prefix, centre)
     return groups
 
 
