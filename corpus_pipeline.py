@@ -2,7 +2,11 @@
 
 Each stage works on all that the one before kept and is written as Parquet in between. run() does the same in the
 session's shared folder. SQL can express neither the classifier nor the hashes, so ORACLE_SQL is None and the tests
-hold run() against plain Python.
+hold each stage against plain Python.
+
+Cases, in all stages: a null text is an empty one; an empty table gives no rows; other columns pass as they are, whatever
+their names. A row without an id cannot be told from others by the stages that choose among documents, so it stays in
+them. Rows repeated with one id and text are one document: the exact stage leaves one of them.
 """
 
 from __future__ import annotations
@@ -17,8 +21,9 @@ ORACLE_SQL = None
 NEAR_PERCENT = 80
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but for those with these ids; a row without an id is never among them."""
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,17 +33,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the longest original, then the smallest id."""
-    return _only(docs, exact_dedup.exact_groups(docs).filter("kept"))
+    groups = keep(exact_dedup.exact_groups(docs).select("doc_id", "kept").filter("doc_id IS NOT NULL"))
+    out = _without(docs, groups.filter("NOT kept"))
+    kept = groups.filter("kept").groupBy("doc_id").count().filter("count > 1")
+    if kept.isEmpty():
+        return out
+    again = kept.select("doc_id")  # rows repeated with one id: one of them, which are alike but for their other columns
+    one = out.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return _without(out, again).unionByName(one)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group, the document with the smallest id."""
-    return _only(docs, minhash.near_groups(docs, percent=NEAR_PERCENT).filter("kept"))
+    return _without(docs, minhash.near_groups(docs, percent=NEAR_PERCENT).filter("NOT kept AND doc_id IS NOT NULL"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose sources, languages and topics approach their target weights."""
-    return _only(docs, mixing.mix(docs).filter("sampled"))
+    return _without(docs, mixing.mix(docs).filter("NOT sampled AND doc_id IS NOT NULL"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from rasterloom.llm import minhash, registry
+from rasterloom.llm import minhash, mixing, quality_crf, registry
 from tests.llm.test_dedup import brute_components, shingles
 
 SF = "/root/testdata/sf0.001"
@@ -20,9 +20,12 @@ def test_stages(spark):
         kept[name] = {r.doc_id: r.text for r in docs.collect()}
         assert 0 < len(kept[name]) <= before
         before = len(kept[name])
-    norm = lambda t: "".join((t or "").split(" "))
-    after_exact = list(kept["exact dedup"].values())
-    assert len({norm(t) for t in after_exact}) >= len(after_exact) - 1
+    norm = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
+    best = {}
+    for i, t in sorted(kept["quality classifier"].items()):
+        if norm(t) not in best or len(t or "") > len(best[norm(t)][1] or ""):
+            best[norm(t)] = i, t
+    assert kept["exact dedup"] == dict(best.values())
     want = brute_components({i: shingles(t) for i, t in kept["exact dedup"].items()}, corpus_pipeline.NEAR_PERCENT)
     assert set(kept["MinHash near-dedup"]) == {i for i, c in want.items() if i == c}
     last = corpus_pipeline.run(spark, SF).collect()
@@ -30,6 +33,57 @@ def test_stages(spark):
     assert all(r.round_trip for r in last)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
+def test_quality_and_mixing_stages_by_plain_code(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality_crf.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = docs.collect()
+    scores = model.scores([r.text for r in rows])
+    assert {r.doc_id for r in corpus_pipeline.quality(spark, docs, SF).collect()} == {r.doc_id for r, s in zip(rows, scores, strict=True) if s >= quality_crf.THRESHOLD}
+    # cells raked and scaled by plain loops, then the draw
+    cell, tokens, draw = {}, {}, {r.doc_id: r.u for r in docs.select("doc_id", mixing.draw().alias("u")).collect()}
+    for r in mixing.described(docs).collect():
+        cell[r.doc_id] = (r.source, r.lang, r.topic)
+        tokens[cell[r.doc_id]] = tokens.get(cell[r.doc_id], 0) + max(1, r.tokens)
+    total = sum(tokens.values())
+    weight = {c: t / total for c, t in tokens.items()}
+    targets = []
+    for k in range(3):
+        sums = {}
+        for c, t in tokens.items():
+            sums[c[k]] = sums.get(c[k], 0) + t
+        flat = {v: t**mixing.POWER for v, t in sums.items()}
+        targets.append({v: f / sum(flat.values()) for v, f in flat.items()})
+    for _ in range(3000):
+        for k, target in enumerate(targets):
+            sums = {}
+            for c, w in weight.items():
+                sums[c[k]] = sums.get(c[k], 0) + w
+            weight = {c: w * target[c[k]] / sums[c[k]] if sums[c[k]] else 0.0 for c, w in weight.items()}
+    lo, hi = 0.0, 1e12  # the scale at which the expected tokens are the wanted share
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(tokens[c], mid * weight[c]) for c in tokens) < mixing.SHARE * total else (lo, mid)
+    want = {i for i, c in cell.items() if draw[i] < min(1.0, hi * weight[c] / tokens[c])}
+    got = {r.doc_id for r in corpus_pipeline.mixed(spark, docs, SF).collect()}
+    assert len(got ^ want) <= 1 and got  # a draw may lie at the edge of a probability
+
+
+def test_stages_on_awkward_rows(spark, docs, empty):
+    """Nulls, no ids, repeated rows and clashing columns; empty tables."""
+    whole = docs.unionByName(docs.filter("doc_id = 9").selectExpr("CAST(NULL AS BIGINT) AS doc_id", *docs.columns[1:]))
+    kept = corpus_pipeline.exact(spark, whole, SF).collect()
+    ids = [r.doc_id for r in kept]
+    assert len(ids) == len(set(ids)) and None in ids and kept[0].__fields__ == docs.columns
+    for stage in (corpus_pipeline.near, corpus_pipeline.mixed):
+        got = stage(spark, whole, SF)
+        assert got.columns == docs.columns and None in [r.doc_id for r in got.collect()]
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.mixed, corpus_pipeline.encoded):
+        assert stage(spark, empty, SF).collect() == []
+    if os.path.isdir(SF):
+        assert corpus_pipeline.quality(spark, empty, SF).collect() == []
+
+
 def test_registered():
     assert {f"op{n}_" for n in range(1, 11)} <= {q.split("_")[0] + "_" for q in registry.QUERIES}
     assert "pipeline" in registry.QUERIES and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
