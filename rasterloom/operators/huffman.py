@@ -164,9 +164,10 @@ def byte_sizes(data: DataFrame, key: str = "doc_id") -> DataFrame:
                 n = len(there)
                 length = {s: len(c) for s, c in codes(tree({int(s): int(counts[s]) for s in there})).items()} if n else {}
                 bits = sum(int(counts[s]) * k for s, k in length.items())
-                rows.append((i, n, bits, 8 + 3 * n - (n > 0) + -(-bits // 8), sum(2.0**-k for k in length.values())))
+                rows.append((i, n, bits, 8 + 3 * n - (n > 0) + -(-bits // 8), sum((2.0**-k for k in length.values()), 0.0)))
             if rows:
-                yield pa.record_batch([pa.array(x) for x in zip(*rows, strict=True)], [key, "n", "payload_bits", "size", "kraft"])
+                types = [batch.schema.types[0], pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), types, strict=True)], [key, "n", "payload_bits", "size", "kraft"])
 
     kind = dict(data.dtypes)[key]
     return data.select(key, "data").mapInArrow(run, f"{key} {kind}, n long, payload_bits long, size long, kraft double")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.operators.joins import FEW, nearest, nearest_numpy
+from rasterloom.sources.shared import written
 
 COLOUR, PLACE = ["r", "g", "b"], ["x", "y", "r", "g", "b"]
 
@@ -87,7 +88,7 @@ def kmeans(points: DataFrame, k: int, features: list[str], key: str = "img_id",
     """points with cid and d2, and centroids with `converged`. points hold key, point, features and a weight `cnt`.
 
     One shuffle for all rounds: an image's points (distinct colours, or pixels) are one task, as in its coders, and the
-    distances of a block at a time are in memory. The two results come from one persisted table."""
+    distances of a block at a time are in memory. The two results come from one written table."""
     if not 1 <= k <= FEW:
         raise ValueError(f"k must be from 1 to {FEW}")
     kinds = dict(points.dtypes)
@@ -101,7 +102,7 @@ def kmeans(points: DataFrame, k: int, features: list[str], key: str = "img_id",
         cents = pd.DataFrame({key: pdf[key].iloc[0], point: None, "cid": range(k), "d2": None, "cnt": None, "converged": ok, **{f: c[:, i] for i, f in enumerate(features)}})
         return pd.concat([mine.astype(object), cents.astype(object)])
 
-    both = points.select(key, point, "cnt", *features).groupBy(key).applyInPandas(run, schema).persist()
+    both = written(points.select(key, point, "cnt", *features).groupBy(key).applyInPandas(run, schema), "clusters")
     return both.filter(F.col(point).isNotNull()).drop("converged"), both.filter(F.col(point).isNull()).select(key, "cid", *features, "converged")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.operators.metrics import mse, ratio_ref, ratio_true
 from rasterloom.plans.codecs import Codec
+from rasterloom.sources.shared import written
 
 RESULT = ["codec", "name", "compressed_size", "compression_ratio", "ratio_true", "error", "error_msg"]
 
@@ -20,7 +21,7 @@ def measure(px: DataFrame, codec: Codec, names: DataFrame | None = None) -> Data
 
     An image that fails, or that a lossless codec does not give back, keeps its row and says why.
     A codec of clusters adds `converged`."""
-    encoded = codec.encode(px).persist()
+    encoded = written(codec.encode(px), "encoded")
     error = mse(px, codec.decode(encoded))
     size = F.octet_length("encoded").cast("long")
     rows = encoded.join(error, "img_id", "left")

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, what: str) -> str:
     """The path of a folder of its own, which is not made yet."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str = "table") -> DataFrame:
+    """df as a table in the shared folder: what several plans read is made once, and a lost executor loses none of it."""
+    path = new_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

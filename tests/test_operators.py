@@ -105,3 +105,52 @@ def test_mse_sees_missing_pixels(spark):
     a, b = _pixels(spark, [(1, 1, 1)] * 8), _pixels(spark, [(1, 1, 3)] * 4)
     row = metrics.mse(a, b).first()
     assert (row.error, row.size_ok) == (2.0, False)
+
+
+def test_ring_places_and_distances_are_inverse(spark):
+    from rasterloom.functions import scalar as fn
+
+    rows = spark.createDataFrame([(w, p) for w in (0, 3, 10, 27) for p in range(10)], "written long, place long")
+    d = fn.ring_distance(F.col("place"), F.col("written"), 10)
+    for r in rows.select("*", d.alias("d"), fn.ring_place(d, F.col("written"), 10).alias("back")).collect():
+        assert r.back == r.place and 1 <= r.d <= 10 and (r.written - r.d) % 10 == r.place
+
+
+def test_ngram_matches_by_stretches(spark, monkeypatch):
+    """The oldest match within the window, the same whether a text is one stretch or many."""
+    import random
+
+    from rasterloom.operators import joins
+
+    r = random.Random(1)
+    texts = [bytes(r.choice(b"ab") for _ in range(400)), b"", b"abc", b"a" * 90]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, data binary")
+    want = set()
+    for i, t in enumerate(texts):
+        for pos in range(len(t) - 5):
+            prev = [p for p in range(max(0, pos - 50), pos) if t[p : p + 6] == t[pos : pos + 6]]
+            want |= {(i, pos, prev[0])} if prev else set()
+    monkeypatch.setattr(joins, "STRETCH", 64)
+    assert {tuple(x) for x in joins.ngram_matches(rows, 6, 50).collect()} == want
+
+
+def test_byte_sizes_of_empty_and_single(spark):
+    from rasterloom.operators import huffman
+
+    rows = spark.createDataFrame([(0, b""), (1, b"aaaa"), (2, b"aab")], "doc_id long, data binary")
+    got = {r.doc_id: (r.n, r.payload_bits, r.size, r.kraft) for r in huffman.byte_sizes(rows).collect()}
+    assert got == {0: (0, 0, 8, 0.0), 1: (1, 0, 10, 1.0), 2: (2, 3, 14, 1.0)}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    """Pictures named on the command line to a report, and to scan exports."""
+    from rasterloom.plans import measure
+    from rasterloom.sources import reports
+    from rasterloom.sources.images import png
+
+    (tmp_path / "a.png").write_bytes(png(4, 4, bytes(48)))
+    measure.main([f"--output={tmp_path}/out", "--codec=hilbert(rle)", f"{tmp_path}/a.png"])
+    assert [(r.compressed_size, r.error, r.display_name) for r in reports.read_results(spark, f"{tmp_path}/out").collect()] == [(20, 0.0, "hilbert-rle")]
+    assert "hilbert-rle" in capsys.readouterr().out
+    measure.main([f"--output={tmp_path}/scans", "--special=hilbert", f"{tmp_path}/*.png"])
+    assert spark.read.option("header", True).csv(f"{tmp_path}/scans/rect.hilbert.csv").count() == 16
