@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.sources.shared import new_folder
+
 #: The white space of every word rule here: space and 09-0D.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -20,20 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a temporary one serves a local master,
-    whose driver is its only executor; on a cluster that is an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = named or tempfile.mkdtemp(prefix="rasterloom-")
-        spark.sparkContext.setCheckpointDir(named)
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -47,7 +32,7 @@ def keep(df: DataFrame, **seen: Column) -> DataFrame:
     observed = Observation()
     if seen:
         df = df.observe(observed, *(c.alias(k) for k, c in seen.items()))
-    path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    path = new_folder(spark, "kept")
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
