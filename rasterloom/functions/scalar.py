@@ -179,3 +179,17 @@ def still_in_ring(position: Column, written: Column, size: int) -> Column:
 
 def default_array(value: Column, n: int) -> Column:
     return F.array_repeat(value, n)
+
+
+def human_bytes(c: Column) -> Column:
+    """A size as text: whole bytes below 1,000, then one decimal of the largest decimal unit that it reaches.
+
+    Tenths are whole numbers, halves going up, so no size depends on how a double is printed. A null stays one."""
+    c = c.cast("long")
+    shown = F.concat(c.cast("string"), F.lit(" B"))
+    for power, name in enumerate("KMGTPE", 1):
+        unit = 1000**power
+        tenths = F.call_function("div", c, F.lit(unit)) * 10 + F.call_function("div", c % unit + unit // 20, F.lit(unit // 10))
+        text = F.concat(F.call_function("div", tenths, F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {name}B"))
+        shown = F.when(c >= unit, text).otherwise(shown)
+    return shown

@@ -309,6 +309,22 @@ def fn_default_array(spark, sf):
     return table(spark, sf, "region").select("r_regionkey", fn.default_array(F.lit(0), 4).alias("zeros"), fn.default_array(F.col("r_name"), 2).alias("names"))
 
 
+def _readable(v: str) -> str:
+    """The text of a size in SQL."""
+    out = f"{v} || ' B'"
+    for power, name in enumerate("KMGTPE", 1):
+        unit = 1000**power
+        tenths = f"({v} // {unit} * 10 + ({v} % {unit} + {unit // 20}) // {unit // 10})"
+        out = f"CASE WHEN {v} >= {unit} THEN {tenths} // 10 || '.' || {tenths} % 10 || ' {name}B' ELSE {out} END"
+    return out
+
+
+@query("fn_human_bytes", f"WITH s AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents), t AS (SELECT doc_id, n, n * n AS nn FROM s) SELECT doc_id, {_readable('n')} AS size, {_readable('nn')} AS square FROM t")
+def fn_human_bytes(spark, sf):
+    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return table(spark, sf, "documents").select("doc_id", fn.human_bytes(n).alias("size"), fn.human_bytes(n * n).alias("square"))
+
+
 @query("km_fake_clone", "WITH {PX} SELECT img_id, pos, x, y, r, g, b FROM px")
 def km_fake_clone(spark, sf):
     """The mean of a single point is the point."""

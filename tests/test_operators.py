@@ -154,3 +154,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert "hilbert-rle" in capsys.readouterr().out
     measure.main([f"--output={tmp_path}/scans", "--special=hilbert", f"{tmp_path}/*.png"])
     assert spark.read.option("header", True).csv(f"{tmp_path}/scans/rect.hilbert.csv").count() == 16
+
+
+def test_readable_sizes(spark):
+    cases = {0: "0 B", 215: "215 B", 999: "999 B", 1000: "1.0 KB", 1050: "1.1 KB", 1049: "1.0 KB", 301_000: "301.0 KB", 419_000_000: "419.0 MB", 10**18: "1.0 EB", 2**63 - 1: "9.2 EB", 999_949: "999.9 KB", None: None}
+    rows = spark.createDataFrame([(k, v) for k, v in cases.items()], "n long, text string")
+    assert rows.filter(~fn.human_bytes(F.col("n")).eqNullSafe(F.col("text"))).count() == 0
