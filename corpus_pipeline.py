@@ -14,18 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterloom.llm import exact_dedup, minhash, mixing, quality_crf, sentencepiece
-from rasterloom.llm.common import keep, table
+from rasterloom.llm.common import keep, table, without
 
 ORACLE_SQL = None
 #: Near copies share at least this percent of their shingles; the query op4_minhash has its own threshold.
 NEAR_PERCENT = 80
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for those with these ids; a row without an id is never among them."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from the labelled ones among docs."""
     return quality_crf.filter_good(docs, quality_crf.learn(docs, table(spark, sf_dir, "labels")))
@@ -34,23 +29,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the longest original, then the smallest id."""
     groups = keep(exact_dedup.exact_groups(docs).select("doc_id", "kept").filter("doc_id IS NOT NULL"))
-    out = _without(docs, groups.filter("NOT kept"))
+    out = without(docs, groups.filter("NOT kept"))
     kept = groups.filter("kept").groupBy("doc_id").count().filter("count > 1")
     if kept.isEmpty():
         return out
     again = kept.select("doc_id")  # rows repeated with one id: one of them, which are alike but for their other columns
     one = out.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return _without(out, again).unionByName(one)
+    return without(out, again).unionByName(one)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group, the document with the smallest id."""
-    return _without(docs, minhash.near_groups(docs, percent=NEAR_PERCENT).filter("NOT kept AND doc_id IS NOT NULL"))
+    return without(docs, minhash.near_groups(docs, percent=NEAR_PERCENT).filter("NOT kept AND doc_id IS NOT NULL"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose sources, languages and topics approach their target weights."""
-    return _without(docs, mixing.mix(docs).filter("NOT sampled AND doc_id IS NOT NULL"))
+    return without(docs, mixing.mix(docs).filter("NOT sampled AND doc_id IS NOT NULL"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,6 +77,29 @@ class Marks:
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) > 0
 
 
+def without(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """df but for the rows whose id stands in ids; a row without an id stays.
+
+    The ids are marked in a bitmap, a table of at most 2 ** MARK_BITS / 8 bytes that can be broadcast. Rows that are not
+    marked pass where they are read, so only the others, whole texts as they may be, are shuffled for the exact join. More
+    ids than bits would mark nearly all rows, and then the join does the work alone."""
+    gone = keep(ids.select(F.col(column).alias("id")).distinct(), rows=F.count(F.lit(1)))
+    size = 1 << min(MARK_BITS, max(16, (32 * gone.seen["rows"]).bit_length()))
+    columns = [df[c] for c in df.columns]
+    if gone.seen["rows"] > size:
+        return df.join(gone, df[column] == gone["id"], "left_anti").select(columns)
+    at = lambda c: F.xxhash64(c.cast("string")).bitwiseAND(F.lit(size - 1))
+    place = at(gone["id"]) + 1
+    bits = keep(gone.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("b")))
+    mine = at(df[column])
+    position = F.bitmap_bit_position(mine + 1)
+    byte = F.conv(F.hex(F.substr(bits["b"], F.shiftright(position, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(F.getbit(byte, position.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    told = df.join(F.broadcast(bits), F.bitmap_bucket_number(mine + 1) == bits["k"], "left")
+    clear, rest = (told.filter(c).select(columns) for c in (~marked, marked))
+    return clear.unionAll(rest.join(gone, rest[column] == gone["id"], "left_anti").select(*(rest[c] for c in df.columns)))
+
+
 def fold(modulus: int, doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
 

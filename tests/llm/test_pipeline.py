@@ -3,7 +3,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from rasterloom.llm import minhash, mixing, quality_crf, registry
+from rasterloom.llm import common, minhash, mixing, quality_crf, registry
 from tests.llm.test_dedup import brute_components, shingles
 
 SF = "/root/testdata/sf0.001"
@@ -84,6 +84,19 @@ def test_stages_on_awkward_rows(spark, docs, empty):
         assert corpus_pipeline.quality(spark, empty, SF).collect() == []
 
 
+@pytest.mark.parametrize("bits", [3, 7, 27])
+def test_rows_without(spark, docs, bits, monkeypatch):
+    """No mark, nearly all marked, and more ids than bits; a null id, an id of another type, clashing columns b, k and id."""
+    monkeypatch.setattr(common, "MARK_BITS", bits)
+    many = spark.range(200).selectExpr("nullif(id, 150) AS doc_id", "concat('t', id) AS text", "1 AS b", "'x' AS k", "id")
+    for gone in ([], [None], [4], list(range(0, 200, 3)), list(range(200))):
+        ids = spark.createDataFrame([(i,) for i in gone + gone[:1]], "doc_id int")
+        got = common.without(many, ids)
+        assert got.columns == many.columns
+        assert sorted(r.id for r in got.collect()) == [i for i in range(200) if i not in gone or i == 150]
+    assert common.without(docs, docs.filter("doc_id = 6")).count() == docs.filter("doc_id != 6").count()
+
+
 def test_registered():
     assert {f"op{n}_" for n in range(1, 11)} <= {q.split("_")[0] + "_" for q in registry.QUERIES}
     assert "pipeline" in registry.QUERIES and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
