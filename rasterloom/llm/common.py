@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,9 @@ from rasterloom.sources.shared import new_folder
 
 #: The white space of every word rule here: space and 09-0D.
 WHITE = " \t\n\x0b\x0c\r"
+#: Bytes of text that a worker takes at once; its arrays are some thirty times that.
+PORTION = 2 << 20
+_LIBC = ctypes.CDLL(None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,8 +108,16 @@ def fold(modulus: int, doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+def trim() -> None:
+    """Give what this process has freed back to the system; a worker that waits for its next task keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(_LIBC, "malloc_trim", None):  # glibc only
+        give(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = PORTION) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about max_bytes of text at most, so that working memory follows neither row count nor length."""
+    trim()  # what the worker's task before left
     for batch in batches:
         n = batch.num_rows
         if n == 0:
@@ -114,6 +126,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 24 <
         step = max(1, int(n * max_bytes / max(size, 1)))
         for i in range(0, n, step):
             yield batch.slice(i, step)
+    trim()
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str | None]:

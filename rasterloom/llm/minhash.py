@@ -132,7 +132,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in pieces(batches, "text", 8 << 20):
+        for batch in pieces(batches, "text"):
             n, s1, s2, bands = [], [], [], []
             for s in shingler.sets(texts_of(batch, "text")):
                 n.append(len(s))
@@ -154,7 +154,7 @@ def _sets(docs: DataFrame, wanted: Marks) -> DataFrame:
         shingler = Shingler()
         for batch in batches:
             held = batch.filter(pa.array(sent.value.hold(batch.column(2).to_numpy())))
-            for part in pieces(iter([held]), "text", 8 << 20):
+            for part in pieces(iter([held]), "text"):
                 sets = list(shingler.sets(texts_of(part, "text")))
                 yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "s"])
 

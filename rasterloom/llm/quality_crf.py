@@ -195,7 +195,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 8 << 20):
+        for batch in pieces(batches, "text"):
             out = pa.array(sent.value.scores(texts_of(batch, "text")))
             yield pa.record_batch([batch.column(0), out], ["doc_id", "score"])
 
@@ -207,7 +207,7 @@ def filter_good(docs: DataFrame, model: Model, text: str = "text", threshold: fl
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text, 8 << 20):
+        for batch in pieces(batches, text):
             yield batch.filter(pa.array(sent.value.scores(texts_of(batch, text)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
