@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rasterloom.llm import exact_dedup, language_id, media, minhash, mixing, quality_crf, sentencepiece, suffix_dedup, token_counts, toxicity
+from rasterloom.llm import byte_bpe, centroids, exact_dedup, language_id, media, minhash, mixing, quality_crf, sentencepiece, suffix_dedup, token_counts, toxicity, whitening
 from rasterloom.llm.common import table
 
 
@@ -47,6 +47,18 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark, sf_dir):
+    return centroids.op11(table(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_bpe(spark, sf_dir):
+    return byte_bpe.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.op13(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_language_id": op1_language_id,
@@ -59,8 +71,12 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_centroids": op11_centroids,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL = {
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_centroids": centroids.SQL,
 }
