@@ -2,13 +2,14 @@
 
 A normalised text (white space of 20 and 09-0D deleted) is cut where its own characters say so, never at fixed
 offsets. A chunk is named by a 64-bit hash and the names are verified: names that stand for more than one (length,
-SHA-256) are found by a pre-aggregated count over all chunks, and documents holding one carry their text's SHA-256 as
-a tie breaker. Texts are then equal exactly when their ordered lists of names are, so the lists (8 bytes for some
-hundred characters) are what is shuffled, and the texts are read once and never move.
+SHA-256) are found by a pre-aggregated count over all chunks, and recipes holding one carry their text's SHA-256 as
+a tie breaker. Whether a recipe is doubtful is a property of the recipe, not of a row or its id. Texts are then equal exactly
+when their ordered lists of names are, so the lists (8 bytes for some hundred characters) are what is shuffled, and the
+texts are read once and never move.
 
 Cases: null text is the empty text; the empty recipe is a group like any other; equal length falls to the smaller
-id; repeated ids give a row each; a row without an id is in its group, but another of its length stays; an empty table gives no rows. Columns other than id and text are not read, so
-their names cannot clash.
+id; repeated ids give a row each, whatever their texts; a row without an id is in its group, but another of its length
+stays; an empty table gives no rows. Columns other than id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -16,21 +17,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import WHITE, keep
+from rasterloom.llm.common import WHITE, discard, keep
 
-#: A cut follows three characters of this class, about once in 400 characters of prose. Latin letters are named, for they
-#: are far from equally frequent; elsewhere the code point decides: one in eight of small alphabets, one in eight blocks of
-#: large ones. MAX_CHUNK bounds what is left, such as one letter a thousand times.
-LATIN = "dlmu05éö"
+#: A cut follows three characters of this class, about once in 400 characters of prose. Letters of basic Latin are named, in
+#: both cases, for they are far from equally frequent; elsewhere the code point decides: one in eight of small alphabets,
+#: one in eight blocks of large ones. MAX_CHUNK bounds what is left, such as one letter a thousand times.
+LATIN = "dlmuDLMU05éöÉÖ"
+#: First and last code point, and width of a block.
+BLOCKS = [(0x100, 0xFFF, 1), (0x1000, 0x33FF, 4), (0x3400, 0xD7FF, 64), (0xE000, 0xFFFF, 64), (0x10000, 0x17FFF, 8), (0x18000, 0x1EFFF, 8), (0x1F000, 0x1FFFF, 64), (0x20000, 0x3FFFF, 512), (0x40000, 0x10FFFF, 4096)]
 
 
 def _every(first: int, last: int, width: int) -> str:
     """Of each eight blocks of so many code points the fourth."""
     starts = range(first - first % (8 * width) + 3 * width, last, 8 * width)
-    return "".join(f"\\u{a:04X}-\\u{a + width - 1:04X}" if width > 1 else f"\\u{a:04X}" for a in starts)
+    return "".join(f"\\x{{{a:X}}}-\\x{{{a + width - 1:X}}}" for a in starts)
 
 
-CUT_CLASS = f"[{LATIN}[\\u0370-\\u0FFF&&[{_every(0x0370, 0x1000, 1)}]][\\u1000-\\u33FF&&[{_every(0x1000, 0x3400, 4)}]][\\u3400-\\uFFFF&&[{_every(0x3400, 0xD800, 64)}{_every(0xE000, 0x10000, 64)}]]]"
+CUT_CLASS = f"[{LATIN}" + "".join(f"[\\x{{{a:X}}}-\\x{{{b:X}}}&&[{_every(a, b, width)}]]" for a, b, width in BLOCKS) + "]"
 MAX_CHUNK = 2048
 CHUNKS = f"(?s).{{1,{MAX_CHUNK}}}?{CUT_CLASS}{{3}}|.{{1,{MAX_CHUNK}}}"
 
@@ -52,14 +55,18 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", di
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     digest names chunks (a Column to bigint Column function); any choice gives right results."""
-    kept = keep(recipes(docs, doc_id, text, digest))
-    each = kept.select("doc_id", F.explode("chunks").alias("c")).select("doc_id", "c.*")
+    kept = keep(recipes(docs, doc_id, text, digest).withColumn("recipe", F.col("chunks.h")).withColumn("rid", F.xxhash64("recipe")))
+    each = kept.select("rid", F.explode("chunks").alias("c")).select("rid", "c.*")
     verified = each.groupBy("h", "n", "d").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("contents"))
-    bad = keep(verified.filter("contents > 1").select("h"))  # a table, so that the join below can split a chunk that many documents share
-    doubtful = each.select("doc_id", "h").join(bad, "h", "left_semi").select("doc_id").distinct()
-    named = kept.select("doc_id", "n_chars", "text_sha256", F.col("chunks.h").alias("recipe"))
-    # a table of its own: both sides of the last join are then plain exchanges, whose large partitions Spark can split
-    named = keep(named.join(doubtful.withColumn("doubt", F.lit(True)), "doc_id", "left").select("doc_id", "n_chars", "text_sha256", "recipe", F.when(F.col("doubt"), F.col("text_sha256")).otherwise("").alias("tie")))
+    # tables, so that the joins can split a chunk or a recipe that many documents share
+    bad = keep(verified.filter("contents > 1").select("h"), rows=F.count(F.lit(1)))
+    columns = ["doc_id", "n_chars", "text_sha256", "recipe"]
+    named = kept.select(*columns, F.lit("").alias("tie"))
+    if bad.seen["rows"]:
+        doubtful = keep(each.select("rid", "h").join(bad, "h", "left_semi").select("rid").distinct().withColumn("doubt", F.lit(True)))
+        named = keep(kept.join(doubtful, "rid", "left").select(*columns, F.when(F.col("doubt"), F.col("text_sha256")).otherwise("").alias("tie")))
+        discard(kept, doubtful)
+    discard(bad)
     # the complement turns the order of ids round, the least one too, which has no negative
     best = F.max(F.struct(F.col("n_chars"), F.bitwise_not("doc_id").alias("turned")))
     groups = keep(named.groupBy("recipe", "tie").agg(F.count("*").alias("group_size"), best.alias("best")).select("recipe", "tie", "group_size", F.bitwise_not("best.turned").alias("keep_id")))

@@ -40,7 +40,7 @@ def test_exact_recipes_join_to_the_text(docs):
 def test_exact_cuts_follow_the_text_in_any_script(spark):
     """Chunks of a text and of the same text after a new beginning agree but for the first ones."""
     r = random.Random(2)
-    for first, last in ((0x4E00, 0x9FA5), (0x430, 0x44F), (0xAC00, 0xD7A3), (0x3041, 0x3096), (0x905, 0x939), (0x61, 0x7A)):
+    for first, last in ((0x4E00, 0x9FA5), (0x430, 0x44F), (0xAC00, 0xD7A3), (0x3041, 0x3096), (0x905, 0x939), (0x61, 0x7A), (0x41, 0x5A), (0x100, 0x17F), (0x20000, 0x2A6DF), (0x10400, 0x1044F), (0x1F300, 0x1FAFF)):
         text = "".join(chr(r.randrange(first, last)) for _ in range(30_000))
         rows = spark.createDataFrame([(0, text), (1, "x" * 7 + text)], "doc_id long, text string")
         a, b = ([c.h for c in r.chunks] for r in exact_dedup.recipes(rows).orderBy("doc_id").collect())
@@ -54,6 +54,16 @@ def test_exact_least_id_and_no_id(spark):
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in got) == sorted([(str(least), str(least), 4, True)] * 2 + [("0", str(least), 4, False), ("None", str(least), 4, False), ("None", "None", 1, True)])
 
 
+def test_exact_names_that_clash(spark):
+    """Doubt goes with the recipe: repeated and missing ids of different texts do not matter."""
+    rows = [(1, "aaa"), (1, "bbb"), (2, "bbb"), (None, "aaa"), (None, "ccc"), (3, "d" * 9000), (3, "e" * 9000), (4, "d" * 9000)]
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), digest=lambda c: F.length(c).cast("long")).collect()
+    sha = {t: hashlib.sha256(t.encode()).hexdigest() for _, t in rows}
+    keepers = {"aaa": (1, 2), "bbb": (1, 2), "ccc": (None, 1), "d" * 9000: (3, 2), "e" * 9000: (3, 1)}
+    want = sorted((str(i), str(keepers[t][0]), keepers[t][1], i == keepers[t][0], sha[t]) for i, t in rows)
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in got) == want
+
+
 def test_exact_empty(empty):
     assert exact_dedup.exact_groups(empty).collect() == []
 
