@@ -88,24 +88,58 @@ def packed(bits: str) -> bytes:
     return np.packbits(np.frombuffer(bits.encode(), np.uint8) - 48).tobytes() if bits else b""
 
 
-def unpacked(data: bytes) -> str:
-    return (np.unpackbits(np.frombuffer(data, np.uint8)) + 48).tobytes().decode() if data else ""
-
-
-def decode_bits(root: object, bits: str, n: int) -> list:
-    if not isinstance(root, Branch):
-        return [root] * n
-    out, node = [], root
-    for b in bits:
-        node = node[b == "1"]
-        if not isinstance(node, Branch):
-            out.append(node)
-            if len(out) == n:
-                break
-            node = root
-    if len(out) < n:
-        raise ValueError("bits end before the last symbol")
-    return out
+class Table:
+    """Codes from left to right as 64-bit numbers, filled up with zeros: the code that bits begin with is the last one that
+    is not above their first 64."""
+
+    def __init__(self, root: object):
+        self.symbols, starts, sizes = [], [], []
+        stack = [(root, 0, 0)]
+        while stack:
+            node, code, size = stack.pop()
+            if isinstance(node, Branch):
+                if size == 64:
+                    raise ValueError("a code of more than 64 bits")
+                stack += [(node[1], code << 1 | 1, size + 1), (node[0], code << 1, size + 1)]
+            else:
+                self.symbols.append(node)
+                starts.append(code << (64 - size) & ((1 << 64) - 1))
+                sizes.append(size)
+        self.starts, self.sizes = np.array(starts, np.uint64), np.array(sizes, np.int64)
+
+    def decode(self, data: bytes, n: int) -> np.ndarray:
+        """Places in `symbols` of n symbols. The code at every bit of a stretch is looked up at once; what is left to do one
+        symbol after another is a step from each to the next."""
+        if not self.sizes.any():
+            return np.zeros(n, np.int64)
+        out = np.empty(n, np.int64)
+        raw, done, at = np.frombuffer(data + bytes(9), np.uint8), 0, 0
+        while done < n:
+            first = at >> 3
+            stretch = raw[first : first + STRETCH + 9].astype(np.uint64)
+            here = len(stretch) - 9
+            if here <= 0:
+                raise ValueError("bits end before the last symbol")
+            whole = np.zeros(here, np.uint64)
+            for k in range(8):
+                whole = whole << np.uint64(8) | stretch[k : k + here]
+            bit = np.arange(8, dtype=np.uint64)
+            window = (whole[:, None] << bit) | (stretch[8 : 8 + here, None] >> (np.uint64(8) - bit))
+            found = np.searchsorted(self.starts, window.ravel(), "right") - 1
+            steps, p, end = self.sizes[found].tolist(), at - 8 * first, 8 * here
+            places = []
+            while p < end and done + len(places) < n:
+                places.append(p)
+                p += steps[p]
+            out[done : done + len(places)] = found[places]
+            done, at = done + len(places), p + 8 * first
+        if at > 8 * len(data):
+            raise ValueError("bits end before the last symbol")
+        return out
+
+
+#: Bytes of which the codes are looked up at once.
+STRETCH = 1 << 16
 
 
 #: Symbols on the wire, by the name of their kind: (bytes, writer, reader).
@@ -133,7 +167,15 @@ def encode_all(symbols: list, kind) -> bytes:
 
 def decode_all(data: bytes, at: int, n: int, kind) -> list:
     root, at = parse(data, at, kind[0], kind[2])
-    return decode_bits(root, unpacked(data[at:]), n)
+    table = Table(root)
+    return [table.symbols[i] for i in table.decode(data[at:], n).tolist()]
+
+
+def decode_array(data: bytes, at: int, n: int, kind) -> np.ndarray:
+    """The same for symbols of numbers, as rows of an array."""
+    root, at = parse(data, at, kind[0], kind[2])
+    table = Table(root)
+    return np.array(table.symbols, np.int64)[table.decode(data[at:], n)]
 
 
 def codebook(histogram: DataFrame, symbol: list[str], key: str = "img_id", count: str = "cnt") -> DataFrame:

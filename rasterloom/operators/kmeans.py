@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.operators.joins import FEW, nearest, nearest_numpy
+from rasterloom.operators.pruned import BLOCK, Neighbours, kmeans_rounds, next_lengths
 from rasterloom.sources.shared import written
 
+#: Points of an image that are one task's work; the rounds of a larger image are plans.
+ALONE = 1 << 18
+
 COLOUR, PLACE = ["r", "g", "b"], ["x", "y", "r", "g", "b"]
 
 
@@ -52,22 +56,21 @@ def lloyd(x: np.ndarray, weight: np.ndarray, k: int, max_iter: int | None = None
     The same steps as the functions above: chunks from the tail, the first point of each as its centroid, a point moves
     only to a strictly nearer centroid and to the lowest of equals, truncated weighted means. An empty cluster takes
     the point that is furthest from its own centroid, the first of equals; several take the next ones.
-    It ends when no point moves. Truncated means may come round in a circle: a state met before ends it unconverged."""
+    Distances are compared along neighbour lists (Neighbours). It ends when no point moves. Truncated means may come round in a circle: a state met before ends it unconverged."""
     n = len(x)
     if n < k:
         raise ValueError(f"fewer points than {k} clusters")
     own = np.minimum((n - 1 - np.arange(n)) // (n // k), k - 1)
     c = x[[np.flatnonzero(own == i)[0] for i in range(k)]]
-    step, d2, rows = max(1, 2_000_000 // k), np.zeros(n, np.int64), np.arange(n)
+    d2, rows, lengths = np.zeros(n, np.int64), np.arange(n), None
     met: set[bytes] = set()
     for _ in itertools.count() if max_iter is None else range(max_iter):
-        new = np.empty(n, np.int64)
-        for i in range(0, n, step):
-            d = ((x[i : i + step, None, :] - c[None]) ** 2).sum(2)
-            best, r = d.argmin(1), np.arange(len(d))
-            stay = d[r, own[i : i + step]] == d[r, best]
-            new[i : i + step] = np.where(stay, own[i : i + step], best)
-            d2[i : i + step] = d[r, best]
+        new, marks, lists = np.empty(n, np.int64), np.zeros(k, np.int64), Neighbours(c, lengths)
+        for i in range(0, n, BLOCK):
+            part = slice(i, i + BLOCK)
+            new[part], d2[part], _, _, _, looked = lists.nearest(x[part], own[part])
+            marks = np.maximum(marks, looked)
+        lengths = next_lengths(marks, k)
         moved = bool((new != own).any())
         own = new
         total = np.bincount(own, weight, k)
@@ -84,13 +87,26 @@ def lloyd(x: np.ndarray, weight: np.ndarray, k: int, max_iter: int | None = None
     return own, d2, c, False
 
 
-def kmeans(points: DataFrame, k: int, features: list[str], key: str = "img_id", point: str = "pos", max_iter: int | None = None) -> tuple[DataFrame, DataFrame]:
+def kmeans(points: DataFrame, k: int, features: list[str], key: str = "img_id", point: str = "pos", max_iter: int | None = None, alone: int = ALONE) -> tuple[DataFrame, DataFrame]:
     """points with cid and d2, and centroids with `converged`. points hold key, point, features and a weight `cnt`.
 
-    One shuffle for all rounds: an image's points (distinct colours, or pixels) are one task, as in its coders, and the
-    distances of a block at a time are in memory. The two results come from one written table."""
+    An image of up to `alone` points (distinct colours, or pixels) is one task for all its rounds, after one shuffle; of
+    larger ones each round is a plan over blocks of points (kmeans_rounds). Results are the same either way. What is returned
+    comes from written tables."""
     if not 1 <= k <= FEW:
         raise ValueError(f"k must be from 1 to {FEW}")
+    columns = [key, point, "cid", "d2", "cnt", *features]
+    sizes = written(points.groupBy(key).agg((F.count("*") > alone).alias("large")), "sizes")
+    large = sizes.filter("large").select(key)
+    if large.isEmpty():
+        return _alone(points, k, features, key, point, max_iter)
+    mine, cents, _ = kmeans_rounds(points.join(large, key, "left_semi"), k, features, key, point, max_iter)
+    small, small_cents = _alone(points.join(large, key, "left_anti"), k, features, key, point, max_iter)
+    return small.select(columns).unionByName(mine.select(columns)), small_cents.unionByName(cents.drop("round"))
+
+
+def _alone(points: DataFrame, k: int, features: list[str], key: str, point: str, max_iter: int | None) -> tuple[DataFrame, DataFrame]:
+    """One shuffle for all rounds, an image a task."""
     kinds = dict(points.dtypes)
     schema = f"{key} {kinds[key]}, {point} {kinds[point]}, cid int, d2 long, cnt long, converged boolean, " + ", ".join(f"{f} int" for f in features)
 

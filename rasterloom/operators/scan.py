@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from rasterloom.functions.scalar import hilbert_index, large_side, small_side
 
@@ -26,81 +27,72 @@ def hilbert_large(px: DataFrame, dims: DataFrame) -> DataFrame:
     return px.join(dims.select("img_id", side.alias("side")), "img_id").withColumn("hidx", hilbert_index(F.col("x"), F.col("y"), F.col("side"))).drop("side")
 
 
-def rect_order(w: int, h: int) -> np.ndarray:
-    """Positions along a generalised Hilbert curve of a w x h rectangle, as an (h, w) array.
-
-    The rectangle is halved along its longer edge, or, if it is not so long, cut in three turned parts; a part of one
-    row or column is a line. This is the generalised Hilbert curve of Jakub Cerveny's gilbert (2018), with a stack in
-    place of recursion; its licence (BSD 2-Clause) is in NOTICE. Squares of a power of two follow the Hilbert curve's
-    quadrants."""
-    out = np.zeros((h, w), np.int64)
-    at = 0
-    stack = [(0, 0, w, 0, 0, h) if w >= h else (0, 0, 0, h, w, 0)]
-    if w == h and w & (w - 1) == 0:  # the exact curve, with the corner order that squares have
-        xy = _square(w)
-        out[xy[:, 1], xy[:, 0]] = np.arange(w * h)
-        return out
-    while stack:
-        x, y, ax, ay, bx, by = stack.pop()
-        n, m = abs(ax + ay), abs(bx + by)
-        dax, day, dbx, dby = np.sign(ax), np.sign(ay), np.sign(bx), np.sign(by)
-        if n == 0 or m == 0:
-            continue
-        if m == 1 or n == 1:
-            k, dx, dy = (n, dax, day) if m == 1 else (m, dbx, dby)
-            steps = np.arange(k)
-            out[y + dy * steps, x + dx * steps] = at + steps
-            at += k
-            continue
-        ax2, ay2, bx2, by2 = ax // 2 if ax >= 0 else -(-ax // 2), ay // 2 if ay >= 0 else -(-ay // 2), bx // 2 if bx >= 0 else -(-bx // 2), by // 2 if by >= 0 else -(-by // 2)
-        if 2 * n > 3 * m:
-            if abs(ax2 + ay2) % 2 and n > 2:
-                ax2, ay2 = ax2 + dax, ay2 + day
-            stack += [(x + ax2, y + ay2, ax - ax2, ay - ay2, bx, by), (x, y, ax2, ay2, bx, by)]
-        else:
-            if abs(bx2 + by2) % 2 and m > 2:
-                bx2, by2 = bx2 + dbx, by2 + dby
-            stack += [
-                (x + (ax - dax) + (bx2 - dbx), y + (ay - day) + (by2 - dby), -bx2, -by2, -(ax - ax2), -(ay - ay2)),
-                (x + bx2, y + by2, ax, ay, bx - bx2, by - by2),
-                (x, y, bx2, by2, ax2, ay2),
-            ]
+def square_places(x: np.ndarray, y: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Places along the Hilbert curve of squares whose side is a power of two, a quadrant at a time."""
+    x, y, s = x.astype(np.int64), y.astype(np.int64), np.asarray(side, np.int64) // 2
+    out = np.zeros(len(x), np.int64)
+    while (s > 0).any():
+        right, down = x >= s, y >= s
+        out += np.where(right, np.where(down, 2, 3), np.where(down, 1, 0)) * s * s
+        x, y = np.where(right, np.where(down, x - s, s - 1 - y), np.where(down, x, y)), np.where(right, np.where(down, y - s, 2 * s - 1 - x), np.where(down, y - s, x))
+        s = s // 2
     return out
 
 
-def _square(n: int) -> np.ndarray:
-    """(x, y) along the Hilbert curve, built by doubling: four turned copies."""
-    xy = np.zeros((1, 2), np.int64)
-    side = 1
-    while side < n:
-        turned = xy[:, ::-1]
-        last = np.stack([2 * side - 1 - xy[:, 1], side - 1 - xy[:, 0]], 1)
-        xy = np.concatenate([turned, xy + [0, side], xy + [side, side], last])
-        side *= 2
-    return xy
+def rect_places(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of cells along a generalised Hilbert curve of w x h rectangles, each found by descent.
+
+    A part of the curve covers n cells along one direction and m along another. It is halved along its longer edge, or, if
+    that is not much longer, cut in three turned parts; a part of one row or column is a line. A cell follows the part
+    that holds it and skips the cells of the parts before, so the work is of the order of the logarithm of the sides and
+    nothing is as large as a picture. This is the generalised Hilbert curve of Jakub Cerveny's gilbert (2018); its
+    licence (BSD 2-Clause) is in NOTICE. Squares of a power of two follow the Hilbert curve's quadrants."""
+    x, y, w, h = (np.broadcast_to(np.asarray(v, np.int64), np.shape(x)).copy() for v in (x, y, w, h))
+    out = np.zeros(len(x), np.int64)
+    exact = (w == h) & (w & (w - 1) == 0)
+    out[exact] = square_places(x[exact], y[exact], w[exact])
+    rows = np.flatnonzero(~exact)
+    x, y, w, h = x[rows], y[rows], w[rows], h[rows]
+    wide = w >= h
+    n, m = np.where(wide, w, h), np.where(wide, h, w)
+    # u and v: how far the cell lies along the two directions of its part, which are signed turns of the axes
+    u, v = np.where(wide, x, y), np.where(wide, y, x)
+    while len(rows):
+        line = (n == 1) | (m == 1)
+        out[rows[line]] += np.where(m[line] == 1, u[line], v[line])
+        rows, n, m, u, v = (a[~line] for a in (rows, n, m, u, v))
+        halved = 2 * n > 3 * m
+        n2, m2 = n // 2, m // 2
+        n2 += halved & (n2 % 2 == 1) & (n > 2)
+        m2 += ~halved & (m2 % 2 == 1) & (m > 2)
+        far, high = u >= n2, v >= m2
+        last = ~halved & ~high & far
+        out[rows] += np.where(halved, np.where(far, n2 * m, 0), np.where(high, n2 * m2, np.where(far, n2 * m2 + n * (m - m2), 0)))
+        # of a halved part one side; else a turned corner, the side opposite, or the other corner from its end
+        n, m, u, v = (
+            np.where(halved, np.where(far, n - n2, n2), np.where(high, n, m2)),
+            np.where(halved, m, np.where(high, m - m2, np.where(far, n - n2, n2))),
+            np.where(halved, np.where(far, u - n2, u), np.where(high, u, np.where(last, m2 - 1 - v, v))),
+            np.where(halved, v, np.where(high, v - m2, np.where(last, n - 1 - u, u))),
+        )
+    return out
 
 
-_orders: dict[tuple[int, int], np.ndarray] = {}
+@F.pandas_udf(LongType())
+def _place(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+    return pd.Series(rect_places(x.to_numpy(), y.to_numpy(), w.to_numpy(), h.to_numpy()))
 
 
 def hilbert_rect(px: DataFrame, dims: DataFrame) -> DataFrame:
     """All pixels along a curve made for the image's own width and height, without gaps."""
+    return px.join(dims.select("img_id", F.col("w").cast("long").alias("w"), F.col("h").cast("long").alias("h")), "img_id").withColumn("hidx", _place("x", "y", "w", "h")).drop("w", "h")
+
 
-    @F.pandas_udf("long")
-    def place(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
-        out = np.zeros(len(x), np.int64)
-        both = w.to_numpy() * (1 << 32) + h.to_numpy()
-        for k in np.unique(both):
-            size = int(k >> 32), int(k & 0xFFFFFFFF)
-            if size not in _orders:
-                if len(_orders) > 8:
-                    _orders.clear()
-                _orders[size] = rect_order(*size)
-            own = both == k
-            out[own] = _orders[size][y.to_numpy()[own], x.to_numpy()[own]]
-        return pd.Series(out)
-
-    return px.join(dims.select("img_id", F.col("w").cast("long").alias("w"), F.col("h").cast("long").alias("h")), "img_id").withColumn("hidx", place("x", "y", "w", "h")).drop("w", "h")
+def on_curve(px: DataFrame) -> DataFrame:
+    """The same with sizes taken from the pixels, which are read once and dealt by image."""
+    image = Window.partitionBy("img_id")
+    sized = px.select("*", (F.max("x").over(image) + 1).alias("_w"), (F.max("y").over(image) + 1).alias("_h"))
+    return sized.withColumn("hidx", _place("x", "y", "_w", "_h")).drop("_w", "_h")
 
 
 def coordinates(dims: DataFrame) -> DataFrame:

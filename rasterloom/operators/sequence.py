@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.scalar import RGB, signed, unsigned
+from rasterloom.operators.fold import folded
 
 CAP = 255
 
@@ -72,48 +73,100 @@ class MeanRuns:
 
     def close(self) -> tuple[int, list[int]]:
         """The run's length and mean, rounded half away from zero; a new run begins."""
-        out = self.n, [int(np.floor(t / self.n + 0.5)) for t in self.total]
+        out = self.n, [int(math.floor(t / self.n + 0.5)) for t in self.total]
         self.total, self.n = [0.0] * len(self.total), 0
         return out
 
     def add(self, point: tuple) -> tuple[int, list[int]] | None:
         """The run that this point ends, if it ends one."""
-        done = None
-        if self.n and (self.n >= self.cap or sum((t / self.n - p) ** 2 for t, p in zip(self.total, point, strict=True)) > self.limit):
-            done = self.close()
+        done, n = None, self.n
+        if n:
+            far = 0.0
+            for t, p in zip(self.total, point, strict=True):
+                d = t / n - p
+                far += d * d
+            if n >= self.cap or far > self.limit:
+                done = self.close()
         self.total = [t + p for t, p in zip(self.total, point, strict=True)]
         self.n += 1
         return done
 
     def runs(self, points: Iterator[tuple]) -> list[tuple[int, list[int]]]:
-        out = [r for p in points if (r := self.add(p))]
-        return out + ([self.close()] if self.n else [])
+        """All runs of a whole sequence."""
+        return [r for p in points if (r := self.add(p))] + self.rest()
+
+    def rest(self) -> list[tuple[int, list[int]]]:
+        return [self.close()] if self.n else []
+
+
+class EqualRuns:
+    """The same for equal points, a stretch at a time in arrays."""
+
+    def __init__(self, cap: int = CAP):
+        self.cap, self.value, self.n = cap, None, 0
+
+    def stretch(self, points: np.ndarray) -> list[tuple[int, list[int]]]:
+        """The runs that end within these points, which follow those before."""
+        out, edges = [], np.flatnonzero((points[1:] != points[:-1]).any(1)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(points)], strict=True):
+            value = points[a].tolist()
+            if value != self.value:
+                out += self.rest()
+                self.value = value
+            self.n += b - a
+            while self.n > self.cap:
+                out.append((self.cap, value))
+                self.n -= self.cap
+        return out
 
+    def rest(self) -> list[tuple[int, list[int]]]:
+        out, self.n = [(self.n, self.value)] if self.n else [], 0
+        return out
 
-def mean_runs(rows: DataFrame, allowance: float, key: str = "img_id", order: str = "pos", values: tuple[str, ...] = RGB) -> DataFrame:
-    """Approximate runs: key, seq, cnt, values. Each depends on all before it, so a sequence is one task's work."""
-    kind = dict(rows.dtypes)[key]
-    MeanRuns(allowance)  # checks the allowance on the driver
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = MeanRuns(allowance, len(values)).runs(pdf.sort_values(order)[list(values)].itertuples(index=False, name=None))
-        return pd.DataFrame({key: pdf[key].iloc[0], "seq": range(len(got)), "cnt": [n for n, _ in got], **{v: [m[i] for _, m in got] for i, v in enumerate(values)}})
+class _Runs:
+    """Approximate runs as rows: seq, cnt, values."""
+
+    def __init__(self, allowance: float, width: int):
+        self.state, self.seq, self.width = MeanRuns(allowance, width), 0, width
+
+    def _rows(self, got: list) -> list:
+        self.seq += len(got)
+        return [np.arange(self.seq - len(got), self.seq), [n for n, _ in got], *([m[i] for _, m in got] for i in range(self.width))]
+
+    def feed(self, order: np.ndarray, values: list[np.ndarray]) -> list:
+        add = self.state.add
+        return self._rows([r for p in zip(*(v.tolist() for v in values), strict=True) if (r := add(p))])
+
+    def end(self) -> list:
+        return self._rows(self.state.rest())
+
 
-    return rows.select(key, order, *values).groupBy(key).applyInPandas(fold, f"{key} {kind}, seq long, cnt int, " + ", ".join(f"{v} int" for v in values))
+class _Means:
+    """Of each point its run, its place in it and the run's mean so far."""
+
+    def __init__(self, allowance: float, width: int):
+        self.state, self.run = MeanRuns(allowance, width), 0
+
+    def feed(self, order: np.ndarray, values: list[np.ndarray]) -> list:
+        state, out = self.state, []
+        for point in zip(*(v.tolist() for v in values), strict=True):
+            self.run += state.add(point) is not None
+            out.append((self.run, state.n, *(t / state.n for t in state.total)))
+        return [order, *map(list, zip(*out, strict=True))]
+
+    def end(self) -> None:
+        return None
+
+
+def mean_runs(rows: DataFrame, allowance: float, key: str = "img_id", order: str = "pos", values: tuple[str, ...] = RGB) -> DataFrame:
+    """Approximate runs: key, seq, cnt, values. Each depends on all before it; what is carried along is the open run."""
+    MeanRuns(allowance)  # checks the allowance on the driver
+    return folded(rows, key, order, list(values), lambda: _Runs(allowance, len(values)), "seq long, cnt int, " + ", ".join(f"{v} int" for v in values))
 
 
 def running_means(rows: DataFrame, allowance: float, key: str = "img_id", order: str = "pos", values: tuple[str, ...] = RGB) -> DataFrame:
     """key, order, run, n and m<value>: of each point its approximate run, its place in it and the run's mean so far."""
-    kind = dict(rows.dtypes)[key]
     MeanRuns(allowance)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        state, run, out = MeanRuns(allowance, len(values)), 0, []
-        for point in pdf[list(values)].itertuples(index=False, name=None):
-            run += state.add(point) is not None
-            out.append((run, state.n, *(t / state.n for t in state.total)))
-        got = pd.DataFrame(out, columns=["run", "n", *(f"m{v}" for v in values)])
-        return pd.concat([pdf[[key, order]].reset_index(drop=True), got], axis=1)
-
-    return rows.select(key, order, *values).groupBy(key).applyInPandas(fold, f"{key} {kind}, {order} long, run long, n int, " + ", ".join(f"m{v} double" for v in values))
+    kind = dict(rows.dtypes)[order]
+    return folded(rows, key, order, list(values), lambda: _Means(allowance, len(values)), f"{order} {kind}, run long, n int, " + ", ".join(f"m{v} double" for v in values))

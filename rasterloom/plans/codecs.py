@@ -8,17 +8,20 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.scalar import RGB
 from rasterloom.operators import huffman, kmeans, lz
+from rasterloom.operators.fold import folded
 from rasterloom.operators.joins import recolour
-from rasterloom.operators.scan import rect_order
-from rasterloom.operators.sequence import MeanRuns
+from rasterloom.operators.scan import on_curve, rect_places
+from rasterloom.operators.sequence import EqualRuns, MeanRuns
 from rasterloom.sources.tables import images
 
 PIXELS = "img_id long, pos long, x int, y int, r int, g int, b int"
@@ -51,6 +54,28 @@ def tuples(rows: np.ndarray) -> list[tuple]:
     return list(map(tuple, rows.tolist()))
 
 
+class _Whole:
+    """A fold that gathers an image in raster order and encodes it at its end."""
+
+    def __init__(self, encode):
+        self.encode, self.parts = encode, []
+
+    def feed(self, order: np.ndarray, values: list[np.ndarray]) -> None:
+        self.parts.append(np.stack(values, 1))
+
+    def end(self) -> list:
+        px = np.concatenate(self.parts).astype(np.int64)
+        w, h = int(px[:, 0].max()) + 1, int(px[:, 1].max()) + 1
+        return _row(w, h, lambda: self.encode(w, h, px[:, 2:]))
+
+
+def _row(w: int, h: int, encode) -> list:
+    try:
+        return [[w], [h], [encode()], [None]]
+    except Exception as e:  # noqa: BLE001  one bad image is a row that says so
+        return [[w], [h], [None], [f"{type(e).__name__}: {e}"]]
+
+
 class Codec:
     """name, is_lossless, and a pair of functions over one image: (w, h, rgb rows in raster order) to bytes, and back."""
 
@@ -63,34 +88,43 @@ class Codec:
     def decode_image(self, data: bytes) -> tuple[int, int, np.ndarray]:
         raise NotImplementedError
 
-    def prepare(self, px: DataFrame) -> DataFrame:
-        return px
+    def ordered(self, px: DataFrame) -> tuple[DataFrame, str]:
+        """px and the column by which an image's pixels come to the fold."""
+        return px, "pos"
+
+    def start(self):
+        """The fold of an image's x, y, r, g, b to w, h, encoded, error_msg."""
+        return _Whole(self.encode_image)
 
     def encode(self, px: DataFrame) -> DataFrame:
         """img_id, w, h, encoded, error_msg."""
-
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("pos")
-            w, h = int(pdf.x.max()) + 1, int(pdf.y.max()) + 1
-            try:
-                data, why = self.encode_image(w, h, pdf[list(RGB)].to_numpy(np.int64)), None
-            except Exception as e:  # noqa: BLE001  one bad image is a row that says so
-                data, why = None, f"{type(e).__name__}: {e}"
-            return pd.DataFrame({"img_id": [pdf.img_id.iloc[0]], "w": [w], "h": [h], "encoded": [data], "error_msg": [why]})
-
-        return self.prepare(px).select("img_id", "pos", "x", "y", *RGB).groupBy("img_id").applyInPandas(one, "img_id long, w int, h int, encoded binary, error_msg string")
+        rows, order = self.ordered(px)
+        return folded(rows, "img_id", order, ["x", "y", *RGB], self.start, "w int, h int, encoded binary, error_msg string")
 
     def decode(self, encoded: DataFrame) -> DataFrame:
         """Pixels of all images that have bytes."""
 
-        def all_(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                for i, data in zip(pdf.img_id, pdf.encoded, strict=True):
-                    w, h, rgb = self.decode_image(bytes(data))
+        def all_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    w, h, rgb = self.decode_image(data.as_buffer().to_pybytes())
                     pos = np.arange(w * h)
-                    yield pd.DataFrame({"img_id": i, "pos": pos, "x": pos % w, "y": pos // w, "r": rgb[:, 0], "g": rgb[:, 1], "b": rgb[:, 2]})
+                    columns = [np.full(w * h, i), pos, *(c.astype(np.int32) for c in (pos % w, pos // w, rgb[:, 0], rgb[:, 1], rgb[:, 2]))]
+                    yield pa.record_batch([pa.array(c) for c in columns], ["img_id", "pos", "x", "y", "r", "g", "b"])
+
+        return encoded.filter("encoded IS NOT NULL").select("img_id", "encoded").mapInArrow(all_, PIXELS)
 
-        return encoded.filter("encoded IS NOT NULL").select("img_id", "encoded").mapInPandas(all_, PIXELS)
+
+class Plain(Codec):
+    """The sides and all pixels as they are."""
+
+    name = "plain"
+
+    def encode_image(self, w, h, rgb):
+        return header(w, h) + pixel_bytes(rgb)
+
+    def decode_image(self, data):
+        return (*dimensions(data), bytes_pixels(data[8:]))
 
 
 class Hufman(Codec):
@@ -101,17 +135,23 @@ class Hufman(Codec):
 
     def decode_image(self, data):
         w, h = dimensions(data)
-        return w, h, np.array(huffman.decode_all(data, 8, w * h, huffman.RGB))
+        return w, h, huffman.decode_array(data, 8, w * h, huffman.RGB)
+
+
+@lru_cache(maxsize=2)
+def _places(w: int, h: int) -> np.ndarray:
+    pos = np.arange(w * h)
+    return rect_places(pos % w, pos // w, w, h)
 
 
 def _along(w: int, h: int, rgb: np.ndarray) -> np.ndarray:
     out = np.empty_like(rgb)
-    out[rect_order(w, h).ravel()] = rgb
+    out[_places(w, h)] = rgb
     return out
 
 
 def _back(w: int, h: int, scanned: np.ndarray) -> np.ndarray:
-    return scanned[rect_order(w, h).ravel()]
+    return scanned[_places(w, h)]
 
 
 class Delta(Codec):
@@ -123,12 +163,37 @@ class Delta(Codec):
 
     def decode_image(self, data):
         w, h = dimensions(data)
-        s = np.cumsum(np.array(huffman.decode_all(data, 8, w * h, huffman.SIGNED)), axis=0)
+        s = np.cumsum(huffman.decode_array(data, 8, w * h, huffman.SIGNED), axis=0)
         if ((s < 0) | (s > 255)).any():
             raise ValueError("a channel leaves the range of a byte")
         return w, h, _back(w, h, s)
 
 
+class _Runs:
+    """A fold over an image's pixels along the curve; what it holds are the open run and the bytes of those before."""
+
+    def __init__(self, allowance: float):
+        self.allowance, self.state, self.bytes, self.w, self.h = allowance, MeanRuns(allowance) if allowance else EqualRuns(), bytearray(), 0, 0
+
+    def _add(self, got: list) -> None:
+        if got:
+            rows = np.zeros((len(got), 12), np.uint8)
+            rows[:, 0], rows[:, 1], rows[:, 9:] = [n for n, _ in got], 3, [c for _, c in got]
+            self.bytes += rows.tobytes()
+
+    def feed(self, order: np.ndarray, values: list[np.ndarray]) -> None:
+        self.w, self.h = max(self.w, int(values[0].max()) + 1), max(self.h, int(values[1].max()) + 1)
+        if self.allowance:
+            add = self.state.add
+            self._add([r for p in zip(*(v.tolist() for v in values[2:]), strict=True) if (r := add(p))])
+        else:
+            self._add(self.state.stretch(np.stack(values[2:], 1)))
+
+    def end(self) -> list:
+        self._add(self.state.rest())
+        return _row(self.w, self.h, lambda: header(self.w, self.h) + bytes(self.bytes))
+
+
 class HilbertRle(Codec):
     """Run lengths along the curve: exact, or within an allowance of the run's mean."""
 
@@ -137,16 +202,11 @@ class HilbertRle(Codec):
         self.allowance, self.is_lossless = allowance, allowance == 0
         self.name = "hilbert-rle" if self.is_lossless else f"hilbert-rle-approx_{allowance:.12g}"
 
-    def encode_image(self, w, h, rgb):
-        s = _along(w, h, rgb)
-        if self.is_lossless:
-            new = np.flatnonzero(np.append(True, (s[1:] != s[:-1]).any(1)))
-            size = np.diff(np.append(new, len(s)))
-            starts = np.concatenate([np.arange(a, a + n, 255) for a, n in zip(new.tolist(), size.tolist(), strict=True)])
-            got = list(zip(np.diff(np.append(starts, len(s))).tolist(), s[starts].tolist(), strict=True))
-        else:
-            got = MeanRuns(self.allowance).runs(s.tolist())
-        return header(w, h) + b"".join(struct.pack("<BQ3B", n, 3, *c) for n, c in got)
+    def ordered(self, px):
+        return on_curve(px), "hidx"
+
+    def start(self):
+        return _Runs(self.allowance)
 
     def decode_image(self, data):
         w, h = dimensions(data)

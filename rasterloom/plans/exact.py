@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import scalar as fn
-from rasterloom.operators import huffman, joins, kmeans, lz, metrics, scan, sequence
+from rasterloom.operators import criteria, huffman, joins, kmeans, lz, metrics, scan, sequence
+from rasterloom.operators.fold import folded
 from rasterloom.plans import codecs
 from rasterloom.plans.measure import measure, measure_files, scan_export
-from rasterloom.plans.queries import _REPORTS, PARTS, RGB, _reports, colours, query
+from rasterloom.plans.queries import _REPORTS, ORACLE_SQL, PARTS, RGB, _reports, colours, query
+from rasterloom.plans.streams import EVERY_MATCH
 from rasterloom.sources import reports
+from rasterloom.sources.files import read_files, write_files
 from rasterloom.sources.images import image_pixels, png_sizes, read_images, save_png
 from rasterloom.sources.shared import new_folder
-from rasterloom.sources.tables import doc_bytes, images, pixels, pixels_flat, table, tiles
+from rasterloom.sources.tables import doc_bytes, images, pixels, pixels_flat, seq_events, table, tiles
 
 ALLOWANCE = 16.0
 
@@ -165,12 +168,11 @@ def snk_plots(spark, sf):
     return got.groupBy("family", F.col("display_name").alias("codec")).agg(F.avg("compression_ratio").alias("ratio"), F.coalesce(F.avg("error"), F.lit(0.0)).alias("error"), F.count("*").alias("n"))
 
 
-def _pngs(spark, sf) -> tuple[str, DataFrame]:
-    """A folder of one PNG for each square, and what was written."""
+def _pngs(spark, sf) -> str:
+    """A folder of one PNG for each square."""
     folder = new_folder(spark, "pictures")
-    written = save_png(both_tiles(spark, sf), folder)
-    written.write.format("noop").mode("overwrite").save()
-    return folder, written
+    save_png(both_tiles(spark, sf), folder)
+    return folder
 
 
 def _img_id(path: str):
@@ -183,30 +185,42 @@ fn_name = reports.display_name
 @query("src_image", "WITH {PX}, {FLAT}, {TILES} SELECT img_id, pos, x, y, r, g, b FROM tl")
 def src_image(spark, sf):
     """Pixels of picture files."""
-    found = read_images(spark, _pngs(spark, sf)[0]).withColumn("img_id", _img_id("path"))
+    found = read_images(spark, _pngs(spark, sf)).withColumn("img_id", _img_id("path"))
     return image_pixels(found, "img_id")
 
 
 @query("src_argv", "WITH {PX}, {FLAT}, {TILES} SELECT img_id, 32 AS w, 32 AS h FROM tl WHERE img_id % 10 = 1 GROUP BY 1")
 def src_argv(spark, sf):
     """Files that a pattern names, as on a command line."""
-    found = read_images(spark, f"{_pngs(spark, sf)[0]}/*1.png")
+    found = read_images(spark, f"{_pngs(spark, sf)}/*1.png")
     return found.select(_img_id("path").alias("img_id"), "w", "h")
 
 
-@query("snk_png", "WITH {PX}, {FLAT}, {TILES} SELECT img_id, img_id || '.png' AS file FROM tl GROUP BY 1")
-def snk_png(spark, sf):
-    """The files that a folder holds after writing."""
-    files = spark.read.format("binaryFile").load(_pngs(spark, sf)[0]).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"))
-    return files.select(fn_name(F.col("file")).cast("long").alias("img_id"), "file")
+def _lossy_pngs(spark, sf) -> str:
+    """Of all squares the decoded pictures that differ from theirs, as files."""
+    folder = new_folder(spark, "pictures")
+    measure(both_tiles(spark, sf), codecs.HilbertRle(ALLOWANCE), save=folder)
+    return folder
 
 
-@query("src_dir_sizes", "WITH {PX}, {FLAT}, {TILES} SELECT img_id, true AS sized FROM tl GROUP BY 1")
+@query("src_dir_sizes", "WITH {PX}, {FLAT}, {TILES} SELECT img_id, 8 + 11 * 1024 AS bytes, (8 + 11 * 1024)::DOUBLE / (32 * 32 * 24) * 100 AS ratio FROM tl GROUP BY 1")
 def src_dir_sizes(spark, sf):
-    """Sizes of the picture files of a folder; the ratio is that of the size over the raw picture."""
-    got = png_sizes(spark, _pngs(spark, sf)[0])
-    right = F.abs(F.col("compression_ratio") - F.col("compressed_size") / F.lit(32 * 32 * 24.0) * 100) < 1e-9
-    return got.select(_img_id("name").alias("img_id"), ((F.col("compressed_size") > 57) & right).alias("sized"))
+    """Sizes of the files of a folder, here of plain pictures: two sides, and eleven bytes a pixel."""
+    folder = new_folder(spark, "plain")
+    plain = folded(both_tiles(spark, sf), "img_id", "pos", ["x", "y", *RGB], codecs.Plain().start, "w int, h int, encoded binary, error_msg string")
+    write_files(plain.select(F.concat(F.col("img_id").cast("string"), F.lit(".plain")).alias("name"), F.col("encoded").alias("content")), folder)
+    size = F.col("file_size")
+    return read_files(spark, folder).select(_img_id("name").alias("img_id"), size.alias("bytes"), metrics.ratio_ref(size, F.lit(32), F.lit(32)).alias("ratio"))
+
+
+@query("src_encoded_files", "WITH RECURSIVE {PX}, {FLAT}, {TILES}, {ORDERED}, {SRUNS} SELECT tl.img_id, pos, x, y, r, g, b, n AS file_size FROM tl JOIN (SELECT img_id, 8 + 12 * sum(parts)::BIGINT AS n FROM sruns GROUP BY 1) USING (img_id)")
+def src_encoded_files(spark, sf):
+    """Encoded pictures written as files, read and decoded: pixels, and the size of the file that they came from."""
+    folder, codec = new_folder(spark, "encoded"), codecs.HilbertRle()
+    encoded = codec.encode(both_tiles(spark, sf))
+    write_files(encoded.select(F.concat(F.col("img_id").cast("string"), F.lit(".rle")).alias("name"), F.col("encoded").alias("content")), folder)
+    found = read_files(spark, folder, "*.rle").select(_img_id("name").alias("img_id"), "file_size", F.col("content").alias("encoded"))
+    return codec.decode(found).join(found.select("img_id", "file_size"), "img_id")
 
 
 # means, neighbours, matches
@@ -224,6 +238,28 @@ def wn_rle_approx_cover(spark, sf):
     return sequence.mean_runs(pixels(spark, sf), ALLOWANCE).groupBy("img_id").agg(F.sum("cnt").alias("n"), F.min(F.col("cnt").between(1, 255)).alias("in_bounds"))
 
 
+@query("wn_rle_table_function", ORACLE_SQL["wn_rle_approx"])
+def wn_rle_table_function(spark, sf):
+    """The same runs from SQL, by the table function and its criterion of means."""
+    criteria.register(spark)
+    both_tiles(spark, sf).createOrReplaceTempView("rle_tiles")
+    return spark.sql(
+        "SELECT * FROM runs(TABLE(rle_tiles) PARTITION BY img_id ORDER BY pos,"
+        f" key => 'img_id', columns => 'r,g,b', criterion => 'mean', allowance => {ALLOWANCE})"
+    )
+
+
+@query("sf_rle_table_function", ORACLE_SQL["wn_rle_framework"])
+def sf_rle_table_function(spark, sf):
+    """Runs of each user's event types without a cap, by the same table function and its criterion of equality."""
+    criteria.register(spark)
+    seq_events(spark, sf).createOrReplaceTempView("rle_events")
+    return spark.sql(
+        "SELECT * FROM runs(TABLE(rle_events) PARTITION BY user_id ORDER BY pos,"
+        " key => 'user_id', columns => 'event_type', cap => 2147483647)"
+    )
+
+
 @query("ag_running_avg", "WITH RECURSIVE {PX}, {FLAT}, {TILES}, seq AS (SELECT img_id, pos AS spot, r, g, b FROM tl), {FOLD} SELECT img_id, spot AS pos, run, n, tr / n AS mr, tg / n AS mg, tb / n AS mb FROM fold")
 def ag_running_avg(spark, sf):
     """The mean of each approximate run after every point."""
@@ -245,35 +281,19 @@ def ag_min_max_tested(spark, sf):
     return most.groupBy("img_id").agg(F.max("most").alias("most"), F.min("most").alias("least_most"), F.avg("most").alias("mean_most"))
 
 
-_MATCH = (
-    "WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l FROM documents),"
-    " e AS (SELECT doc_id, l, len(l) AS n, len(l) // 2 AS spot FROM d), {BYTES},"
-    " g AS (SELECT doc_id, pos, byte + 256 * lead(byte, 1) OVER w + 65536 * lead(byte, 2) OVER w + 16777216 * (lead(byte, 3) OVER w)::BIGINT"
-    " + 4294967296 * (lead(byte, 4) OVER w)::BIGINT + 1099511627776 * (lead(byte, 5) OVER w)::BIGINT AS gram"
-    " FROM byts WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),"
-    " t AS (SELECT e.doc_id, spot, n, gram FROM e JOIN g ON g.doc_id = e.doc_id AND g.pos = e.spot),"
-    " c AS (SELECT t.doc_id, spot, n, pos AS p, least(spot - pos, n - spot, 32767) AS most FROM t JOIN g ON g.doc_id = t.doc_id AND g.gram = t.gram"
-    " WHERE pos BETWEEN spot - 65535 AND spot - 6),"
-    " m AS (SELECT c.doc_id, c.spot - p AS back, coalesce(list_position(list_transform(list_zip(l[p + 1:p + most], l[c.spot + 1:c.spot + most]),"
-    " lambda z: z[1] = z[2]), false) - 1, most) AS len FROM c JOIN e USING (doc_id))"
-    " SELECT e.doc_id, e.spot, coalesce(max(len), 0)::BIGINT AS len, coalesce(arg_max(back, len * 100000 + back), 0)::BIGINT AS back"
-    " FROM e LEFT JOIN m USING (doc_id) GROUP BY ALL"
-)
-
-
-@query("so_longest_match", _MATCH)
+@query("so_longest_match", EVERY_MATCH)
 def so_longest_match(spark, sf):
-    """At the middle of each document the longest copy of what follows that lies before it, the oldest of equals."""
+    """At every place of the texts whose id is divisible by 100 the longest copy of what follows that lies before it, the
+    oldest of equals, found by searching the window."""
+    import pandas as pd
 
     def run(frames):
-        import pandas as pd
-
         for pdf in frames:
-            data = [bytes(x) for x in pdf["data"]]
-            found = [(len(x) // 2, *lz.longest_match(x, len(x) // 2)) for x in data]
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "spot": [a for a, _, _ in found], "len": [n for _, n, _ in found], "back": [b for _, _, b in found]})
+            for i, x in zip(pdf.doc_id, map(bytes, pdf["data"]), strict=True):
+                found = [(at, *m) for at in range(len(x)) if (m := lz.longest_match(x, at))[0]]
+                yield pd.DataFrame([(i, *f) for f in found], columns=["doc_id", "pos", "size", "back"])
 
-    return doc_bytes(spark, sf).mapInPandas(run, "doc_id long, spot long, len long, back long")
+    return doc_bytes(spark, sf).filter("doc_id % 100 = 0").mapInPandas(run, "doc_id long, pos long, size long, back long")
 
 
 # bits, rings, arrays
@@ -420,6 +440,13 @@ def cd_hilbert_rle_approx(spark, sf):
     return measure(both_tiles(spark, sf), codecs.HilbertRle(ALLOWANCE))
 
 
+@query("snk_png", _SQUARES + _APPROX + ", bad AS (SELECT img_id FROM fm GROUP BY 1 HAVING sum((r - nr) ** 2 + (g - ng) ** 2 + (b - nb) ** 2) > 0) SELECT fm.img_id, c.pos, nr::INT AS r, ng::INT AS g, nb::INT AS b FROM fm JOIN bad USING (img_id) JOIN sc c ON c.img_id = fm.img_id AND c.spot = fm.spot")
+def snk_png(spark, sf):
+    """Decoded pictures are saved where they differ from theirs, and only there: the pixels of the saved files."""
+    found = read_images(spark, _lossy_pngs(spark, sf)).withColumn("img_id", _img_id("path"))
+    return image_pixels(found, "img_id").select("img_id", "pos", *RGB)
+
+
 def _unsized(name: str, codec: codecs.Codec):
     @query(name)
     def full(spark, sf):
@@ -445,10 +472,10 @@ def bm_measure_all(spark, sf):
     return rows.groupBy("codec").agg(F.count("*").alias("pictures"), F.count("error_msg").alias("failed"), F.max("error").alias("worst"))
 
 
-@query("bm_measure", _SQUARES + ", {SRUNS}" + _report("hilbert-rle", "8 + 12 * n", "0.0::DOUBLE", "(SELECT img_id, sum(parts)::BIGINT AS n FROM sruns GROUP BY 1)").replace("NULL::VARCHAR AS error_msg", "NULL::VARCHAR AS error_msg"))
+@query("bm_measure", _SQUARES + ", {SRUNS}" + _report("hilbert-rle", "8 + 12 * n", "0.0::DOUBLE", "(SELECT img_id, sum(parts)::BIGINT AS n FROM sruns GROUP BY 1)"))
 def bm_measure(spark, sf):
     """Picture files encoded, decoded and compared."""
-    got = measure_files(spark, [_pngs(spark, sf)[0]], codecs.HilbertRle())
+    got = measure_files(spark, [_pngs(spark, sf)], codecs.HilbertRle())
     return got.withColumn("name", fn_name(F.col("name"))).select("codec", "name", "compressed_size", "compression_ratio", "ratio_true", "error", "error_msg")
 
 
@@ -459,7 +486,7 @@ def bm_print_err(spark, sf):
 
     folder = new_folder(spark, "broken")
     one = spark.range(64).select(F.lit("whole").alias("img_id"), F.col("id").alias("pos"), (F.col("id") % 8).cast("int").alias("x"), F.expr("cast(id div 8 as int)").alias("y"), *[F.lit(k).alias(c) for k, c in enumerate(RGB)])
-    save_png(one, folder).write.format("noop").mode("overwrite").save()
+    save_png(one, folder)
     spark.createDataFrame([(1,)], StructType([StructField("n", LongType())])).coalesce(1).write.json(f"{folder}/not")
     path = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/not").select("path").first()[0]
     got = measure_files(spark, [f"{folder}/whole.png", path], codecs.Hufman())

@@ -3,33 +3,53 @@
 from __future__ import annotations
 
 import argparse
+import os
+import sys
 import time
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rasterloom.functions.scalar import RGB
 from rasterloom.operators.metrics import mse, ratio_ref, ratio_true
 from rasterloom.plans.codecs import Codec
-from rasterloom.sources.shared import written
+from rasterloom.sources.images import save_png
+from rasterloom.sources.reports import display_name
+from rasterloom.sources.shared import discard, written
 
 RESULT = ["codec", "name", "compressed_size", "compression_ratio", "ratio_true", "error", "error_msg"]
 
 
-def measure(px: DataFrame, codec: Codec, names: DataFrame | None = None) -> DataFrame:
+def measure(px: DataFrame, codec: Codec, names: DataFrame | None = None, save: str | None = None) -> DataFrame:
     """A row for each image: codec, name, compressed_size, compression_ratio, ratio_true, error, error_msg.
 
-    An image that fails, or that a lossless codec does not give back, keeps its row and says why.
-    A codec of clusters adds `converged`."""
+    An image that fails, or that a lossless codec does not give back, keeps its row and says why. A codec of clusters adds
+    `converged`. names: img_id and name; ids are names otherwise. save: a folder for decoded pictures whose error is not
+    zero, and only for those; they are named by the base name of name, with the id where two share one.
+    Pixels and encoded bytes are made once; the tables that hold them meanwhile are deleted."""
+    px = written(px.select("img_id", "pos", "x", "y", *RGB), "pixels")
     encoded = written(codec.encode(px), "encoded")
-    error = mse(px, codec.decode(encoded))
+    decoded = codec.decode(encoded)
+    made = [px, encoded]
+    if save:
+        decoded = written(decoded, "decoded")
+        made.append(decoded)
+    error = mse(px, decoded)
     size = F.octet_length("encoded").cast("long")
     rows = encoded.join(error, "img_id", "left")
     why = F.when(F.col("error_msg").isNotNull(), F.col("error_msg")).when(~F.col("size_ok"), "decoded size differs").when(F.lit(codec.is_lossless) & (F.col("error") != 0), "decoded image doesn't match")
     ended = [c for c in encoded.columns if c == "converged"]
     out = rows.select("img_id", F.lit(codec.name).alias("codec"), size.alias("compressed_size"), ratio_ref(size, F.col("w"), F.col("h")).alias("compression_ratio"), ratio_true(size, F.col("w"), F.col("h")).alias("ratio_true"), "error", why.alias("error_msg"), *ended)
-    name = out.join(names, "img_id").drop("img_id") if names is not None else out.withColumn("name", F.col("img_id").cast("string"))
-    return name.select(*RESULT, *ended)
+    name = out.join(names, "img_id") if names is not None else out.withColumn("name", F.col("img_id").cast("string"))
+    result = written(name.select("img_id", *RESULT, *ended), "results")
+    if save:
+        base = display_name(F.col("name"))
+        twin = F.count("*").over(Window.partitionBy("base")) > 1
+        wrong = result.filter("error != 0").select("img_id", base.alias("base")).withColumn("file", F.when(twin, F.concat_ws("-", "base", F.hex("img_id"))).otherwise(F.col("base")))
+        save_png(decoded.join(wrong.select("img_id", "file"), "img_id"), save, key="file")
+    discard(*made)
+    return result.drop("img_id")
 
 
 @contextmanager
@@ -39,13 +59,13 @@ def timed(what: str):
     print(f"{what}: {time.perf_counter() - began:.3f} s")
 
 
-def measure_files(spark: SparkSession, paths: list[str], codec: Codec) -> DataFrame:
+def measure_files(spark: SparkSession, paths: list[str], codec: Codec, save: str | None = None) -> DataFrame:
     """The same over image files; those that can't be decoded have only a name and a message. Keyed by full path."""
     from rasterloom.sources.images import image_pixels, read_images
 
     found = read_images(spark, paths).withColumn("img_id", F.xxhash64("path"))
     px = image_pixels(found, "img_id")
-    good = measure(px, codec, found.select("img_id", F.col("path").alias("name")))
+    good = measure(px, codec, found.select("img_id", F.col("path").alias("name")), save)
     bad = found.filter("error_msg IS NOT NULL").select(F.lit(codec.name).alias("codec"), F.col("path").alias("name"), "error_msg")
     return good.unionByName(bad, allowMissingColumns=True)
 
@@ -58,10 +78,13 @@ def scan_export(px: DataFrame, dims: DataFrame, kind: str) -> DataFrame:
 
 
 def main(args: list[str] | None = None) -> None:
-    """--codec=<spec> files..., or --special=hilbert files..."""
+    """--codec=<spec> files..., or --special=hilbert files...
+
+    Results of a codec go to <output>/<codec>.csv, files that failed to <output>/<codec>.failed.csv and, a line each, to
+    standard error; decoded pictures that differ from theirs go to <output>/<codec>.pictures."""
     from rasterloom.plans.spec import parse
     from rasterloom.sources.images import image_pixels, read_images
-    from rasterloom.sources.reports import under_output, write_results, write_scan
+    from rasterloom.sources.reports import under_output, write_failures, write_results, write_scan
     from rasterloom.sources.tables import images
 
     p = argparse.ArgumentParser(prog="rasterloom", description=main.__doc__)
@@ -75,12 +98,21 @@ def main(args: list[str] | None = None) -> None:
     if a.codec:
         codec = parse(a.codec)
         with timed(codec.name):
-            write_results(measure_files(spark, a.files, codec).filter("error_msg IS NULL"), f"{a.output}/{codec.name}.csv")
+            results = written(measure_files(spark, a.files, codec, save=os.path.abspath(f"{a.output}/{codec.name}.pictures") if "://" not in a.output else f"{a.output}/{codec.name}.pictures"), "results")
+        write_results(results.filter("error_msg IS NULL"), f"{a.output}/{codec.name}.csv")
+        failed = results.filter("error_msg IS NOT NULL").select("name", "error_msg")
+        write_failures(failed, f"{a.output}/{codec.name}.failed.csv")
+        for r in failed.orderBy("name").toLocalIterator():
+            print(f"{r.name}: {r.error_msg}", file=sys.stderr)
+        discard(results)
         return
     found = read_images(spark, a.files).withColumn("img_id", under_output(F.col("path"), "hilbert.csv"))
-    px = image_pixels(found, "img_id").cache()
+    px = written(image_pixels(found, "img_id"), "pixels")
     for kind in ("rect", "small", "large"):
         write_scan(scan_export(px, images(px), kind), f"{a.output}/{kind}.hilbert.csv")
+    discard(px)
+    for r in found.filter("error_msg IS NOT NULL").select("path", "error_msg").orderBy("path").toLocalIterator():
+        print(f"{r.path}: {r.error_msg}", file=sys.stderr)
 
 
 if __name__ == "__main__":

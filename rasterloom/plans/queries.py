@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import scalar as fn
-from rasterloom.operators import huffman, joins, kmeans, lz, metrics, scan, sequence
+from rasterloom.operators import huffman, joins, kmeans, lz, metrics, pruned, scan, sequence
 from rasterloom.plans import codecs
 from rasterloom.plans.measure import measure
 from rasterloom.sources import reports
@@ -674,6 +674,71 @@ def km_update_centroids(spark, sf):
     return kmeans.update_centroids(kmeans.assign(assigned, cents, RGB, 8).withColumn("cnt", F.lit(1)), RGB)
 
 
+_NEAR_5D = """
+    SELECT i.img_id, i.pos,
+           arg_min(c.cid, (({0}) * 2 + CASE WHEN c.cid = i.cid THEN 0 ELSE 1 END) * 8 + c.cid) AS cid, min({0})::BIGINT AS d2
+    FROM ini i JOIN cent c USING (img_id) GROUP BY ALL
+""".replace("{0}", " + ".join(f"(i.{f} - c.{f}) * (i.{f} - c.{f})" for f in kmeans.PLACE))
+
+
+@query("km_assign_pruned", "WITH {PX}, {CENT} " + _NEAR_5D)
+def km_assign_pruned(spark, sf):
+    """Places and colours, along neighbour lists that begin short and grow."""
+    _, assigned, cents = _cents(spark, sf)
+    return pruned.assign_pruned(assigned, cents, kmeans.PLACE, lengths=1).select("img_id", "pos", "cid", "d2")
+
+
+_COUNTERS = """
+    WITH {PX}, {CENT}, moved AS ({ASSIGN}), {PAIRS},
+    near AS (SELECT img_id, src AS cid, min(d2) AS m FROM prs GROUP BY ALL),
+    own AS (
+        SELECT i.img_id, i.pos, i.cid, (i.r - c.r) ** 2 + (i.g - c.g) ** 2 + (i.b - c.b) ** 2 AS d2
+        FROM ini i JOIN cent c USING (img_id, cid)
+    ),
+    looked AS (
+        SELECT own.img_id, own.pos, count(*) FILTER (prs.d2 <= 4 * own.d2) AS t, count(*) AS n
+        FROM own JOIN prs ON prs.img_id = own.img_id AND prs.src = own.cid GROUP BY ALL
+    ),
+    each AS (
+        SELECT o.img_id, m.cid <> o.cid AS moves, 4 * o.d2 <= r.m AS sure, l.t, l.n
+        FROM own o JOIN moved m USING (img_id, pos) JOIN looked l USING (img_id, pos)
+        JOIN near r ON r.img_id = o.img_id AND r.cid = o.cid
+    )
+    SELECT img_id, 1 AS round, count(*) FILTER (moves) AS moved, count(*) FILTER (NOT moves) AS stayed,
+           count(*) FILTER (sure) AS by_radius, count(*) FILTER (NOT sure AND t < n) AS by_cutoff,
+           sum(CASE WHEN sure THEN 0 ELSE t END)::BIGINT AS tested, max(CASE WHEN sure THEN 0 ELSE t END) AS most_tested,
+           0::BIGINT AS grew
+    FROM each GROUP BY img_id
+""".replace("{ASSIGN}", _ASSIGN).replace("{PAIRS}", _PAIRS)
+
+
+@query("km_round_counters", _COUNTERS)
+def km_round_counters(spark, sf):
+    """What a round did: points that moved and stayed, that the certainty radius or a neighbour ended early, centroids compared."""
+    points = pixels(spark, sf).withColumn("cnt", F.lit(1))
+    return pruned.kmeans_rounds(points, 8, RGB, max_iter=1)[2]
+
+
+def _unrolled(rounds: int) -> str:
+    parts = ["c0 AS (SELECT img_id, cid, r, g, b FROM cent)", "a0 AS (SELECT img_id, pos, r, g, b, cid FROM ini)"]
+    d2 = " + ".join(f"(a.{f} - c.{f}) * (a.{f} - c.{f})" for f in RGB)
+    for i in range(rounds):
+        parts += [
+            f"m{i} AS (SELECT a.img_id, a.pos, arg_min(c.cid, (({d2}) * 2 + (c.cid <> a.cid)::INT) * 8 + c.cid) AS cid FROM a{i} a JOIN c{i} c USING (img_id) GROUP BY ALL)",
+            f"a{i + 1} AS (SELECT m.img_id, m.pos, a.r, a.g, a.b, m.cid FROM m{i} m JOIN a{i} a USING (img_id, pos))",
+            f"c{i + 1} AS (SELECT img_id, cid, " + ", ".join(f"(sum({f}) // count(*))::INT AS {f}" for f in RGB) + f" FROM a{i + 1} GROUP BY ALL)",
+        ]
+    return "WITH {PX}, {CENT}, " + ", ".join(parts) + f" SELECT img_id, cid::INT AS cid, r, g, b, count(*) AS n FROM c{rounds} JOIN (SELECT img_id, cid FROM a{rounds}) USING (img_id, cid) GROUP BY ALL"
+
+
+@query("km_rounds", _unrolled(3))
+def km_rounds(spark, sf):
+    """Centroids and their points after three rounds, each a plan over blocks of all rasters."""
+    points = pixels(spark, sf).withColumn("cnt", F.lit(1))
+    mine, centroids, _ = pruned.kmeans_rounds(points, 8, RGB, max_iter=3)
+    return centroids.join(mine.groupBy("img_id", "cid").agg(F.count("*").alias("n")), ["img_id", "cid"]).select("img_id", "cid", *RGB, "n")
+
+
 @query("km_cluster")
 def km_cluster(spark, sf):
     """Colours of each raster in eight clusters, to the end."""

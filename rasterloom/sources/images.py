@@ -6,9 +6,13 @@ import struct
 import zlib
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.operators.fold import folded
+from rasterloom.sources.files import write_files
+
 
 def png(width: int, height: int, rgb: bytes) -> bytes:
     """An 8-bit RGB PNG."""
@@ -49,22 +53,27 @@ def png_sizes(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
     return im.select(F.col("path").alias("name"), F.col("file_size").alias("compressed_size"), ratio_ref(F.col("file_size"), F.col("w"), F.col("h")).alias("compression_ratio"))
 
 
-def save_png(pixels: DataFrame, folder: str, key: str = "img_id") -> DataFrame:
-    """Write one PNG for each image into a folder that all executors share, a path or an address; key and path of each.
+class _Png:
+    """A fold of an image's pixels in raster order to the bytes of a PNG."""
+
+    def __init__(self) -> None:
+        self.parts: list[np.ndarray] = []
+
+    def feed(self, order: np.ndarray, values: list[np.ndarray]) -> None:
+        self.parts.append(np.stack(values, 1))
+
+    def end(self) -> list:
+        px = np.concatenate(self.parts)
+        return [[png(int(px[:, 0].max()) + 1, int(px[:, 1].max()) + 1, px[:, 2:].astype(np.uint8).tobytes())]]
 
-    A file is written whole, so a task that runs again leaves the same."""
-    import pandas as pd
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
+def pngs(pixels: DataFrame, key: str = "img_id") -> DataFrame:
+    """key and content: one PNG for each image."""
+    return folded(pixels, key, "pos", ["x", "y", "r", "g", "b"], _Png, "content binary")
 
-        pdf = pdf.sort_values("pos")
-        name = f"{folder}/{pdf[key].iloc[0]}.png"
-        store, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        store.create_dir(path, recursive=True)
-        with store.open_output_stream(f"{path}/{pdf[key].iloc[0]}.png") as f:
-            f.write(png(int(pdf.x.max()) + 1, int(pdf.y.max()) + 1, pdf[["r", "g", "b"]].to_numpy("uint8").tobytes()))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "path": [name]})
 
-    kind = dict(pixels.dtypes)[key]
-    return pixels.groupBy(key).applyInPandas(write, f"{key} {kind}, path string")
+def save_png(pixels: DataFrame, folder: str, key: str = "img_id") -> None:
+    """Write one PNG for each image, named by its key, into a folder that all executors share, a path or an address. Keys that
+    are paths lose what leads out of the folder."""
+    name = F.regexp_replace(F.regexp_replace(F.col(key).cast("string"), "^[a-z]+:/+|^/+", ""), "(^|/)[._]+", "$1")
+    write_files(pngs(pixels, key).select(F.concat(name, F.lit(".png")).alias("name"), "content"), folder)

@@ -26,10 +26,15 @@ def write_results(results: DataFrame, path: str) -> None:
     results.select("name", "compressed_size", "compression_ratio", "error").write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_failures(failed: DataFrame, path: str) -> None:
+    """Names and messages of files that failed."""
+    failed.select("name", "error_msg").write.mode("overwrite").option("header", True).csv(path)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """All result files under a path but scan exports, with display_name; a missing error column reads as null."""
-    got = spark.read.option("header", True).option("recursiveFileLookup", True).schema(RESULTS).csv(path).withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+\.csv)(/part-[^/]*)?$", 1))
-    return got.filter(~F.col("file").endswith(".hilbert.csv")).withColumn("display_name", display_name(F.col("file"))).drop("file")
+    """All result files under a path but scan exports and failures, with display_name; a missing error column reads as null."""
+    got = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").schema(RESULTS).csv(path).withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+\.csv)(/part-[^/]*)?$", 1))
+    return got.filter(~F.col("file").endswith(".hilbert.csv") & ~F.col("file").endswith(".failed.csv")).withColumn("display_name", display_name(F.col("file"))).drop("file")
 
 
 def write_scan(scan: DataFrame, path: str) -> None:
