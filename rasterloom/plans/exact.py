@@ -189,6 +189,19 @@ def src_image(spark, sf):
     return image_pixels(found, "img_id")
 
 
+_CHANNELS = [("r",), ("r", "g"), ("r", "g", "b"), ("r", "g", "b", "b")]
+
+
+@query("prj_to_rgb", "WITH {PX}, {FLAT}, {TILES} SELECT img_id, pos, r, CASE WHEN img_id // 2 % 4 < 2 THEN r ELSE g END AS g, CASE WHEN img_id // 2 % 4 < 2 THEN r ELSE b END AS b FROM tl")
+def prj_to_rgb(spark, sf):
+    """Picture files of one to four channels as RGB: grey is repeated, and alpha, which is not opaque here, is left out."""
+    folder, tl = new_folder(spark, "channels"), both_tiles(spark, sf)
+    for i, channels in enumerate(_CHANNELS):
+        save_png(tl.filter(F.expr("img_id div 2 % 4") == i), folder, channels=channels)
+    found = read_images(spark, folder).withColumn("img_id", _img_id("path"))
+    return image_pixels(found, "img_id").select("img_id", "pos", *RGB)
+
+
 @query("src_argv", "WITH {PX}, {FLAT}, {TILES} SELECT img_id, 32 AS w, 32 AS h FROM tl WHERE img_id % 10 = 1 GROUP BY 1")
 def src_argv(spark, sf):
     """Files that a pattern names, as on a command line."""
@@ -440,6 +453,34 @@ def cd_hilbert_rle_approx(spark, sf):
     return measure(both_tiles(spark, sf), codecs.HilbertRle(ALLOWANCE))
 
 
+_WIRE = " || ".join(["lpad(hex(n), 2, '0')", "'0300000000000000'", *[f"lpad(hex({c}), 2, '0')" for c in RGB]])
+_WIRED = f" SELECT img_id, md5('2000000020000000' || string_agg({_WIRE}, '' ORDER BY place)) AS md5 FROM one GROUP BY 1"
+
+
+@query(
+    "cd_hilbert_rle_bytes",
+    _SQUARES
+    + ", {SRUNS}, cut_ AS (SELECT *, (row_number() OVER (PARTITION BY img_id, run ORDER BY spot) - 1) // 255 AS part FROM r2),"
+    + " one AS (SELECT img_id, min(spot) AS place, count(*) AS n, any_value(r) AS r, any_value(g) AS g, any_value(b) AS b FROM cut_ GROUP BY img_id, run, part)"
+    + _WIRED,
+)
+def cd_hilbert_rle_bytes(spark, sf):
+    """What the codec of runs writes for each square, byte by byte."""
+    return codecs.HilbertRle().encode(both_tiles(spark, sf)).select("img_id", F.md5(F.hex("encoded").cast("binary")).alias("md5"))
+
+
+@query(
+    "cd_hilbert_rle_approx_bytes",
+    _SQUARES
+    + _APPROX
+    + ", one AS (SELECT img_id, run AS place, max(n) AS n, any_value(nr)::INT AS r, any_value(ng)::INT AS g, any_value(nb)::INT AS b FROM fm GROUP BY img_id, run)"
+    + _WIRED,
+)
+def cd_hilbert_rle_approx_bytes(spark, sf):
+    """The same for runs near their mean."""
+    return codecs.HilbertRle(ALLOWANCE).encode(both_tiles(spark, sf)).select("img_id", F.md5(F.hex("encoded").cast("binary")).alias("md5"))
+
+
 @query("snk_png", _SQUARES + _APPROX + ", bad AS (SELECT img_id FROM fm GROUP BY 1 HAVING sum((r - nr) ** 2 + (g - ng) ** 2 + (b - nb) ** 2) > 0) SELECT fm.img_id, c.pos, nr::INT AS r, ng::INT AS g, nb::INT AS b FROM fm JOIN bad USING (img_id) JOIN sc c ON c.img_id = fm.img_id AND c.spot = fm.spot")
 def snk_png(spark, sf):
     """Decoded pictures are saved where they differ from theirs, and only there: the pixels of the saved files."""

@@ -131,11 +131,6 @@ _REPORTS = "WITH {PX}, {FLAT}, {RUNS}, {DIMS}, rep0 AS (SELECT 'hilbert-rle' AS
 # projections and filters
 
 
-@query("prj_to_rgb", "WITH {PX} SELECT img_id, pos, r, g, b FROM px")
-def prj_to_rgb(spark, sf):
-    return pixels(spark, sf).withColumn("a", F.lit(255)).select("img_id", "pos", *RGB)
-
-
 @query("prj_signed", "WITH {PX} SELECT img_id, pos, r::SMALLINT AS sr, g::SMALLINT AS sg, b::SMALLINT AS sb FROM px")
 def prj_signed(spark, sf):
     return pixels(spark, sf).select("img_id", "pos", *[fn.signed(F.col(c)).alias(f"s{c}") for c in RGB])

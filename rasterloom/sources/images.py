@@ -14,11 +14,11 @@ from rasterloom.operators.fold import folded
 from rasterloom.sources.files import write_files
 
 
-def png(width: int, height: int, rgb: bytes) -> bytes:
-    """An 8-bit RGB PNG."""
+def png(width: int, height: int, data: bytes, channels: int = 3) -> bytes:
+    """An 8-bit PNG of grey, grey and alpha, RGB, or RGB and alpha."""
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    rows = b"".join(b"\0" + rgb[i : i + 3 * width] for i in range(0, len(rgb), 3 * width))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    rows = b"".join(b"\0" + data[i : i + channels * width] for i in range(0, len(data), channels * width))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, {1: 0, 2: 4, 3: 2, 4: 6}[channels], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
 def read_images(spark: SparkSession, paths: str | Iterable[str], glob: str | None = None) -> DataFrame:
@@ -54,7 +54,7 @@ def png_sizes(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
 
 
 class _Png:
-    """A fold of an image's pixels in raster order to the bytes of a PNG."""
+    """A fold of an image's pixels (x, y and channels) in raster order to the bytes of a PNG."""
 
     def __init__(self) -> None:
         self.parts: list[np.ndarray] = []
@@ -64,16 +64,16 @@ class _Png:
 
     def end(self) -> list:
         px = np.concatenate(self.parts)
-        return [[png(int(px[:, 0].max()) + 1, int(px[:, 1].max()) + 1, px[:, 2:].astype(np.uint8).tobytes())]]
+        return [[png(int(px[:, 0].max()) + 1, int(px[:, 1].max()) + 1, px[:, 2:].astype(np.uint8).tobytes(), px.shape[1] - 2)]]
 
 
-def pngs(pixels: DataFrame, key: str = "img_id") -> DataFrame:
-    """key and content: one PNG for each image."""
-    return folded(pixels, key, "pos", ["x", "y", "r", "g", "b"], _Png, "content binary")
+def pngs(pixels: DataFrame, key: str = "img_id", channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """key and content: one PNG for each image, of one to four channels."""
+    return folded(pixels, key, "pos", ["x", "y", *channels], _Png, "content binary")
 
 
-def save_png(pixels: DataFrame, folder: str, key: str = "img_id") -> None:
+def save_png(pixels: DataFrame, folder: str, key: str = "img_id", channels: tuple[str, ...] = ("r", "g", "b")) -> None:
     """Write one PNG for each image, named by its key, into a folder that all executors share, a path or an address. Keys that
     are paths lose what leads out of the folder."""
     name = F.regexp_replace(F.regexp_replace(F.col(key).cast("string"), "^[a-z]+:/+|^/+", ""), "(^|/)[._]+", "$1")
-    write_files(pngs(pixels, key).select(F.concat(name, F.lit(".png")).alias("name"), "content"), folder)
+    write_files(pngs(pixels, key, channels).select(F.concat(name, F.lit(".png")).alias("name"), "content"), folder)
