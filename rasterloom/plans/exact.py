@@ -520,19 +520,19 @@ def bm_measure(spark, sf):
     return got.withColumn("name", fn_name(F.col("name"))).select("codec", "name", "compressed_size", "compression_ratio", "ratio_true", "error", "error_msg")
 
 
-@query("bm_print_err", "SELECT name, name = 'broken' AS failed FROM (VALUES ('broken'), ('whole')) AS t(name)")
+@query(
+    "bm_print_err",
+    "WITH {PX}, {FLAT}, {TILES} SELECT 'nation_' || n_nationkey AS name, true AS failed FROM nation"
+    " UNION ALL SELECT DISTINCT img_id::VARCHAR, false FROM tl",
+)
 def bm_print_err(spark, sf):
-    """A file that is no picture keeps its row and says so."""
-    from pyspark.sql.types import LongType, StructField, StructType
-
+    """Files that are no pictures keep their rows and say so, among those that are."""
     folder = new_folder(spark, "broken")
-    one = spark.range(64).select(F.lit("whole").alias("img_id"), F.col("id").alias("pos"), (F.col("id") % 8).cast("int").alias("x"), F.expr("cast(id div 8 as int)").alias("y"), *[F.lit(k).alias(c) for k, c in enumerate(RGB)])
-    save_png(one, folder)
-    spark.createDataFrame([(1,)], StructType([StructField("n", LongType())])).coalesce(1).write.json(f"{folder}/not")
-    path = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/not").select("path").first()[0]
-    got = measure_files(spark, [f"{folder}/whole.png", path], codecs.Hufman())
-    named = F.when(F.col("name").endswith("whole.png"), "whole").otherwise("broken")
-    return got.select(named.alias("name"), F.col("error_msg").isNotNull().alias("failed"))
+    save_png(both_tiles(spark, sf), folder)
+    broken = table(spark, sf, "nation").select(F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string"), F.lit(".png")).alias("name"), F.col("n_name").cast("binary").alias("content"))
+    write_files(broken, folder)
+    got = measure_files(spark, [folder], codecs.Hufman())
+    return got.select(fn_name(F.col("name")).alias("name"), F.col("error_msg").isNotNull().alias("failed"))
 
 
 @query("jn_dict_decode", "SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents")

@@ -595,39 +595,6 @@ def fn_raw_size(spark, sf):
     return images(pixels(spark, sf)).select("img_id", metrics.raw_size(F.col("w"), F.col("h")).alias("raw_size"))
 
 
-#: Specifications, names and losslessness of every codec family.
-_CODECS = {"hufman": ("Hufman", True), "cluster-colors(16)": ("cluster-colors_16", False), "voronoi(64)": ("voronoi_64", False), "delta": ("delta", True), "hilbert(rle)": ("hilbert-rle", True), "hilbert(rle(16))": ("hilbert-rle-approx_16", False), "hilbert(rle(2.5))": ("hilbert-rle-approx_2.5", False), "hilbert(zip)": ("hilbert-zip", True), "zip(dict)": ("zip-dict", True), "zip(back)": ("zip-back", True)}
-_CODEC_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{n}', {str(x).lower()})" for s, (n, x) in _CODECS.items()) + ") AS t(spec, name, is_lossless)"
-
-
-@query("cd_registry", _CODEC_SQL)
-def cd_registry(spark, sf):
-    from rasterloom.plans.spec import parse
-
-    made = {s: parse(s) for s in _CODECS}
-    return spark.createDataFrame([(s, c.name, c.is_lossless) for s, c in made.items()], "spec string, name string, is_lossless boolean")
-
-
-@query("fn_codec_name", _CODEC_SQL.replace("SELECT *", "SELECT spec, name"))
-def fn_codec_name(spark, sf):
-    return cd_registry(spark, sf).select("spec", "name")
-
-
-@query("fn_is_lossless", _CODEC_SQL.replace("SELECT *", "SELECT spec, is_lossless"))
-def fn_is_lossless(spark, sf):
-    return cd_registry(spark, sf).select("spec", "is_lossless")
-
-
-_CALLS = {"a": False, "a(": False, "a()": True, "a(b": False, "a(b)": True, "a(b,": False, "a(b,)": False, "a(b,c)": True, "()": False, "(a)": False, "": False, "a(b(c,d),e)": True, "a(b))": False, "a(b)c": False}
-
-
-@query("ps_fun_call", "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {str(x).lower()})" for s, x in _CALLS.items()) + ") AS t(spec, ok)")
-def ps_fun_call(spark, sf):
-    from rasterloom.plans.spec import fun_call
-
-    return spark.createDataFrame([(s, fun_call(s) is not None) for s in _CALLS], "spec string, ok boolean")
-
-
 _URLS = "SELECT page_id, 'output/' || regexp_extract(url, '([^/]*?)(\\.[^./]*)?$', 1) || '.png' AS path, regexp_extract(url, '([^/]*?)(\\.[^./]*)?$', 1) AS name FROM pages"
 
 
@@ -862,40 +829,6 @@ def huf_tree_ser(spark, sf):
     return colours(pixels_flat(spark, sf)).groupBy("img_id").applyInPandas(run, "img_id long, n long, tree_bytes long, same boolean")
 
 
-#: What each reading makes of some specifications; None where it refuses.
-_READINGS = {
-    "ps_cluster": {"cluster-colors(16)": "16", "c-col(8)": "8", "clustercol(2)": "2", "x cluster-colors(4) y": "4", "cluster-colors()": None, "colors(4)": None},
-    "ps_voronoi": {"voronoi(64)": "64", "my voronoi(3)": "3", "voronoi": None, "voronoi(x)": None},
-    "ps_hilbert": {"hilbert(rle)": "hilbert-rle", "Hilbert(rle(0.5))": "hilbert-rle-approx_0.5", "hilbert(zip)": "hilbert-zip", "hilbert(rle())": None, "hilbert(rle(-1))": None, "hilbert(rle,zip)": None, "hilbert": None},
-    "ps_delta": {"delta": "delta", "Delta": None},
-    "ps_hufman": {"hufman": "Hufman", "HUFMAN": "Hufman", "huffman": None},
-    "ps_zip": {"zip(dict)": "zip-dict", "zip(back)": "zip-back", "zip": None, "zip(x)": None},
-}
-
-
-def _reading(name: str, cases: dict):
-    values = ", ".join(f"('{s}', {'NULL' if v is None else repr(v)})" for s, v in cases.items())
-
-    @query(name, f"SELECT spec, read::VARCHAR AS read FROM (VALUES {values}) AS t(spec, read)")
-    def read(spark, sf):
-        from rasterloom.plans import spec
-
-        one = {"ps_cluster": lambda s: str(spec.cluster(s)), "ps_voronoi": lambda s: str(spec.voronoi(s))}.get(name, lambda s: spec.parse(s).name)
-        rows = []
-        for s in cases:
-            try:
-                rows.append((s, one(s)))
-            except ValueError:
-                rows.append((s, None))
-        return spark.createDataFrame(rows, "spec string, read string")
-
-    return read
-
-
-for _name, _cases in _READINGS.items():
-    _reading(_name, _cases)
-
-
 @query("zb_symbol_ser", "WITH {PX} SELECT img_id, pos, CASE WHEN x % 2 = 1 THEN " + _le_sql("(r * 100) | 32768", 2) + " || " + _le_sql("g * 600", 2) + " ELSE " + _le_sql("1", 2) + " || lpad(hex(r), 2, '0') END AS wire FROM px")
 def zb_symbol_ser(spark, sf):
     """Look-back and explicit symbols as bytes."""

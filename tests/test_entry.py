@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from rasterloom.plans import exact, streams  # noqa: F401  they register their queries
+from rasterloom.plans import exact, specs, streams  # noqa: F401  they register their queries
 from rasterloom.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
