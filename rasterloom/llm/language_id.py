@@ -6,7 +6,7 @@ words and all languages advance together in numpy. A text's score adds up its wo
 prior over languages is the score.
 
 Words of any length are summed over all their segmentations: a long one (a text without spaces) is cut where no piece
-reaches across, which changes no sum, and what is still long is carried along with its scale.
+reaches across, which changes no sum, and of what is still long, windows advance together.
 
 Cases: null text and text without a letter are `und` with score 0; ties fall to the first language in order; with nothing to learn from, all is `und`; an empty
 table gives no rows. Only text is read for a prediction.
@@ -35,8 +35,11 @@ GAIN = 16.0
 LETTER = regex.compile(r"\p{L}")
 
 
-#: Fitting leaves out words that have a part of so many characters without a cut, such as one letter repeated.
+#: In fitting, what is longer than this without a place that no piece crosses, such as one letter repeated, is cut at each
+#: multiple of it; all of it counts, but for the pieces across those cuts.
 FITTED = 256
+#: Parts above ALONE characters are summed in windows of TOGETHER that advance together.
+TOGETHER, ALONE = 32, 1024
 
 
 def words_of(text: str) -> list[str]:
@@ -80,14 +83,56 @@ def log_sums(v: Vocab, gains: np.ndarray, words: list[str], length: int) -> np.n
     return np.log(np.maximum(last[-1], 1e-300)) + scale - length * np.log(GAIN)
 
 
+def long_sum(v: Vocab, gains: np.ndarray, word: str) -> np.ndarray:
+    """The same for one long word, (languages). The sums at the last places before a window go in and those at its last places
+    come out, and that is linear; so all windows of a stretch advance together, each from every unit vector, and the
+    products follow one after another."""
+    size, width = v.longest, gains.shape[1]
+    state, scale = np.zeros((size, width)), np.zeros(width)
+    state[-1] = 1.0
+    rows = max(1, (1 << 17) // (size * size * width))
+    whole = len(word) // TOGETHER * TOGETHER
+    for a in range(0, whole, rows * TOGETHER):
+        b = min(whole, a + rows * TOGETHER)
+        n = (b - a) // TOGETHER
+        # by window and place in it, the pieces that end there: (size, ids)
+        ends: list[dict[int, np.ndarray]] = [{} for _ in range(TOGETHER)]
+        for k, starts, ids in v.spans(word, max(0, a - size + 1), b):
+            at = starts + k - 1 - a
+            inside = (at >= 0) & (at < b - a)
+            at, ids = at[inside], ids[inside]
+            for j in np.unique(at % TOGETHER).tolist():
+                own = at % TOGETHER == j
+                ends[j].setdefault(k, np.full(n, -2))[at[own] // TOGETHER] = ids[own]
+        last = [np.broadcast_to(np.eye(size)[i][None, :, None], (n, size, width)) for i in range(size)]
+        for j in range(TOGETHER):
+            one = ends[j].pop(1, np.full(n, -2))
+            total = last[-1] * (gains[np.where(one < 0, -1, one)] * GAIN)[:, None, :]
+            for k, i in ends[j].items():
+                total = total + last[-k] * (gains[i] * GAIN**k)[:, None, :]
+            last = [*last[1:], total]
+        out = np.stack(last, 2)  # window, place before, place after, language
+        for w in range(n):
+            state = np.einsum("il,iol->ol", state, out[w])
+            by = np.maximum(state.max(0), 1e-300)
+            state, scale = state / by, scale + np.log(by)
+    for j in range(whole + 1, len(word) + 1):
+        total = np.zeros(width)
+        for k in range(1, min(size, j) + 1):
+            i = v.ids.get(word[j - k : j], -2)
+            total = total + state[-k] * gains[i if i >= 0 or k > 1 else -1] * GAIN**k
+        state = np.concatenate([state[1:], total[None]])
+    return np.log(np.maximum(state[-1], 1e-300)) + scale - len(word) * np.log(GAIN)
+
+
 def fit(v: Vocab, counts: dict[str, Counter]) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log probabilities of pieces, (pieces, languages), from word counts by language."""
     langs = sorted(counts)
     whole = sorted(set().union(*counts.values()))
     spaced, owner = v.parts([SPACE + w for w in whole])
     weight = np.array([[counts[g].get(whole[i], 0) for g in langs] for i in owner], float).reshape(len(spaced), len(langs))
-    short = [i for i, w in enumerate(spaced) if len(w) <= FITTED]
-    spaced, weight = [spaced[i] for i in short], weight[short]
+    parts = [[w[k : k + FITTED] for k in range(0, len(w), FITTED)] for w in spaced]
+    weight, spaced = np.repeat(weight, [len(x) for x in parts], axis=0), [w for x in parts for w in x]
     groups = [(n, places, _edges(v, codes_of([spaced[i] for i in places], n))) for n, places in by_length(spaced, len(langs))]
     size = len(v.pieces)
     p = np.full((size, len(langs)), 1.0 / size)
@@ -118,7 +163,8 @@ class Scorer:
         parts, owner = self.v.parts([SPACE + w for w in new])
         out = np.zeros((len(parts), width))
         for n, places in by_length(parts, width):
-            out[places] = log_sums(self.v, self.gains, [parts[i] for i in places], n)
+            own = [parts[i] for i in places]
+            out[places] = log_sums(self.v, self.gains, own, n) if n <= ALONE else [long_sum(self.v, self.gains, w) for w in own]
         sums = np.stack([np.bincount(owner, out[:, k], len(new)) for k in range(width)], 1) if width else np.zeros((len(new), 0))
         self.scores = np.concatenate([self.scores, sums])
 

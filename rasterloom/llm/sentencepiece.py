@@ -8,12 +8,13 @@ the vocabulary become the bytes of their UTF-8 form. A text that is not empty ge
 Cases: null gives null ids, no token and a null round_trip; the empty text gives no ids; a literal
 U+2581 in a text cannot be told from a space, so round_trip is false there. A long word (a text without spaces) is
 cut where no piece reaches across, which changes no path, and its parts advance together as words do; a part that is
-still long, such as one letter a thousand times, is a batch of its own, with the same probes and time linear in its
-length. Columns other than id and text are not read by encode().
+still long, such as one letter a thousand times, is a batch of its own, with the same probes, time linear in its
+length and memory for a stretch of it. Columns other than id and text are not read by encode().
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,30 +23,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import pieces, texts_of
-from rasterloom.llm.vocab import BATCHED, SPACE, VOCAB_PATH, Vocab, Words, by_length, codes_of, load, split_spaces, vocab_of
+from rasterloom.llm.vocab import BATCHED, SPACE, STRETCH, VOCAB_PATH, Vocab, Words, by_length, codes_of, load, split_spaces, vocab_of
 
 
-def long_path(v: Vocab, word: str) -> list[int]:
-    """Ids of the best segmentation of one word of any length; all places are probed at once, the maxima run along it."""
+def long_path(v: Vocab, word: str) -> array:
+    """Ids of the best segmentation of one word of any length. The places of a stretch are probed at once, and the maxima run
+    along it; from one stretch to the next go the last scores that a piece can reach back to. A place holds five bytes."""
     n = len(word)
-    ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-    for size, starts, ids in v.spans(word):
-        for a, i in zip(starts.tolist(), ids.tolist(), strict=True):
-            ends[a + size].append((size, i))
-    best, back, took, scores = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1), v.scores.tolist()
-    for j in range(1, n + 1):
-        known = False
-        for size, i in reversed(ends[j]):
-            known = known or size == 1
-            if (s := best[j - size] + scores[i]) > best[j]:
-                best[j], back[j], took[j] = s, size, i
-        if not known and (s := best[j - 1] + v.unk_score) > best[j]:
-            best[j], back[j], took[j] = s, 1, -1
-    out, j = [], n
+    size_at, took, scores = np.ones(n, np.uint8), np.full(n, -1, np.int32), v.scores.tolist()
+    best = [0.0]  # the scores of the last places
+    for a, b in v.stretches(word):
+        low = max(0, a - v.longest + 1)
+        ends: list[list[tuple[int, int]]] = [[] for _ in range(b - a + 1)]
+        for size, starts, ids in v.spans(word, low, b):
+            for at, i in zip((starts + size - a).tolist(), ids.tolist(), strict=True):
+                if 0 < at <= b - a:
+                    ends[at].append((size, i))
+        back, ids_ = [1] * (b - a), [-1] * (b - a)
+        for j in range(1, b - a + 1):
+            known, top = False, -np.inf
+            for size, i in reversed(ends[j]):
+                known = known or size == 1
+                if (s := best[-size] + scores[i]) > top:
+                    top, back[j - 1], ids_[j - 1] = s, size, i
+            if not known and (s := best[-1] + v.unk_score) > top:
+                top, back[j - 1], ids_[j - 1] = s, 1, -1
+            best.append(top)
+        size_at[a:b], took[a:b] = back, ids_
+        del best[: -v.longest]
+    out, j = array("i"), n
     while j:
-        out.extend([took[j]] if took[j] >= 0 else v.bytes[list(word[j - 1].encode())].tolist()[::-1])
-        j -= back[j]
-    return out[::-1]
+        i = int(took[j - 1])
+        if i >= 0:
+            out.append(i)
+        else:
+            out.extend(v.bytes[list(word[j - 1].encode())].tolist()[::-1])
+        j -= int(size_at[j - 1])
+    out.reverse()
+    return out
 
 
 def best_paths(v: Vocab, words: list[str], length: int) -> list[list[int]]:
@@ -115,13 +130,17 @@ class Encoder:
         return self.values[gather], ends[offsets]
 
 
-def decode_ids(v: Vocab, ids: list[int]) -> str:
-    """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-    if v.byte_of.keys().isdisjoint(ids):
-        out = "".join(map(v.pieces.__getitem__, ids))
-    else:
-        out = b"".join(bytes([v.byte_of[i]]) if i in v.byte_of else v.pieces[i].encode() for i in ids).decode(errors="replace")
-    return out.replace(SPACE, " ")[1:]
+def decode_ids(v: Vocab, ids: list[int] | np.ndarray) -> str:
+    """The text of ids, a stretch at a time; bytes that are no UTF-8 become U+FFFD."""
+    parts = []
+    for k in range(0, len(ids), STRETCH):
+        some = ids[k : k + STRETCH]
+        some = some.tolist() if isinstance(some, np.ndarray) else some
+        if v.byte_of.keys().isdisjoint(some):
+            parts.append("".join(map(v.pieces.__getitem__, some)).encode())
+        else:
+            parts.append(b"".join(bytes([v.byte_of[i]]) if i in v.byte_of else v.pieces[i].encode() for i in some))
+    return b"".join(parts).decode(errors="replace").replace(SPACE, " ")[1:]
 
 
 _encoders: dict[int, Encoder] = {}
@@ -145,7 +164,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab_pa
             texts = texts_of(batch, "text")
             ids, ends = e.encode(texts)
             null = np.array([t is None for t in texts])
-            same = [None if t is None or not check else decode_ids(e.v, ids[a:b].tolist()) == t for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True)]
+            same = [None if t is None or not check else decode_ids(e.v, ids[a:b]) == t for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()), mask=pa.array(null))
             yield pa.record_batch([batch.column(0), pa.array(np.diff(ends).astype(np.int32)), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
 

@@ -18,6 +18,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words above this many characters are first cut where no piece reaches across; what is left longer than this is alone.
 BATCHED = 64
 UNK_PENALTY = 10.0
+#: Characters of a long word that are worked on at once.
+STRETCH = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,9 +117,12 @@ class Vocab:
             yield j, found
 
 
-    def spans(self, word: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(piece length, starts, ids) of all pieces in one word, for all its places at once."""
-        x = codes_of([word], len(word))[0].astype(np.uint64) + np.uint64(1)
+    def spans(self, word: str, first: int = 0, end: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(piece length, starts, ids) of the pieces that start at places from first to end of one word, for all of these
+        places at once."""
+        end = len(word) if end is None else min(end, len(word))
+        part = word[first : end + self.longest - 1]
+        x = codes_of([part], len(part))[0].astype(np.uint64) + np.uint64(1)
         x = (x ^ (x >> np.uint64(7))) * np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
         h = np.zeros(len(x), np.uint64)
@@ -125,20 +130,32 @@ class Vocab:
             h = h[: len(x) - n + 1] * BASE + x[n - 1 :]
             if n in self.keys:
                 keys, ids = self.keys[n]
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                found = np.flatnonzero(keys[at] == h)
-                yield n, found, ids[at[found]]
+                own = h[: end - first]
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                found = np.flatnonzero(keys[at] == own)
+                yield n, found + first, ids[at[found]]
+
+    def stretches(self, word: str) -> Iterator[tuple[int, int]]:
+        """First and end of stretches of a word; what is worked on a stretch at a time is bounded, however long the word is."""
+        for a in range(0, len(word), STRETCH):
+            yield a, min(a + STRETCH, len(word))
 
     def segments(self, word: str) -> list[str]:
         """The parts of a word between places that no piece reaches across; every segmentation is cut at all of them, so
         best paths, sums over all paths and token counts of the word are those of its parts."""
-        crossed = np.zeros(len(word) + 1, np.int64)
-        for n, starts, _ in self.spans(word):
-            if n > 1:
-                np.add.at(crossed, starts + 1, 1)
-                np.add.at(crossed, starts + n, -1)
-        cuts = np.flatnonzero(np.cumsum(crossed[:-1])[1:] == 0) + 1
-        edges = [0, *cuts.tolist(), len(word)]
+        edges, over = [0], np.zeros(self.longest, np.int64)
+        for a, b in self.stretches(word):
+            crossed = np.zeros(b - a + self.longest + 1, np.int64)
+            crossed[: self.longest] = over
+            for n, starts, _ in self.spans(word, a, b):
+                if n > 1:
+                    np.add.at(crossed, starts + 1 - a, 1)
+                    np.add.at(crossed, starts + n - a, -1)
+            sums = np.cumsum(crossed)
+            edges.extend((np.flatnonzero(sums[: b - a] == 0) + a)[int(a == 0) :].tolist())
+            # what crosses into the next stretch: the sum so far, and the ends beyond
+            over = np.append(sums[b - a], crossed[b - a + 1 : b - a + self.longest])
+        edges.append(len(word))
         return [word[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def parts(self, words: list[str]) -> tuple[list[str], np.ndarray]:

@@ -189,6 +189,10 @@ def test_targets_that_contradict_each_other(spark):
     targets = {d: spark.createDataFrame(x, f"value {'int' if d == 'topic' else 'string'}, share double") for d, x in want.items()}
     rows, error = mixing.rake(cells, targets)
     assert rows.count() == 2 and error > 0.1
+    docs = spark.createDataFrame([(0, "x y", "a", "en"), (1, "z", "b", "de")], "doc_id long, text string, source string, lang string")
+    alone = {**targets, "topic": spark.createDataFrame([(k, 1.0) for k in range(mixing.TOPICS)], "value int, share double")}
+    with pytest.warns(UserWarning, match="targets are missed"):
+        assert all(r.target_error > 0.1 for r in mixing.mix(docs, alone).collect())
 
 
 def test_probabilities_and_draw_by_plain_code(spark):
@@ -217,7 +221,7 @@ def test_topics_part_texts_by_their_words(spark):
 
 def test_mixing_edges(docs, empty):
     rows = mixing.mix(docs).collect()
-    assert len(rows) == len(ALL) + 1 and all(0 <= r.prob <= 1 and r.sampled is not None for r in rows)
+    assert len(rows) == len(ALL) + 1 and all(0 <= r.prob <= 1 and r.sampled is not None and 0 <= r.target_error for r in rows)
     assert mixing.mix(empty).collect() == []
     whole = mixing.mix(docs, share=1.0).collect()
     assert sum(r.tokens * r.prob for r in whole) <= sum(r.tokens for r in whole) + 1e-6

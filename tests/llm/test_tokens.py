@@ -1,9 +1,11 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rasterloom.llm import language_id, sentencepiece, token_counts
+from rasterloom.llm import language_id, sentencepiece, token_counts, vocab
 from rasterloom.llm.vocab import SPACE, load, split_spaces, vocab_of
 from tests.llm.conftest import prose, texts
 
@@ -97,6 +99,58 @@ def test_a_megabyte_without_spaces(v):
     assert e.words.begin()  # words are not kept beyond a number of characters
 
 
+@pytest.mark.parametrize("stretch", [16, 100, 333])
+def test_long_words_by_stretches(v, monkeypatch, stretch):
+    """What crosses from one stretch of a word into the next is carried along."""
+    cut = {name: (v.segments(w[:1500]), w[:1500]) for name, w in long_words().items()}
+    monkeypatch.setattr(vocab, "STRETCH", stretch)
+    monkeypatch.setattr(sentencepiece, "STRETCH", stretch)
+    monkeypatch.setattr(token_counts, "DEEP", 50)
+    for segments, word in cut.values():
+        want = plain_path(v, word)
+        assert v.segments(word) == segments
+        assert list(sentencepiece.long_path(v, word)) == want and token_counts.Trie(v).tokens(word) == len(want)
+        assert SPACE + sentencepiece.decode_ids(v, np.array(want)) == word
+
+
+@pytest.mark.parametrize("name", list(long_words()))
+def test_sums_by_windows(v, name):
+    word = long_words()[name][:3007].lower()
+    p = np.random.default_rng(4).random((len(v.pieces), 3)) * 1e-3
+    gains = language_id._gains(p)
+    assert np.allclose(language_id.long_sum(v, gains, word), plain_sum(v, p, word), rtol=1e-12)
+    assert np.allclose(language_id.long_sum(v, gains, word[:40]), language_id.log_sums(v, gains, [word[:40]], 40)[0], rtol=1e-12)
+
+
+def test_one_letter_a_million_times_takes_little_memory():
+    """In a process of its own: its peak, the library and the vocabulary included."""
+    import subprocess
+    import sys
+
+    code = (
+        "import resource, numpy as np\n"
+        "from rasterloom.llm import language_id, sentencepiece, token_counts\n"
+        "from rasterloom.llm.vocab import SPACE, load, vocab_of\n"
+        "v, text = vocab_of(load()), 'x' * 1_000_000\n"
+        "ids = sentencepiece.Encoder(v).encode([text])[0]\n"
+        "assert sentencepiece.decode_ids(v, ids) == text\n"
+        "assert token_counts.Trie(v).counts([SPACE + text]).tolist() == [len(ids)]\n"
+        "language_id.Scorer(v, np.full((len(v.pieces), 4), 1e-4)).texts([text])\n"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(out.stdout.split()[-1]) < 400
+
+
+def test_fitting_counts_long_words(v):
+    """A word without a cut counts in fitting, however long it is."""
+    from collections import Counter
+
+    langs, p = language_id.fit(v, {"aa": Counter({"x" * 2000: 1}), "bb": Counter({"garden": 300})})
+    of_x = [i for piece, i in v.ids.items() if set(piece) == {"x"}]
+    assert p[of_x, 0].sum() > 10 * p[of_x, 1].sum()
+
+
 def test_trie_shares_prefixes_across_batches(v):
     t = token_counts.Trie(v)
     first = t.counts([SPACE + "river", SPACE + "rivers"])
