@@ -2,14 +2,13 @@
 
 mux() stores bytes as an uncompressed video track: samples of 192 bytes are 8 x 8 RGB frames, every GROUP-th is marked
 as a key frame. index() walks the boxes of any such file, skipping the payload, and gives codec, duration, size of the
-picture and the byte range of each key frame from the sample tables (sizes, chunk runs, chunk offsets, sync samples).
-read_samples() follows the same tables to the stored bytes.
+picture and the byte range of each key frame from the sample tables (sizes, chunk runs, chunk offsets, sync samples)
+and from the runs of samples in fragments. read_samples() follows the same tables to the stored bytes.
 
 Cases: null and empty texts become one frame of spaces; equal texts give equal files, with no clock in them; a payload
 of any length is stored whole (64-bit offsets above 4 GB); media_columns() describes the first video track, or the
-first track where there is none, gives null columns for null or damaged files and says so in `problem`, and says there
-that a file goes on in fragments, whose samples its tables do not list; repeated rows give a row each; an empty table
-gives no rows.
+first track where there is none, and gives null columns for null or damaged files and says so in `problem`; columns of its
+own names that a table has already are replaced; repeated rows give a row each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from rasterloom.llm.common import pieces, texts_of
 
 SIDE, FRAME, GROUP, CHUNK, RATE = 8, 192, 12, 32, 25
 #: Boxes that hold boxes, and the bytes that come before those.
-NESTED = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"dinf": 0, b"stbl": 0, b"edts": 0, b"dref": 8, b"stsd": 8}
+NESTED = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"dinf": 0, b"stbl": 0, b"edts": 0, b"dref": 8, b"stsd": 8, b"mvex": 0, b"moof": 0, b"traf": 0}
 MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -118,20 +117,81 @@ class Track:
 
 
 def index(data: bytes) -> list[Track]:
-    """Tracks in order; the bodies of data boxes are never looked at."""
-    return indexed(data)[0]
-
-
-def indexed(data: bytes) -> tuple[list[Track], bool]:
-    """Tracks in order, and whether the file goes on in fragments."""
-    view, tracks, fragments = memoryview(data), [], False
+    """Tracks in order, samples of fragments behind those of the tables; the bodies of data boxes are never looked at."""
+    view, tracks, defaults, fragments = memoryview(data), [], {}, []
     for path, a, b in boxes(view):
-        fragments = fragments or path[-1] in (b"moof", b"mvex")
-        if path[-1] == b"trak":
+        kind = path[-1]
+        if kind == b"trak":
             tracks.append({})
+        elif kind == b"trex":
+            number, _, *given = struct.unpack_from(">5I", view, a + 4)
+            defaults[number] = given
+        elif kind == b"moof":
+            wide = bytes(view[a - 12 : a - 8]) == b"moof" and struct.unpack_from(">I", view, a - 16)[0] == 1
+            fragments.append((a - (16 if wide else 8), []))
+        elif kind == b"traf":
+            fragments[-1][1].append([])
+        elif b"traf" in path:
+            fragments[-1][1][-1].append((kind, a))
         elif tracks and len(path) > 2 and b"trak" in path:
-            tracks[-1][path[-2:] if path[-2] == b"stsd" else path[-1]] = (a, b)
-    return [_track(view, t) for t in tracks], fragments
+            tracks[-1][path[-2:] if path[-2] == b"stsd" else kind] = (a, b)
+    out = [_track(view, t) for t in tracks]
+    by_number = {_number(view, t, i): made for (i, t), made in reversed(list(zip(enumerate(tracks), out, strict=True)))}
+    for start, parts in fragments:
+        end = start
+        for part in parts:
+            end = _fragment(view, by_number, defaults, start, end, part)
+    return out
+
+
+def _number(view: memoryview, at: dict, place: int) -> int:
+    """A track's number, by which fragments name it."""
+    if b"tkhd" not in at:
+        return -1 - place
+    a = at[b"tkhd"][0]
+    return struct.unpack_from(">I", view, a + (20 if view[a] == 1 else 12))[0]
+
+
+def _fragment(view: memoryview, tracks: dict[int, Track], defaults: dict, start: int, end: int, part: list) -> int:
+    """Add a track's samples of one fragment, which begins at start. end: of the data of the part before, and then of this."""
+    a = next(x for kind, x in part if kind == b"tfhd")
+    flags, number = struct.unpack_from(">II", view, a)
+    track, at, (duration, size, marks) = tracks[number], a + 8, defaults.get(number, (0, 0, 0))
+    base = end if not flags & 0x20000 else start
+    if flags & 0x1:
+        base, at = struct.unpack_from(">Q", view, at)[0], at + 8
+    at += 4 * bool(flags & 0x2)
+    if flags & 0x8:
+        duration, at = struct.unpack_from(">I", view, at)[0], at + 4
+    if flags & 0x10:
+        size, at = struct.unpack_from(">I", view, at)[0], at + 4
+    if flags & 0x20:
+        marks = struct.unpack_from(">I", view, at)[0]
+    time, place = track.duration, base
+    for kind, a in part:
+        if kind == b"tfdt":
+            time = struct.unpack_from(">Q" if view[a] == 1 else ">I", view, a + 4)[0]
+        elif kind == b"trun":
+            flags, n = struct.unpack_from(">II", view, a)
+            a += 8
+            if flags & 0x1:
+                place, a = base + struct.unpack_from(">i", view, a)[0], a + 4
+            first = None
+            if flags & 0x4:
+                first, a = struct.unpack_from(">I", view, a)[0], a + 4
+            fields = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+            rows = np.frombuffer(view, ">u4", n * len(fields), a).astype(np.int64).reshape(n, len(fields))
+            column = lambda f, given: rows[:, fields.index(f)] if f in fields else np.full(n, given, np.int64)  # noqa: B023, E731
+            durations, sizes, flagged = column(0x100, duration), column(0x200, size), column(0x400, marks).copy()
+            if n and first is not None:
+                flagged[0] = first
+            keys = len(track.sizes) + np.flatnonzero(flagged & 0x10000 == 0)
+            track.offsets = np.append(track.offsets, place + np.cumsum(sizes) - sizes)
+            track.times = np.append(track.times, time + np.cumsum(durations) - durations)
+            track.sizes, track.keys = np.append(track.sizes, sizes), np.append(track.keys, keys)
+            time, place = time + int(durations.sum()), place + int(sizes.sum())
+    track.duration = max(track.duration, time)
+    return place
 
 
 def shown(tracks: list[Track]) -> Track:
@@ -197,29 +257,33 @@ def feature(track: Track) -> str:
 COLUMNS = "codec string, duration_s double, keyframes array<struct<offset: long, size: long, time_s: double>>, problem string"
 
 
+def of_track(t: Track) -> tuple:
+    """codec, duration and key frames of a track."""
+    times = (t.times[t.keys] / max(t.timescale, 1)).tolist() if len(t.times) > t.keys.max(initial=-1) else [None] * len(t.keys)
+    return t.codec, t.seconds, [{"offset": a, "size": n, "time_s": s} for (a, n), s in zip(t.key_ranges(), times, strict=True)]
+
+
 def described(data: bytes | None) -> tuple:
     """COLUMNS of one file."""
     try:
-        tracks, fragments = indexed(data)
-        t = shown(tracks)
-        times = (t.times[t.keys] / max(t.timescale, 1)).tolist() if len(t.times) > t.keys.max(initial=-1) else [None] * len(t.keys)
-        keys = [{"offset": a, "size": n, "time_s": s} for (a, n), s in zip(t.key_ranges(), times, strict=True)]
-        return t.codec, t.seconds, keys, "fragments follow, whose samples are not listed" if fragments else None
+        return *of_track(shown(index(data))), None
     except Exception as e:  # noqa: BLE001  a damaged file is a row, not a failed job
         return None, None, None, "no file" if data is None else f"{type(e).__name__}: {e}"
 
 
 def media_columns(files: DataFrame, column: str = "media") -> DataFrame:
     """files with codec, duration_s, keyframes (array of offset, size and time) and problem."""
+    names = ["codec", "duration_s", "keyframes", "problem"]
 
     @F.pandas_udf(COLUMNS)
     def columns(series):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        rows = [described(None if data is None else bytes(data)) for data in series]
-        return pd.DataFrame(rows, columns=["codec", "duration_s", "keyframes", "problem"])
+        return pd.DataFrame([described(None if data is None else bytes(data)) for data in series], columns=names)
 
-    return files.withColumn("_m", columns(F.col(column))).select("*", "_m.*").drop("_m")
+    kept = [c for c in files.columns if c not in names]
+    new = next(f"_media{i}" for i in range(len(kept) + 1) if f"_media{i}" not in kept)
+    return files.select(*[files[c] for c in kept], columns(files[column]).alias(new)).select(*kept, f"{new}.*")
 
 
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,7 +315,7 @@ def op6(docs: DataFrame) -> DataFrame:
                 media = mux(padded(data))
                 track = index(media)[0]
                 back = read_samples(media, track)
-                rows.append((i, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(track), *described(media)[:3]))
+                rows.append((i, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(track), *of_track(track)))
             yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), OP6_TYPES, strict=True)], OP6_NAMES)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OP6)

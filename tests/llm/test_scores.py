@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -138,7 +139,7 @@ def test_media_damaged(spark):
 
 
 def test_media_video_after_audio_and_fragments():
-    """The video track is shown, wherever it stands; a file that goes on in fragments says so."""
+    """The video track is shown, wherever it stands; a fragment without parts adds nothing."""
     good = media.mux(media.padded(b"x" * 1000))
     kinds = {p[-1]: (a, b) for p, a, b in media.boxes(memoryview(good))}
     a, b = kinds[b"moov"]
@@ -147,11 +148,67 @@ def test_media_video_after_audio_and_fragments():
     sound = video.replace(b"vide", b"soun")
     tracks = media.index(good[: a - 8] + media.box(b"moov", good[a : ta - 8], sound, video) + good[b:])
     assert [t.handler for t in tracks] == ["soun", "vide"] and media.shown(tracks).handler == "vide"
-    assert media.described(good)[3] is None and "fragments" in media.described(good + media.box(b"moof"))[3]
+    assert media.described(good)[3] is None and media.described(good + media.box(b"moof")) == media.described(good)
     packed = media.box(b"stz2", bytes(7) + bytes([4]) + (3).to_bytes(4, "big") + bytes([0x12, 0x30]))
     assert media._sizes(memoryview(packed), {b"stz2": (8, len(packed))}).tolist() == [1, 2, 3]
 
 
+def test_media_fragments():
+    """Samples of two fragments: sizes, times and marks given by sample, by fragment, by file, and from the data's place."""
+    u4 = lambda *v: struct.pack(f">{len(v)}I", *v)
+    whole = media.mux(media.padded(b"x" * 400))
+    kinds = {p[-1]: (a, b) for p, a, b in media.boxes(memoryview(whole))}
+    a, b = kinds[b"moov"]
+    ta, tb = kinds[b"trak"]
+    trex = media.full(b"trex", u4(1, 1, 5, 7, 0x10000))
+    head = whole[: a - 8] + media.box(b"moov", whole[a:b], media.box(b"mvex", trex))
+    shift = len(head) - b  # the tables still point at the frames where they stood
+    file = bytearray(head + whole[b:])
+    at = file.index(b"stco") + 12
+    struct.pack_into(">I", file, at, struct.unpack_from(">I", file, at)[0] + shift)
+    sizes, frames = [3, 1, 4], b"aaabcccc"
+
+    def fragment(flags, fields, trun_flags, runs, payload):
+        def made(lead):
+            trun = media.full(b"trun", u4(len(runs)), struct.pack(">i", lead), *runs, flags=trun_flags | 1)
+            tfdt = media.full(b"tfdt", struct.pack(">Q", 100), version=1) if flags & 0x20000 else b""
+            return media.box(b"moof", media.full(b"mfhd", u4(1)), media.box(b"traf", media.full(b"tfhd", u4(1), fields, flags=flags), tfdt, trun))
+
+        moof = made(len(made(0)) + 8)
+        return moof + media.box(b"mdat", payload)
+
+    n = len(file)
+    one = fragment(0x20000, b"", 0x200, [u4(s) for s in sizes], frames)
+    two = fragment(0x20008 | 0x20, u4(9, 0), 0x200, [u4(2), u4(2)], b"ddee")
+    data = bytes(file) + one + two
+    t = media.index(data)[0]
+    assert len(t.sizes) == 3 + 3 + 2 and t.sizes[3:].tolist() == [3, 1, 4, 2, 2]
+    assert media.read_samples(data, t) == media.padded(b"x" * 400) + frames + b"ddee"
+    assert t.times.tolist() == [0, 1, 2, 100, 105, 110, 100, 109] and t.keys.tolist() == [0, 6, 7] and t.duration == 118
+    first = n + len(one) - len(frames)
+    assert t.offsets[3:].tolist() == [first, first + 3, first + 4, len(data) - 4, len(data) - 2]
+    # with the first sample marked, a size for all of the file, and the data at the place that the fragment's head names
+    last = media.box(b"mdat", b"0123456" * 2)
+    tfhd = media.full(b"tfhd", u4(1), struct.pack(">Q", len(data) + 8), flags=0x1)
+    trun = media.full(b"trun", u4(2), u4(0), flags=0x4)
+    more = data + last + media.box(b"moof", media.box(b"traf", tfhd, trun))
+    t = media.index(more)[0]
+    assert t.sizes[-2:].tolist() == [7, 7] and t.keys.tolist() == [0, 6, 7, 8] and media.read_samples(more, t).endswith(b"0123456" * 2)
+    assert media.described(data + media.box(b"moof", media.box(b"traf", media.full(b"tfhd", u4(9)))))[3] == "KeyError: 9"
+
+
+def test_media_feature_and_clashing_columns(spark):
+    data = media.mux(media.padded(b"y" * (192 * 30)))
+    keys = ",".join(f"{len(data) - 192 * (30 - i)}+192" for i in (0, 12, 24))
+    start = len(data) - 192 * 30
+    want = f"vide raw 8x8 1.20s 30 samples 3 keys {start}+192..{start + 192 * 24}+192 {hashlib.sha256(keys.encode()).hexdigest()[:16]}"
+    assert media.feature(media.index(data)[0]) == want
+    rows = spark.createDataFrame([(1, "old", 5, "old", data, 3)], "_media0 int, codec string, _m int, problem string, media binary, Codecs int")
+    (r,) = media.media_columns(rows).collect()
+    assert (r._media0, r._m, r.Codecs, r.codec, r.duration_s, r.problem) == (1, 5, 3, "raw", 1.2, None)
+    assert [f for f in r.asDict()].count("codec") == 1
+
+
 def test_media_big_tables():
     data = bytes(range(256)) * 3 * 50
     f = media.mux(data)
