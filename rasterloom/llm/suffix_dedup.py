@@ -11,11 +11,13 @@ one in the same way, with the window's name as token, so that no token gathers i
 
 A batch hands on only the first of equal suffixes, so a passage that a third of all documents hold reaches the buckets
 once a batch; splitters go on by document and place, so what is still many rows is several buckets, each of which hands
-on its first. Buckets are as many as their rows need. Names are pairs of 64-bit hashes of bytes (a suffix by its first
+on its first. That holds for single windows too: a bucket says which windows its edges share with others, at most two, and
+those that an earlier bucket has go as well. Buckets are as many as their rows and bytes need. Names are pairs of 64-bit hashes of bytes (a suffix by its first
 bytes and by its whole context, a window by two independent tables); no text is moved but to where its own removals are.
 
-Cases: null is the empty text; a row without an id has no place in the order, so it loses nothing and removes nothing; texts under WINDOW bytes have no window; a text that repeats itself loses all but the
-first; repeated rows of one id are one text; an empty table gives no rows; other columns are not read.
+Cases: null is the empty text; a row without an id has no place in the order, so it loses nothing and removes
+nothing; texts under WINDOW bytes have no window; a text that repeats itself loses all but the first; repeated rows of one
+id are one text; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import discard, keep, pieces
@@ -41,6 +43,10 @@ BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLES = np.random.default_rng(11).integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
 #: Rows of a bucket, 40 bytes each and as much again while they are sorted.
 BUCKET = 1 << 20
+#: Bytes of contexts that meet by their token in one task; a token has at most FEW of them.
+NARROWED = 64 << 20
+#: Rows of a partition whose lists are hashed; above this Spark sorts them.
+HASHED = 1 << 22
 #: Two tokens, a document, a range of its windows (first << 8 | further ones), and what is known: 0 nothing, 1 removed, 2 may
 #: agree in part with others of its first token, which is 0 if its windows have to be looked at one by one.
 SUFFIX = "t long, c long, doc long, r long, kind int"
@@ -182,6 +188,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _rows(*(x[several] for x in (token, *first[1:])), 2)
 
 
+def _compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bucket of single windows: what is removed (1), and the first of those that its edges share with others (3). A
+    window of any number of rows may fill many buckets, each of which has at most two rows left of it."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    first, gone = _firsts(*(np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(4)))
+    if gone.num_rows:
+        yield gone
+    t, c = first[:2]
+    edge = ((t == t[0]) & (c == c[0])) | ((t == t[-1]) & (c == c[-1]))
+    yield _rows(*(x[edge] for x in first), 3)
+
+
 def _with_bytes(rows: pa.RecordBatch, data: list[bytes] | None = None) -> pa.RecordBatch:
     column = pa.nulls(rows.num_rows, pa.binary()) if data is None else pa.array(data, pa.binary())
     return pa.record_batch([*rows.columns, column], [*rows.schema.names, "bytes"])
@@ -256,15 +276,24 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.string()], strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _by_text(rows: DataFrame, name: str, what: Column) -> DataFrame:
-    """Built as the hashed side of joins, so that texts are neither sorted nor spilled."""
-    return rows.groupBy("doc").agg(F.collect_list(what).alias(name)).withColumnRenamed("doc", "doc_id").hint("shuffle_hash")
+def _by_text(rows: DataFrame, name: str, what: Column, texts: int, count: int) -> DataFrame:
+    """Lists by document. Where they are small by partition, they are the hashed side of the join, so that texts are neither
+    sorted nor spilled; else Spark sorts both sides, which can spill. texts: partitions; count: rows."""
+    lists = rows.groupBy("doc").agg(F.collect_list(what).alias(name)).withColumnRenamed("doc", "doc_id")
+    return lists.hint("shuffle_hash") if count // max(texts, 1) <= HASHED else lists
 
 
-def _bucketed(suffixes: DataFrame, rows: int, *splitters: str) -> DataFrame:
+def _dealt(suffixes: DataFrame, rows: int, compare) -> DataFrame:
     """Suffixes dealt by sampled splitters, sorted and compared."""
     n = max(int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET))
-    return suffixes.filter("kind = 0").select("t", "c", "doc", "r").repartitionByRange(n, *splitters).mapInArrow(_compare, SUFFIX)
+    return suffixes.filter("kind = 0").select("t", "c", "doc", "r").repartitionByRange(n, "t", "c", "doc", "r").mapInArrow(compare, SUFFIX)
+
+
+def _across(edges: DataFrame) -> DataFrame:
+    """Of windows at the edges of buckets those that another bucket has an earlier one of, as removed."""
+    least = F.min(F.struct("doc", "r")).over(Window.partitionBy("t", "c"))
+    later = edges.select("t", "c", "doc", "r", least.alias("m")).filter("doc != m.doc OR r != m.r")
+    return later.select(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("c"), "doc", "r", F.lit(1).alias("kind"))
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -272,14 +301,17 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     left = F.count_if(F.col("kind") == 0)
     suffixes = keep(docs.filter("doc_id IS NOT NULL").mapInArrow(_suffixes, SUFFIX), rows=left)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a token at a bucket's edge is looked at again below, so rows of one token may be in several buckets
-    compared = keep(_bucketed(suffixes, suffixes.seen["rows"] or 0, "t", "c", "doc", "r").unionAll(suffixes.filter("kind = 1")))
+    compared = keep(_dealt(suffixes, suffixes.seen["rows"] or 0, _compare).unionAll(suffixes.filter("kind = 1")), rows=F.count_if(F.col("kind") == 2))
     discard(suffixes)
-    marked = docs.join(_by_text(compared.filter("kind = 2"), "marked", F.struct("r", "t")), "doc_id").select("doc_id", "text", "marked")
-    windows = keep(marked.mapInArrow(_windows, CONTEXT), rows=left)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = docs.join(_by_text(compared.filter("kind = 2"), "marked", F.struct("r", "t"), parts, compared.seen["rows"] or 0), "doc_id").select("doc_id", "text", "marked")
+    windows = keep(marked.mapInArrow(_windows, CONTEXT), rows=left, size=F.sum(F.octet_length("bytes")))
+    n = max(parts, -(-(windows.seen["size"] or 0) // NARROWED))
     narrowed = windows.filter("kind = 2").select("t", "doc", "r", "bytes").repartition(n, "t").mapInArrow(_narrow, SUFFIX)
-    gone = keep(compared.unionAll(narrowed).unionAll(_bucketed(windows, windows.seen["rows"] or 0, "t", "c")).unionAll(windows.drop("bytes")).filter("kind = 1").select("doc", "r"))
-    discard(compared, windows)
-    done = docs.join(_by_text(gone, "gone", F.col("r")), "doc_id", "left").select("doc_id", "text", "gone")
+    single = keep(_dealt(windows, windows.seen["rows"] or 0, _compare_windows))
+    found = compared.unionAll(narrowed).unionAll(single).unionAll(_across(single.filter("kind = 3"))).unionAll(windows.drop("bytes"))
+    gone = keep(found.filter("kind = 1").select("doc", "r"), rows=F.count(F.lit(1)))
+    discard(compared, windows, single)
+    done = docs.join(_by_text(gone, "gone", F.col("r"), parts, gone.seen["rows"] or 0), "doc_id", "left").select("doc_id", "text", "gone")
     return done.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

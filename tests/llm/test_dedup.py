@@ -235,6 +235,22 @@ def test_repeats_of_a_passage_in_every_document(spark, monkeypatch):
     _check_repeats(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(8), {i: t.encode() for i, t in rows.items()})
 
 
+def test_repeats_of_windows_that_fill_many_buckets(spark, monkeypatch):
+    """More contexts than meet in one place, a batch a document, buckets of ten windows, and lists that are sorted."""
+    monkeypatch.setattr(suffix_dedup, "BATCH", 400)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 10)
+    monkeypatch.setattr(suffix_dedup, "FEW", 4)
+    monkeypatch.setattr(suffix_dedup, "HASHED", -1)
+    monkeypatch.setattr(suffix_dedup, "NARROWED", 500)
+    passage = prose(6, 30)[:150]
+    rows = {i: f"{prose(500 + i, 2)} {passage} {prose(700 + i, 2)}" for i in range(40)}
+    pairs = [*rows.items(), (7, rows[7]), (None, rows[8])]
+    got = suffix_dedup.repeated(spark.createDataFrame(pairs, "doc_id long, text string").repartition(8)).collect()
+    want = brute_repeats({i: t.encode() for i, t in rows.items()})
+    assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in got if r.doc_id is not None)
+    assert len(got) == 42 and sum(r.n_removed > 0 for r in got) >= 39
+
+
 def test_repeats_empty(empty):
     assert suffix_dedup.repeated(empty).collect() == []
 
