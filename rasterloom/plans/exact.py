@@ -106,7 +106,11 @@ def src_hilbert_coords(spark, sf):
 
 
 _SIDES = "sided AS (SELECT img_id, pos * 2 AS pos, x, y, 32 AS side FROM tl UNION ALL SELECT img_id, pos * 2 + 1, x, y, 16 FROM tl WHERE x < 16 AND y < 16)"
-_EXPORT = ", e AS (SELECT img_id, pos // 2 AS pos, pos % 2 AS k, d AS hidx FROM cells WHERE s = 0) SELECT scan, e.img_id, hidx, r AS red, g AS green, b AS blue FROM e JOIN tl USING (img_id, pos) JOIN (VALUES ('rect', 0), ('large', 0), ('small', 1)) AS n(scan, k) ON n.k = e.k"
+_EXPORT = (
+    ", e AS (SELECT img_id, pos // 2 AS pos, pos % 2 AS k, d AS hidx FROM cells WHERE s = 0) SELECT scan, "
+    "e.img_id, hidx, r AS red, g AS green, b AS blue FROM e JOIN tl USING (img_id, pos) JOIN (VALUES "
+    "('rect', 0), ('large', 0), ('small', 1)) AS n(scan, k) ON n.k = e.k"
+)
 
 
 @query("snk_hilbert_csv", "WITH RECURSIVE {PX}, {FLAT}, {TILES}, " + _SIDES + ", {HILB}" + _EXPORT)
@@ -161,7 +165,10 @@ def flt_not_hilbert_csv(spark, sf):
     return got.groupBy(F.concat("display_name", F.lit(".csv")).alias("path")).agg(F.count("*").alias("n"))
 
 
-@query("snk_plots", _REPORTS + "SELECT split_part(codec, '_', 1) AS family, codec, avg(compression_ratio) AS ratio, coalesce(avg(error), 0) AS error, count(*) AS n FROM rep GROUP BY ALL")
+@query("snk_plots", _REPORTS + (
+    "SELECT split_part(codec, '_', 1) AS family, codec, avg(compression_ratio) AS ratio, coalesce(avg(error), "
+    "0) AS error, count(*) AS n FROM rep GROUP BY ALL"
+))
 def snk_plots(spark, sf):
     """The points that the plot of error against compression draws, from the files of results."""
     got = reports.read_results(spark, _written(spark, sf)).withColumn("family", reports.codec_group(F.col("display_name")))
@@ -192,7 +199,10 @@ def src_image(spark, sf):
 _CHANNELS = [("r",), ("r", "g"), ("r", "g", "b"), ("r", "g", "b", "b")]
 
 
-@query("prj_to_rgb", "WITH {PX}, {FLAT}, {TILES} SELECT img_id, pos, r, CASE WHEN img_id // 2 % 4 < 2 THEN r ELSE g END AS g, CASE WHEN img_id // 2 % 4 < 2 THEN r ELSE b END AS b FROM tl")
+@query("prj_to_rgb", (
+    "WITH {PX}, {FLAT}, {TILES} SELECT img_id, pos, r, CASE WHEN img_id // 2 % 4 < 2 THEN r ELSE g END "
+    "AS g, CASE WHEN img_id // 2 % 4 < 2 THEN r ELSE b END AS b FROM tl"
+))
 def prj_to_rgb(spark, sf):
     """Picture files of one to four channels as RGB: grey is repeated, and alpha, which is not opaque here, is left out."""
     folder, tl = new_folder(spark, "channels"), both_tiles(spark, sf)
@@ -226,7 +236,11 @@ def src_dir_sizes(spark, sf):
     return read_files(spark, folder).select(_img_id("name").alias("img_id"), size.alias("bytes"), metrics.ratio_ref(size, F.lit(32), F.lit(32)).alias("ratio"))
 
 
-@query("src_encoded_files", "WITH RECURSIVE {PX}, {FLAT}, {TILES}, {ORDERED}, {SRUNS} SELECT tl.img_id, pos, x, y, r, g, b, n AS file_size FROM tl JOIN (SELECT img_id, 8 + 12 * sum(parts)::BIGINT AS n FROM sruns GROUP BY 1) USING (img_id)")
+@query("src_encoded_files", (
+    "WITH RECURSIVE {PX}, {FLAT}, {TILES}, {ORDERED}, {SRUNS} SELECT tl.img_id, pos, x, y, r, g, b, n "
+    "AS file_size FROM tl JOIN (SELECT img_id, 8 + 12 * sum(parts)::BIGINT AS n FROM sruns GROUP BY 1) "
+    "USING (img_id)"
+))
 def src_encoded_files(spark, sf):
     """Encoded pictures written as files, read and decoded: pixels, and the size of the file that they came from."""
     folder, codec = new_folder(spark, "encoded"), codecs.HilbertRle()
@@ -239,7 +253,12 @@ def src_encoded_files(spark, sf):
 # means, neighbours, matches
 
 
-@query("wn_rle_approx", "WITH RECURSIVE {PX}, {FLAT}, {TILES}, seq AS (SELECT img_id, pos AS spot, r, g, b FROM tl), {FOLD} SELECT img_id, run AS seq, max(n) AS cnt, floor(sum(r) / count(*) + 0.5)::INT AS r, floor(sum(g) / count(*) + 0.5)::INT AS g, floor(sum(b) / count(*) + 0.5)::INT AS b FROM fold GROUP BY img_id, run")
+@query("wn_rle_approx", (
+    "WITH RECURSIVE {PX}, {FLAT}, {TILES}, seq AS (SELECT img_id, pos AS spot, r, g, b FROM tl), {FOLD} "
+    "SELECT img_id, run AS seq, max(n) AS cnt, floor(sum(r) / count(*) + 0.5)::INT AS r, floor(sum(g) "
+    "/ count(*) + 0.5)::INT AS g, floor(sum(b) / count(*) + 0.5)::INT AS b FROM fold GROUP BY img_id, "
+    "run"
+))
 def wn_rle_approx(spark, sf):
     """Runs whose points stay near their mean."""
     return sequence.mean_runs(both_tiles(spark, sf), ALLOWANCE)
@@ -273,19 +292,36 @@ def sf_rle_table_function(spark, sf):
     )
 
 
-@query("ag_running_avg", "WITH RECURSIVE {PX}, {FLAT}, {TILES}, seq AS (SELECT img_id, pos AS spot, r, g, b FROM tl), {FOLD} SELECT img_id, spot AS pos, run, n, tr / n AS mr, tg / n AS mg, tb / n AS mb FROM fold")
+@query("ag_running_avg", (
+    "WITH RECURSIVE {PX}, {FLAT}, {TILES}, seq AS (SELECT img_id, pos AS spot, r, g, b FROM tl), {FOLD} "
+    "SELECT img_id, spot AS pos, run, n, tr / n AS mr, tg / n AS mg, tb / n AS mb FROM fold"
+))
 def ag_running_avg(spark, sf):
     """The mean of each approximate run after every point."""
     return sequence.running_means(both_tiles(spark, sf), ALLOWANCE)
 
 
-@query("ag_filesize_stats", "WITH f AS (SELECT source, octet_length(encode(coalesce(text, ''))) / 1e6 AS mb FROM documents), box AS (SELECT source, quantile_cont(mb, 0.25) AS q1, quantile_cont(mb, 0.5) AS median, quantile_cont(mb, 0.75) AS q3, avg(mb) AS mean FROM f GROUP BY 1) SELECT box.*, min(mb) AS whisker_lo, max(mb) AS whisker_hi FROM box JOIN f USING (source) WHERE mb BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL")
+@query("ag_filesize_stats", (
+    "WITH f AS (SELECT source, octet_length(encode(coalesce(text, ''))) / 1e6 AS mb FROM documents), "
+    "box AS (SELECT source, quantile_cont(mb, 0.25) AS q1, quantile_cont(mb, 0.5) AS median, quantile_cont(mb, "
+    "0.75) AS q3, avg(mb) AS mean FROM f GROUP BY 1) SELECT box.*, min(mb) AS whisker_lo, max(mb) AS "
+    "whisker_hi FROM box JOIN f USING (source) WHERE mb BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 "
+    "- q1) GROUP BY ALL"
+))
 def ag_filesize_stats(spark, sf):
     mb = table(spark, sf, "documents").select("source", (F.octet_length(F.coalesce("text", F.lit(""))) / F.lit(1e6)).alias("mb"))
     return metrics.boxplot(mb, ["source"], "mb")
 
 
-@query("ag_min_max_tested", "WITH {PX}, {CENT}, own AS (SELECT ini.img_id, ini.pos, ini.cid, (ini.r - c.r) ** 2 + (ini.g - c.g) ** 2 + (ini.b - c.b) ** 2 AS d FROM ini JOIN cent c ON c.img_id = ini.img_id AND c.cid = ini.cid), prs AS (SELECT a.img_id, a.cid, (a.r - b.r) ** 2 + (a.g - b.g) ** 2 + (a.b - b.b) ** 2 AS d2 FROM cent a JOIN cent b ON a.img_id = b.img_id AND a.cid <> b.cid), t AS (SELECT img_id, pos, cid, count(*) FILTER (WHERE d2 < 4 * d) AS tested FROM own JOIN prs USING (img_id, cid) GROUP BY ALL), m AS (SELECT img_id, cid, max(tested) AS most FROM t GROUP BY ALL) SELECT img_id, max(most) AS most, min(most) AS least_most, avg(most) AS mean_most FROM m GROUP BY 1")
+@query("ag_min_max_tested", (
+    "WITH {PX}, {CENT}, own AS (SELECT ini.img_id, ini.pos, ini.cid, (ini.r - c.r) ** 2 + (ini.g - c.g) "
+    "** 2 + (ini.b - c.b) ** 2 AS d FROM ini JOIN cent c ON c.img_id = ini.img_id AND c.cid = ini.cid), "
+    "prs AS (SELECT a.img_id, a.cid, (a.r - b.r) ** 2 + (a.g - b.g) ** 2 + (a.b - b.b) ** 2 AS d2 FROM "
+    "cent a JOIN cent b ON a.img_id = b.img_id AND a.cid <> b.cid), t AS (SELECT img_id, pos, cid, count(*) "
+    "FILTER (WHERE d2 < 4 * d) AS tested FROM own JOIN prs USING (img_id, cid) GROUP BY ALL), m AS (SELECT "
+    "img_id, cid, max(tested) AS most FROM t GROUP BY ALL) SELECT img_id, max(most) AS most, min(most) "
+    "AS least_most, avg(most) AS mean_most FROM m GROUP BY 1"
+))
 def ag_min_max_tested(spark, sf):
     """The most neighbours that a point of a cluster has to be tested against: largest, smallest and mean over clusters."""
     points = kmeans.init_assignment(pixels(spark, sf), 8)
@@ -352,7 +388,11 @@ def _readable(v: str) -> str:
     return out
 
 
-@query("fn_human_bytes", f"WITH s AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents), t AS (SELECT doc_id, n, n * n AS nn FROM s) SELECT doc_id, {_readable('n')} AS size, {_readable('nn')} AS square FROM t")
+@query("fn_human_bytes", (
+    f"WITH s AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents), "
+    f"t AS (SELECT doc_id, n, n * n AS nn FROM s) SELECT doc_id, {_readable('n')} AS size, {_readable('nn')} "
+    f"AS square FROM t"
+))
 def fn_human_bytes(spark, sf):
     n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     return table(spark, sf, "documents").select("doc_id", fn.human_bytes(n).alias("size"), fn.human_bytes(n * n).alias("square"))
@@ -389,10 +429,14 @@ def _le32(v: str) -> str:
 
 
 _TREE = (
-    "leaf AS (SELECT *, coalesce(lag(code) OVER (PARTITION BY img_id ORDER BY code), '') AS before, row_number() OVER (PARTITION BY img_id ORDER BY code) AS nth FROM codes),"
-    " tree_ AS (SELECT img_id, string_agg(repeat('01', (len - len(list_filter(range(1, len + 1), lambda k: left(code, k) = left(before, k))) - (nth > 1)::INT)::INT)"
-    " || '00' || '0300000000000000' || lpad(hex(r), 2, '0') || lpad(hex(g), 2, '0') || lpad(hex(b), 2, '0'), '' ORDER BY code) AS wire FROM leaf GROUP BY 1),"
-    " pay AS (SELECT img_id, string_agg(code, '' ORDER BY pos) AS bits, max(x) + 1 AS w, max(y) + 1 AS h FROM flat JOIN codes USING (img_id, r, g, b) GROUP BY 1)"
+    "leaf AS (SELECT *, coalesce(lag(code) OVER (PARTITION BY img_id ORDER BY code), '') AS before, row_number() "
+    "OVER (PARTITION BY img_id ORDER BY code) AS nth FROM codes),"
+    " tree_ AS (SELECT img_id, string_agg(repeat('01', (len - len(list_filter(range(1, len + 1), lambda "
+    "k: left(code, k) = left(before, k))) - (nth > 1)::INT)::INT)"
+    " || '00' || '0300000000000000' || lpad(hex(r), 2, '0') || lpad(hex(g), 2, '0') || lpad(hex(b), 2, "
+    "'0'), '' ORDER BY code) AS wire FROM leaf GROUP BY 1),"
+    " pay AS (SELECT img_id, string_agg(code, '' ORDER BY pos) AS bits, max(x) + 1 AS w, max(y) + 1 AS "
+    "h FROM flat JOIN codes USING (img_id, r, g, b) GROUP BY 1)"
 )
 
 
@@ -407,11 +451,18 @@ def snk_bytes(spark, sf):
 
 def _report(codec: str, size: str, error: str, rows: str) -> str:
     """SQL of result rows of squares, from a table with img_id, size and error."""
-    return f" SELECT '{codec}' AS codec, img_id::VARCHAR AS name, ({size})::BIGINT AS compressed_size, ({size})::DOUBLE / (1024 * 24) * 100 AS compression_ratio, ({size})::DOUBLE / (1024 * 3) * 100 AS ratio_true, {error} AS error, NULL::VARCHAR AS error_msg FROM {rows}"
+    return (
+        f" SELECT '{codec}' AS codec, img_id::VARCHAR AS name, ({size})::BIGINT AS compressed_size, ({size})::DOUBLE "
+        f"/ (1024 * 24) * 100 AS compression_ratio, ({size})::DOUBLE / (1024 * 3) * 100 AS ratio_true, {error} "
+        f"AS error, NULL::VARCHAR AS error_msg FROM {rows}"
+    )
 
 
 _HUFFED = "8 + {0} * n + n - 1 + (bits + 7) // 8"
-_SDELTA = "sdl AS (SELECT img_id, r - coalesce(lag(r) OVER w, 0) AS dr, g - coalesce(lag(g) OVER w, 0) AS dg, b - coalesce(lag(b) OVER w, 0) AS db FROM sc WINDOW w AS (PARTITION BY img_id ORDER BY spot))"
+_SDELTA = (
+    "sdl AS (SELECT img_id, r - coalesce(lag(r) OVER w, 0) AS dr, g - coalesce(lag(g) OVER w, 0) AS dg, "
+    "b - coalesce(lag(b) OVER w, 0) AS db FROM sc WINDOW w AS (PARTITION BY img_id ORDER BY spot))"
+)
 
 
 @query("cd_delta_hist", _SQUARES + ", " + _SDELTA + " SELECT img_id, dr, dg, db, count(*) AS cnt FROM sdl GROUP BY ALL")
@@ -445,7 +496,11 @@ def cd_hilbert_rle(spark, sf):
     return measure(both_tiles(spark, sf), codecs.HilbertRle())
 
 
-_APPROX = ", seq AS (SELECT img_id, spot, r, g, b FROM sc), {FOLD}, fm AS (SELECT *, floor(avg(r) OVER w + 0.5) AS nr, floor(avg(g) OVER w + 0.5) AS ng, floor(avg(b) OVER w + 0.5) AS nb FROM fold WINDOW w AS (PARTITION BY img_id, run))"
+_APPROX = (
+    ", seq AS (SELECT img_id, spot, r, g, b FROM sc), {FOLD}, fm AS (SELECT *, floor(avg(r) OVER w + "
+    "0.5) AS nr, floor(avg(g) OVER w + 0.5) AS ng, floor(avg(b) OVER w + 0.5) AS nb FROM fold WINDOW "
+    "w AS (PARTITION BY img_id, run))"
+)
 
 
 @query("cd_hilbert_rle_approx", _SQUARES + _APPROX + _report("hilbert-rle-approx_16", "8 + 12 * n", "e", "(SELECT img_id, max(run) + 1 AS n, sum((r - nr) ** 2 + (g - ng) ** 2 + (b - nb) ** 2) / count(*) AS e FROM fm GROUP BY 1)"))
@@ -461,7 +516,10 @@ _WIRED = f" SELECT img_id, md5('2000000020000000' || string_agg({_WIRE}, '' ORDE
     "cd_hilbert_rle_bytes",
     _SQUARES
     + ", {SRUNS}, cut_ AS (SELECT *, (row_number() OVER (PARTITION BY img_id, run ORDER BY spot) - 1) // 255 AS part FROM r2),"
-    + " one AS (SELECT img_id, min(spot) AS place, count(*) AS n, any_value(r) AS r, any_value(g) AS g, any_value(b) AS b FROM cut_ GROUP BY img_id, run, part)"
+    + (
+        " one AS (SELECT img_id, min(spot) AS place, count(*) AS n, any_value(r) AS r, any_value(g) AS g, "
+        "any_value(b) AS b FROM cut_ GROUP BY img_id, run, part)"
+    )
     + _WIRED,
 )
 def cd_hilbert_rle_bytes(spark, sf):
@@ -473,7 +531,10 @@ def cd_hilbert_rle_bytes(spark, sf):
     "cd_hilbert_rle_approx_bytes",
     _SQUARES
     + _APPROX
-    + ", one AS (SELECT img_id, run AS place, max(n) AS n, any_value(nr)::INT AS r, any_value(ng)::INT AS g, any_value(nb)::INT AS b FROM fm GROUP BY img_id, run)"
+    + (
+        ", one AS (SELECT img_id, run AS place, max(n) AS n, any_value(nr)::INT AS r, any_value(ng)::INT "
+        "AS g, any_value(nb)::INT AS b FROM fm GROUP BY img_id, run)"
+    )
     + _WIRED,
 )
 def cd_hilbert_rle_approx_bytes(spark, sf):
@@ -481,7 +542,11 @@ def cd_hilbert_rle_approx_bytes(spark, sf):
     return codecs.HilbertRle(ALLOWANCE).encode(both_tiles(spark, sf)).select("img_id", F.md5(F.hex("encoded").cast("binary")).alias("md5"))
 
 
-@query("snk_png", _SQUARES + _APPROX + ", bad AS (SELECT img_id FROM fm GROUP BY 1 HAVING sum((r - nr) ** 2 + (g - ng) ** 2 + (b - nb) ** 2) > 0) SELECT fm.img_id, c.pos, nr::INT AS r, ng::INT AS g, nb::INT AS b FROM fm JOIN bad USING (img_id) JOIN sc c ON c.img_id = fm.img_id AND c.spot = fm.spot")
+@query("snk_png", _SQUARES + _APPROX + (
+    ", bad AS (SELECT img_id FROM fm GROUP BY 1 HAVING sum((r - nr) ** 2 + (g - ng) ** 2 + (b - nb) ** "
+    "2) > 0) SELECT fm.img_id, c.pos, nr::INT AS r, ng::INT AS g, nb::INT AS b FROM fm JOIN bad USING "
+    "(img_id) JOIN sc c ON c.img_id = fm.img_id AND c.spot = fm.spot"
+))
 def snk_png(spark, sf):
     """Decoded pictures are saved where they differ from theirs, and only there: the pixels of the saved files."""
     found = read_images(spark, _lossy_pngs(spark, sf)).withColumn("img_id", _img_id("path"))
@@ -503,7 +568,10 @@ _unsized("cd_zip_back", codecs.ZipBack())
 _LOSSLESS = (codecs.Hufman(), codecs.Delta(), codecs.HilbertRle(), codecs.HilbertZip(), codecs.ZipDict(), codecs.ZipBack())
 
 
-@query("bm_measure_all", "WITH {PX}, {FLAT}, {TILES}, k AS (SELECT count(DISTINCT img_id) AS n FROM tl) SELECT codec, n AS pictures, 0::BIGINT AS failed, 0.0::DOUBLE AS worst FROM k, (VALUES " + ", ".join(f"('{c.name}')" for c in _LOSSLESS) + ") AS c(codec)")
+@query("bm_measure_all", (
+    "WITH {PX}, {FLAT}, {TILES}, k AS (SELECT count(DISTINCT img_id) AS n FROM tl) SELECT codec, n AS "
+    "pictures, 0::BIGINT AS failed, 0.0::DOUBLE AS worst FROM k, (VALUES "
+) + ", ".join(f"('{c.name}')" for c in _LOSSLESS) + ") AS c(codec)")
 def bm_measure_all(spark, sf):
     """Every lossless family over all squares, one report."""
     px, rows = both_tiles(spark, sf), None
@@ -566,7 +634,10 @@ def huf_encode_all(spark, sf):
     return both_tiles(spark, sf).groupBy("img_id").applyInPandas(run, "img_id long, md5 string, same boolean")
 
 
-@query("so_min_heap", "WITH RECURSIVE {FLAT}, h AS (SELECT img_id AS key, r, g, b, count(*) AS cnt FROM flat GROUP BY ALL), {WEIGH} SELECT key AS img_id, n, bits FROM weighed")
+@query("so_min_heap", (
+    "WITH RECURSIVE {FLAT}, h AS (SELECT img_id AS key, r, g, b, count(*) AS cnt FROM flat GROUP BY ALL), "
+    "{WEIGH} SELECT key AS img_id, n, bits FROM weighed"
+))
 def so_min_heap(spark, sf):
     """The total weight of the nodes that a heap joins, which is the weighted length of the codes."""
     book = huffman.codebook(colours(pixels_flat(spark, sf)), RGB)

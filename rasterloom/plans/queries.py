@@ -21,22 +21,61 @@ ORACLE_SQL: dict[str, str] = {}
 RGB = list(fn.RGB)
 
 _ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax"
-_RASTER = "SELECT img_id, pos, (pos % 32)::INT AS x, (pos // 32)::INT AS y, r, g, b FROM (SELECT *, count(*) OVER (PARTITION BY img_id) AS n FROM {0}) WHERE pos < n - n % 32"
+_RASTER = (
+    "SELECT img_id, pos, (pos % 32)::INT AS x, (pos // 32)::INT AS y, r, g, b FROM (SELECT *, count(*) "
+    "OVER (PARTITION BY img_id) AS n FROM {0}) WHERE pos < n - n % 32"
+)
 #: Named pieces of the SQL side: rasters, their sizes, sequences, bytes.
 PARTS = {
-    "PX": f"px0 AS (SELECT l_orderkey // 2048 AS img_id, row_number() OVER (PARTITION BY l_orderkey // 2048 ORDER BY {_ORDER}) - 1 AS pos, floor(l_quantity * 5)::INT AS r, floor(l_discount * 1000 + 0.5)::INT AS g, floor(l_tax * 1000 + 0.5)::INT AS b FROM lineitem), px AS ({_RASTER.format('px0')})",
+    "PX": (
+        f"px0 AS (SELECT l_orderkey // 2048 AS img_id, row_number() OVER (PARTITION BY l_orderkey // 2048 "
+        f"ORDER BY {_ORDER}) - 1 AS pos, floor(l_quantity * 5)::INT AS r, floor(l_discount * 1000 + 0.5)::INT "
+        f"AS g, floor(l_tax * 1000 + 0.5)::INT AS b FROM lineitem), px AS ({_RASTER.format('px0')})"
+    ),
     "FLAT": "fl0 AS (SELECT l_orderkey // 2048 AS img_id, row_number() OVER (PARTITION BY l_orderkey // 2048 ORDER BY l_returnflag, l_linestatus, "
     + _ORDER
-    + ") - 1 AS pos, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 200 WHEN 'NF' THEN 10 WHEN 'NO' THEN 10 WHEN 'RF' THEN 90 ELSE 128 END AS r, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 10 WHEN 'NF' THEN 200 WHEN 'NO' THEN 10 WHEN 'RF' THEN 90 ELSE 128 END AS g, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 10 WHEN 'NF' THEN 10 WHEN 'NO' THEN 200 WHEN 'RF' THEN 0 ELSE 128 END AS b FROM lineitem), flat AS ("
+    + (
+        ") - 1 AS pos, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 200 WHEN 'NF' THEN 10 WHEN 'NO' THEN "
+        "10 WHEN 'RF' THEN 90 ELSE 128 END AS r, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 10 WHEN "
+        "'NF' THEN 200 WHEN 'NO' THEN 10 WHEN 'RF' THEN 90 ELSE 128 END AS g, CASE l_returnflag || l_linestatus "
+        "WHEN 'AF' THEN 10 WHEN 'NF' THEN 10 WHEN 'NO' THEN 200 WHEN 'RF' THEN 0 ELSE 128 END AS b FROM lineitem), "
+        "flat AS ("
+    )
     + _RASTER.format("fl0")
     + ")",
     "DIMS": "dims AS (SELECT img_id, max(x) + 1 AS w, max(y) + 1 AS h, count(*) AS n_pixels FROM px GROUP BY 1)",
-    "EV": "ev AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type, floor(value * 100 + 0.5)::BIGINT AS value_cents FROM events)",
-    "RUNS": "rn1 AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR r <> lag(r) OVER w OR g <> lag(g) OVER w OR b <> lag(b) OVER w THEN 1 ELSE 0 END AS nw FROM flat WINDOW w AS (PARTITION BY img_id ORDER BY pos)), rn2 AS (SELECT *, sum(nw) OVER (PARTITION BY img_id ORDER BY pos) AS run FROM rn1), rn3 AS (SELECT *, (row_number() OVER (PARTITION BY img_id, run ORDER BY pos) - 1) // 255 AS part FROM rn2), runs AS (SELECT img_id, row_number() OVER (PARTITION BY img_id ORDER BY run, part) - 1 AS seq, count(*)::INT AS cnt, any_value(r) AS r, any_value(g) AS g, any_value(b) AS b FROM rn3 GROUP BY img_id, run, part)",
+    "EV": (
+        "ev AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, "
+        "event_type, floor(value * 100 + 0.5)::BIGINT AS value_cents FROM events)"
+    ),
+    "RUNS": (
+        "rn1 AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR r <> lag(r) OVER w OR g <> lag(g) OVER w "
+        "OR b <> lag(b) OVER w THEN 1 ELSE 0 END AS nw FROM flat WINDOW w AS (PARTITION BY img_id ORDER BY "
+        "pos)), rn2 AS (SELECT *, sum(nw) OVER (PARTITION BY img_id ORDER BY pos) AS run FROM rn1), rn3 AS "
+        "(SELECT *, (row_number() OVER (PARTITION BY img_id, run ORDER BY pos) - 1) // 255 AS part FROM rn2), "
+        "runs AS (SELECT img_id, row_number() OVER (PARTITION BY img_id ORDER BY run, part) - 1 AS seq, count(*)::INT "
+        "AS cnt, any_value(r) AS r, any_value(g) AS g, any_value(b) AS b FROM rn3 GROUP BY img_id, run, part)"
+    ),
     "HIST": "hist AS (SELECT img_id, r, g, b, count(*) AS cnt FROM px GROUP BY ALL)",
-    "CENT": "ini AS (SELECT *, least((n - 1 - place) // (n // 8), 7)::INT AS cid FROM (SELECT *, count(*) OVER (PARTITION BY img_id) AS n, row_number() OVER (PARTITION BY img_id ORDER BY pos) - 1 AS place FROM px)), cent AS (SELECT img_id, cid, arg_min(x, pos) AS x, arg_min(y, pos) AS y, arg_min(r, pos) AS r, arg_min(g, pos) AS g, arg_min(b, pos) AS b FROM ini GROUP BY ALL)",
-    "HILB": "cells AS (SELECT img_id, pos, x, y, x AS u, y AS v, (side // 2)::BIGINT AS s, 0::BIGINT AS d FROM sided UNION ALL SELECT img_id, pos, x, y, CASE WHEN (v & s) = 0 THEN CASE WHEN (u & s) > 0 THEN s - 1 - (v & (s - 1)) ELSE v & (s - 1) END ELSE u & (s - 1) END, CASE WHEN (v & s) = 0 THEN CASE WHEN (u & s) > 0 THEN s - 1 - (u & (s - 1)) ELSE u & (s - 1) END ELSE v & (s - 1) END, s // 2, d + s * s * xor(CASE WHEN (u & s) > 0 THEN 3 ELSE 0 END, CASE WHEN (v & s) > 0 THEN 1 ELSE 0 END) FROM cells WHERE s > 0)",
-    "BYTES": "byts AS (SELECT doc_id, k - 1 AS pos, ('0x' || h)::INT AS byte FROM (SELECT doc_id, unnest(l) AS h, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS l FROM documents WHERE text IS NOT NULL)))",
+    "CENT": (
+        "ini AS (SELECT *, least((n - 1 - place) // (n // 8), 7)::INT AS cid FROM (SELECT *, count(*) OVER "
+        "(PARTITION BY img_id) AS n, row_number() OVER (PARTITION BY img_id ORDER BY pos) - 1 AS place FROM "
+        "px)), cent AS (SELECT img_id, cid, arg_min(x, pos) AS x, arg_min(y, pos) AS y, arg_min(r, pos) AS "
+        "r, arg_min(g, pos) AS g, arg_min(b, pos) AS b FROM ini GROUP BY ALL)"
+    ),
+    "HILB": (
+        "cells AS (SELECT img_id, pos, x, y, x AS u, y AS v, (side // 2)::BIGINT AS s, 0::BIGINT AS d FROM "
+        "sided UNION ALL SELECT img_id, pos, x, y, CASE WHEN (v & s) = 0 THEN CASE WHEN (u & s) > 0 THEN "
+        "s - 1 - (v & (s - 1)) ELSE v & (s - 1) END ELSE u & (s - 1) END, CASE WHEN (v & s) = 0 THEN CASE "
+        "WHEN (u & s) > 0 THEN s - 1 - (u & (s - 1)) ELSE u & (s - 1) END ELSE v & (s - 1) END, s // 2, d "
+        "+ s * s * xor(CASE WHEN (u & s) > 0 THEN 3 ELSE 0 END, CASE WHEN (v & s) > 0 THEN 1 ELSE 0 END) "
+        "FROM cells WHERE s > 0)"
+    ),
+    "BYTES": (
+        "byts AS (SELECT doc_id, k - 1 AS pos, ('0x' || h)::INT AS byte FROM (SELECT doc_id, unnest(l) AS "
+        "h, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') "
+        "AS l FROM documents WHERE text IS NOT NULL)))"
+    ),
 }
 
 
@@ -62,7 +101,10 @@ def colours(px: DataFrame) -> DataFrame:
 # flagship
 
 
-@query("flat_rle_summary", "WITH {FLAT}, {RUNS} SELECT img_id, count(*) AS n_runs, 8 + 12 * count(*) AS size, sum(cnt)::BIGINT AS n_pixels, (8 + 12 * count(*)) / (3.0 * sum(cnt)) AS ratio FROM runs GROUP BY 1")
+@query("flat_rle_summary", (
+    "WITH {FLAT}, {RUNS} SELECT img_id, count(*) AS n_runs, 8 + 12 * count(*) AS size, sum(cnt)::BIGINT "
+    "AS n_pixels, (8 + 12 * count(*)) / (3.0 * sum(cnt)) AS ratio FROM runs GROUP BY 1"
+))
 def flat_rle_summary(spark, sf):
     rle = sequence.runs(pixels_flat(spark, sf), ["img_id"], "pos")
     size = F.lit(8) + 12 * F.count("*")
@@ -92,7 +134,10 @@ def src_doc_bytes(spark, sf):
     return doc_bytes(spark, sf).select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), F.md5("data").alias("md5"))
 
 
-@query("src_hilbert_rect", "WITH {PX} SELECT img_id, count(*) AS n, 0::BIGINT AS lo, count(*) - 1 AS hi, count(*) AS n_places, 0::BIGINT AS start_x, 0::BIGINT AS start_y FROM px GROUP BY 1")
+@query("src_hilbert_rect", (
+    "WITH {PX} SELECT img_id, count(*) AS n, 0::BIGINT AS lo, count(*) - 1 AS hi, count(*) AS n_places, "
+    "0::BIGINT AS start_x, 0::BIGINT AS start_y FROM px GROUP BY 1"
+))
 def src_hilbert_rect(spark, sf):
     """The scan as facts that any rectangle must meet: all places from 0 to n - 1, from the origin on."""
     px = pixels(spark, sf)
@@ -101,13 +146,21 @@ def src_hilbert_rect(spark, sf):
     return s.groupBy("img_id").agg(F.count("*").alias("n"), F.min("hidx").alias("lo"), F.max("hidx").alias("hi"), F.countDistinct("hidx").alias("n_places"), first("x").alias("start_x"), first("y").alias("start_y"))
 
 
-@query("src_hilbert_small", "WITH RECURSIVE {PX}, {DIMS}, sided AS (SELECT px.*, side FROM px JOIN (SELECT img_id, least(2 ** (ceil(log2(w))::INT), 2 ** (ceil(log2(h))::INT))::BIGINT // 2 AS side FROM dims) USING (img_id) WHERE x < side AND y < side), {HILB} SELECT img_id, pos, x, y, d AS hidx FROM cells WHERE s = 0")
+@query("src_hilbert_small", (
+    "WITH RECURSIVE {PX}, {DIMS}, sided AS (SELECT px.*, side FROM px JOIN (SELECT img_id, least(2 ** "
+    "(ceil(log2(w))::INT), 2 ** (ceil(log2(h))::INT))::BIGINT // 2 AS side FROM dims) USING (img_id) "
+    "WHERE x < side AND y < side), {HILB} SELECT img_id, pos, x, y, d AS hidx FROM cells WHERE s = 0"
+))
 def src_hilbert_small(spark, sf):
     px = pixels(spark, sf)
     return scan.hilbert_small(px, images(px)).select("img_id", "pos", "x", "y", "hidx")
 
 
-@query("src_hilbert_large", "WITH RECURSIVE {PX}, {DIMS}, sided AS (SELECT px.*, side FROM px JOIN (SELECT img_id, greatest(2 ** (ceil(log2(w))::INT), 2 ** (ceil(log2(h))::INT))::BIGINT AS side FROM dims) USING (img_id)), {HILB} SELECT img_id, pos, x, y, d AS hidx FROM cells WHERE s = 0")
+@query("src_hilbert_large", (
+    "WITH RECURSIVE {PX}, {DIMS}, sided AS (SELECT px.*, side FROM px JOIN (SELECT img_id, greatest(2 "
+    "** (ceil(log2(w))::INT), 2 ** (ceil(log2(h))::INT))::BIGINT AS side FROM dims) USING (img_id)), "
+    "{HILB} SELECT img_id, pos, x, y, d AS hidx FROM cells WHERE s = 0"
+))
 def src_hilbert_large(spark, sf):
     px = pixels(spark, sf)
     return scan.hilbert_large(px, images(px)).select("img_id", "pos", "x", "y", "hidx")
@@ -125,7 +178,13 @@ def _reports(spark, sf):
     return rows.select("codec", F.col("img_id").cast("string").alias("name"), "compressed_size", metrics.ratio_ref(F.col("compressed_size"), F.col("w"), F.col("h")).alias("compression_ratio"), "error")
 
 
-_REPORTS = "WITH {PX}, {FLAT}, {RUNS}, {DIMS}, rep0 AS (SELECT 'hilbert-rle' AS codec, img_id, 8 + 12 * count(*) AS compressed_size, 0.0 AS error FROM runs GROUP BY img_id UNION ALL SELECT 'plain_11', img_id, 8 + 11 * n_pixels, NULL FROM dims UNION ALL SELECT 'voronoi_8', img_id, 168, 2.5 FROM dims), rep AS (SELECT codec, img_id::VARCHAR AS name, compressed_size, compressed_size::DOUBLE / (w * h * 24) * 100 AS compression_ratio, error::DOUBLE AS error FROM rep0 JOIN dims USING (img_id)) "
+_REPORTS = (
+    "WITH {PX}, {FLAT}, {RUNS}, {DIMS}, rep0 AS (SELECT 'hilbert-rle' AS codec, img_id, 8 + 12 * count(*) "
+    "AS compressed_size, 0.0 AS error FROM runs GROUP BY img_id UNION ALL SELECT 'plain_11', img_id, "
+    "8 + 11 * n_pixels, NULL FROM dims UNION ALL SELECT 'voronoi_8', img_id, 168, 2.5 FROM dims), rep "
+    "AS (SELECT codec, img_id::VARCHAR AS name, compressed_size, compressed_size::DOUBLE / (w * h * 24) "
+    "* 100 AS compression_ratio, error::DOUBLE AS error FROM rep0 JOIN dims USING (img_id)) "
+)
 
 
 # projections and filters
@@ -176,22 +235,35 @@ def ag_count_freqs(spark, sf):
     return colours(pixels(spark, sf))
 
 
-@query("ag_mse", "WITH {PX}, {FLAT} SELECT img_id, sum((px.r - flat.r) ** 2 + (px.g - flat.g) ** 2 + (px.b - flat.b) ** 2) / count(*) AS error, true AS size_ok FROM px JOIN flat USING (img_id, pos) GROUP BY 1")
+@query("ag_mse", (
+    "WITH {PX}, {FLAT} SELECT img_id, sum((px.r - flat.r) ** 2 + (px.g - flat.g) ** 2 + (px.b - flat.b) "
+    "** 2) / count(*) AS error, true AS size_ok FROM px JOIN flat USING (img_id, pos) GROUP BY 1"
+))
 def ag_mse(spark, sf):
     return metrics.mse(pixels(spark, sf), pixels_flat(spark, sf))
 
 
-@query("ag_wmean_color", "WITH {PX}, {HIST} SELECT img_id, (sum(r * cnt) // sum(cnt))::INT AS r, (sum(g * cnt) // sum(cnt))::INT AS g, (sum(b * cnt) // sum(cnt))::INT AS b FROM hist GROUP BY 1")
+@query("ag_wmean_color", (
+    "WITH {PX}, {HIST} SELECT img_id, (sum(r * cnt) // sum(cnt))::INT AS r, (sum(g * cnt) // sum(cnt))::INT "
+    "AS g, (sum(b * cnt) // sum(cnt))::INT AS b FROM hist GROUP BY 1"
+))
 def ag_wmean_color(spark, sf):
     return colours(pixels(spark, sf)).groupBy("img_id").agg(*[kmeans.weighted_mean(c).alias(c) for c in RGB])
 
 
-@query("ag_mean_5d", "WITH {PX} SELECT img_id, (sum(x) // count(*))::INT AS x, (sum(y) // count(*))::INT AS y, (sum(r) // count(*))::INT AS r, (sum(g) // count(*))::INT AS g, (sum(b) // count(*))::INT AS b FROM px GROUP BY 1")
+@query("ag_mean_5d", (
+    "WITH {PX} SELECT img_id, (sum(x) // count(*))::INT AS x, (sum(y) // count(*))::INT AS y, (sum(r) "
+    "// count(*))::INT AS r, (sum(g) // count(*))::INT AS g, (sum(b) // count(*))::INT AS b FROM px GROUP "
+    "BY 1"
+))
 def ag_mean_5d(spark, sf):
     return pixels(spark, sf).withColumn("cnt", F.lit(1)).groupBy("img_id").agg(*[kmeans.weighted_mean(c).alias(c) for c in kmeans.PLACE])
 
 
-@query("ag_cluster_counts", "WITH {PX}, {CENT} SELECT img_id, sum(n)::BIGINT AS points, count(*) AS active, count(*) >= least(sum(n), 7) AS enough FROM (SELECT img_id, cid, count(*) AS n FROM ini GROUP BY ALL) GROUP BY 1")
+@query("ag_cluster_counts", (
+    "WITH {PX}, {CENT} SELECT img_id, sum(n)::BIGINT AS points, count(*) AS active, count(*) >= least(sum(n), "
+    "7) AS enough FROM (SELECT img_id, cid, count(*) AS n FROM ini GROUP BY ALL) GROUP BY 1"
+))
 def ag_cluster_counts(spark, sf):
     return kmeans.cluster_counts(kmeans.init_assignment(pixels(spark, sf), 8), 8)
 
@@ -206,7 +278,13 @@ def ag_codec_group(spark, sf):
     return _reports(spark, sf).groupBy(reports.codec_group(F.col("codec")).alias("family")).agg(F.countDistinct("codec").alias("files"), F.count("*").alias("n"))
 
 
-@query("ag_boxplot", _REPORTS + ", box AS (SELECT codec, quantile_cont(compression_ratio, 0.25) AS q1, quantile_cont(compression_ratio, 0.5) AS median, quantile_cont(compression_ratio, 0.75) AS q3, avg(compression_ratio) AS mean FROM rep GROUP BY 1) SELECT box.*, min(compression_ratio) AS whisker_lo, max(compression_ratio) AS whisker_hi FROM box JOIN rep USING (codec) WHERE compression_ratio BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL")
+@query("ag_boxplot", _REPORTS + (
+    ", box AS (SELECT codec, quantile_cont(compression_ratio, 0.25) AS q1, quantile_cont(compression_ratio, "
+    "0.5) AS median, quantile_cont(compression_ratio, 0.75) AS q3, avg(compression_ratio) AS mean FROM "
+    "rep GROUP BY 1) SELECT box.*, min(compression_ratio) AS whisker_lo, max(compression_ratio) AS whisker_hi "
+    "FROM box JOIN rep USING (codec) WHERE compression_ratio BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 "
+    "* (q3 - q1) GROUP BY ALL"
+))
 def ag_boxplot(spark, sf):
     return metrics.boxplot(_reports(spark, sf), ["codec"], "compression_ratio")
 
@@ -226,7 +304,10 @@ def ag_subpixel_hist(spark, sf):
     return metrics.subpixel_histogram(pixels(spark, sf))
 
 
-@query("ag_diff_hist", "WITH {PX} SELECT img_id, diff, count(*) AS cnt FROM (SELECT img_id, r - lag(r) OVER (PARTITION BY img_id ORDER BY pos) AS diff FROM px) WHERE diff IS NOT NULL GROUP BY ALL")
+@query("ag_diff_hist", (
+    "WITH {PX} SELECT img_id, diff, count(*) AS cnt FROM (SELECT img_id, r - lag(r) OVER (PARTITION BY "
+    "img_id ORDER BY pos) AS diff FROM px) WHERE diff IS NOT NULL GROUP BY ALL"
+))
 def ag_diff_hist(spark, sf):
     return sequence.series_diff(pixels(spark, sf), ["img_id"], "pos", "r").groupBy("img_id", "diff").agg(F.count("*").alias("cnt"))
 
@@ -239,7 +320,10 @@ def wn_positions(spark, sf):
     return sequence.positions(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "pos")
 
 
-_DELTA = "dl AS (SELECT img_id, pos, r - coalesce(lag(r) OVER w, 0) AS dr, g - coalesce(lag(g) OVER w, 0) AS dg, b - coalesce(lag(b) OVER w, 0) AS db FROM px WINDOW w AS (PARTITION BY img_id ORDER BY pos))"
+_DELTA = (
+    "dl AS (SELECT img_id, pos, r - coalesce(lag(r) OVER w, 0) AS dr, g - coalesce(lag(g) OVER w, 0) "
+    "AS dg, b - coalesce(lag(b) OVER w, 0) AS db FROM px WINDOW w AS (PARTITION BY img_id ORDER BY pos))"
+)
 
 
 @query("wn_delta", "WITH {PX}, " + _DELTA + " SELECT * FROM dl")
@@ -252,7 +336,12 @@ def wn_undelta(spark, sf):
     return sequence.undelta(sequence.delta(pixels(spark, sf), ["img_id"], "pos"), ["img_id"], "pos")
 
 
-@query("wn_rle_framework", "WITH {EV}, a AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY pos) THEN 0 ELSE 1 END AS nw FROM ev), b AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY pos) AS run FROM a) SELECT user_id, run::BIGINT - 1 AS seq, count(*)::INT AS cnt, any_value(event_type) AS event_type FROM b GROUP BY user_id, run")
+@query("wn_rle_framework", (
+    "WITH {EV}, a AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER "
+    "BY pos) THEN 0 ELSE 1 END AS nw FROM ev), b AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER "
+    "BY pos) AS run FROM a) SELECT user_id, run::BIGINT - 1 AS seq, count(*)::INT AS cnt, any_value(event_type) "
+    "AS event_type FROM b GROUP BY user_id, run"
+))
 def wn_rle_framework(spark, sf):
     """Runs of any column, here of each user's event types, without a cap."""
     return sequence.runs(seq_events(spark, sf), ["user_id"], "pos", ("event_type",), None)
@@ -268,7 +357,10 @@ def wn_rle_decode(spark, sf):
     return sequence.expand_runs(sequence.runs(pixels_flat(spark, sf), ["img_id"], "pos"), ["img_id"])
 
 
-@query("wn_series_diff", "WITH {EV} SELECT user_id, pos, diff FROM (SELECT user_id, pos, value_cents - lag(value_cents) OVER (PARTITION BY user_id ORDER BY pos) AS diff FROM ev) WHERE diff IS NOT NULL")
+@query("wn_series_diff", (
+    "WITH {EV} SELECT user_id, pos, diff FROM (SELECT user_id, pos, value_cents - lag(value_cents) OVER "
+    "(PARTITION BY user_id ORDER BY pos) AS diff FROM ev) WHERE diff IS NOT NULL"
+))
 def wn_series_diff(spark, sf):
     return sequence.series_diff(seq_events(spark, sf), ["user_id"], "pos", "value_cents")
 
@@ -282,7 +374,11 @@ def _cents(spark, sf, k=8):
     return px, assigned, kmeans.init_centroids(assigned, kmeans.PLACE)
 
 
-_NEAR = "near AS (SELECT c.img_id, c.r, c.g, c.b, arg_min({'nr': k.r, 'ng': k.g, 'nb': k.b}, ((c.r - k.r) ** 2 + (c.g - k.g) ** 2 + (c.b - k.b) ** 2)::BIGINT * 8 + cid) AS m FROM hist c JOIN cent k USING (img_id) GROUP BY ALL)"
+_NEAR = (
+    "near AS (SELECT c.img_id, c.r, c.g, c.b, arg_min({'nr': k.r, 'ng': k.g, 'nb': k.b}, ((c.r - k.r) "
+    "** 2 + (c.g - k.g) ** 2 + (c.b - k.b) ** 2)::BIGINT * 8 + cid) AS m FROM hist c JOIN cent k USING "
+    "(img_id) GROUP BY ALL)"
+)
 
 
 def _palette(spark, sf):
@@ -309,13 +405,22 @@ def jn_positional(spark, sf):
     return joins.positional(a.select("img_id", "pos", F.col("r").alias("a")), b.select("img_id", "pos", F.col("r").alias("b")), ["img_id", "pos"])
 
 
-@query("jn_nearest_xy", "WITH {PX}, {CENT} SELECT px.img_id, px.pos, arg_min(cid, ((px.x - cent.x) ** 2 + (px.y - cent.y) ** 2)::BIGINT * 8 + cid) AS cid, min((px.x - cent.x) ** 2 + (px.y - cent.y) ** 2)::BIGINT AS d2 FROM px JOIN cent USING (img_id) GROUP BY ALL")
+@query("jn_nearest_xy", (
+    "WITH {PX}, {CENT} SELECT px.img_id, px.pos, arg_min(cid, ((px.x - cent.x) ** 2 + (px.y - cent.y) "
+    "** 2)::BIGINT * 8 + cid) AS cid, min((px.x - cent.x) ** 2 + (px.y - cent.y) ** 2)::BIGINT AS d2 "
+    "FROM px JOIN cent USING (img_id) GROUP BY ALL"
+))
 def jn_nearest_xy(spark, sf):
     px, _, cents = _cents(spark, sf)
     return joins.nearest_numpy(px, cents, ["x", "y"])
 
 
-_ASSIGN = "SELECT ini.img_id, ini.pos, arg_min(cent.cid, ((ini.r - cent.r) ** 2 + (ini.g - cent.g) ** 2 + (ini.b - cent.b) ** 2)::BIGINT * 100 + CASE WHEN cent.cid = ini.cid THEN 0 ELSE 1 END * 10 + cent.cid) AS cid, min((ini.r - cent.r) ** 2 + (ini.g - cent.g) ** 2 + (ini.b - cent.b) ** 2)::BIGINT AS d2 FROM ini JOIN cent USING (img_id) GROUP BY ALL"
+_ASSIGN = (
+    "SELECT ini.img_id, ini.pos, arg_min(cent.cid, ((ini.r - cent.r) ** 2 + (ini.g - cent.g) ** 2 + (ini.b "
+    "- cent.b) ** 2)::BIGINT * 100 + CASE WHEN cent.cid = ini.cid THEN 0 ELSE 1 END * 10 + cent.cid) "
+    "AS cid, min((ini.r - cent.r) ** 2 + (ini.g - cent.g) ** 2 + (ini.b - cent.b) ** 2)::BIGINT AS d2 "
+    "FROM ini JOIN cent USING (img_id) GROUP BY ALL"
+)
 
 
 @query("jn_nearest_feature", "WITH {PX}, {CENT} " + _ASSIGN)
@@ -330,7 +435,10 @@ def jn_nearest_numpy(spark, sf):
     return joins.nearest_numpy(assigned.withColumnRenamed("cid", "own"), cents, RGB, current="own")
 
 
-_PAIRS = "prs AS (SELECT a.img_id, a.cid AS src, b.cid AS dst, ((a.r - b.r) ** 2 + (a.g - b.g) ** 2 + (a.b - b.b) ** 2)::BIGINT AS d2 FROM cent a JOIN cent b ON a.img_id = b.img_id AND a.cid <> b.cid)"
+_PAIRS = (
+    "prs AS (SELECT a.img_id, a.cid AS src, b.cid AS dst, ((a.r - b.r) ** 2 + (a.g - b.g) ** 2 + (a.b "
+    "- b.b) ** 2)::BIGINT AS d2 FROM cent a JOIN cent b ON a.img_id = b.img_id AND a.cid <> b.cid)"
+)
 
 
 @query("jn_centroid_pairs", "WITH {PX}, {CENT}, " + _PAIRS + " SELECT * FROM prs")
@@ -343,7 +451,13 @@ def flt_not_self(spark, sf):
     return joins.centroid_pairs(_cents(spark, sf)[2], RGB).groupBy("img_id").agg(F.count("*").alias("n"))
 
 
-@query("jn_ngram_index", "WITH {BYTES}, g AS (SELECT doc_id, pos, string_agg(lpad(hex(byte), 2, '0'), '' ORDER BY pos) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS gram FROM byts) SELECT doc_id, pos, prev FROM (SELECT doc_id, pos, gram, min(pos) OVER (PARTITION BY doc_id, gram ORDER BY pos RANGE BETWEEN 65535 PRECEDING AND 1 PRECEDING) AS prev FROM g WHERE length(gram) = 12) WHERE prev IS NOT NULL")
+@query("jn_ngram_index", (
+    "WITH {BYTES}, g AS (SELECT doc_id, pos, string_agg(lpad(hex(byte), 2, '0'), '' ORDER BY pos) OVER "
+    "(PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS gram FROM byts) SELECT "
+    "doc_id, pos, prev FROM (SELECT doc_id, pos, gram, min(pos) OVER (PARTITION BY doc_id, gram ORDER "
+    "BY pos RANGE BETWEEN 65535 PRECEDING AND 1 PRECEDING) AS prev FROM g WHERE length(gram) = 12) WHERE "
+    "prev IS NOT NULL"
+))
 def jn_ngram_index(spark, sf):
     return joins.ngram_matches(doc_bytes(spark, sf))
 
@@ -388,7 +502,11 @@ def so_codecs_by_mean(spark, sf):
     return mean.select("codec", F.row_number().over(Window.orderBy("m", "codec")).alias("place"))
 
 
-@query("so_dims_desc", "WITH {PX}, {DIMS}, d AS (SELECT w || 'x' || h AS dims, count(*) AS cnt FROM dims GROUP BY 1) SELECT CASE WHEN cnt = 1 THEN 'singles' ELSE dims END AS dims, sum(cnt)::BIGINT AS cnt FROM d GROUP BY 1")
+@query("so_dims_desc", (
+    "WITH {PX}, {DIMS}, d AS (SELECT w || 'x' || h AS dims, count(*) AS cnt FROM dims GROUP BY 1) SELECT "
+    "CASE WHEN cnt = 1 THEN 'singles' ELSE dims END AS dims, sum(cnt)::BIGINT AS cnt FROM d GROUP BY "
+    "1"
+))
 def so_dims_desc(spark, sf):
     return metrics.bundled(metrics.dims_histogram(images(pixels(spark, sf))))
 
@@ -407,7 +525,10 @@ def so_take_n(spark, sf):
 # sets
 
 
-@query("st_chain", "WITH {PX}, {DIMS} SELECT img_id, 0 AS part, 0::BIGINT AS ord, w::BIGINT AS v FROM dims UNION ALL SELECT img_id, 0, 1, h FROM dims UNION ALL SELECT img_id, 1, pos, r FROM px")
+@query("st_chain", (
+    "WITH {PX}, {DIMS} SELECT img_id, 0 AS part, 0::BIGINT AS ord, w::BIGINT AS v FROM dims UNION ALL "
+    "SELECT img_id, 0, 1, h FROM dims UNION ALL SELECT img_id, 1, pos, r FROM px"
+))
 def st_chain(spark, sf):
     px = pixels(spark, sf)
     row = lambda d, part, at, v: d.select("img_id", F.lit(part).alias("part"), F.lit(at).cast("long").alias("ord") if isinstance(at, int) else F.col(at).alias("ord"), F.col(v).cast("long").alias("v"))
@@ -475,12 +596,18 @@ def fn_round_u8(spark, sf):
     return pixels(spark, sf).select("img_id", "pos", fn.round_u8((F.col("r") + F.col("g")) / 2.0).alias("v"))
 
 
-@query("fn_hilbert_xy2d", "WITH RECURSIVE {PX}, sided AS (SELECT img_id, pos, r AS x, g AS y, 256 AS side FROM px), {HILB} SELECT img_id, pos, d AS hidx FROM cells WHERE s = 0")
+@query("fn_hilbert_xy2d", (
+    "WITH RECURSIVE {PX}, sided AS (SELECT img_id, pos, r AS x, g AS y, 256 AS side FROM px), {HILB} "
+    "SELECT img_id, pos, d AS hidx FROM cells WHERE s = 0"
+))
 def fn_hilbert_xy2d(spark, sf):
     return pixels(spark, sf).select("img_id", "pos", fn.hilbert_index(F.col("r"), F.col("g"), F.lit(256)).alias("hidx"))
 
 
-@query("fn_next_pow2", "WITH {PX} SELECT img_id, pos, CASE WHEN pos <= 1 THEN 1 ELSE 2 ** length(bin(pos - 1)) END::BIGINT AS p, CASE WHEN pos <= 1 THEN 0 ELSE 2 ** (length(bin(pos - 1)) - 1) END::BIGINT AS half FROM px")
+@query("fn_next_pow2", (
+    "WITH {PX} SELECT img_id, pos, CASE WHEN pos <= 1 THEN 1 ELSE 2 ** length(bin(pos - 1)) END::BIGINT "
+    "AS p, CASE WHEN pos <= 1 THEN 0 ELSE 2 ** (length(bin(pos - 1)) - 1) END::BIGINT AS half FROM px"
+))
 def fn_next_pow2(spark, sf):
     p = fn.next_pow2(F.col("pos"))
     return pixels(spark, sf).select("img_id", "pos", p.cast("long").alias("p"), F.shiftright(p, 1).cast("long").alias("half"))
@@ -535,7 +662,10 @@ def _le_sql(v: str, n: int) -> str:
     return " || ".join(f"lpad(hex((({v}) >> {8 * k}) & 255), 2, '0')" for k in range(n))
 
 
-@query("fn_ser", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_le_sql('l_partkey & 255', 1)} AS u8, {_le_sql('l_partkey & 65535', 2)} AS u16, {_le_sql('l_partkey', 4)} AS u32, {_le_sql('l_partkey', 8)} AS u64 FROM lineitem")
+@query("fn_ser", (
+    f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_le_sql('l_partkey & 255', 1)} AS u8, {_le_sql('l_partkey & 65535', 2)} "
+    f"AS u16, {_le_sql('l_partkey', 4)} AS u32, {_le_sql('l_partkey', 8)} AS u64 FROM lineitem"
+))
 def fn_ser(spark, sf):
     v = F.col("l_partkey")
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.hex(fn.le(v, n)).alias(f"u{8 * n}") for n in (1, 2, 4, 8)])
@@ -583,7 +713,10 @@ def fn_decompress_len(spark, sf):
     return fn_compress_len(spark, sf).select("img_id", "pos", fn.decompress_len(F.col("packed")).alias("m")).select("img_id", "pos", "m.*")
 
 
-@query("fn_compression_ratio", _REPORTS + "SELECT codec, name, compressed_size::DOUBLE / (w * h * 24) * 100 AS ratio_ref, compressed_size::DOUBLE / (w * h * 3) * 100 AS ratio_true FROM rep JOIN dims ON rep.name = dims.img_id::VARCHAR")
+@query("fn_compression_ratio", _REPORTS + (
+    "SELECT codec, name, compressed_size::DOUBLE / (w * h * 24) * 100 AS ratio_ref, compressed_size::DOUBLE "
+    "/ (w * h * 3) * 100 AS ratio_true FROM rep JOIN dims ON rep.name = dims.img_id::VARCHAR"
+))
 def fn_compression_ratio(spark, sf):
     rep, d = _reports(spark, sf), images(pixels(spark, sf)).withColumn("name", F.col("img_id").cast("string"))
     c = [F.col("compressed_size"), F.col("w"), F.col("h")]
@@ -595,7 +728,10 @@ def fn_raw_size(spark, sf):
     return images(pixels(spark, sf)).select("img_id", metrics.raw_size(F.col("w"), F.col("h")).alias("raw_size"))
 
 
-_URLS = "SELECT page_id, 'output/' || regexp_extract(url, '([^/]*?)(\\.[^./]*)?$', 1) || '.png' AS path, regexp_extract(url, '([^/]*?)(\\.[^./]*)?$', 1) AS name FROM pages"
+_URLS = (
+    "SELECT page_id, 'output/' || regexp_extract(url, '([^/]*?)(\\.[^./]*)?$', 1) || '.png' AS path, "
+    "regexp_extract(url, '([^/]*?)(\\.[^./]*)?$', 1) AS name FROM pages"
+)
 
 
 @query("fn_under_output", _URLS.replace(" AS path, regexp_extract(url, '([^/]*?)(\\.[^./]*)?$', 1) AS name", " AS path"))
@@ -630,7 +766,10 @@ def km_assign(spark, sf):
     return kmeans.assign(assigned, cents, RGB, 8).select("img_id", "pos", "cid", "d2")
 
 
-@query("km_update_centroids", _STEP + "SELECT img_id, moved.cid, (sum(r) // count(*))::INT AS r, (sum(g) // count(*))::INT AS g, (sum(b) // count(*))::INT AS b FROM moved JOIN px USING (img_id, pos) GROUP BY ALL")
+@query("km_update_centroids", _STEP + (
+    "SELECT img_id, moved.cid, (sum(r) // count(*))::INT AS r, (sum(g) // count(*))::INT AS g, (sum(b) "
+    "// count(*))::INT AS b FROM moved JOIN px USING (img_id, pos) GROUP BY ALL"
+))
 def km_update_centroids(spark, sf):
     _, assigned, cents = _cents(spark, sf)
     return kmeans.update_centroids(kmeans.assign(assigned, cents, RGB, 8).withColumn("cnt", F.lit(1)), RGB)
@@ -686,7 +825,10 @@ def _unrolled(rounds: int) -> str:
     d2 = " + ".join(f"(a.{f} - c.{f}) * (a.{f} - c.{f})" for f in RGB)
     for i in range(rounds):
         parts += [
-            f"m{i} AS (SELECT a.img_id, a.pos, arg_min(c.cid, (({d2}) * 2 + (c.cid <> a.cid)::INT) * 8 + c.cid) AS cid FROM a{i} a JOIN c{i} c USING (img_id) GROUP BY ALL)",
+            (
+                f"m{i} AS (SELECT a.img_id, a.pos, arg_min(c.cid, (({d2}) * 2 + (c.cid <> a.cid)::INT) * 8 + c.cid) "
+                f"AS cid FROM a{i} a JOIN c{i} c USING (img_id) GROUP BY ALL)"
+            ),
             f"a{i + 1} AS (SELECT m.img_id, m.pos, a.r, a.g, a.b, m.cid FROM m{i} m JOIN a{i} a USING (img_id, pos))",
             f"c{i + 1} AS (SELECT img_id, cid, " + ", ".join(f"(sum({f}) // count(*))::INT AS {f}" for f in RGB) + f" FROM a{i + 1} GROUP BY ALL)",
         ]
@@ -723,16 +865,27 @@ def km_cluster_fixed_point(spark, sf):
 # codecs
 
 
-_BITS = "w0 AS (SELECT key, list(cnt ORDER BY cnt) AS w, 0::BIGINT AS bits FROM h GROUP BY key), tree AS (SELECT key, w, bits FROM w0 UNION ALL SELECT key, list_sort(list_append(w[3:], w[1] + w[2])), bits + w[1] + w[2] FROM tree WHERE len(w) > 1), fin AS (SELECT key, bits FROM tree WHERE len(w) = 1)"
+_BITS = (
+    "w0 AS (SELECT key, list(cnt ORDER BY cnt) AS w, 0::BIGINT AS bits FROM h GROUP BY key), tree AS "
+    "(SELECT key, w, bits FROM w0 UNION ALL SELECT key, list_sort(list_append(w[3:], w[1] + w[2])), bits "
+    "+ w[1] + w[2] FROM tree WHERE len(w) > 1), fin AS (SELECT key, bits FROM tree WHERE len(w) = 1)"
+)
 
 
-@query("huf_build", "WITH RECURSIVE {BYTES}, h AS (SELECT doc_id AS key, byte, count(*) AS cnt FROM byts GROUP BY ALL), " + _BITS + " SELECT key AS doc_id, n, bits AS payload_bits, 8 + 2 * n + n - 1 + (bits + 7) // 8 AS size, 1.0 AS kraft FROM fin JOIN (SELECT key, count(*) AS n FROM h GROUP BY 1) USING (key) UNION ALL SELECT doc_id, 0, 0, 8, 0.0 FROM documents WHERE coalesce(text, '') = ''")
+@query("huf_build", "WITH RECURSIVE {BYTES}, h AS (SELECT doc_id AS key, byte, count(*) AS cnt FROM byts GROUP BY ALL), " + _BITS + (
+    " SELECT key AS doc_id, n, bits AS payload_bits, 8 + 2 * n + n - 1 + (bits + 7) // 8 AS size, 1.0 "
+    "AS kraft FROM fin JOIN (SELECT key, count(*) AS n FROM h GROUP BY 1) USING (key) UNION ALL SELECT "
+    "doc_id, 0, 0, 8, 0.0 FROM documents WHERE coalesce(text, '') = ''"
+))
 def huf_build(spark, sf):
     """Code lengths of each document's bytes: their weighted sum is least, and they fill the code space."""
     return huffman.byte_sizes(doc_bytes(spark, sf))
 
 
-@query("cd_hufman_size", "WITH RECURSIVE {FLAT}, h AS (SELECT img_id AS key, r, g, b, count(*) AS cnt FROM flat GROUP BY ALL), " + _BITS + " SELECT key AS img_id, n, bits AS payload_bits, 8 + 12 * n + n - 1 + (bits + 7) // 8 AS size FROM fin JOIN (SELECT key, count(*) AS n FROM h GROUP BY 1) USING (key)")
+@query("cd_hufman_size", "WITH RECURSIVE {FLAT}, h AS (SELECT img_id AS key, r, g, b, count(*) AS cnt FROM flat GROUP BY ALL), " + _BITS + (
+    " SELECT key AS img_id, n, bits AS payload_bits, 8 + 12 * n + n - 1 + (bits + 7) // 8 AS size FROM "
+    "fin JOIN (SELECT key, count(*) AS n FROM h GROUP BY 1) USING (key)"
+))
 def cd_hufman_size(spark, sf):
     return huffman.sizes(huffman.codebook(colours(pixels_flat(spark, sf)), RGB), 11)
 
@@ -815,7 +968,10 @@ def ag_trie_stats(spark, sf):
     return doc_bytes(spark, sf).mapInPandas(run, "doc_id long, n_values long, n_nodes long, n_inner long")
 
 
-@query("huf_tree_ser", "WITH {FLAT}, h AS (SELECT img_id, count(DISTINCT (r, g, b)) AS n FROM flat GROUP BY 1) SELECT img_id, n, 12 * n + n - 1 AS tree_bytes, true AS same FROM h")
+@query("huf_tree_ser", (
+    "WITH {FLAT}, h AS (SELECT img_id, count(DISTINCT (r, g, b)) AS n FROM flat GROUP BY 1) SELECT img_id, "
+    "n, 12 * n + n - 1 AS tree_bytes, true AS same FROM h"
+))
 def huf_tree_ser(spark, sf):
     """Each raster's tree written and read back."""
     import pandas as pd
@@ -852,7 +1008,12 @@ def sf_delta(spark, sf):
     return stateful.to_end(stateful.stream_deltas(_events(spark, sf)), new_folder(spark, "stream")).select("user_id", "value_cents", "diff")
 
 
-@query("sf_rle", "WITH {EV}, a AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY pos) THEN 0 ELSE 1 END AS nw FROM ev), b AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY pos) AS run FROM a) SELECT user_id, run::BIGINT - 1 AS seq, count(*)::INT AS cnt, any_value(event_type) AS event_type FROM b GROUP BY user_id, run")
+@query("sf_rle", (
+    "WITH {EV}, a AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER "
+    "BY pos) THEN 0 ELSE 1 END AS nw FROM ev), b AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER "
+    "BY pos) AS run FROM a) SELECT user_id, run::BIGINT - 1 AS seq, count(*)::INT AS cnt, any_value(event_type) "
+    "AS event_type FROM b GROUP BY user_id, run"
+))
 def sf_rle(spark, sf):
     """A stream of runs over the events, read to its end: finished ones, and each user's last from the state."""
     folder = new_folder(spark, "stream")

@@ -34,7 +34,10 @@ def in_waves(blocks: DataFrame, coder: Callable[[DataFrame], DataFrame], waves:
     return spark.read.schema(stream.schema).parquet(f"{folder}/symbols")
 
 
-_DECODED = "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, md5(encode(coalesce(text, ''))) AS md5, true AS as_batch FROM documents WHERE coalesce(text, '') <> ''"
+_DECODED = (
+    "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, md5(encode(coalesce(text, ''))) "
+    "AS md5, true AS as_batch FROM documents WHERE coalesce(text, '') <> ''"
+)
 
 
 def _compared(symbols: DataFrame, data: DataFrame, of: Callable[[bytes], bytes], decode: Callable[[bytes], bytes]) -> DataFrame:
