@@ -40,39 +40,45 @@ class Trie:
         self.child: dict[int, int] = {}
         self.best, self.count = [0.0], [0]
 
-    def _best(self, word: str, j: int, scores_at, counts_at) -> tuple[float, int]:
-        """Score and token count of the best path to the end of j characters, from those of the places before."""
-        get, scores, c = self.v.ids.get, self.scores, word[j - 1]
-        top, n, known = float("-inf"), 0, False
-        for size in range(min(j, self.v.reach.get(c, 0)), 0, -1):
-            i = get(word[j - size : j])
-            if i is not None:
-                known = known or size == 1
-                if (s := scores_at(size) + scores[i]) > top:
-                    top, n = s, counts_at(size) + 1
-        if not known and (s := scores_at(1) + self.v.unk_score) > top:
-            top, n = s, counts_at(1) + len(c.encode())
-        return top, n
-
     def tokens(self, word: str) -> int:
         """Tokens of the best segmentation of a word, whose first DEEP characters are inserted."""
-        child, best, count = self.child, self.best, self.count
+        get, reach, scores, child, best, count = self.v.ids.get, self.v.reach.get, self.scores, self.child, self.best, self.count
         node, path = 0, [0]
-        for j, c in enumerate(word[:DEEP], 1):
+        for j, c in enumerate(word if len(word) <= DEEP else word[:DEEP], 1):
             key = node << 21 | ord(c)
             node = child.get(key, -1)
             if node < 0:
-                top, n = self._best(word, j, lambda size: best[path[-size]], lambda size: count[path[-size]])
+                top, n, known = float("-inf"), 0, False
+                for size in range(min(j, reach(c, 0)), 0, -1):
+                    i = get(word[j - size : j])
+                    if i is not None:
+                        known = known or size == 1
+                        before = path[j - size]
+                        if (s := best[before] + scores[i]) > top:
+                            top, n = s, count[before] + 1
+                if not known and (s := best[path[j - 1]] + self.v.unk_score) > top:
+                    top, n = s, count[path[j - 1]] + len(c.encode())
                 node = child[key] = len(best)
                 best.append(top)
                 count.append(n)
             path.append(node)
-        if len(word) <= DEEP:
-            return count[node]
-        # no word shares so long a beginning with many; the rest is carried in the last places alone
-        last = [(best[k], count[k]) for k in path[-self.v.longest :]]
+        return count[node] if len(word) <= DEEP else self._rest(word, [(best[k], count[k]) for k in path[-self.v.longest :]])
+
+    def _rest(self, word: str, last: list[tuple[float, int]]) -> int:
+        """The same for what follows the inserted beginning, which hardly any other word shares: the last places' scores and
+        counts are carried along."""
+        get, reach, scores = self.v.ids.get, self.v.reach.get, self.scores
         for j in range(DEEP + 1, len(word) + 1):
-            last.append(self._best(word, j, lambda size: last[-size][0], lambda size: last[-size][1]))
+            c, top, n, known = word[j - 1], float("-inf"), 0, False
+            for size in range(min(j, reach(c, 0)), 0, -1):
+                i = get(word[j - size : j])
+                if i is not None:
+                    known = known or size == 1
+                    if (s := last[-size][0] + scores[i]) > top:
+                        top, n = s, last[-size][1] + 1
+            if not known and (s := last[-1][0] + self.v.unk_score) > top:
+                top, n = s, last[-1][1] + len(c.encode())
+            last.append((top, n))
             if len(last) > 4096:
                 del last[: -self.v.longest]
         return last[-1][1]
