@@ -98,14 +98,16 @@ def assign_pruned(points: DataFrame, centroids: DataFrame, features: list[str],
     """key, point, cid, d2, tested, by_radius: of points that have a centroid (`own`), the nearest one, the number of others
     compared, and whether the certainty radius ended the search. lengths: of all lists at first; the whole by default.
 
-    Points are shuffled once, in portions of an image, each with a copy of its centroids."""
+    Points are shuffled once, in portions of some BLOCK points of an image, each with a copy of its centroids."""
     import pandas as pd
 
     kinds = dict(points.dtypes)
     schema = f"{key} {kinds[key]}, {point} {kinds[point]}, cid int, d2 long, tested long, by_radius boolean"
     per = centroids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("cid", *features))).alias("_c"))
-    part = F.pmod(F.xxhash64(point), F.lit(64))
-    sent = per.select(key, "_c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("_part"))
+    parts = F.ceil(F.count("*").over(Window.partitionBy(key)) / F.lit(BLOCK))
+    cut = points.select(key, point, own, *features, F.pmod(F.xxhash64(point), parts).alias("_part"))
+    sizes = points.groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("_n"))
+    sent = per.join(sizes, F.col(key) == F.col("_key")).select(F.col("_key").alias(key), "_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_part"))
 
     def find(pts: pd.DataFrame, cts: pd.DataFrame) -> pd.DataFrame:
         if not len(pts) or not len(cts):
@@ -117,7 +119,6 @@ def assign_pruned(points: DataFrame, centroids: DataFrame, features: list[str],
         best, d2, tested, sure, _, _ = lists.nearest(pts[features].to_numpy(np.int64), np.searchsorted(ids, pts[own].to_numpy()))
         return pd.DataFrame({key: pts[key].to_numpy(), point: pts[point].to_numpy(), "cid": ids[best], "d2": d2, "tested": tested, "by_radius": sure})
 
-    cut = points.select(key, point, own, *features, part.alias("_part"))
     return cut.groupBy(key, "_part").cogroup(sent.groupBy(key, "_part")).applyInPandas(find, schema)
 
 
@@ -137,8 +138,11 @@ def blocks(points: DataFrame, k: int, features: list[str], key: str, point: str)
 
 def _first_model(held: DataFrame, k: int, width: int, key: str) -> DataFrame:
     """key, c (centroids one after another), lens, met, rounds: the first point of each chunk as its centroid."""
-    each = held.select(key, "block", "x", F.posexplode("cid").alias("i", "cid"))
-    first = each.groupBy(key, "cid").agg(F.min_by(F.expr(f"slice(x, i * {width} + 1, {width})"), F.struct("block", "i")).alias("c"))
+    # of a block only the first point of each chunk leaves it: its points are never rows that carry the block's features along
+    starts = F.expr(f"filter(transform(sequence(0, {k} - 1), c -> struct(c AS cid, array_position(cid, c) AS i)), s -> s.i > 0)")
+    cut = F.transform(starts, lambda s: F.struct(s["cid"].alias("cid"), F.slice("x", ((s["i"] - 1) * width + 1).cast("int"), F.lit(width)).alias("c")))
+    each = held.select(key, "block", F.inline(cut))
+    first = each.groupBy(key, "cid").agg(F.min_by("c", "block").alias("c"))
     whole = first.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("cid", "c"))), lambda s: s["c"])).cast("array<long>").alias("c"))
     return whole.select(key, "c", F.array_repeat(F.lit(k - 1).cast("long"), k).alias("lens"), F.array().cast("array<string>").alias("met"))
 
@@ -197,10 +201,11 @@ def _furthest(now: DataFrame, needs: DataFrame, width: int, key: str) -> DataFra
     """key and spare: of images with empty clusters, as many of the points furthest from their centroid, first ones of equals.
 
     A block's own furthest ones are taken first, so no more than clusters of them leave a block."""
-    each = now.join(needs, key).select(key, "block", "x", "empty", F.posexplode("d2").alias("i", "d"))
-    inner = each.withColumn("r", F.row_number().over(Window.partitionBy(key, "block").orderBy(F.desc("d"), "i"))).filter("r <= empty")
+    ranked = F.slice(F.array_sort(F.transform("d2", lambda d, i: F.struct((-d).alias("d"), i.alias("i")))), F.lit(1), F.col("empty"))
+    cut = F.transform(ranked, lambda s: F.struct((-s["d"]).alias("d"), s["i"].alias("i"), F.slice("x", s["i"] * width + 1, F.lit(width)).alias("v")))
+    inner = now.join(needs, key).select(key, "block", "empty", F.inline(cut))
     outer = inner.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("d"), "block", "i"))).filter("r <= empty")
-    return outer.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.expr(f"slice(x, i * {width} + 1, {width})").alias("v")))), lambda s: s["v"]).alias("spare"))
+    return outer.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda s: s["v"]).alias("spare"))
 
 
 def _update(model: DataFrame, totals: DataFrame, spare: DataFrame | None, k: int, width: int, key: str, turn: int) -> DataFrame:
@@ -256,8 +261,8 @@ def kmeans_rounds(points: DataFrame, k: int, features: list[str], key: str = "im
         empty = points.limit(0)
         mine = empty.select(key, point, F.lit(0).alias("cid"), F.lit(0).cast("long").alias("d2"), "cnt", *features)
         return mine, empty.select(key, F.lit(0).alias("cid"), *features, F.lit(True).alias("converged"), F.lit(0).alias("round")), empty.select(key, F.lit(0).alias("round"), *[F.lit(0).cast("long").alias(c) for c in [*COUNTERS, "grew"]])
-    each = done.select(key, "x", F.posexplode(F.arrays_zip("points", "cid", "d2", "cnt")).alias("i", "p"))
-    mine = each.select(key, F.col("p.points").alias(point), F.col("p.cid").alias("cid"), F.col("p.d2").alias("d2"), F.col("p.cnt").alias("cnt"), *[F.element_at("x", F.col("i") * width + j + 1).alias(f) for j, f in enumerate(features)])
+    each = F.transform(F.arrays_zip("points", "cid", "d2", "cnt"), lambda p, i: F.struct(p["points"].alias(point), p["cid"].alias("cid"), p["d2"].alias("d2"), p["cnt"].alias("cnt"), *[F.element_at("x", i * width + j + 1).alias(f) for j, f in enumerate(features)]))
+    mine = done.select(key, F.inline(each))
     cents = _union(models).select(key, "converged", "round", "c", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cid"))
     cents = cents.select(key, "cid", *[F.element_at("c", F.col("cid") * width + j + 1).cast("int").alias(f) for j, f in enumerate(features)], "converged", "round")
     return mine, cents, _union(logs)

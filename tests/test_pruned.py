@@ -103,3 +103,16 @@ def test_assignment_as_rows(points):
         best, d2 = brute(own[["r", "g", "b"]].to_numpy(), c, own.cid.to_numpy())
         assert [(got[img, p].cid, got[img, p].d2) for p in own.pos] == list(zip(best.tolist(), d2.tolist(), strict=True))
     assert pruned.assign_pruned(assigned, cents.filter("img_id = 3"), ["r", "g", "b"]).count() == 12
+
+
+def test_no_row_of_a_point_carries_its_block(spark):
+    """Sums, first centroids and what is returned: features of a block leave it as one row, or cut to a point's own."""
+    points = spark.range(3 * pruned.BLOCK).selectExpr("0L AS img_id", "id AS pos", "cast(id % 251 AS int) AS r", "cast(id % 7 AS int) AS g", "1 AS cnt")
+    held = pruned.blocks(points, 4, ["r", "g"], "img_id", "pos")
+    plan = pruned._first_model(held, 4, 2, "img_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
+    mine, centroids, _ = pruned.kmeans_rounds(points, 4, ["r", "g"], max_iter=1)
+    assert "posexplode" not in mine._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(mine.collect(), key=lambda r: r.pos)
+    assert [r.pos for r in rows] == list(range(3 * pruned.BLOCK)) and all((r.r, r.g) == (r.pos % 251, r.pos % 7) for r in rows)
+    assert centroids.count() == 4
