@@ -119,7 +119,7 @@ def cluster(rows: DataFrame, k: int, rounds: int, vec_id: str = "vec_id", vector
 
 
 def op11(rows: DataFrame, k: int = 40, rounds: int = 5) -> DataFrame:
-    """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256, tested (centroids compared in the last search)."""
+    """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256: the columns of SQL. cluster() has `tested` besides."""
     held, centroids = cluster(rows, k, rounds)
     spark = rows.sparkSession
     sums = {r["cluster"]: r["s"] for r in held.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}
@@ -127,7 +127,7 @@ def op11(rows: DataFrame, k: int = 40, rounds: int = 5) -> DataFrame:
     names = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
     told = spark.createDataFrame([(i, sums.get(i, 0), total, n) for i, n in enumerate(names)], "c int, cluster_inertia long, inertia long, centroid_sha256 string")
     both = held.join(F.broadcast(told), held["cluster"] == told["c"])
-    return both.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256", "tested")
+    return both.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
 def _sql(k: int = 40, rounds: int = 5) -> str:

@@ -139,3 +139,8 @@ def test_lanczos_finds_lost_directions():
     """The identity has an invariant space in every block, so each step breaks down and goes on from random directions."""
     got, vectors, told = whitening.eigenpairs(lambda b: b * 2.0, 20, 12, 5)
     assert np.allclose(got, 2) and told["lost"] > 0 and np.abs(vectors.T @ vectors - np.eye(12)).max() < 1e-10
+
+
+def test_columns_are_those_of_sql(spark):
+    got = centroids.op11(spark.createDataFrame(rows_of(awkward()[:3]), SCHEMA))
+    assert got.columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
