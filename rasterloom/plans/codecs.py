@@ -76,15 +76,81 @@ def _row(w: int, h: int, encode) -> list:
         return [[w], [h], [None], [f"{type(e).__name__}: {e}"]]
 
 
+class Measured:
+    """A fold of an image's x, y, r, g, b to a row for each codec: its bytes are decoded where they are made and compared with
+    the pixels, so neither they nor decoded pixels are dealt out again. Squared differences are summed over the places that
+    both have, over the larger count of pixels; an image that fails has no difference."""
+
+    SCHEMA = "codec string, w int, h int, size long, encoded binary, error double, error_msg string"
+
+    def __init__(self, codecs: list[Codec], save: bool = False):
+        """save: give the bytes of pictures that differ, and of those alone."""
+        self.codecs, self.save, self.pos, self.parts = codecs, save, [], []
+
+    def feed(self, order: np.ndarray, values: list[np.ndarray]) -> None:
+        self.pos.append(np.array(order))
+        self.parts.append(np.stack(values, 1))
+
+    def end(self) -> list:
+        pos, px = np.concatenate(self.pos), np.concatenate(self.parts).astype(np.int64)
+        x, y, rgb = px[:, 0], px[:, 1], px[:, 2:]
+        w, h = int(x.max()) + 1, int(y.max()) + 1
+        rows = []
+        for c in self.codecs:
+            data, error, why = None, 0.0, None
+            try:
+                data = c.encode_places(w, h, x, y, rgb)
+                error, whole = difference(pos, rgb, c.decode_image(data))
+                why = None if whole else "decoded size differs"
+            except Exception as e:  # noqa: BLE001  one bad image is a row that says so
+                why = f"{type(e).__name__}: {e}"
+            if why is None and c.is_lossless and error:
+                why = "decoded image doesn't match"
+            rows.append((c.name, w, h, None if data is None else len(data), data if self.save and error else None, error, why))
+        return [list(c) for c in zip(*rows, strict=True)]
+
+
+class Given:
+    """A fold of an image's bytes, which come before its pixels, and of its pixels r, g, b to their difference."""
+
+    def __init__(self, codec: Codec):
+        self.codec, self.pos, self.parts, self.data = codec, [], [], None
+
+    def feed(self, order: np.ndarray, values: list[np.ndarray]) -> None:
+        if order[0] < 0:
+            self.data, order, values = values[3][0], order[1:], [v[1:] for v in values]
+        self.pos.append(np.array(order))
+        self.parts.append(np.stack(values[:3], 1))
+
+    def end(self) -> list:
+        if self.data is None:
+            return [[0.0], [False]]
+        return [[v] for v in difference(np.concatenate(self.pos), np.concatenate(self.parts).astype(np.int64), self.codec.decode_image(bytes(self.data)))]
+
+
+def difference(pos: np.ndarray, rgb: np.ndarray, decoded: tuple[int, int, np.ndarray]) -> tuple[float, bool]:
+    """(mean squared difference over places that both have, whether the numbers of pixels agree)."""
+    n = decoded[0] * decoded[1]
+    both = (pos >= 0) & (pos < n)
+    d = rgb[both] - decoded[2][pos[both]]
+    return float((d * d).sum()) / max(len(pos), n), len(pos) == n
+
+
 class Codec:
     """name, is_lossless, and a pair of functions over one image: (w, h, rgb rows in raster order) to bytes, and back."""
 
     name: str
     is_lossless = True
+    #: Whether an image's bytes follow from its pixels alone, in one task.
+    by_image = True
 
     def encode_image(self, w: int, h: int, rgb: np.ndarray) -> bytes:
         raise NotImplementedError
 
+    def encode_places(self, w: int, h: int, x: np.ndarray, y: np.ndarray, rgb: np.ndarray) -> bytes:
+        """encode_image() of pixels that also know their places, in raster order."""
+        return self.encode_image(w, h, rgb)
+
     def decode_image(self, data: bytes) -> tuple[int, int, np.ndarray]:
         raise NotImplementedError
 
@@ -208,6 +274,12 @@ class HilbertRle(Codec):
     def start(self):
         return _Runs(self.allowance)
 
+    def encode_places(self, w, h, x, y, rgb):
+        order = np.argsort(rect_places(x, y, w, h), kind="stable")
+        runs = _Runs(self.allowance)
+        runs.feed(order, [x[order], y[order], *(rgb[order, i] for i in range(3))])
+        return runs.end()[2][0]
+
     def decode_image(self, data):
         w, h = dimensions(data)
         rows = np.frombuffer(data, np.uint8, offset=8).reshape(-1, 12)
@@ -252,7 +324,7 @@ class ZipBack(Codec):
 class ClusterColours(Hufman):
     """Colours reduced to k by weighted k-means, then Huffman codes."""
 
-    is_lossless = False
+    is_lossless, by_image = False, False
 
     def __init__(self, k: int, max_iter: int | None = None):
         self.k, self.max_iter, self.name = k, max_iter, f"cluster-colors_{k}"
@@ -275,7 +347,7 @@ class ClusterColours(Hufman):
 class Voronoi(Codec):
     """k centroids of place and colour; a pixel gets the colour of the centroid whose place is nearest."""
 
-    is_lossless = False
+    is_lossless, by_image = False, False
 
     def __init__(self, k: int, max_iter: int | None = None):
         self.k, self.max_iter, self.name = k, max_iter, f"voronoi_{k}"

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.scalar import RGB
-from rasterloom.operators.metrics import mse, ratio_ref, ratio_true
-from rasterloom.plans.codecs import Codec
+from rasterloom.operators.fold import folded
+from rasterloom.operators.metrics import ratio_ref, ratio_true
+from rasterloom.plans.codecs import Codec, Given, Measured
 from rasterloom.sources.images import save_png
 from rasterloom.sources.reports import display_name
 from rasterloom.sources.shared import discard, written
@@ -27,29 +28,38 @@ def measure(px: DataFrame, codec: Codec, names: DataFrame | None = None, save: s
     An image that fails, or that a lossless codec does not give back, keeps its row and says why. A codec of clusters adds
     `converged`. names: img_id and name; ids are names otherwise. save: a folder for decoded pictures whose error is not
     zero, and only for those; they are named by the base name of name, with the id where two share one.
-    Pixels and encoded bytes are made once; the tables that hold them meanwhile are deleted."""
-    px = written(px.select("img_id", "pos", "x", "y", *RGB), "pixels")
-    encoded = written(codec.encode(px), "encoded")
-    decoded = codec.decode(encoded)
-    made = [px, encoded]
-    if save:
-        decoded = written(decoded, "decoded")
-        made.append(decoded)
-    error = mse(px, decoded)
-    size = F.octet_length("encoded").cast("long")
-    rows = encoded.join(error, "img_id", "left")
-    why = F.when(F.col("error_msg").isNotNull(), F.col("error_msg")).when(~F.col("size_ok"), "decoded size differs").when(F.lit(codec.is_lossless) & (F.col("error") != 0), "decoded image doesn't match")
-    ended = [c for c in encoded.columns if c == "converged"]
-    out = rows.select("img_id", F.lit(codec.name).alias("codec"), size.alias("compressed_size"), ratio_ref(size, F.col("w"), F.col("h")).alias("compression_ratio"), ratio_true(size, F.col("w"), F.col("h")).alias("ratio_true"), "error", why.alias("error_msg"), *ended)
+    A picture is encoded, decoded and compared in one task, from one exchange of its pixels; the bytes of codecs that are
+    plans over all images come to its pixels. The tables that hold them meanwhile are deleted."""
+    made, rows = [], None
+    if codec.by_image:
+        rows = measured(px, [codec], save=bool(save))
+    else:
+        px = written(px.select("img_id", "pos", "x", "y", *RGB), "pixels")
+        encoded = written(codec.encode(px), "encoded")
+        made = [px, encoded]
+        before = encoded.filter("encoded IS NOT NULL").select("img_id", F.lit(-1).cast("long").alias("pos"), *[F.lit(0).alias(c) for c in RGB], "encoded")
+        both = px.select("img_id", "pos", *RGB, F.lit(None).cast("binary").alias("encoded")).unionByName(before)
+        error = folded(both, "img_id", "pos", [*RGB, "encoded"], lambda: Given(codec), "error double, size_ok boolean")
+        why = F.when(F.col("error_msg").isNotNull(), F.col("error_msg")).when(~F.col("size_ok"), "decoded size differs").when(F.lit(codec.is_lossless) & (F.col("error") != 0), "decoded image doesn't match")
+        rows = encoded.join(error, "img_id", "left").withColumn("error_msg", why).withColumn("codec", F.lit(codec.name)).withColumn("size", F.octet_length("encoded").cast("long"))
+    ended = [c for c in rows.columns if c == "converged"]
+    kept = ["encoded"] if save else []
+    size = F.col("size")
+    out = rows.select("img_id", "codec", size.alias("compressed_size"), ratio_ref(size, F.col("w"), F.col("h")).alias("compression_ratio"), ratio_true(size, F.col("w"), F.col("h")).alias("ratio_true"), "error", "error_msg", *ended, *kept)
     name = out.join(names, "img_id") if names is not None else out.withColumn("name", F.col("img_id").cast("string"))
-    result = written(name.select("img_id", *RESULT, *ended), "results")
+    result = written(name.select("img_id", *RESULT, *ended, *kept), "results")
     if save:
         base = display_name(F.col("name"))
         twin = F.count("*").over(Window.partitionBy("base")) > 1
         wrong = result.filter("error != 0").select("img_id", base.alias("base")).withColumn("file", F.when(twin, F.concat_ws("-", "base", F.hex("img_id"))).otherwise(F.col("base")))
-        save_png(decoded.join(wrong.select("img_id", "file"), "img_id"), save, key="file")
+        save_png(codec.decode(result.filter("error != 0")).join(wrong.select("img_id", "file"), "img_id"), save, key="file")
     discard(*made)
-    return result.drop("img_id")
+    return result.drop("img_id", *kept)
+
+
+def measured(px: DataFrame, codecs: list[Codec], save: bool = False) -> DataFrame:
+    """img_id, codec, w, h, size, encoded, error, error_msg: a row for each image and codec, from one exchange of the pixels."""
+    return folded(px, "img_id", "pos", ["x", "y", *RGB], lambda: Measured(codecs, save), Measured.SCHEMA)
 
 
 @contextmanager

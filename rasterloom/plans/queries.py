@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from rasterloom.functions import scalar as fn
 from rasterloom.operators import huffman, joins, kmeans, lz, metrics, pruned, scan, sequence
 from rasterloom.plans import codecs
 from rasterloom.plans.measure import measure
 from rasterloom.sources import reports
-from rasterloom.sources.shared import new_folder
+from rasterloom.sources.shared import new_folder, written
 from rasterloom.sources.tables import doc_bytes, images, pixels, pixels_flat, seq_events, table
 from rasterloom.streaming import stateful
 
+#: Texts whose results a coder's task holds before it gives them.
+TEXTS = 256
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 RGB = list(fn.RGB)
@@ -169,7 +174,7 @@ def src_hilbert_large(spark, sf):
 def _reports(spark, sf):
     """Results of codecs whose sizes have a closed form, as report rows."""
     flat, noise = pixels_flat(spark, sf), pixels(spark, sf)
-    dims = images(noise)
+    dims = written(images(noise), "sizes")
     rle = sequence.runs(flat, ["img_id"], "pos").groupBy("img_id").agg((F.lit(8) + 12 * F.count("*")).alias("compressed_size"))
     raw = dims.select("img_id", (F.lit(8) + 11 * F.col("n_pixels")).alias("compressed_size"))
     vor = dims.select("img_id", F.lit(16 + 19 * 8).cast("long").alias("compressed_size"))
@@ -785,8 +790,8 @@ _NEAR_5D = """
 @query("km_assign_pruned", "WITH {PX}, {CENT} " + _NEAR_5D)
 def km_assign_pruned(spark, sf):
     """Places and colours, along neighbour lists that begin short and grow."""
-    _, assigned, cents = _cents(spark, sf)
-    return pruned.assign_pruned(assigned, cents, kmeans.PLACE, lengths=1).select("img_id", "pos", "cid", "d2")
+    assigned = written(kmeans.init_assignment(pixels(spark, sf), 8), "points")
+    return pruned.assign_pruned(assigned, kmeans.init_centroids(assigned, kmeans.PLACE), kmeans.PLACE, lengths=1).select("img_id", "pos", "cid", "d2")
 
 
 _COUNTERS = """
@@ -927,21 +932,33 @@ def cd_voronoi_size(spark, sf):
     return codecs.Voronoi(16).encode(pixels(spark, sf)).select("img_id", F.octet_length("encoded").alias("size"))
 
 
+def coded_texts(data: DataFrame, one: Callable[[bytes], tuple], schema: str) -> DataFrame:
+    """doc_id and what `one` gives for the bytes of each text. A text's symbols are gone before the next one's are made; only
+    its row of results is kept, for as many texts as a batch has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(i, TEXTS)
+                rows = [one(x.as_buffer().to_pybytes()) for x in part.column(1)]
+                yield pa.record_batch([part.column(0), *map(pa.array, zip(*rows, strict=True))], schema=fields)
+
+    whole = f"doc_id long, {schema}"
+    fields = to_arrow_schema(StructType.fromDDL(whole))
+    return data.select(F.col("doc_id").cast("long").alias("doc_id"), "data").mapInArrow(run, whole)
+
+
 def _text_coder(name: str, symbols: Callable, pack: Callable, unpack: Callable, back: Callable):
     @query(name)
     def coded(spark, sf):
         """Symbols and bytes of each document's text."""
 
-        def run(frames):
-            import pandas as pd
-
-            for pdf in frames:
-                data = [bytes(x) for x in pdf["data"]]
-                s = [symbols(x) for x in data]
-                wire = [pack(x) for x in s]
-                yield pd.DataFrame({"doc_id": pdf.doc_id, "n_bytes": [len(x) for x in data], "n_symbols": [len(x) for x in s], "encoded_bytes": [len(x) for x in wire], "lossless": [back(unpack(w)) == x for w, x in zip(wire, data, strict=True)]})
+        def one(data: bytes) -> tuple[int, int, int, bool]:
+            s = symbols(data)
+            wire = pack(s)
+            return len(data), len(s), len(wire), back(unpack(wire)) == data
 
-        return doc_bytes(spark, sf).mapInPandas(run, "doc_id long, n_bytes long, n_symbols long, encoded_bytes long, lossless boolean")
+        return coded_texts(doc_bytes(spark, sf), one, "n_bytes long, n_symbols long, encoded_bytes long, lossless boolean")
 
     @query(f"{name}_lossless", "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, true AS lossless FROM documents")
     def lossless(spark, sf):
