@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,17 +43,23 @@ _DECODED = (
 
 
 def _compared(symbols: DataFrame, data: DataFrame, of: Callable[[bytes], bytes], decode: Callable[[bytes], bytes]) -> DataFrame:
-    """doc_id, n_bytes and md5 of what the stream's symbols (doc_id, place, wire) decode to, and whether they are the batch's."""
-    import pandas as pd
+    """doc_id, n_bytes and md5 of what the stream's symbols (doc_id, place, wire) decode to, and whether they are the batch's.
 
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        wire = b"".join(map(bytes, pdf.wire))
-        back = decode(wire)
-        return pd.DataFrame({"doc_id": [pdf.doc_id.iloc[0]], "back": [back], "as_batch": [wire == of(bytes(pdf.data.iloc[0]))]})
+    The symbols of a text are gathered before its bytes are joined to them, so these are dealt once and not once a symbol."""
 
-    both = symbols.join(data, "doc_id").groupBy("doc_id").applyInPandas(check, "doc_id long, back binary, as_batch boolean")
-    return both.select("doc_id", F.octet_length("back").cast("long").alias("n_bytes"), F.md5("back").alias("md5"), "as_batch")
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            back, same = [], []
+            for wire, text in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
+                wire = b"".join(wire)
+                back.append(decode(wire))
+                same.append(wire == of(text))
+            md5 = [hashlib.md5(b).hexdigest() for b in back]
+            yield pa.record_batch([batch.column(0), pa.array(map(len, back), pa.int64()), pa.array(md5, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_bytes", "md5", "as_batch"])
+
+    wires = symbols.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "wire"))), lambda s: s["wire"]).alias("wires"))
+    kind = dict(data.dtypes)["doc_id"]
+    return wires.join(data.select("doc_id", "data"), "doc_id").select("doc_id", "wires", "data").mapInArrow(check, f"doc_id {kind}, n_bytes long, md5 string, as_batch boolean")
 
 
 def _texts(spark, sf) -> DataFrame:
@@ -62,9 +70,8 @@ def _texts(spark, sf) -> DataFrame:
 def sf_zipdict_stream(spark, sf):
     """Texts in blocks through the pair coder with its dictionary in the state store, and a restart in between."""
     data = _texts(spark, sf)
-    got = in_waves(coders.in_blocks(data, BLOCK), coders.stream_pairs, WAVES, new_folder(spark, "pairs"))
-    two = F.transform("symbols", lambda s: F.concat(F.lpad(F.hex(s % 256), 2, "0"), F.lpad(F.hex(F.floor(s / 256)), 2, "0")))
-    wire = got.select("doc_id", F.col("start").alias("place"), F.unhex(F.array_join(two, "")).alias("wire"))
+    got = in_waves(coders.in_blocks(data, BLOCK), coders.stream_pair_bytes, WAVES, new_folder(spark, "pairs"))
+    wire = got.select("doc_id", F.col("start").alias("place"), "wire")
     return _compared(wire, data, lambda x: lz.dict_bytes(lz.dict_symbols(x)), lambda w: lz.dict_decode(lz.dict_parse(w)))
 
 

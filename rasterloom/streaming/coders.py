@@ -10,8 +10,10 @@ missing before one that has come raises, and so does one after the last of the s
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import count
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -26,54 +28,61 @@ class PairCoder:
     """Pairs of the longest known sequences; each pair joined becomes a sequence until numbers run out. Sequences are the
     nodes of a trie that have a number; node 0 is the root, nodes 1 to 256 are the single bytes."""
 
-    def __init__(self, edges: dict[tuple[int, int], int] | None = None, numbers: dict[int, int] | None = None, number: int = FIRST, opened: bytes = b"", rest: bytes = b"", odd: bool = False):
+    def __init__(self, edges: dict[int, int] | None = None, numbers: dict[int, int] | None = None, number: int = FIRST, opened: bytes = b"", rest: bytes = b"", odd: bool = False):
+        """edges: from 256 times a node plus a byte to the node below; numbers: from a node to its sequence's number."""
         self.edges, self.numbers, self.number = edges or {}, numbers or {}, number
         self.opened, self.rest, self.odd = opened, rest, odd
         self.nodes = 257 + len(self.edges)
-        #: What the last call of code() has added, for the state store.
-        self.new_edges: dict[tuple[int, int], int] = {}
-        self.new_numbers: dict[int, int] = {}
-
-    def _next(self, data: bytes, at: int, last: bool) -> tuple[int, int]:
-        """(number, end) of the longest sequence at a place, or (-1, at) if bytes that have not come could make it longer."""
-        node, i = data[at] + 1, at + 1
-        best, end = data[at], i
-        while i < len(data):
-            node = self.edges.get((node, data[i]), -1)
-            if node < 0:
-                return best, end
-            i += 1
-            number = self.numbers.get(node, -1)
-            if number >= 0:
-                best, end = number, i
-        return (best, end) if last else (-1, at)
-
-    def _learn(self, sequence: bytes) -> None:
-        if self.number >= EOF:
-            return
-        node = sequence[0] + 1
-        for b in sequence[1:]:
-            below = self.edges.get((node, b))
+        #: What the last call of code() has added, in order: nodes are numbered as they are made, and so are sequences.
+        self.new_edges: list[int] = []
+        self.new_ends: list[int] = []
+
+    def _learn(self, node: int, more: bytes) -> None:
+        """Number the sequence that goes on from a node, which is made where it is not there yet."""
+        edges = self.edges
+        for b in more:
+            edge = node << 8 | b
+            below = edges.get(edge)
             if below is None:
-                below = self.edges[node, b] = self.new_edges[node, b] = self.nodes
+                below = edges[edge] = self.nodes
+                self.new_edges.append(edge)
                 self.nodes += 1
             node = below
-        self.numbers[node] = self.new_numbers[node] = self.number
+        self.numbers[node] = self.number
+        self.new_ends.append(node)
         self.number += 1
 
     def code(self, more: bytes, last: bool) -> list[int]:
         """The symbols that are certain now; after the last bytes an odd end is filled with EOF."""
-        self.new_edges, self.new_numbers = {}, {}
+        self.new_edges, self.new_ends = [], []
         data, at, out = self.rest + more, 0, []
-        while at < len(data):
-            number, end = self._next(data, at, last)
-            if number < 0:
-                break
-            out.append(number)
-            if self.odd:
-                self._learn(self.opened + data[at:end])
-            self.opened, self.odd, at = b"" if self.odd else data[at:end], not self.odd, end
-        self.rest = data[at:]
+        below, numbered, n, odd, begun, first = self.edges.get, self.numbers.get, len(data), self.odd, self.opened, 0
+        if odd:
+            first = begun[0] + 1
+            for b in begun[1:]:
+                first = self.edges[first << 8 | b]
+        while at < n:
+            best = data[at]
+            node = longest = best + 1
+            i = end = at + 1
+            while i < n:
+                node = below(node << 8 | data[i])
+                if node is None:
+                    break
+                i += 1
+                number = numbered(node)
+                if number is not None:
+                    best, end, longest = number, i, node
+            else:
+                if not last:  # bytes that have not come could make it longer
+                    break
+            out.append(best)
+            if not odd:
+                begun, first = data[at:end], longest
+            elif self.number < EOF:
+                self._learn(first, data[at:end])
+            odd, at = not odd, end
+        self.opened, self.odd, self.rest = begun if odd else b"", odd, data[at:]
         if last and self.odd:
             out.append(EOF)
             self.odd = False
@@ -206,11 +215,11 @@ def _blocks(rows: Iterator[Row], following: int) -> tuple[bytes, bool, int]:
 
 
 class PairProcessor(StatefulProcessor):
-    """The trie as map states, the unread rest and the open pair as value state."""
+    """The trie as a list of what each trigger has added to it, the unread rest and the open pair as value state. An entry of a
+    map for each edge would be a call of the state store for each."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.edges = handle.getMapState("edges", "node int, byte int", "child int")
-        self.numbers = handle.getMapState("numbers", "node int", "number int")
+        self.trie = handle.getListState("trie", "edges binary, ends binary")
         self.rest = handle.getValueState("rest", "number int, opened binary, rest binary, odd boolean, block long, written long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
@@ -219,22 +228,22 @@ class PairProcessor(StatefulProcessor):
         data, last, following = _blocks(rows, block)
         coder = PairCoder()
         if known:
-            edges = {tuple(k): v[0] for k, v in self.edges.iterator()}
-            coder = PairCoder(edges, {k[0]: v[0] for k, v in self.numbers.iterator()}, known[0], bytes(known[1]), bytes(known[2]), known[3])
+            edges, ends = array("q"), array("q")
+            for more in self.trie.get():
+                edges.frombytes(more[0])
+                ends.frombytes(more[1])
+            coder = PairCoder(dict(zip(edges, count(257))), dict(zip(ends, count(FIRST))), known[0], bytes(known[1]), bytes(known[2]), known[3])
         symbols = coder.code(data, last)
         if last:
             if known:
-                self.edges.clear()
-                self.numbers.clear()
+                self.trie.clear()
                 self.rest.clear()
         else:
-            for k, v in coder.new_edges.items():
-                self.edges.updateValue(k, (v,))
-            for k, v in coder.new_numbers.items():
-                self.numbers.updateValue((k,), (v,))
+            if coder.new_ends:
+                self.trie.appendValue((array("q", coder.new_edges).tobytes(), array("q", coder.new_ends).tobytes()))
             self.rest.update((coder.number, coder.opened, coder.rest, coder.odd, following, written + len(symbols)))
         if symbols:
-            yield Row(key=key[0], start=written, symbols=symbols)
+            yield Row(key=key[0], start=written, wire=array("H", symbols).tobytes())
 
     def close(self) -> None:
         pass
@@ -272,11 +281,20 @@ def _stream(blocks: DataFrame, key: str, processor: StatefulProcessor, schema: s
     return rows.groupBy("key").transformWithState(processor, f"key {kind}, {schema}", "append", "none").withColumnRenamed("key", key)
 
 
-def stream_pairs(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, start, symbols: the pair coder's symbols as they become certain, with the place of the first of them.
+def stream_pair_bytes(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, start, wire: the pair coder's symbols as they become certain, two bytes each (little-endian), with the place of the
+    first of them.
 
     blocks: a stream of key, block, data and last. The state store is RocksDB, which the session is set to."""
-    return _stream(blocks, key, PairProcessor(), "start long, symbols array<int>")
+    return _stream(blocks, key, PairProcessor(), "start long, wire binary")
+
+
+def stream_pairs(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, start, symbols: the same as numbers."""
+    byte = lambda i: F.conv(F.hex(F.substring("wire", i, 1)), 16, 10).cast("int")
+    each = F.sequence(F.lit(1), F.octet_length("wire") - 1, F.lit(2))
+    symbols = F.transform(each, lambda i: byte(i) + 256 * byte(i + 1))
+    return stream_pair_bytes(blocks, key).select(key, "start", symbols.alias("symbols"))
 
 
 def stream_copies(blocks: DataFrame, key: str = "doc_id") -> DataFrame:

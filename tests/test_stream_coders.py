@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rasterloom.operators import lz
 from rasterloom.plans import streams
@@ -101,3 +102,26 @@ def test_blocks(spark):
         got.setdefault(r.doc_id, []).append((r.block, None if r.data is None else bytes(r.data), r.last))
     assert got[1] == [(0, b"", True)] and got[2] == [(0, b"abc", False), (1, b"de", True)] and got[3] == [(0, b"abc", False), (1, b"def", True)]
     assert [x[0] for x in got[4]] == [0]
+
+
+def test_a_trigger_adds_one_entry_to_the_trie(spark, tmp_path):
+    """What a trigger learns is one entry of the state, however many edges it has; entries are read in their order."""
+    data = bytes(range(200)) * 5
+    blocks = coders.in_blocks(spark.createDataFrame([(1, data)], "doc_id long, data binary"), 300).withColumn("last", F.lit(False))
+    streams.in_waves(blocks, coders.stream_pair_bytes, (1, 2), str(tmp_path))
+    state = spark.read.format("statestore").option("stateVarName", "trie").option("flattenCollectionTypes", True).load(f"{tmp_path}/state").collect()
+    coder, whole = coders.PairCoder(), data
+    for cut in (whole[:300], whole[300:900], whole[900:]):
+        coder.code(cut, False)
+    assert len(state) == 3
+    assert sum(len(r["list_element"]["edges"]) for r in state) == 8 * len(coder.edges)
+
+
+def test_a_texts_bytes_meet_its_symbols_once(spark):
+    """They are dealt once and not once a symbol: the plan joins after symbols are gathered, and groups no texts."""
+    text = b"abcdefgh" * 20
+    data = spark.createDataFrame([(1, text), (2, b"x")], "doc_id long, data binary")
+    rows = [(1, i, bytes([b])) for i, b in enumerate(text)] + [(2, 0, b"y")]
+    seen = streams._compared(spark.createDataFrame(rows, "doc_id long, place long, wire binary").orderBy(F.rand(3)), data, bytes, bytes)
+    assert sorted((r.doc_id, r.n_bytes, r.as_batch) for r in seen.collect()) == [(1, 160, True), (2, 1, False)]
+    assert "FlatMapGroups" not in seen._jdf.queryExecution().executedPlan().toString()
