@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from rasterloom.operators.lz import EOF, FIRST, MIN_REP, MOST, WINDOW
+from rasterloom.operators.lz import EOF, FIRST, MIN_REP, MOST, WINDOW, _common
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -150,6 +150,22 @@ class Ring:
                         return best, back
         return best, back
 
+    def find(self, at: int) -> tuple[int, int]:
+        """match() without an index, for few places: each search of the window asks for one byte more than the best so far."""
+        data, here = self.data, at - self.base
+        room, best, back = min(len(data) - here, MOST), 0, 0
+        if room < MIN_REP:
+            return 0, 0
+        place = data.find(data[here : here + MIN_REP], max(0, here - WINDOW), here)
+        while place >= 0:
+            size = _common(data, place, here, min(here - place, room))
+            if size > best:
+                best, back = size, here - place
+            if best >= room:
+                break
+            place = data.find(data[here : here + best + 1], place + 1, here)
+        return best, back
+
     def drop(self, until: int) -> None:
         """Forget the bytes before a place; nothing is looked for that far back any more."""
         if until > self.base:
@@ -157,19 +173,9 @@ class Ring:
             self.base = until
 
 
-def _common(data: bytearray, a: int, b: int, most: int) -> int:
-    """How many bytes at a and b agree, up to `most`: halves of what is left, compared as a whole."""
-    if data[a : a + most] == data[b : b + most]:
-        return most
-    low, high = 0, most
-    while high - low > 1:
-        mid = (low + high) // 2
-        low, high = (mid, high) if data[a + low : a + mid] == data[b + low : b + mid] else (low, mid)
-    return low
-
-
 class CopyCoder:
-    """Copies from the window and explicit blocks between them. A copy is looked for where an open block has 0, 2, 4, 8, ... bytes."""
+    """Copies from the window and explicit blocks between them. A copy is looked for where an open block has 0, 2, 4, 8, ... bytes,
+    so at few places: an index of all would cost more than the searches."""
 
     def __init__(self, data: bytes = b"", base: int = 0, at: int = 0, start: int = 0):
         self.ring, self.at, self.start = Ring(data, base), at, start
@@ -180,7 +186,7 @@ class CopyCoder:
         ring, out = self.ring, []
         ring.append(more)
         while ring.end - self.at >= MOST or last:
-            size, back = ring.match(self.at)
+            size, back = ring.find(self.at)
             if size:
                 self._explicit(out)
                 out.append(("back", size, back))
@@ -250,7 +256,7 @@ class PairProcessor(StatefulProcessor):
 
 
 class CopyProcessor(StatefulProcessor):
-    """The ring with the open block and the unread rest behind it as value state; the index is made of the ring when it is read."""
+    """The ring with the open block and the unread rest behind it as value state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ring = handle.getValueState("ring", "ring binary, base long, at long, start long, block long, written long")
