@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -95,6 +97,22 @@ def on_curve(px: DataFrame) -> DataFrame:
     return sized.withColumn("hidx", _place("x", "y", "_w", "_h")).drop("_w", "_h")
 
 
+class Along:
+    """A fold that gathers an image's x, y and values in raster order and gives what `made` makes of the values along the curve.
+    A plan by on_curve() deals all pixels out a second time, for what a Python function gives has no known distribution."""
+
+    def __init__(self, made: Callable[[np.ndarray], list]):
+        self.made, self.parts = made, []
+
+    def feed(self, order: np.ndarray, values: list[np.ndarray]) -> None:
+        self.parts.append(np.stack(values, 1))
+
+    def end(self) -> list:
+        px = np.concatenate(self.parts).astype(np.int64)
+        x, y = px[:, 0], px[:, 1]
+        return self.made(px[np.argsort(rect_places(x, y, x.max() + 1, y.max() + 1), kind="stable"), 2:])
+
+
 def coordinates(dims: DataFrame) -> DataFrame:
     """img_id, x, y of every cell, with hidx, for decoders."""
     cells = dims.select("img_id", F.explode(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1)).alias("pos"), "w")

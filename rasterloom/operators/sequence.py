@@ -25,6 +25,12 @@ def delta(rows: DataFrame, key: list[str], order: str, columns: tuple[str, ...]
     return rows.select(*key, order, *[(signed(F.col(c)) - F.coalesce(F.lag(c).over(w), F.lit(0))).cast("smallint").alias(f"d{c}") for c in columns])
 
 
+def delta_counts(points: np.ndarray) -> list[np.ndarray]:
+    """Columns of the distinct differences of a whole sequence, and how often each comes."""
+    found, n = np.unique(np.diff(points, axis=0, prepend=0), axis=0, return_counts=True)
+    return [*found.T, n]
+
+
 def undelta(rows: DataFrame, key: list[str], order: str, columns: tuple[str, ...] = RGB) -> DataFrame:
     """The inverse: prefix sums, each of which must be a byte."""
     w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -55,6 +61,13 @@ def runs(rows: DataFrame, key: list[str], order: str, values: tuple[str, ...] =
     return grouped.withColumn("seq", (F.row_number().over(Window.partitionBy(*key).orderBy("_run", "_part")) - 1).cast("long")).select(*key, "seq", "cnt", *values)
 
 
+def count_runs(points: np.ndarray, cap: int = CAP) -> int:
+    """How many runs() there are in a whole sequence."""
+    edges = np.flatnonzero((points[1:] != points[:-1]).any(1)) + 1
+    size = np.diff([0, *edges.tolist(), len(points)])
+    return int((-(-size // cap)).sum())
+
+
 def expand_runs(rle: DataFrame, key: list[str], values: tuple[str, ...] = RGB) -> DataFrame:
     """Runs back to rows: key, pos, values. A count below 1 raises."""
     checked = F.when(F.col("cnt") > 0, F.col("cnt")).otherwise(F.raise_error(F.lit("a run without members")).cast("int"))

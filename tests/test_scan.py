@@ -106,3 +106,26 @@ def test_places_of_a_picture_that_would_not_fit():
     steps = np.abs(np.diff(x.ravel()[order])) + np.abs(np.diff(y.ravel()[order]))
     assert near.sum() > 1200 and (steps[near] == 1).all() and at.max() < w * h
     assert rect_places(np.array([0]), np.array([0]), w, h).tolist() == [0]
+
+
+def test_more_rows_come_in_more_tasks(spark, monkeypatch):
+    """Rows of a task do not grow with the table, and what follows needs no exchange of its own."""
+    from rasterloom.operators import sequence
+    from rasterloom.operators.fold import folded
+    from rasterloom.operators.scan import Along
+    from rasterloom.sources import tables
+
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 500)
+    px = spark.range(10_000).selectExpr("id div 16 AS img_id", "id % 16 AS pos", "CAST(id % 4 AS INT) AS x", "CAST(id % 16 div 4 AS INT) AS y", *[f"CAST(hash(id, {k}) & 1 AS INT) AS {c}" for k, c in enumerate("rgb")])
+    hist = folded(tables.dealt(px, 10_000), "img_id", "pos", ["x", "y", *"rgb"], lambda: Along(sequence.delta_counts), "dr smallint, dg smallint, db smallint, cnt long")
+    assert hist.rdd.getNumPartitions() == 20
+    assert hist._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    assert tables.dealt(px, 2000).rdd.getNumPartitions() == px.rdd.getNumPartitions()
+    from rasterloom.operators.scan import on_curve
+
+    along = on_curve(px)
+    want = sequence.delta(along, ["img_id"], "hidx").groupBy("img_id", "dr", "dg", "db").count()
+    assert sorted(map(tuple, hist.collect())) == sorted(map(tuple, want.collect()))
+    runs = sequence.runs(along, ["img_id"], "hidx", cap=3).groupBy("img_id").count()
+    mine = folded(px, "img_id", "pos", ["x", "y", *"rgb"], lambda: Along(lambda p: [[sequence.count_runs(p, 3)]]), "n long")
+    assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, runs.collect()))
