@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells of (source, language, topic). A topic is a component of a mixture of unigram models, fitted
-by expectation maximisation on a bounded sample and applied to every document. The cells' token weights are raked:
+by expectation maximisation on all documents and applied to every one of them. The cells' token weights are raked:
 each marginal in turn is scaled to its target until all three are met within TOLERANCE, or until rounds bring them no
 nearer (targets that contradict each other through empty cells). A document's probability is its cell's raked tokens
 over its tokens, times one scale for the wanted total; where that passes 1 the cell is taken whole and the scale of the
@@ -20,7 +20,7 @@ no rows. report() has each marginal, its target and what it came to.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,12 @@ DIMENSIONS = ["source", "lang", "topic"]
 #: Raking ends when every marginal is this near to its target, as a share of all tokens, or when a round gains nothing.
 TOLERANCE, MOST_ROUNDS = 1e-9, 1000
 FEW_CELLS = 200_000
-#: Topics are fitted on about so many documents, as counts of words hashed to so many places.
-TOPICS, SAMPLED, PLACES, FIT_ROUNDS, RESTARTS = 8, 1000, 2048, 40, 4
+#: Topics are fitted to counts of words hashed to so many places. The likeliest of RESTARTS fits after TRIED rounds goes on.
+TOPICS, PLACES, FIT_ROUNDS, RESTARTS, TRIED = 8, 2048, 40, 4, 5
+#: Texts of which a worker holds dense counts at once, and the unit of sums, which as integers are exact in any order.
+DENSE, UNIT = 2048, float(1 << 20)
+#: What is kept of each text: its words' places and counts, and how many words there are.
+COUNTED = "doc_id long, source string, lang string, key long, size long, places array<smallint>, counts array<int>"
 
 
 def places_of(word: str) -> int:
@@ -101,35 +105,195 @@ def fit_topics(texts: list[str | None], topics: int = TOPICS, rounds: int = FIT_
     return best
 
 
-def sampled(docs: DataFrame, key: str, most: int = SAMPLED) -> DataFrame:
-    """About `most` rows by a hash of the key, all of a smaller table; more than twice as many are never taken."""
-    n = docs.count()
-    rate = min(1.0, most / max(n, 1))
-    return docs.filter(F.pmod(F.xxhash64(F.lit(5), F.col(key)), F.lit(1 << 30)) / float(1 << 30) < rate).limit(2 * most)
+def counted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
+    """doc_id, source, lang, a hash of the text (key), its number of words (size), and their places and counts. Texts are split
+    once; what is fitted and applied reads this table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Counted()
+        for batch in pieces(batches, "text"):
+            doc, place, size = words.of(texts_of(batch, "text"))
+            keys, n = np.unique(doc * PLACES + place, return_counts=True)
+            ends = np.searchsorted(keys, np.arange(len(size) + 1) * PLACES).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in ((keys % PLACES).astype(np.int16), n.astype(np.int32))]
+            yield pa.record_batch([*batch.columns[:4], pa.array(size.astype(np.int64)), *lists], ["doc_id", "source", "lang", "key", "size", "places", "counts"])
+
+    cols = [F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang")]
+    return docs.select(*cols, F.xxhash64(text).alias("key"), F.col(text).alias("text")).mapInArrow(run, COUNTED)
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of counted texts with the roots of their counts, (texts, PLACES), a bounded number at a time."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, DENSE):
+            batch = whole.slice(i, DENSE)
+            places, counts = (batch.column(batch.schema.get_field_index(c)) for c in ("places", "counts"))
+            n = np.diff(places.offsets.to_numpy())
+            x = np.zeros((batch.num_rows, PLACES), np.float32)
+            x[np.repeat(np.arange(len(n)), n), places.flatten().to_numpy()] = np.sqrt(counts.flatten().to_numpy())
+            yield batch, x
+
+
+def _summed(rows: DataFrame, width: int, each: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """(PLACES + 2, width): the sums over all texts of what each() gives for the roots of some. A task gives one table."""
+    names = [f"s{i}" for i in range(width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((PLACES + 2, width), np.int64)
+        for _, x in _roots(batches):
+            total += np.rint(each(x) * UNIT).astype(np.int64)
+        yield pa.record_batch([pa.array(np.arange(PLACES + 2)), *map(pa.array, total.T.copy())], ["place", *names])
+
+    tables = rows.select("places", "counts").mapInArrow(run, "place long, " + ", ".join(f"{c} long" for c in names))
+    out = np.zeros((PLACES + 2, width))
+    for r in tables.groupBy("place").agg(*[F.sum(c).alias(c) for c in names]).collect():
+        out[r["place"]] = np.array(r[1:], float) / UNIT
+    return out
+
+
+def _unit(x: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    rare = x * rarity
+    return rare / np.maximum(np.linalg.norm(rare, axis=1, keepdims=True), np.float32(1e-9))
+
+
+def _squares(batch: pa.RecordBatch, rarity: np.ndarray) -> np.ndarray:
+    """The squared length of each counted text's roots times their words' rarity."""
+    places, counts = (batch.column(batch.schema.get_field_index(c)) for c in ("places", "counts"))
+    text = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy()))
+    return np.bincount(text, counts.flatten().to_numpy() * np.square(rarity, dtype=float)[places.flatten().to_numpy()], batch.num_rows)
+
+
+def _lots(key: np.ndarray, seed: int) -> np.ndarray:
+    """Numbers between 0 and 1 by keys (splitmix64)."""
+    z = key.astype(np.uint64) + np.uint64(seed + 1) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53) + 1e-17
+
+
+def _drawn(rows: DataFrame, rarity: np.ndarray, begun: dict[int, np.ndarray], turn: int) -> dict[int, np.ndarray]:
+    """Of each fit one more text to begin from, drawn from all by the squared distance from those drawn before, as a unit
+    vector: the text whose exponential lot over its weight is least. A fit that has every text already gets none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}
+        aims = (rarity * np.vstack(list(begun.values()))).T.copy()
+        for batch, x in _roots(batches):
+            key, like, at = batch.column(0).to_numpy(), x @ aims, 0
+            like /= np.maximum(np.sqrt(_squares(batch, rarity)), 1e-9)[:, None]
+            for fit, have in begun.items():
+                near = like[:, at : at + len(have)].max(1) if len(have) else np.zeros(len(key))
+                at += len(have)
+                far = np.where(near < 1 - 1e-6, np.maximum(1 - near, 0) ** 2, 0)
+                lot = np.divide(-np.log(_lots(key, fit * TOPICS * 16 + turn)), far, out=np.full(len(far), np.inf), where=far > 0)
+                if len(lot) and lot[k := int(lot.argmin())] < np.inf and (fit not in best or (lot[k], key[k]) < best[fit][:2]):
+                    best[fit] = (float(lot[k]), int(key[k]), batch.column(1)[k].as_py(), batch.column(2)[k].as_py())
+        if best:
+            fits, found = list(best), [pa.array(c) for c in zip(*best.values(), strict=True)]
+            kinds = (pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.int32()))
+            yield pa.record_batch([c.cast(k) for c, k in zip([pa.array(fits), *found], kinds, strict=True)], ["fit", "lot", "key", "places", "counts"])
+
+    least = rows.select("key", "places", "counts").mapInArrow(run, "fit int, lot double, key long, places array<smallint>, counts array<int>")
+    out = {}
+    for r in least.groupBy("fit").agg(F.min_by(F.struct("places", "counts"), F.struct("lot", "key")).alias("t")).collect():
+        x = np.zeros((1, PLACES), np.float32)
+        x[0, r["t"]["places"]] = np.sqrt(r["t"]["counts"])
+        out[r["fit"]] = _unit(x, rarity)
+    return out
+
+
+def _modelled(sums: np.ndarray) -> np.ndarray:
+    p, own = sums[:PLACES] + 0.05, sums[PLACES]
+    return np.vstack([np.log(p / p.sum(0)), np.log((own + 1e-3) / (own.sum() + 1e-3 * len(own)))])
+
+
+def _split(sums: np.ndarray, fits: list) -> list[np.ndarray]:
+    return np.split(sums, np.cumsum([f.shape[-1] for f in fits])[:-1], axis=1)
+
+
+def fit_rows(rows: DataFrame, topics: int = TOPICS, rounds: int = FIT_ROUNDS) -> np.ndarray:
+    """(PLACES + 1, topics): as fit_topics(), from counted() rows, every one of which takes part in every round.
+
+    A round is one pass; what reaches the driver is a table of PLACES rows. RESTARTS fits share their first rounds' passes."""
+    rows = rows.filter("size > 0").select("key", "places", "counts")
+
+    def holding(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.ones(len(x), np.float32) @ np.sign(x), [len(x), 0]]).astype(float)[:, None]
+
+    held = _summed(rows, 1, holding)[:, 0]
+    if not held[PLACES]:
+        return np.zeros((PLACES + 1, 1))
+    rarity = np.log((1 + held[PLACES]) / (1 + held[:PLACES])).astype(np.float32)
+    begun = {fit: np.zeros((0, PLACES), np.float32) for fit in range(RESTARTS)}
+    for turn in range(topics):
+        more = _drawn(rows, rarity, begun, turn)
+        if not more and turn:
+            break
+        begun = {fit: np.vstack([have, more[fit]]) if fit in more else have for fit, have in begun.items()}
+    # texts of common words alone have no direction: one topic
+    seeds = [have if len(have) else np.zeros((1, PLACES), np.float32) for have in begun.values()]
+
+    def first(x: np.ndarray) -> np.ndarray:
+        unit, parts = _unit(x, rarity), []
+        for seed in seeds:
+            own = np.exp(8 * (unit @ seed.T))
+            own /= own.sum(1, keepdims=True)
+            parts.append(np.vstack([x.T @ own, own.sum(0, keepdims=True), np.zeros((1, own.shape[1]))]))
+        return np.hstack(parts)
+
+    turned = [s.T for s in seeds]
+    models = [_modelled(s) for s in _split(_summed(rows, sum(m.shape[1] for m in turned), first), turned)]
+    like, done = [-np.inf] * len(models), [False] * len(models)
+    for n in range(rounds - 1):
+        if n == TRIED and len(models) > 1:
+            k = int(np.argmax(like))
+            models, like, done = [models[k]], [like[k]], [done[k]]
+        sent = [m.astype(np.float32) for m in models]
+
+        def step(x: np.ndarray, sent: list = sent) -> np.ndarray:
+            z_all, parts, at = x @ np.hstack([m[:-1] for m in sent]), [], 0
+            for m in sent:
+                z = z_all[:, at : at + m.shape[1]] + m[-1]
+                at += m.shape[1]
+                most = z.max(1, keepdims=True)
+                own = np.exp(z - most)
+                total = own.sum(1, keepdims=True)
+                tail = np.zeros((1, own.shape[1]))
+                tail[0, 0] = (most[:, 0].astype(float) + np.log(total[:, 0])).sum()
+                own /= total
+                parts.append(np.vstack([x.T @ own, own.sum(0, keepdims=True), tail]))
+            return np.hstack(parts)
+
+        sums = _split(_summed(rows, sum(m.shape[1] for m in models), step), models)
+        for k, s in enumerate(sums):
+            before, like[k] = like[k], float(s[PLACES + 1, 0])
+            done[k] = done[k] or like[k] - before < 1e-6 * abs(like[k])
+            models[k] = _modelled(s)
+        if all(done):
+            break
+    return models[int(np.argmax(like))]
 
 
 def learn_topics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", topics: int = TOPICS) -> np.ndarray:
-    rows = sampled(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL"), "doc_id").collect()
-    return fit_topics([r["text"] for r in sorted(rows, key=lambda r: (str(r["doc_id"]), r["text"]))], topics)
+    """Topics of all texts of docs."""
+    blank = F.lit(None).cast("string")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), blank.alias("source"), blank.alias("lang"))
+    return fit_rows(keep(counted(rows)), topics)
 
 
 def described(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", model: np.ndarray | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens (white-space words, at least one)."""
-    sent = docs.sparkSession.sparkContext.broadcast(learn_topics(docs, doc_id, text) if model is None else model)
+    rows = keep(counted(docs, doc_id, text, source, lang))
+    sent = docs.sparkSession.sparkContext.broadcast(fit_rows(rows) if model is None else model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted, (log_p, log_w) = Counted(), (sent.value[:-1], sent.value[-1])
-        for batch in pieces(batches, "text"):
-            doc, place, size = counted.of(texts_of(batch, "text"))
-            keys, n = np.unique(doc * PLACES + place, return_counts=True)
-            z = np.tile(log_w, (len(size), 1))
-            for k in range(len(log_w)):
-                z[:, k] += np.bincount(keys // PLACES, np.sqrt(n) * log_p[keys % PLACES, k], len(size))
-            topic = np.where(size > 0, z.argmax(1), -1)
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(topic.astype(np.int32)), pa.array(np.maximum(size, 1))], ["doc_id", "source", "lang", "topic", "tokens"])
-
-    cols = [F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")]
-    return docs.select(*cols).mapInArrow(run, "doc_id long, source string, lang string, topic int, tokens long")
+        log_p, log_w = sent.value[:-1], sent.value[-1]
+        for batch, x in _roots(batches):
+            size = batch.column(3).to_numpy()
+            topic = np.where(size > 0, (x @ log_p + log_w).argmax(1), -1)
+            yield pa.record_batch([*batch.columns[:3], pa.array(topic.astype(np.int32)), pa.array(np.maximum(size, 1))], ["doc_id", "source", "lang", "topic", "tokens"])
+
+    return rows.select("doc_id", "source", "lang", "size", "places", "counts").mapInArrow(run, "doc_id long, source string, lang string, topic int, tokens long")
 
 
 def name_of(*columns: str) -> Column:

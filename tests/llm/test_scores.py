@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rasterloom.llm import media, mixing, quality_crf, toxicity
 from tests.llm.conftest import prose, texts
@@ -276,6 +277,22 @@ def test_topics_part_texts_by_their_words(spark):
     assert flat.shape == (mixing.PLACES + 1, 1)
 
 
+def test_topics_are_learned_from_every_text(spark):
+    """Each text weighs in the model, as in the fit of all at once: none of 2,500 is left out."""
+    r = random.Random(9)
+    words = [[f"{k}word{i}" for i in range(30)] for k in "xyz"]
+    texts = [" ".join(r.choice(words[i % 3]) for _ in range(20)) for i in range(2500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = mixing.learn_topics(docs, topics=3)
+    whole = mixing.fit_topics(texts, 3)
+    assert model.shape == whole.shape == (mixing.PLACES + 1, 3)
+    near = [min(np.abs(np.exp(model[:, k]) - np.exp(whole[:, j])).max() for j in range(3)) for k in range(3)]
+    assert max(near) < 1e-3
+    odd = docs.withColumn("text", F.when(F.col("doc_id") == 77, "solitary " * 400).otherwise(F.col("text")))
+    at = mixing.places_of("solitary")
+    assert max(mixing.learn_topics(odd, topics=3)[at]) > max(model[at]) + 1
+
+
 def test_mixing_edges(docs, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ALL) + 1 and all(0 <= r.prob <= 1 and r.sampled is not None and 0 <= r.target_error for r in rows)
