@@ -41,7 +41,7 @@ TOPICS, PLACES, FIT_ROUNDS, RESTARTS, TRIED = 8, 2048, 40, 4, 5
 #: Texts of which a worker holds dense counts at once, and the unit of sums, which as integers are exact in any order.
 DENSE, UNIT = 2048, float(1 << 20)
 #: What is kept of each text: its words' places and counts, and how many words there are.
-COUNTED = "doc_id long, source string, lang string, key long, size long, places array<smallint>, counts array<int>"
+COUNTED = "doc_id long, source string, lang string, key long, size long, places binary, counts binary"
 
 
 def places_of(word: str) -> int:
@@ -105,6 +105,19 @@ def fit_topics(texts: list[str | None], topics: int = TOPICS, rounds: int = FIT_
     return best
 
 
+def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Stretches of values as binaries, which Spark copies as a whole where it would take arrays apart."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _stretches(found: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all binaries of a column end to end, and how many each has."""
+    ends = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1]
+    data = found.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
+    return values.view(kind), np.diff(ends) // np.dtype(kind).itemsize
+
+
 def counted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
     """doc_id, source, lang, a hash of the text (key), its number of words (size), and their places and counts. Texts are split
     once; what is fitted and applied reads this table."""
@@ -114,23 +127,29 @@ def counted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
         for batch in pieces(batches, "text"):
             doc, place, size = words.of(texts_of(batch, "text"))
             keys, n = np.unique(doc * PLACES + place, return_counts=True)
-            ends = np.searchsorted(keys, np.arange(len(size) + 1) * PLACES).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in ((keys % PLACES).astype(np.int16), n.astype(np.int32))]
+            ends = np.searchsorted(keys, np.arange(len(size) + 1) * PLACES)
+            lists = [_binaries(v, ends) for v in ((keys % PLACES).astype(np.int16), n.astype(np.int32))]
             yield pa.record_batch([*batch.columns[:4], pa.array(size.astype(np.int64)), *lists], ["doc_id", "source", "lang", "key", "size", "places", "counts"])
 
     cols = [F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang")]
     return docs.select(*cols, F.xxhash64(text).alias("key"), F.col(text).alias("text")).mapInArrow(run, COUNTED)
 
 
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of counted texts (text of each entry, place, count)."""
+    places, n = _stretches(batch.column(batch.schema.get_field_index("places")), np.int16)
+    counts, _ = _stretches(batch.column(batch.schema.get_field_index("counts")), np.int32)
+    return np.repeat(np.arange(len(n)), n), places, counts
+
+
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Batches of counted texts with the roots of their counts, (texts, PLACES), a bounded number at a time."""
     for whole in batches:
         for i in range(0, whole.num_rows, DENSE):
             batch = whole.slice(i, DENSE)
-            places, counts = (batch.column(batch.schema.get_field_index(c)) for c in ("places", "counts"))
-            n = np.diff(places.offsets.to_numpy())
+            text, places, counts = _entries(batch)
             x = np.zeros((batch.num_rows, PLACES), np.float32)
-            x[np.repeat(np.arange(len(n)), n), places.flatten().to_numpy()] = np.sqrt(counts.flatten().to_numpy())
+            x[text, places] = np.sqrt(counts.astype(np.float32))
             yield batch, x
 
 
@@ -158,9 +177,8 @@ def _unit(x: np.ndarray, rarity: np.ndarray) -> np.ndarray:
 
 def _squares(batch: pa.RecordBatch, rarity: np.ndarray) -> np.ndarray:
     """The squared length of each counted text's roots times their words' rarity."""
-    places, counts = (batch.column(batch.schema.get_field_index(c)) for c in ("places", "counts"))
-    text = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy()))
-    return np.bincount(text, counts.flatten().to_numpy() * np.square(rarity, dtype=float)[places.flatten().to_numpy()], batch.num_rows)
+    text, places, counts = _entries(batch)
+    return np.bincount(text, counts * np.square(rarity, dtype=float)[places], batch.num_rows)
 
 
 def _lots(key: np.ndarray, seed: int) -> np.ndarray:
@@ -190,14 +208,14 @@ def _drawn(rows: DataFrame, rarity: np.ndarray, begun: dict[int, np.ndarray], tu
                     best[fit] = (float(lot[k]), int(key[k]), batch.column(1)[k].as_py(), batch.column(2)[k].as_py())
         if best:
             fits, found = list(best), [pa.array(c) for c in zip(*best.values(), strict=True)]
-            kinds = (pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.int32()))
+            kinds = (pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.record_batch([c.cast(k) for c, k in zip([pa.array(fits), *found], kinds, strict=True)], ["fit", "lot", "key", "places", "counts"])
 
-    least = rows.select("key", "places", "counts").mapInArrow(run, "fit int, lot double, key long, places array<smallint>, counts array<int>")
+    least = rows.select("key", "places", "counts").mapInArrow(run, "fit int, lot double, key long, places binary, counts binary")
     out = {}
     for r in least.groupBy("fit").agg(F.min_by(F.struct("places", "counts"), F.struct("lot", "key")).alias("t")).collect():
         x = np.zeros((1, PLACES), np.float32)
-        x[0, r["t"]["places"]] = np.sqrt(r["t"]["counts"])
+        x[0, np.frombuffer(r["t"]["places"], np.int16)] = np.sqrt(np.frombuffer(r["t"]["counts"], np.int32))
         out[r["fit"]] = _unit(x, rarity)
     return out
 
