@@ -15,6 +15,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from rasterloom.functions.scalar import RGB
 from rasterloom.operators import huffman, kmeans, lz
@@ -22,6 +24,7 @@ from rasterloom.operators.fold import folded
 from rasterloom.operators.joins import recolour
 from rasterloom.operators.scan import on_curve, rect_places
 from rasterloom.operators.sequence import EqualRuns, MeanRuns
+from rasterloom.sources.images import channels_of
 from rasterloom.sources.tables import images
 
 PIXELS = "img_id long, pos long, x int, y int, r int, g int, b int"
@@ -50,10 +53,6 @@ def bytes_pixels(data: bytes) -> np.ndarray:
     return rows[:, 8:].astype(np.int64)
 
 
-def tuples(rows: np.ndarray) -> list[tuple]:
-    return list(map(tuple, rows.tolist()))
-
-
 class _Whole:
     """A fold that gathers an image in raster order and encodes it at its end."""
 
@@ -81,7 +80,7 @@ class Measured:
     the pixels, so neither they nor decoded pixels are dealt out again. Squared differences are summed over the places that
     both have, over the larger count of pixels; an image that fails has no difference."""
 
-    SCHEMA = "codec string, w int, h int, size long, encoded binary, error double, error_msg string"
+    SCHEMA = "codec string, w int, h int, size long, encoded binary, error double, error_msg string, n_pixels long"
 
     def __init__(self, codecs: list[Codec], save: bool = False):
         """save: give the bytes of pictures that differ, and of those alone."""
@@ -106,10 +105,37 @@ class Measured:
                 why = f"{type(e).__name__}: {e}"
             if why is None and c.is_lossless and error:
                 why = "decoded image doesn't match"
-            rows.append((c.name, w, h, None if data is None else len(data), data if self.save and error else None, error, why))
+            rows.append((c.name, w, h, None if data is None else len(data), data if self.save and error else None, error, why, len(pos)))
         return [list(c) for c in zip(*rows, strict=True)]
 
 
+#: Pictures of which the results leave together.
+TOGETHER = 256
+MEASURED = f"img_id long, name string, {Measured.SCHEMA}"
+
+
+def measured_pictures(pictures: DataFrame, codecs: list[Codec], save: bool = False) -> DataFrame:
+    """img_id, name and the columns of Measured for each codec, of pictures that are a row each (img_id, name, w, h, channels, bgr,
+    error_msg): their pixels never become rows. A picture with an error has its message alone."""
+    fields = to_arrow_schema(StructType.fromDDL(MEASURED))
+
+    def one(i: int, name: str, w: int, h: int, channels: int, data: pa.Scalar, why: str | None) -> Iterator[tuple]:
+        if why is not None:
+            return ((i, name, c.name, None, None, None, None, None, why, None) for c in codecs)
+        pos, fold = np.arange(w * h), Measured(codecs, save)
+        fold.feed(pos, [pos % w, pos // w, *channels_of(data.as_buffer(), w, h, channels)])
+        return ((i, name, *row) for row in zip(*fold.end(), strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, TOGETHER):
+                *plain, data, why = batch.slice(k, TOGETHER).columns
+                rows = [r for *p, d, e in zip(*(c.to_pylist() for c in plain), data, why.to_pylist(), strict=True) for r in one(*p, d, e)]
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
+
+    return pictures.select("img_id", "name", "w", "h", "channels", "bgr", "error_msg").mapInArrow(run, MEASURED)
+
+
 class Given:
     """A fold of an image's bytes, which come before its pixels, and of its pixels r, g, b to their difference."""
 
@@ -181,6 +207,18 @@ class Codec:
         return encoded.filter("encoded IS NOT NULL").select("img_id", "encoded").mapInArrow(all_, PIXELS)
 
 
+    def pictures(self, encoded: DataFrame, key: str = "img_id") -> DataFrame:
+        """key, w, h, channels, bgr of all images that have bytes: a decoded picture as one row."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for name, data in zip(batch.column(0), batch.column(1), strict=True):
+                    w, h, rgb = self.decode_image(data.as_buffer().to_pybytes())
+                    yield pa.record_batch([pa.array([name.as_py()], batch.schema.types[0]), *(pa.array([v], pa.int32()) for v in (w, h, 3)), pa.array([rgb[:, ::-1].astype(np.uint8).tobytes()], pa.binary())], [key, "w", "h", "channels", "bgr"])
+
+        return encoded.filter("encoded IS NOT NULL").select(key, "encoded").mapInArrow(run, f"{key} {dict(encoded.dtypes)[key]}, w int, h int, channels int, bgr binary")
+
+
 class Plain(Codec):
     """The sides and all pixels as they are."""
 
@@ -197,7 +235,7 @@ class Hufman(Codec):
     name = "Hufman"
 
     def encode_image(self, w, h, rgb):
-        return header(w, h) + huffman.encode_all(tuples(rgb), huffman.RGB)
+        return header(w, h) + huffman.encode_array(rgb, huffman.RGB)
 
     def decode_image(self, data):
         w, h = dimensions(data)
@@ -225,7 +263,7 @@ class Delta(Codec):
 
     def encode_image(self, w, h, rgb):
         s = _along(w, h, rgb)
-        return header(w, h) + huffman.encode_all(tuples(np.diff(s, axis=0, prepend=0)), huffman.SIGNED)
+        return header(w, h) + huffman.encode_array(np.diff(s, axis=0, prepend=0), huffman.SIGNED)
 
     def decode_image(self, data):
         w, h = dimensions(data)
@@ -249,11 +287,7 @@ class _Runs:
 
     def feed(self, order: np.ndarray, values: list[np.ndarray]) -> None:
         self.w, self.h = max(self.w, int(values[0].max()) + 1), max(self.h, int(values[1].max()) + 1)
-        if self.allowance:
-            add = self.state.add
-            self._add([r for p in zip(*(v.tolist() for v in values[2:]), strict=True) if (r := add(p))])
-        else:
-            self._add(self.state.stretch(np.stack(values[2:], 1)))
+        self._add(self.state.stretch(np.stack(values[2:], 1)))
 
     def end(self) -> list:
         self._add(self.state.rest())
@@ -275,7 +309,8 @@ class HilbertRle(Codec):
         return _Runs(self.allowance)
 
     def encode_places(self, w, h, x, y, rgb):
-        order = np.argsort(rect_places(x, y, w, h), kind="stable")
+        whole = len(x) == w * h and (y * w + x == np.arange(w * h)).all()
+        order = np.argsort(_places(w, h) if whole else rect_places(x, y, w, h), kind="stable")
         runs = _Runs(self.allowance)
         runs.feed(order, [x[order], y[order], *(rgb[order, i] for i in range(3))])
         return runs.end()[2][0]

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from rasterloom.functions.scalar import RGB
 from rasterloom.operators.fold import folded
 from rasterloom.operators.metrics import ratio_ref, ratio_true
-from rasterloom.plans.codecs import Codec, Given, Measured
-from rasterloom.sources.images import save_png
+from rasterloom.plans.codecs import Codec, Given, Measured, measured_pictures
+from rasterloom.sources.images import save_pictures
 from rasterloom.sources.reports import display_name
 from rasterloom.sources.shared import discard, written
 
@@ -42,18 +42,29 @@ def measure(px: DataFrame, codec: Codec, names: DataFrame | None = None, save: s
         error = folded(both, "img_id", "pos", [*RGB, "encoded"], lambda: Given(codec), "error double, size_ok boolean")
         why = F.when(F.col("error_msg").isNotNull(), F.col("error_msg")).when(~F.col("size_ok"), "decoded size differs").when(F.lit(codec.is_lossless) & (F.col("error") != 0), "decoded image doesn't match")
         rows = encoded.join(error, "img_id", "left").withColumn("error_msg", why).withColumn("codec", F.lit(codec.name)).withColumn("size", F.octet_length("encoded").cast("long"))
+    name = F.col("img_id").cast("string")
+    result = _reported(rows.join(names, "img_id") if names is not None else rows.withColumn("name", name), codec, save)
+    discard(*made)
+    return result
+
+
+def measure_pictures(pictures: DataFrame, codec: Codec, save: str | None = None) -> DataFrame:
+    """The same of pictures that are a row each (img_id, name, w, h, channels, bgr, error_msg), of which each is encoded, decoded and
+    compared where it is; those that have an error_msg keep it."""
+    return _reported(measured_pictures(pictures, [codec], save=bool(save)), codec, save)
+
+
+def _reported(rows: DataFrame, codec: Codec, save: str | None) -> DataFrame:
     ended = [c for c in rows.columns if c == "converged"]
     kept = ["encoded"] if save else []
     size = F.col("size")
-    out = rows.select("img_id", "codec", size.alias("compressed_size"), ratio_ref(size, F.col("w"), F.col("h")).alias("compression_ratio"), ratio_true(size, F.col("w"), F.col("h")).alias("ratio_true"), "error", "error_msg", *ended, *kept)
-    name = out.join(names, "img_id") if names is not None else out.withColumn("name", F.col("img_id").cast("string"))
-    result = written(name.select("img_id", *RESULT, *ended, *kept), "results")
+    out = rows.select("img_id", "name", "codec", size.alias("compressed_size"), ratio_ref(size, F.col("w"), F.col("h")).alias("compression_ratio"), ratio_true(size, F.col("w"), F.col("h")).alias("ratio_true"), "error", "error_msg", *ended, *kept)
+    result = written(out.select("img_id", *RESULT, *ended, *kept), "results")
     if save:
         base = display_name(F.col("name"))
         twin = F.count("*").over(Window.partitionBy("base")) > 1
-        wrong = result.filter("error != 0").select("img_id", base.alias("base")).withColumn("file", F.when(twin, F.concat_ws("-", "base", F.hex("img_id"))).otherwise(F.col("base")))
-        save_png(codec.decode(result.filter("error != 0")).join(wrong.select("img_id", "file"), "img_id"), save, key="file")
-    discard(*made)
+        wrong = result.filter("error != 0").select("img_id", "encoded", base.alias("base")).withColumn("file", F.when(twin, F.concat_ws("-", "base", F.hex("img_id"))).otherwise(F.col("base")))
+        save_pictures(codec.pictures(wrong, "file"), save, key="file")
     return result.drop("img_id", *kept)
 
 
@@ -74,6 +85,8 @@ def measure_files(spark: SparkSession, paths: list[str], codec: Codec, save: str
     from rasterloom.sources.images import image_pixels, read_images
 
     found = read_images(spark, paths).withColumn("img_id", F.xxhash64("path"))
+    if codec.by_image:
+        return measure_pictures(found.withColumn("name", F.col("path")), codec, save)
     px = image_pixels(found, "img_id")
     good = measure(px, codec, found.select("img_id", F.col("path").alias("name")), save)
     bad = found.filter("error_msg IS NOT NULL").select(F.lit(codec.name).alias("codec"), F.col("path").alias("name"), "error_msg")
