@@ -104,6 +104,22 @@ class MeanRuns:
         self.n += 1
         return done
 
+    def stretch(self, points: np.ndarray) -> list[tuple[int, list[int]]]:
+        """The runs that add() would end within these points of three numbers, in one loop."""
+        out, n, limit, cap = [], self.n, self.limit, self.cap
+        a, b, c = self.total
+        for x, y, z in points.tolist():
+            if n:
+                u, v, w = a / n - x, b / n - y, c / n - z
+                if n >= cap or u * u + v * v + w * w > limit:
+                    self.total, self.n = [a, b, c], n
+                    out.append(self.close())
+                    a = b = c = 0.0
+                    n = 0
+            a, b, c, n = a + x, b + y, c + z, n + 1
+        self.total, self.n = [a, b, c], n
+        return out
+
     def runs(self, points: Iterator[tuple]) -> list[tuple[int, list[int]]]:
         """All runs of a whole sequence."""
         return [r for p in points if (r := self.add(p))] + self.rest()
@@ -120,9 +136,9 @@ class EqualRuns:
 
     def stretch(self, points: np.ndarray) -> list[tuple[int, list[int]]]:
         """The runs that end within these points, which follow those before."""
-        out, edges = [], np.flatnonzero((points[1:] != points[:-1]).any(1)) + 1
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(points)], strict=True):
-            value = points[a].tolist()
+        edges = (np.flatnonzero((points[1:] != points[:-1]).any(1)) + 1).tolist()
+        out, firsts = [], [0, *edges]
+        for a, b, value in zip(firsts, [*edges, len(points)], points[firsts].tolist(), strict=True):
             if value != self.value:
                 out += self.rest()
                 self.value = value
