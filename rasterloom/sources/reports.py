@@ -32,8 +32,10 @@ def write_failures(failed: DataFrame, path: str) -> None:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """All result files under a path but scan exports and failures, with display_name; a missing error column reads as null."""
-    got = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").schema(RESULTS).csv(path).withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+\.csv)(/part-[^/]*)?$", 1))
+    """All result files under a path but scan exports and failures, with display_name; a missing error column reads as null.
+
+    A file's path is known before it is opened, so those that are left out are not read."""
+    got = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").schema(RESULTS).csv(path).withColumn("file", F.regexp_extract("_metadata.file_path", r"([^/]+\.csv)(/part-[^/]*)?$", 1))
     return got.filter(~F.col("file").endswith(".hilbert.csv") & ~F.col("file").endswith(".failed.csv")).withColumn("display_name", display_name(F.col("file"))).drop("file")
 
 
