@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from rasterloom.functions import scalar as fn
 from rasterloom.operators import huffman, joins, kmeans, lz, metrics, pruned, scan, sequence
 from rasterloom.plans import codecs
-from rasterloom.plans.measure import measure
+from rasterloom.plans.measure import measure, measured
 from rasterloom.sources import reports
 from rasterloom.sources.shared import new_folder, written
 from rasterloom.sources.tables import doc_bytes, images, pixels, pixels_flat, seq_events, table
@@ -902,9 +902,8 @@ def _round_trip(name: str, codec: codecs.Codec):
     @query(f"{name}_lossless", _MEASURED)
     def lossless(spark, sf):
         """Every raster decodes to itself."""
-        px = pixels(spark, sf)
-        n = images(px).select(F.col("img_id").cast("string").alias("name"), "n_pixels")
-        return measure(px, codec).join(n, "name").select("name", "n_pixels", F.col("error_msg").isNull().alias("ok"), "error")
+        rows = measured(pixels(spark, sf), [codec])
+        return rows.select(F.col("img_id").cast("string").alias("name"), "n_pixels", F.col("error_msg").isNull().alias("ok"), "error")
 
     return lossless
 
