@@ -24,12 +24,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import keep, pieces, texts_of
-from rasterloom.llm.vocab import Words
 
 POWER, SHARE = 0.7, 0.6
 DIMENSIONS = ["source", "lang", "topic"]
@@ -39,29 +39,56 @@ FEW_CELLS = 200_000
 #: Topics are fitted to counts of words hashed to so many places. The likeliest of RESTARTS fits after TRIED rounds goes on.
 TOPICS, PLACES, FIT_ROUNDS, RESTARTS, TRIED = 8, 2048, 40, 4, 5
 #: Texts of which a worker holds dense counts at once, and the unit of sums, which as integers are exact in any order.
-DENSE, UNIT = 2048, float(1 << 20)
-#: What is kept of each text: its words' places and counts, and how many words there are.
-COUNTED = "doc_id long, source string, lang string, key long, size long, places binary, counts binary"
+DENSE, UNIT = 512, float(1 << 20)
+#: About so many texts have a lot for one draw that is low enough to be looked at first.
+EARLY = 64
+#: An entry is the place of some of a text's words and, PLACES times, their count, in 16 bits. Counts from MANY on are 0 there
+#: and stand apart, in the same order.
+MANY = (1 << 16) // PLACES
+#: What is kept of each text: its entries, how many words there are, and the least of its lots.
+COUNTED = "doc_id long, source string, lang string, key long, size long, entries binary, many binary, lot double"
 
 
 def places_of(word: str) -> int:
     return xxhash.xxh32_intdigest(word.lower()) % PLACES
 
 
-class Counted:
-    """Counts of hashed words, (texts, PLACES), a bounded number of texts at a time."""
-
-    def __init__(self):
-        self.words, self.place = Words(), np.zeros(0, np.int64)
-
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text of each word, its place, words in each text)."""
-        if self.words.begin():
-            self.place = self.place[:0]
-        at, offsets, new = self.words.of(texts, str.split)
-        self.place = np.concatenate([self.place, np.fromiter(map(places_of, new), np.int64, len(new))])
-        size = np.diff(offsets)
-        return np.repeat(np.arange(len(texts)), size), self.place[at], size
+def _xxh32(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """xxh32 of the stretches of bytes of one size, below 16, from starts."""
+    p1, p2, p3, p4, p5 = map(np.uint32, (2654435761, 2246822519, 3266489917, 668265263, 374761393))
+    turned = lambda x, by: (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+    own = data[starts[:, None] + np.arange(size)]
+    h = np.full(len(starts), (374761393 + size) % (1 << 32), np.uint32)
+    for lane in own[:, : size & ~3].copy().view("<u4").T:
+        h = turned(h + lane * p3, 17) * p4
+    for byte in own[:, size & ~3 :].T:
+        h = turned(h + byte * p5, 11) * p1
+    h = (h ^ (h >> np.uint32(15))) * p2
+    h = (h ^ (h >> np.uint32(13))) * p3
+    return h ^ (h >> np.uint32(16))
+
+
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text of each word, its place as of places_of(), words in each text).
+
+    Texts are split, and words of one length hashed, as arrays: a text in lower case has the words of the text in lower
+    case, and a table of the distinct words, most of which are rare, would cost more than hashing each again."""
+    lists = pc.utf8_split_whitespace(pa.array([t.lower() if t else "" for t in texts], pa.string()))
+    words = lists.values
+    ends = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    sizes, text = np.diff(ends), np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
+    starts, text, sizes = ends[:-1][sizes > 0], text[sizes > 0], sizes[sizes > 0]  # white space at an end leaves an empty word
+    place = np.zeros(len(sizes), np.int64)
+    order = np.argsort(np.minimum(sizes, 16).astype(np.uint8), kind="stable")
+    cuts = np.searchsorted(np.minimum(sizes, 16)[order], np.arange(1, 17))
+    for size in range(1, 16):
+        at = order[cuts[size - 1] : cuts[size]]
+        if len(at):
+            place[at] = _xxh32(data, starts[at], size) % np.uint32(PLACES)
+    for k in order[cuts[15] :].tolist():
+        place[k] = xxhash.xxh32_intdigest(data[starts[k] : starts[k] + sizes[k]]) % PLACES
+    return text, place, np.bincount(text, minlength=len(texts))
 
 
 def fit_topics(texts: list[str | None], topics: int = TOPICS, rounds: int = FIT_ROUNDS) -> np.ndarray:
@@ -70,7 +97,7 @@ def fit_topics(texts: list[str | None], topics: int = TOPICS, rounds: int = FIT_
     A mixture of unigram models. Texts count by the square root of each word's count, so that long ones do not rule. It
     begins from texts drawn by their distance from those drawn before (rare words weigh more), and the likeliest of
     RESTARTS fits is taken."""
-    doc, place, size = Counted().of(texts)
+    doc, place, size = words_of(texts)
     x = np.zeros((len(texts), PLACES), np.float32)
     np.add.at(x, (doc, place), 1)
     x = np.sqrt(x[size > 0])
@@ -119,38 +146,52 @@ def _stretches(found: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """doc_id, source, lang, a hash of the text (key), its number of words (size), and their places and counts. Texts are split
-    once; what is fitted and applied reads this table."""
+    """doc_id, source, lang, a hash of the text (key), its number of words (size), its entries, and its least lot of all
+    draws. Texts are split once; what is fitted and applied reads this table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Counted()
+        draws = np.array([_seed(fit, turn) for fit in range(RESTARTS) for turn in range(TOPICS)])
         for batch in pieces(batches, "text"):
-            doc, place, size = words.of(texts_of(batch, "text"))
+            doc, place, size = words_of(texts_of(batch, "text"))
             keys, n = np.unique(doc * PLACES + place, return_counts=True)
             ends = np.searchsorted(keys, np.arange(len(size) + 1) * PLACES)
-            lists = [_binaries(v, ends) for v in ((keys % PLACES).astype(np.int16), n.astype(np.int32))]
-            yield pa.record_batch([*batch.columns[:4], pa.array(size.astype(np.int64)), *lists], ["doc_id", "source", "lang", "key", "size", "places", "counts"])
+            apart = n >= MANY
+            entries = (keys % PLACES + PLACES * np.where(apart, 0, n)).astype(np.uint16)
+            lists = [_binaries(entries, ends), _binaries(n[apart].astype(np.int32), np.append(0, np.cumsum(apart))[ends])]
+            lot = pa.array(_lots(batch.column(3).to_numpy(), draws).min(0))
+            yield pa.record_batch([*batch.columns[:4], pa.array(size.astype(np.int64)), *lists, lot], ["doc_id", "source", "lang", "key", "size", "entries", "many", "lot"])
 
     cols = [F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang")]
     return docs.select(*cols, F.xxhash64(text).alias("key"), F.col(text).alias("text")).mapInArrow(run, COUNTED)
 
 
+def _read(entries: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and counts."""
+    counts = (entries // PLACES).astype(np.int32)
+    counts[counts == 0] = many
+    return entries % PLACES, counts
+
+
 def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of counted texts (text of each entry, place, count)."""
-    places, n = _stretches(batch.column(batch.schema.get_field_index("places")), np.int16)
-    counts, _ = _stretches(batch.column(batch.schema.get_field_index("counts")), np.int32)
-    return np.repeat(np.arange(len(n)), n), places, counts
+    entries, n = _stretches(batch.column(batch.schema.get_field_index("entries")), np.uint16)
+    many, _ = _stretches(batch.column(batch.schema.get_field_index("many")), np.int32)
+    return np.repeat(np.arange(len(n)), n), *_read(entries, many)
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Batches of counted texts with the roots of their counts, (texts, PLACES), a bounded number at a time."""
+    """Batches of counted texts with the roots of their counts, (texts, PLACES), a bounded number at a time and all in the same
+    memory: they are void once the next are asked for."""
+    x = np.zeros((DENSE, PLACES), np.float32)
+    flat = x.reshape(-1)
     for whole in batches:
         for i in range(0, whole.num_rows, DENSE):
             batch = whole.slice(i, DENSE)
             text, places, counts = _entries(batch)
-            x = np.zeros((batch.num_rows, PLACES), np.float32)
-            x[text, places] = np.sqrt(counts.astype(np.float32))
-            yield batch, x
+            at = text * PLACES + places
+            flat[at] = np.sqrt(counts.astype(np.float32))
+            yield batch, x[: batch.num_rows]
+            flat[at] = 0
 
 
 def _summed(rows: DataFrame, width: int, each: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -163,13 +204,29 @@ def _summed(rows: DataFrame, width: int, each: Callable[[np.ndarray], np.ndarray
             total += np.rint(each(x) * UNIT).astype(np.int64)
         yield pa.record_batch([pa.array(np.arange(PLACES + 2)), *map(pa.array, total.T.copy())], ["place", *names])
 
-    tables = rows.select("places", "counts").mapInArrow(run, "place long, " + ", ".join(f"{c} long" for c in names))
+    tables = rows.select("entries", "many").mapInArrow(run, "place long, " + ", ".join(f"{c} long" for c in names))
     out = np.zeros((PLACES + 2, width))
     for r in tables.groupBy("place").agg(*[F.sum(c).alias(c) for c in names]).collect():
         out[r["place"]] = np.array(r[1:], float) / UNIT
     return out
 
 
+def _holding(rows: DataFrame) -> np.ndarray:
+    """How many texts have a word of each place and, last, how many there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(PLACES + 1, np.int64)
+        for batch in batches:
+            entries, n = _stretches(batch.column(0), np.uint16)
+            total += np.append(np.bincount(entries % PLACES, minlength=PLACES), len(n))
+        yield pa.record_batch([pa.array(np.arange(PLACES + 1)), pa.array(total)], ["place", "n"])
+
+    out = np.zeros(PLACES + 1)
+    for r in rows.select("entries").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        out[r["place"]] = r["n"]
+    return out
+
+
 def _unit(x: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     rare = x * rarity
     return rare / np.maximum(np.linalg.norm(rare, axis=1, keepdims=True), np.float32(1e-9))
@@ -181,17 +238,22 @@ def _squares(batch: pa.RecordBatch, rarity: np.ndarray) -> np.ndarray:
     return np.bincount(text, counts * np.square(rarity, dtype=float)[places], batch.num_rows)
 
 
-def _lots(key: np.ndarray, seed: int) -> np.ndarray:
-    """Numbers between 0 and 1 by keys (splitmix64)."""
-    z = key.astype(np.uint64) + np.uint64(seed + 1) * np.uint64(0x9E3779B97F4A7C15)
+def _seed(fit: int, turn: int) -> int:
+    return fit * TOPICS * 16 + turn
+
+
+def _lots(key: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
+    """Exponential lots by keys (splitmix64)."""
+    z = key.astype(np.uint64) + np.asarray(seed + 1).astype(np.uint64).reshape(-1, 1) * np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53) + 1e-17
+    return -np.log(((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53) + 1e-17)
 
 
-def _drawn(rows: DataFrame, rarity: np.ndarray, begun: dict[int, np.ndarray], turn: int) -> dict[int, np.ndarray]:
-    """Of each fit one more text to begin from, drawn from all by the squared distance from those drawn before, as a unit
-    vector: the text whose exponential lot over its weight is least. A fit that has every text already gets none."""
+def _drawn(rows: DataFrame, rarity: np.ndarray, begun: dict[int, np.ndarray], turn: int) -> dict[int, tuple[float, np.ndarray]]:
+    """Of each fit one more text to begin from, drawn from rows by the squared distance from those drawn before: the text
+    whose exponential lot over its weight is least, as that quotient and a unit vector. A fit that has every text already
+    gets none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple] = {}
@@ -203,23 +265,44 @@ def _drawn(rows: DataFrame, rarity: np.ndarray, begun: dict[int, np.ndarray], tu
                 near = like[:, at : at + len(have)].max(1) if len(have) else np.zeros(len(key))
                 at += len(have)
                 far = np.where(near < 1 - 1e-6, np.maximum(1 - near, 0) ** 2, 0)
-                lot = np.divide(-np.log(_lots(key, fit * TOPICS * 16 + turn)), far, out=np.full(len(far), np.inf), where=far > 0)
+                lot = np.divide(_lots(key, _seed(fit, turn))[0], far, out=np.full(len(far), np.inf), where=far > 0)
                 if len(lot) and lot[k := int(lot.argmin())] < np.inf and (fit not in best or (lot[k], key[k]) < best[fit][:2]):
                     best[fit] = (float(lot[k]), int(key[k]), batch.column(1)[k].as_py(), batch.column(2)[k].as_py())
         if best:
             fits, found = list(best), [pa.array(c) for c in zip(*best.values(), strict=True)]
             kinds = (pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.record_batch([c.cast(k) for c, k in zip([pa.array(fits), *found], kinds, strict=True)], ["fit", "lot", "key", "places", "counts"])
+            yield pa.record_batch([c.cast(k) for c, k in zip([pa.array(fits), *found], kinds, strict=True)], ["fit", "lot", "key", "entries", "many"])
 
-    least = rows.select("key", "places", "counts").mapInArrow(run, "fit int, lot double, key long, places binary, counts binary")
+    least = rows.select("key", "entries", "many").mapInArrow(run, "fit int, lot double, key long, entries binary, many binary")
     out = {}
-    for r in least.groupBy("fit").agg(F.min_by(F.struct("places", "counts"), F.struct("lot", "key")).alias("t")).collect():
+    for r in least.groupBy("fit").agg(F.min_by(F.struct("entries", "many"), F.struct("lot", "key")).alias("t"), F.min("lot").alias("lot")).collect():
         x = np.zeros((1, PLACES), np.float32)
-        x[0, np.frombuffer(r["t"]["places"], np.int16)] = np.sqrt(np.frombuffer(r["t"]["counts"], np.int32))
-        out[r["fit"]] = _unit(x, rarity)
+        places, counts = _read(np.frombuffer(r["t"]["entries"], np.uint16), np.frombuffer(r["t"]["many"], np.int32))
+        x[0, places] = np.sqrt(counts)
+        out[r["fit"]] = r["lot"], _unit(x, rarity)
     return out
 
 
+def _begun(rows: DataFrame, rarity: np.ndarray, number: float, topics: int) -> dict[int, np.ndarray]:
+    """The texts that each fit begins from, as unit vectors; each is drawn from all rows, of which there are number.
+
+    A weight is 1 at most, so a text's quotient is its lot at least: where the least quotient of the texts with a lot up to
+    a bound is within that bound, no other text has a lesser one. So few texts are compared; a draw that they do
+    not settle goes over all rows."""
+    bound = EARLY / number
+    early = keep(rows.filter(F.col("lot") <= bound).dropDuplicates(["key"]).select("key", "entries", "many"))
+    begun = {fit: np.zeros((0, PLACES), np.float32) for fit in range(RESTARTS)}
+    for turn in range(topics):
+        found = _drawn(early, rarity, begun, turn) if turn < TOPICS else {}
+        more = {fit: x for fit, (lot, x) in found.items() if lot <= bound}
+        if left := {fit: have for fit, have in begun.items() if fit not in more}:
+            more |= {fit: x for fit, (_, x) in _drawn(rows, rarity, left, turn).items()}
+        if not more and turn:
+            break
+        begun = {fit: np.vstack([have, more[fit]]) if fit in more else have for fit, have in begun.items()}
+    return begun
+
+
 def _modelled(sums: np.ndarray) -> np.ndarray:
     p, own = sums[:PLACES] + 0.05, sums[PLACES]
     return np.vstack([np.log(p / p.sum(0)), np.log((own + 1e-3) / (own.sum() + 1e-3 * len(own)))])
@@ -233,21 +316,12 @@ def fit_rows(rows: DataFrame, topics: int = TOPICS, rounds: int = FIT_ROUNDS) ->
     """(PLACES + 1, topics): as fit_topics(), from counted() rows, every one of which takes part in every round.
 
     A round is one pass; what reaches the driver is a table of PLACES rows. RESTARTS fits share their first rounds' passes."""
-    rows = rows.filter("size > 0").select("key", "places", "counts")
-
-    def holding(x: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.ones(len(x), np.float32) @ np.sign(x), [len(x), 0]]).astype(float)[:, None]
-
-    held = _summed(rows, 1, holding)[:, 0]
+    rows = rows.filter("size > 0").select("key", "entries", "many", "lot")
+    held = _holding(rows)
     if not held[PLACES]:
         return np.zeros((PLACES + 1, 1))
     rarity = np.log((1 + held[PLACES]) / (1 + held[:PLACES])).astype(np.float32)
-    begun = {fit: np.zeros((0, PLACES), np.float32) for fit in range(RESTARTS)}
-    for turn in range(topics):
-        more = _drawn(rows, rarity, begun, turn)
-        if not more and turn:
-            break
-        begun = {fit: np.vstack([have, more[fit]]) if fit in more else have for fit, have in begun.items()}
+    begun = _begun(rows, rarity, held[PLACES], topics)
     # texts of common words alone have no direction: one topic
     seeds = [have if len(have) else np.zeros((1, PLACES), np.float32) for have in begun.values()]
 
@@ -311,7 +385,7 @@ def described(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
             topic = np.where(size > 0, (x @ log_p + log_w).argmax(1), -1)
             yield pa.record_batch([*batch.columns[:3], pa.array(topic.astype(np.int32)), pa.array(np.maximum(size, 1))], ["doc_id", "source", "lang", "topic", "tokens"])
 
-    return rows.select("doc_id", "source", "lang", "size", "places", "counts").mapInArrow(run, "doc_id long, source string, lang string, topic int, tokens long")
+    return rows.select("doc_id", "source", "lang", "size", "entries", "many").mapInArrow(run, "doc_id long, source string, lang string, topic int, tokens long")
 
 
 def name_of(*columns: str) -> Column:

@@ -293,6 +293,56 @@ def test_topics_are_learned_from_every_text(spark):
     assert max(mixing.learn_topics(odd, topics=3)[at]) > max(model[at]) + 1
 
 
+def test_words_as_arrays_are_those_of_plain_code():
+    """Split, put in lower case and hashed as arrays: every white space, capitals that become two letters or end a word, words of
+    any length."""
+    white = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+    lines = [*ALL, white, *(f"a{c}B" for c in white), "ΟΔΟΣ ΣΑΣ. İstanbul ẞ ǅ ﻿A", *(" ".join("Aé" * n + "x" * k for k in range(5)) for n in range(8))]
+    text, place, size = mixing.words_of(lines)
+    words = [(i, w) for i, line in enumerate(lines) for w in (line or "").split()]
+    assert text.tolist() == [i for i, _ in words] and place.tolist() == [mixing.places_of(w) for _, w in words]
+    assert size.tolist() == [len((line or "").split()) for line in lines]
+
+
+def test_counts_of_any_size_are_kept(spark):
+    """Counts that an entry has no room for stand apart and come back in their order."""
+    lines = ["a " * n + "b " * m + f"c{n}" for n in (1, 31, 32, 70_000) for m in (0, 33)]
+    rows = mixing.counted(spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(lines)], "doc_id long, text string, source string, lang string"))
+    batches = rows.coalesce(1).orderBy("doc_id").toArrow().combine_chunks().to_batches()
+    x = np.vstack([part.copy() for _, part in mixing._roots(batches)])
+    for line, root in zip(lines, x, strict=True):
+        want = np.zeros(mixing.PLACES)
+        for w in line.split():
+            want[mixing.places_of(w)] += 1
+        assert np.array_equal(np.rint(root.astype(float) ** 2), want)
+
+
+def test_topics_begin_from_texts_drawn_from_all(spark, monkeypatch):
+    """Draws look at few texts, and find what draws over all rows find; where the few do not settle one, all are looked at."""
+    r = random.Random(10)
+    texts = [" ".join(f"{'xyz'[i % 3]}{r.randrange(40)}" for _ in range(20)) for i in range(3000)] + ["copy of a text"] * 500
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    drawn, looked, begun = mixing._drawn, [], []
+
+    def seen(rows, rarity, have, turn):
+        looked.append(rows.count())
+        begun.append({fit: x.copy() for fit, x in have.items()})
+        return drawn(rows, rarity, have, turn)
+
+    monkeypatch.setattr(mixing, "_drawn", seen)
+    models = []
+    for early in (8, 0):
+        monkeypatch.setattr(mixing, "EARLY", early, raising=False)
+        looked.clear()
+        begun.clear()
+        models.append((mixing.learn_topics(docs, topics=3), list(looked), begun[-1]))
+    (few, rows_few, begun_few), (all_, rows_all, begun_all) = models
+    assert len(rows_few) == 3 and max(rows_few) < 400
+    assert rows_all == [0, 3500] * 3
+    assert all(np.array_equal(begun_few[fit], begun_all[fit]) for fit in begun_all)
+    assert np.allclose(few, all_, atol=1e-5)
+
+
 def test_mixing_edges(docs, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ALL) + 1 and all(0 <= r.prob <= 1 and r.sampled is not None and 0 <= r.target_error for r in rows)
