@@ -142,6 +142,25 @@ def test_one_letter_a_million_times_takes_little_memory():
     assert int(out.stdout.split()[-1]) < 400
 
 
+def test_one_letter_a_million_times_by_the_own_peak():
+    """As above, by VmHWM: ru_maxrss is carried over exec, so there it is at least the peak of whatever ran the test."""
+    import subprocess
+    import sys
+
+    code = (
+        "import re, numpy as np\n"
+        "from rasterloom.llm import language_id, sentencepiece, token_counts\n"
+        "from rasterloom.llm.vocab import SPACE, load, vocab_of\n"
+        "v, text = vocab_of(load()), 'x' * 1_000_000\n"
+        "ids = sentencepiece.Encoder(v).encode([text])[0]\n"
+        "assert token_counts.Trie(v).counts([SPACE + text]).tolist() == [len(ids)]\n"
+        "language_id.Scorer(v, np.full((len(v.pieces), 4), 1e-4)).texts([text])\n"
+        "print(int(re.search(r'VmHWM:\\s+(\\d+)', open('/proc/self/status').read())[1]) // 1024)"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(out.stdout.split()[-1]) < 400
+
+
 def test_fitting_counts_long_words(v):
     """A word without a cut counts in fitting, however long it is."""
     from collections import Counter
